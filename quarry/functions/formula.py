@@ -225,7 +225,7 @@ class _Compiler:
             raise FormulaError("a comparison needs a column")
         a, _ = self.lit_or_col(left)
         b, _ = self.lit_or_col(right)
-        op = _CMP.get(type(node.op))
+        op = _CMP.get(type(node.ops[0]))
         if op is None:
             raise FormulaError("unsupported comparison")
         expr = {"==": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]

@@ -150,7 +150,7 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     ``CORR_PAIRS_PER_AGG`` expressions each (one scan per chunk); each pair is emitted in
     both orders from the same one-row result. The
     diagonal is 1.0 unless the column is constant or empty. Fewer than two numeric
-    columns gives an empty table.
+    columns, or no rows, gives an empty table.
     """
     cols = columns if columns is not None else numeric_columns(df)
     spark = df.sparkSession
@@ -170,7 +170,7 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             else:
                 e = F.when(F.stddev_pop(_q(a).cast("double")) > 0, F.lit(1.0))
             exprs.append(e.alias(f"c{j}"))
-        row = df.agg(*exprs)
+        row = df.agg(F.count(F.lit(1)).alias("_n"), *exprs).where(F.col("_n") > 0)
         cells = []
         for j, (kind, (a, b)) in enumerate(chunk):
             ends = [(a, b)] if kind == "d" else [(a, b), (b, a)]

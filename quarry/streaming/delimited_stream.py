@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.names import normalize_names
 from quarry.functions.parse import null_tokens
-from quarry.sources.delimited import _QUOTE_AWARE, _split_header
+from quarry.sources.delimited import _split_header, field_count
 
 
 def stream_delimited(spark: SparkSession, folder: str, header: str, sep: str = ",",
@@ -29,7 +27,7 @@ def stream_delimited(spark: SparkSession, folder: str, header: str, sep: str = "
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = reader.load(folder).select(F.regexp_replace("value", "\r$", "").alias("value"))
     body = lines.where((F.length(F.trim("value")) > 0) & (F.col("value") != F.lit(header)))
-    n = F.size(F.split("value", re.escape(sep) + _QUOTE_AWARE, -1))
+    n = field_count(F.col("value"), sep)
     ok = (n == width) if strict else (n <= width)
     ddl = ", ".join(f"_c{i} string" for i in range(width))
     parsed = body.where(ok).select(F.from_csv("value", ddl, {"sep": sep, "quote": '"', "escape": '"'}).alias("r"))
