@@ -143,44 +143,82 @@ def _safe_corr(a: str, b: str) -> Column:
     )
 
 
+# Aggregation buffers wider than Spark's whole-stage-codegen field limit (100) fall back to
+# the interpreted path, several times slower; each aggregate below stays under this budget.
+FIELD_BUDGET = 96
+
+
 def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The full correlation matrix in long form ``(col_x, col_y, corr)``.
 
-    The n(n-1)/2 pair statistics are computed in aggregates of at most
-    ``CORR_PAIRS_PER_AGG`` expressions each (one scan per chunk); each pair is emitted in
-    both orders from the same one-row result. The
-    diagonal is 1.0 unless the column is constant or empty. Fewer than two numeric
-    columns, or no rows, gives an empty table.
+    Pairwise-complete Pearson, NULL when undefined, diagonal 1.0 unless the column is
+    constant or empty; fewer than two numeric columns, or no rows, gives an empty table.
+
+    Plan: one small aggregate (count, min, max per column) decides which columns hold
+    NULLs. Pairs of NULL-free columns share one ``stddev_pop`` per column and need only a
+    ``covar_pop`` each; pairs touching a NULL-bearing column use the full pairwise form.
+    The expressions are packed into aggregates under ``FIELD_BUDGET`` buffer fields so
+    each one is code-generated (a few scans of the numeric columns instead of one slow
+    interpreted scan). The one-row results are numbers bounded by the column count; the
+    long matrix, each pair in both orders, is built from them.
     """
     cols = columns if columns is not None else numeric_columns(df)
     spark = df.sparkSession
     schema = "col_x string, col_y string, corr double"
     if len(cols) < 2:
         return spark.createDataFrame([], schema)
-    pairs = list(combinations(cols, 2))
-    diag = [(c, c) for c in cols]
-    parts: list[DataFrame] = []
-    tasks = [("p", p) for p in pairs] + [("d", d) for d in diag]
-    for i in range(0, len(tasks), CORR_PAIRS_PER_AGG):
-        chunk = tasks[i:i + CORR_PAIRS_PER_AGG]
-        exprs = []
-        for j, (kind, (a, b)) in enumerate(chunk):
-            if kind == "p":
-                e = _safe_corr(a, b)
+    st = df.agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[e for i, c in enumerate(cols) for e in (
+            F.count(_q(c)).alias(f"n{i}"), F.min(_q(c)).cast("double").alias(f"lo{i}"),
+            F.max(_q(c)).cast("double").alias(f"hi{i}"))],
+    ).first()
+    if not st["_n"]:
+        return spark.createDataFrame([], schema)
+    full = {c for i, c in enumerate(cols) if st[f"n{i}"] == st["_n"]}
+    # (buffer fields, alias, aggregate, pairs it answers)
+    items: list[tuple[int, str, Column, list[tuple[str, str]]]] = []
+    sd = {}
+    for i, c in enumerate(cols):
+        if c in full:
+            sd[c] = f"s{i}"
+            items.append((3, f"s{i}", F.stddev_pop(_q(c).cast("double")), []))
+    kinds = {}
+    for j, (a, b) in enumerate(combinations(cols, 2)):
+        if a in full and b in full:
+            items.append((4, f"p{j}", F.covar_pop(_q(a).cast("double"), _q(b).cast("double")), [(a, b)]))
+            kinds[f"p{j}"] = "cov"
+        else:
+            items.append((10, f"p{j}", _safe_corr(a, b), [(a, b)]))
+            kinds[f"p{j}"] = "corr"
+    chunks: list[list] = [[]]
+    used = 0
+    for it in items:
+        if used + it[0] > FIELD_BUDGET and chunks[-1]:
+            chunks.append([])
+            used = 0
+        chunks[-1].append(it)
+        used += it[0]
+    # Each chunk is one code-generated aggregate returning one row of numbers; the matrix
+    # (bounded by the number of columns) is assembled from them.
+    got: dict = {}
+    for ch in chunks:
+        got.update(df.agg(*[e.alias(a) for _, a, e, _ in ch]).first().asDict())
+    out = []
+    for i, c in enumerate(cols):
+        lo, hi = st[f"lo{i}"], st[f"hi{i}"]
+        out.append((c, c, 1.0 if lo is not None and lo < hi else None))
+    for _, alias, _, pairs in items:
+        for a, b in pairs:
+            if kinds[alias] == "cov":
+                cov, den = got[alias], None
+                if got[sd[a]] is not None and got[sd[b]] is not None:
+                    den = got[sd[a]] * got[sd[b]]
+                v = None if cov is None or not den else cov / den
             else:
-                e = F.when(F.stddev_pop(_q(a).cast("double")) > 0, F.lit(1.0))
-            exprs.append(e.alias(f"c{j}"))
-        row = df.agg(F.count(F.lit(1)).alias("_n"), *exprs).where(F.col("_n") > 0)
-        cells = []
-        for j, (kind, (a, b)) in enumerate(chunk):
-            ends = [(a, b)] if kind == "d" else [(a, b), (b, a)]
-            cells += [F.struct(F.lit(u).alias("col_x"), F.lit(v).alias("col_y"), F.col(f"c{j}").alias("corr"))
-                      for u, v in ends]
-        parts.append(row.select(F.inline(F.array(*cells))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                v = got[alias]
+            out += [(a, b, v), (b, a, v)]
+    return spark.createDataFrame(out, schema)
 
 
 def pie(df: DataFrame, x: str, y: str | None = None, k: int = 8, by: str = "key") -> DataFrame:

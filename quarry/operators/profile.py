@@ -77,70 +77,126 @@ def _as_text(name: str, dt: T.DataType) -> Column:
 
 # -- evidence ----------------------------------------------------------------------
 
-def evidence_exprs(i: int, name: str, dt: T.DataType, text_tests: bool = True) -> list[Column]:
-    """Aggregate expressions for one column, aliased ``e{i}_<fact>``."""
+# Aggregation buffers wider than Spark's whole-stage-codegen field limit (100) run on the
+# interpreted path; evidence is packed into aggregates under this many buffer fields.
+# Parquet reads only the columns an aggregate touches, so more aggregates cost little I/O.
+FIELD_BUDGET = 96
+
+def _word_index(word: Column) -> Column:
+    """1-based position of a boolean word (0 when not one)."""
+    return F.array_position(F.array(*[F.lit(w) for w in BOOLEAN_WORDS]), word)
+
+
+def evidence_exprs(i: int, name: str, dt: T.DataType, text_tests: bool = True) -> list[tuple[int, Column]]:
+    """``(buffer fields, aggregate)`` pairs for one column, aliased ``e{i}_<fact>``."""
     c = _q(name)
     kind = _kind(dt)
-    out = [F.count(c).alias(f"e{i}_nn")]
+    out = [(1, F.count(c).alias(f"e{i}_nn"))]
     if kind == "num":
-        out += [F.min(c).cast("double").alias(f"e{i}_min"), F.max(c).cast("double").alias(f"e{i}_max")]
+        out += [(1, F.min(c).cast("double").alias(f"e{i}_min")), (1, F.max(c).cast("double").alias(f"e{i}_max"))]
         if isinstance(dt, (T.FloatType, T.DoubleType)):
             out += [
-                F.bool_and(F.when(c.isNotNull(), c == F.floor(c))).alias(f"e{i}_whole"),
-                F.bool_or(F.when(c.isNotNull(), F.abs(c) == F.lit(float("inf")))).alias(f"e{i}_inf"),
+                (1, F.bool_and(F.when(c.isNotNull(), c == F.floor(c))).alias(f"e{i}_whole")),
+                (1, F.bool_or(F.when(c.isNotNull(), F.abs(c) == F.lit(float("inf")))).alias(f"e{i}_inf")),
             ]
         elif isinstance(dt, T.DecimalType):
-            out += [F.bool_and(F.when(c.isNotNull(), c == F.floor(c))).alias(f"e{i}_whole")]
+            out += [(1, F.bool_and(F.when(c.isNotNull(), c == F.floor(c))).alias(f"e{i}_whole"))]
     elif kind in ("text", "other"):
         t = c if kind == "text" else _as_text(name, dt)
-        word = F.lower(F.trim(t))
-        is_word = word.isin(BOOLEAN_WORDS)
-        out += [F.avg(F.length(t)).alias(f"e{i}_len")]
+        out += [(2, F.avg(F.length(t)).alias(f"e{i}_len"))]
         if kind == "text" and text_tests:
+            word = F.lower(F.trim(t))
+            idx = _word_index(word)
+            nn = t.isNotNull()
             out += [
-                F.bool_and(F.when(t.isNotNull(), is_word)).alias(f"e{i}_allword"),
-                # bounded: at most len(BOOLEAN_WORDS) elements
-                F.size(F.collect_set(F.when(is_word, word))).alias(f"e{i}_nword"),
-                F.bool_and(F.when(t.isNotNull(), datetime_shape(t) & parse_datetime(t).isNotNull())).alias(f"e{i}_date"),
-                F.bool_and(F.when(t.isNotNull(), is_number_text(t))).alias(f"e{i}_num"),
-                F.bool_and(F.when(t.isNotNull(), is_integer_text(t))).alias(f"e{i}_int"),
-                F.bool_and(F.when(t.isNotNull(), t.isin("True", "TRUE", "true", "False", "FALSE", "false"))).alias(f"e{i}_tf"),
+                (1, F.bool_and(F.when(nn, idx > 0)).alias(f"e{i}_allword")),
+                # one bit per boolean word seen: the distinct-word count without a set
+                (1, F.bit_or(F.when(idx > 0, F.pow(F.lit(2), idx - 1).cast("long"))).alias(f"e{i}_words")),
+                (1, F.bool_and(F.when(nn, datetime_shape(t) & parse_datetime(t).isNotNull())).alias(f"e{i}_date")),
+                (1, F.bool_and(F.when(nn, is_number_text(t))).alias(f"e{i}_num")),
+                (1, F.bool_and(F.when(nn, is_integer_text(t))).alias(f"e{i}_int")),
+                (1, F.bool_and(F.when(nn, t.isin("True", "TRUE", "true", "False", "FALSE", "false"))).alias(f"e{i}_tf")),
             ]
     return out
 
 
-def column_evidence(df: DataFrame, text_tests: bool = True) -> tuple[int, list[dict]]:
-    """Job 1: ``(rows, [facts per column])`` from one aggregate over all columns."""
-    exprs: list[Column] = [F.count(F.lit(1)).alias("rows")]
+def _budgeted(items: list[tuple[int, Column]], budget: int = FIELD_BUDGET) -> list[list[Column]]:
+    chunks: list[list[Column]] = [[]]
+    used = 0
+    for n, e in items:
+        if used + n > budget and chunks[-1]:
+            chunks.append([])
+            used = 0
+        chunks[-1].append(e)
+        used += n
+    return chunks
+
+
+def column_evidence(df: DataFrame, text_tests: bool = True, extra: list[tuple[int, Column]] | None = None
+                    ) -> tuple[int, list[dict]]:
+    """Job 1: ``(rows, [facts per column])`` from field-budgeted aggregates over all columns."""
+    items: list[tuple[int, Column]] = [(1, F.count(F.lit(1)).alias("rows"))]
     for i, f in enumerate(df.schema.fields):
-        exprs += evidence_exprs(i, f.name, f.dataType, text_tests)
-    row = df.agg(*exprs).first().asDict()
+        items += evidence_exprs(i, f.name, f.dataType, text_tests)
+    chunks = _budgeted(items)
+    if extra:  # sketches are not code-generated anyway: one aggregate for all of them
+        chunks.append([e for _, e in extra])
+    row: dict = {}
+    for chunk in chunks:
+        row.update(df.agg(*chunk).first().asDict())
     facts = []
     for i, f in enumerate(df.schema.fields):
         pre = f"e{i}_"
         d = {k[len(pre):]: v for k, v in row.items() if k.startswith(pre)}
         d["name"], d["dtype"], d["kind"] = f.name, f.dataType, _kind(f.dataType)
+        if "words" in d:
+            d["nword"] = bin(d["words"] or 0).count("1")
         facts.append(d)
     return row["rows"], facts
 
 
 # -- frequencies -------------------------------------------------------------------
 
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
+
+
+def _slots(name: str, dt: T.DataType) -> tuple[Column, Column, Column]:
+    """The value in a typed slot: whole numbers as long, floats as double (where Spark's
+    grouping already treats -0.0 as 0.0), everything else as text. Exactly one slot is set,
+    so grouping on all three keeps values distinct without casting numbers to text."""
+    c = _q(name)
+    nl, nd, ns = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(dt, _INTEGRAL):
+        return c.cast("long"), nd, ns
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return nl, c.cast("double"), ns
+    return nl, nd, _as_text(name, dt)
+
+
 def frequency_table(df: DataFrame, positions: list[int] | None = None) -> DataFrame:
-    """``(pos, v, cnt)``: count per non-NULL value of each column (as text)."""
+    """``(pos, l, d, s, cnt)``: count per non-NULL value of each column, value in its slot."""
     fields = list(enumerate(df.schema.fields))
     if positions is not None:
         keep = set(positions)
         fields = [(i, f) for i, f in fields if i in keep]
-    cells = [F.struct(F.lit(i).alias("pos"), _as_text(f.name, f.dataType).alias("v")) for i, f in fields]
+    cells = []
+    for i, f in fields:
+        l, d, s = _slots(f.name, f.dataType)
+        cells.append(F.struct(F.lit(i).alias("pos"), l.alias("l"), d.alias("d"), s.alias("s")))
     return (
         df.select(F.inline(F.array(*cells)))
-        .where(F.col("v").isNotNull())
-        .groupBy("pos", "v")
+        .where(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull())
+        .groupBy("pos", "l", "d", "s")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
 
 
+def text_frequencies(freq: DataFrame) -> DataFrame:
+    """``(pos, v, cnt)`` with the value as text, for ranking."""
+    v = F.coalesce(F.col("s"), F.col("l").cast("string"), F.col("d").cast("string"))
+    return freq.select("pos", v.alias("v"), "cnt")
+
+
 def top_values(freq: DataFrame, k: int = TOP_K, salt: int = TOP_SALT) -> DataFrame:
     """``(pos, rk, v, cnt)``: the k most frequent values per column, ties by value.
 
@@ -230,18 +286,8 @@ def profile(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Profile:
     spark = df.sparkSession
     fields = df.schema.fields
     if approx:
-        extra = [F.approx_count_distinct(_q(f.name), rsd).alias(f"e{i}_aud") for i, f in enumerate(fields)]
-        exprs: list[Column] = [F.count(F.lit(1)).alias("rows")]
-        for i, f in enumerate(fields):
-            exprs += evidence_exprs(i, f.name, f.dataType)
-        row = df.agg(*exprs, *extra).first().asDict()
-        rows = row["rows"]
-        facts = []
-        for i, f in enumerate(fields):
-            pre = f"e{i}_"
-            d = {k[len(pre):]: v for k, v in row.items() if k.startswith(pre)}
-            d["name"], d["dtype"], d["kind"] = f.name, f.dataType, _kind(f.dataType)
-            facts.append(d)
+        extra = [(0, F.approx_count_distinct(_q(f.name), rsd).alias(f"e{i}_aud")) for i, f in enumerate(fields)]
+        rows, facts = column_evidence(df, extra=extra)
         uniques = {i: facts[i].get("aud") or 0 for i in range(len(fields))}
     else:
         rows, facts = column_evidence(df)
@@ -264,7 +310,7 @@ def profile(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Profile:
         freq = frequency_table(df)
         uq = freq.groupBy("pos").agg(F.count(F.lit(1)).alias("unique"))
         if cand:
-            top = top_values(freq.where(F.col("pos").isin(cand)))
+            top = top_values(text_frequencies(freq.where(F.col("pos").isin(cand))))
             top_l = top.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("rk", "v"))).alias("tv"))
             res = uq.join(top_l, "pos", "left").collect()
         else:
@@ -275,7 +321,7 @@ def profile(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Profile:
             if r["tv"]:
                 tops[r["pos"]] = [x["v"] for x in r["tv"]]
     elif cand:
-        top = top_values(frequency_table(df, cand))
+        top = top_values(text_frequencies(frequency_table(df, cand)))
         for r in top.orderBy("pos", "rk").collect():
             tops.setdefault(r["pos"], []).append(r["v"])
 

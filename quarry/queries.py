@@ -262,7 +262,7 @@ def profile_top3(spark, d):
         df = _t(spark, d, table)
         prof = P.profile(df)
         cats = [c["position"] for c in prof.columns if c["type"] == "categorical"]
-        top = P.top_values(P.frequency_table(df, cats))
+        top = P.top_values(P.text_frequencies(P.frequency_table(df, cats)))
         names = F.element_at(F.array(*[F.lit(f.name) for f in df.schema.fields]), F.col("pos") + 1)
         parts.append(top.select(F.lit(table).alias("tbl"), names.alias("name"), "rk", "v", "cnt"))
     return parts[0].unionByName(parts[1])

@@ -137,7 +137,7 @@ def sniff(spark: SparkSession, path, encoding: str = "auto") -> dict:
 def field_count(value: Column, sep: str) -> Column:
     """Quote-aware number of fields, in linear time: quoted segments (a doubled quote is
     two adjacent segments) are removed, then separators are counted."""
-    bare = F.regexp_replace(value, '"[^"]*"', "")
+    bare = F.when(F.instr(value, '"') > 0, F.regexp_replace(value, '"[^"]*"', "")).otherwise(value)
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + F.lit(1)
 
 
