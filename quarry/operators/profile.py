@@ -308,9 +308,12 @@ def profile(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Profile:
     tops: dict[int, list[str]] = {}
     if uniques is None:
         freq = frequency_table(df)
+        # exact distinct count per column: a two-phase count over the (pos, value) groups
         uq = freq.groupBy("pos").agg(F.count(F.lit(1)).alias("unique"))
         if cand:
-            top = top_values(text_frequencies(freq.where(F.col("pos").isin(cand))))
+            # Only the candidate text columns are unpivoted for ranking, so that branch
+            # reads and shuffles just those columns.
+            top = top_values(text_frequencies(frequency_table(df, cand)))
             top_l = top.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("rk", "v"))).alias("tv"))
             res = uq.join(top_l, "pos", "left").collect()
         else:

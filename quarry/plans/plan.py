@@ -230,18 +230,27 @@ def _panel(name: str, kind: str, rank: int, t: DataFrame) -> DataFrame:
     return _tidy(name, kind, rank, t, "x", None, "y", None)
 
 
-def run_plan(df: DataFrame, plan: dict, selections: dict | None = None, persist: bool = False) -> Dashboard:
+def run_plan(df: DataFrame, plan: dict, selections: dict | None = None, materialize: str = "none") -> Dashboard:
     """Derived columns -> filters (defaults unless ``selections``) -> KPIs -> charts.
 
     Filter options and bounds are computed on ``df`` before filtering, as the reference
-    does. ``persist=True`` caches the filtered table for many panels over a small input;
-    on large inputs each panel re-reads only its own columns with the filters pushed to
-    the scan, which is cheaper than caching every column.
+    does. By default (``materialize='none'``) each panel re-reads only its own columns
+    with the filter predicates pushed into the Parquet scan, which on large inputs is
+    cheaper than keeping every column of the filtered table. ``'cache'`` keeps the
+    filtered table in executor memory/disk (recomputed from lineage if an executor is
+    lost); ``'checkpoint'`` writes it once to the shared checkpoint location
+    (``spark.checkpoint.dir``), cutting the lineage so panels survive executor loss
+    without re-running the filters.
     """
     base = derive_for_plan(df, plan)
     filtered, states = apply_filters(base, plan.get("filters", []), selections)
-    if persist:
+    if materialize == "cache":
         filtered = filtered.persist()
+    elif materialize == "checkpoint":
+        if not df.sparkSession.sparkContext.getCheckpointDir():
+            from quarry.session import scratch_dir
+            df.sparkSession.sparkContext.setCheckpointDir(scratch_dir(df.sparkSession, "ckpt"))
+        filtered = filtered.checkpoint(eager=True)
     scal, grouped = run_kpis(filtered, plan.get("kpis", []))
     charts: dict = {}
     status: dict = {}

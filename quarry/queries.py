@@ -309,9 +309,9 @@ def csv_rejects(spark, d):
 
 
 def csv_latin1(spark, d):
-    docs = _t(spark, d, "documents").where(F.col("lang") == "fr")
+    docs = _t(spark, d, "documents")
     one_line = F.regexp_replace("text", "[\\r\\n]+", " ")
-    latin = ~F.col("text").rlike("[^\\u0000-\\u00FF]")
+    latin = ~F.col("text").rlike("[^\\u0000-\\u00FF]")  # what ISO-8859-1 can hold
     src = docs.where(latin).select("doc_id", one_line.alias("text"))
     path = scratch_dir(spark, "csv-latin1")
     (src.write.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"')
