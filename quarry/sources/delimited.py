@@ -53,24 +53,28 @@ class Ingested:
         r = self.raw.agg(F.count(F.lit(1)).alias("n"), F.count_if(~all_null).alias("kept")).first()
         rej = self.rejects.count()
         meta = dict(self.metadata)
+        meta["file_size_mb"] = total_size_mb(self.raw.sparkSession, meta["file_path"])
         meta["original_shape"] = [r["n"], ncol]
         meta["processed_shape"] = [r["kept"], len(self.df.columns)]
         meta["errors_found"] = rej
         return meta
 
 
-def list_files(spark: SparkSession, path: str | list[str]) -> list[tuple[str, int]]:
-    """Files behind a path, directory or glob, with their sizes (no content is read)."""
+def list_files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Files behind a path, directory or glob, sorted (from the file index; no job runs)."""
     try:
-        rows = (
-            spark.read.format("binaryFile").load(path)
-            .select("path", "length").orderBy("path").collect()
-        )
+        files = spark.read.text(path).inputFiles()
     except Exception as e:  # noqa: BLE001 - the reader raises analysis errors for missing paths
         raise FileNotFoundError(f"no input at {path}: {type(e).__name__}") from e
-    if not rows:
+    if not files:
         raise FileNotFoundError(f"no input at {path}")
-    return [(r["path"], r["length"]) for r in rows]
+    return sorted(files)
+
+
+def total_size_mb(spark: SparkSession, path) -> float:
+    """Input size in MB (file metadata only; the contents are pruned away)."""
+    r = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).first()
+    return (r["n"] or 0) / (1024 * 1024)
 
 
 def _decoded(lines: DataFrame, encoding: str) -> Column:
@@ -83,9 +87,13 @@ def _decoded(lines: DataFrame, encoding: str) -> Column:
     return F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode(raw.cast("binary"), "ISO-8859-1"))
 
 
+def _is_utf16(encoding: str | None) -> bool:
+    return (encoding or "").lower().replace("-", "") in ("utf16", "utf16le", "utf16be")
+
+
 def read_lines(spark: SparkSession, path, encoding: str = "auto") -> DataFrame:
     """One row per physical line, decoded, column ``value``."""
-    if (encoding or "").lower().replace("-", "") in ("utf16", "utf16le", "utf16be"):
+    if _is_utf16(encoding):
         # UTF-16 is not line-splittable as bytes; each file is decoded whole in one task.
         files = spark.read.format("binaryFile").load(path)
         text = F.decode(F.col("content"), "UTF-16")
@@ -108,30 +116,23 @@ def sniff_delimiter(lines: list[str]) -> str:
 
 
 def sniff(spark: SparkSession, path, encoding: str = "auto") -> dict:
-    """The header, delimiter and encoding guess from the first non-blank lines of the first file."""
+    """The header, delimiter and encoding guess from the first non-blank lines of the first
+    file, in one small job."""
     files = list_files(spark, path)
-    first = files[0][0]
-    head = (
-        read_lines(spark, first, encoding)
-        .where(F.length(F.trim("value")) > 0)
-        .limit(SNIFF_LINES)
-        .collect()
-    )
+    first = files[0]
+    if _is_utf16(encoding):
+        lines = read_lines(spark, first, encoding).withColumn("ok", F.lit(True))
+    else:
+        raw = spark.read.text(first)
+        lines = raw.select(_decoded(raw, encoding).alias("value"), F.is_valid_utf8("value").alias("ok"))
+    head = lines.where(F.length(F.trim("value")) > 0).limit(SNIFF_LINES).collect()
     sample = [r["value"].rstrip("\r") for r in head]
     if not sample:
         raise ValueError(f"no lines in {first}")
-    raw = (
-        spark.read.text(first).limit(SNIFF_LINES).select(F.bool_and(F.is_valid_utf8("value")).alias("ok")).first()
-        if (encoding or "auto") == "auto" else None
-    )
-    used = encoding if (encoding or "auto") != "auto" else ("utf-8" if raw is None or raw["ok"] is not False else "iso-8859-1")
-    return {
-        "files": files,
-        "header": sample[0],
-        "delimiter": sniff_delimiter(sample),
-        "encoding": used,
-        "size_mb": sum(n for _, n in files) / (1024 * 1024),
-    }
+    used = encoding
+    if (encoding or "auto") == "auto":
+        used = "utf-8" if all(r["ok"] for r in head) else "iso-8859-1"
+    return {"files": files, "header": sample[0], "delimiter": sniff_delimiter(sample), "encoding": used}
 
 
 def field_count(value: Column, sep: str) -> Column:
@@ -187,7 +188,7 @@ def read_delimited(
     df = drop_empty_rows(df)
     meta = {
         "file_path": path if isinstance(path, str) else list(path),
-        "file_size_mb": info["size_mb"],
+        "file_size_mb": None,
         "encoding_used": info["encoding"],
         "delimiter": sep,
         "column_mapping": mapping,

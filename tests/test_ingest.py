@@ -116,3 +116,18 @@ def test_p13_resolution():
 def test_missing_path(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_delimited(spark, str(tmp_path / "nope.csv"))
+
+
+def test_utf16_with_bom(spark, tmp_path):
+    p = write_text(tmp_path / "w.csv", "a,b\r\n1,élan\r\n2,x\r\n".encode("utf-16"))
+    ing = read_delimited(spark, p, encoding="utf-16")
+    assert sorted(tuple(r) for r in ing.df.collect()) == [(1, "élan"), (2, "x")]
+    assert ing.metadata["encoding_used"] == "utf-16"
+
+
+def test_metadata_counts(spark, tmp_path):
+    p = write_text(tmp_path / "m.csv", b"a,b\n1,2\n,\n3,4,5\n")
+    meta = read_delimited(spark, p).with_counts()
+    assert meta["original_shape"] == [2, 2] and meta["processed_shape"] == [1, 2]
+    assert meta["errors_found"] == 1 and meta["file_size_mb"] > 0
+    assert meta["encoding_used"] == "utf-8" and meta["column_mapping"] == {"a": "a", "b": "b"}
