@@ -135,7 +135,8 @@ def _row_count(mask: Column | None) -> Column:
 
 
 class _Compiler:
-    def __init__(self, schema: T.StructType):
+    def __init__(self, schema: T.StructType, median_hook=None):
+        self.median_hook = median_hook
         self.schema = schema
         self.columns = [f.name for f in schema.fields]
         self.types = {f.name: f.dataType for f in schema.fields}
@@ -162,6 +163,15 @@ class _Compiler:
             return F.lit(v.value), T.StringType()
         raise FormulaError("expected a column or a constant")
 
+    def agg(self, fn: str, expr: Column, mask: Column | None, dtype: T.DataType) -> Column:
+        """A reduction; a scalar median goes to the hook when one is given (exact, distributed)."""
+        if fn == "median" and self.median_hook is not None:
+            if not _is_numeric(dtype):
+                raise FormulaError("median needs a numeric column")
+            e = expr.cast("long") if isinstance(dtype, T.BooleanType) else expr
+            return F.lit(self.median_hook(e, mask)).cast("double")
+        return _aggregate(fn, expr, mask, dtype)
+
     # -- visitor -------------------------------------------------------------
     def visit(self, node):
         m = getattr(self, f"v_{type(node).__name__}", None)
@@ -303,7 +313,7 @@ class _Compiler:
                     return _Agg(_row_count(arg.mask))
                 raise FormulaError("len needs a frame or column")
             if isinstance(arg, _Series):
-                return _Agg(_aggregate(fn, arg.expr, arg.mask, arg.dtype))
+                return _Agg(self.agg(fn, arg.expr, arg.mask, arg.dtype))
             raise FormulaError(f"{f.id} needs a column")
         if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) and f.value.id in {"np", "numpy"}:
             fn = _NUMPY_AGGS.get(f.attr)
@@ -311,7 +321,7 @@ class _Compiler:
                 raise FormulaError(f"unsupported numpy call {f.attr}")
             arg = self.visit(node.args[0])
             if isinstance(arg, _Series):
-                return _Agg(_aggregate(fn, arg.expr, arg.mask, arg.dtype))
+                return _Agg(self.agg(fn, arg.expr, arg.mask, arg.dtype))
             raise FormulaError("numpy reductions need a column")
         if isinstance(f, ast.Attribute):
             if f.attr == "groupby":
@@ -327,7 +337,7 @@ class _Compiler:
                 raise FormulaError(f"{f.attr}() takes no arguments here")
             if isinstance(base, _Series):
                 if f.attr in _SERIES_AGGS:
-                    return _Agg(_aggregate(f.attr, base.expr, base.mask, base.dtype))
+                    return _Agg(self.agg(f.attr, base.expr, base.mask, base.dtype))
                 if f.attr == "abs":
                     return _Series(F.abs(base.expr), base.mask, base.dtype)
             if isinstance(base, _GroupSeries) and f.attr in _SERIES_AGGS:
@@ -351,8 +361,13 @@ def _shape_rows(tree: ast.AST) -> ast.AST:
     return ast.fix_missing_locations(R().visit(tree))
 
 
-def compile_formula(formula: str, schema: T.StructType) -> CompiledFormula:
-    """Compile one KPI formula against a schema. Raises :class:`FormulaError`."""
+def compile_formula(formula: str, schema: T.StructType, median_hook=None) -> CompiledFormula:
+    """Compile one KPI formula against a schema. Raises :class:`FormulaError`.
+
+    ``median_hook(expr, mask) -> float`` computes a scalar median up front (see
+    :func:`quarry.operators.kpi.exact_median_hook`); without it ``median`` is Spark's exact
+    ``percentile``, whose final step holds every distinct value in one task.
+    """
     if not formula or not formula.strip():
         raise FormulaError("empty formula")
     try:
@@ -360,7 +375,7 @@ def compile_formula(formula: str, schema: T.StructType) -> CompiledFormula:
     except SyntaxError as e:
         raise FormulaError(f"not an expression: {e.msg}") from e
     tree = _shape_rows(tree)
-    out = _Compiler(schema).visit(tree)
+    out = _Compiler(schema, median_hook).visit(tree)
     if isinstance(out, tuple) and out[0] == "grouped":
         _, key, agg, mask = out
         return CompiledFormula("grouped", agg.try_cast("double"), key=key, mask=mask)

@@ -7,14 +7,25 @@ from pyspark.sql import functions as F
 
 from quarry.functions.format import format_kpi_value
 from quarry.functions.formula import CompiledFormula, FormulaError, compile_formula
+from quarry.operators.quantiles import exact_quantiles
 
 KPI_SCHEMA = "rank int, name string, formula string, value double, formatted string, status string"
 GROUPED_SCHEMA = "name string, key string, value double"
 
 
+def exact_median_hook(df: DataFrame):
+    """Scalar medians by distributed selection (:func:`exact_quantiles`), not by one task."""
+
+    def hook(expr, mask):
+        src = df if mask is None else df.where(mask)
+        return exact_quantiles(src.select(expr.alias("__m")), "__m", [0.5])[0]
+
+    return hook
+
+
 def kpi_value(df: DataFrame, formula: str) -> float | None:
     """One scalar KPI evaluated now (a single aggregate)."""
-    c = compile_formula(formula, df.schema)
+    c = compile_formula(formula, df.schema, exact_median_hook(df))
     if c.kind != "scalar":
         raise FormulaError("grouped formula; use grouped_kpi")
     return df.agg(c.value.alias("v")).first()["v"]
@@ -52,7 +63,7 @@ def kpis(df: DataFrame, kpi_specs: list[dict]) -> tuple[DataFrame, DataFrame]:
         name = spec.get("name") or "KPI"
         formula = spec.get("formula") or ""
         try:
-            c: CompiledFormula = compile_formula(formula, df.schema)
+            c: CompiledFormula = compile_formula(formula, df.schema, exact_median_hook(df))
         except FormulaError:
             meta.append((rank, name, formula, None, "unsupported"))
             continue

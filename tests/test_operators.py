@@ -205,3 +205,10 @@ def test_display_prep(spark):
 def test_drop_empty_columns(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "a int, b string")
     assert drop_empty_columns(df).columns == ["a"]
+
+
+def test_scalar_median_exact(spark):
+    df = spark.createDataFrame([(float(v),) for v in [5, 1, 3, 2, 8, 13]] + [(None,)], "x double")
+    assert kpi_value(df, "df['x'].median()") == 4.0
+    assert kpi_value(df, "df[df['x'] > 2]['x'].median() + 1") == 7.5
+    assert kpi_value(df.where("false"), "df['x'].median()") is None
