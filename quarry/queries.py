@@ -287,7 +287,7 @@ def _bad_rows_dir(spark, d) -> str:
     ev = _t(spark, d, "events")
     base = scratch_dir(spark, "csv-bad-rows")
     head = spark.createDataFrame([("event_id,user_id,event_type,value",)], "value string")
-    head.write.text(f"{base}/0-header")
+    head.coalesce(1).write.text(f"{base}/0-header")
     k = F.col("event_id") % 100
     line = (
         F.when(k == 0, F.concat_ws(",", "event_id", "user_id", "event_type", "value", F.lit("x")))

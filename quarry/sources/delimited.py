@@ -115,20 +115,32 @@ def sniff_delimiter(lines: list[str]) -> str:
     return best
 
 
-def sniff(spark: SparkSession, path, encoding: str = "auto") -> dict:
-    """The header, delimiter and encoding guess from the first non-blank lines of the first
-    file, in one small job."""
-    files = list_files(spark, path)
-    first = files[0]
+def _head(spark: SparkSession, file: str, encoding: str) -> list:
     if _is_utf16(encoding):
-        lines = read_lines(spark, first, encoding).withColumn("ok", F.lit(True))
+        lines = read_lines(spark, file, encoding).withColumn("ok", F.lit(True))
     else:
-        raw = spark.read.text(first)
+        raw = spark.read.text(file)
         lines = raw.select(_decoded(raw, encoding).alias("value"), F.is_valid_utf8("value").alias("ok"))
-    head = lines.where(F.length(F.trim("value")) > 0).limit(SNIFF_LINES).collect()
+    return lines.where(F.length(F.trim("value")) > 0).limit(SNIFF_LINES).collect()
+
+
+def sniff(spark: SparkSession, path, encoding: str = "auto") -> dict:
+    """The header, delimiter and encoding guess from the first non-blank lines of the first
+    non-empty file (in path order); one small job in the usual case."""
+    files = list_files(spark, path)
+    head = _head(spark, files[0], encoding)
+    if not head and len(files) > 1:
+        # the first file is empty (writers leave empty part files): find the first with bytes
+        sizes = {r["path"]: r["length"] for r in
+                 spark.read.format("binaryFile").load(files).select("path", "length").collect()}
+        for f in files[1:]:
+            if sizes.get(f, 1) > 0:
+                head = _head(spark, f, encoding)
+                if head:
+                    break
     sample = [r["value"].rstrip("\r") for r in head]
     if not sample:
-        raise ValueError(f"no lines in {first}")
+        raise ValueError(f"no lines in {path}")
     used = encoding
     if (encoding or "auto") == "auto":
         used = "utf-8" if all(r["ok"] for r in head) else "iso-8859-1"
@@ -168,7 +180,9 @@ def read_delimited(
     width = len(names)
     clean, mapping = normalize_names(names)
 
-    lines = read_lines(spark, path, encoding).select(F.regexp_replace("value", "\r$", "").alias("value"))
+    v = F.col("value")
+    no_cr = F.when(v.endswith("\r"), v.substr(F.lit(1), F.length(v) - 1)).otherwise(v)
+    lines = read_lines(spark, path, encoding).select(no_cr.alias("value"))
     body = lines.where((F.length(F.trim("value")) > 0) & (F.col("value") != F.lit(header)))
     shaped = body.select("value", field_count(F.col("value"), sep).alias("_n"))
     ok = (F.col("_n") == width) if strict else (F.col("_n") <= width)

@@ -25,7 +25,9 @@ def stream_delimited(spark: SparkSession, folder: str, header: str, sep: str = "
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.load(folder).select(F.regexp_replace("value", "\r$", "").alias("value"))
+    v = F.col("value")
+    lines = reader.load(folder).select(
+        F.when(v.endswith("\r"), v.substr(F.lit(1), F.length(v) - 1)).otherwise(v).alias("value"))
     body = lines.where((F.length(F.trim("value")) > 0) & (F.col("value") != F.lit(header)))
     n = field_count(F.col("value"), sep)
     ok = (n == width) if strict else (n <= width)

@@ -131,3 +131,11 @@ def test_metadata_counts(spark, tmp_path):
     assert meta["original_shape"] == [2, 2] and meta["processed_shape"] == [1, 2]
     assert meta["errors_found"] == 1 and meta["file_size_mb"] > 0
     assert meta["encoding_used"] == "utf-8" and meta["column_mapping"] == {"a": "a", "b": "b"}
+
+
+def test_first_file_empty(spark, tmp_path):
+    write_text(tmp_path / "d" / "a-empty.csv", b"")
+    write_text(tmp_path / "d" / "b.csv", b"x,y\n1,2\n")
+    write_text(tmp_path / "d" / "c.csv", b"x,y\n3,4\n")
+    df = read_delimited(spark, str(tmp_path / "d")).df
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 2), (3, 4)]
