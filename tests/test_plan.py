@@ -1,6 +1,5 @@
 """Plans: recommendation rules, execution, sinks round trip, streaming source."""
 
-import time
 
 from quarry.operators.profile import profile
 from quarry.plans.auto import analyse_file, auto_dashboard

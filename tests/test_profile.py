@@ -26,6 +26,11 @@ def test_a7_rules(spark):
     assert cols["cat"]["top_values"] == ["a", "b"]  # equal counts: value ascending (L20)
 
 
+def test_fixture_a7_mixed_true_false(spark):
+    cols = _types(spark, [("TRUE",), ("False",), ("t",), ("TRUE",)], "a string")
+    assert cols["a"]["type"] == "boolean"
+
+
 def test_yes_no_mixed_words(spark):
     cols = _types(spark, [("yes",), ("No",), ("t",)], "a string")
     assert cols["a"]["type"] == "boolean"
