@@ -51,7 +51,8 @@ def test_evidence_aggregate_is_codegen(spark, sf_dir):
     assert "isFinalPlan=true" in plan
     assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
     # whole-stage codegen marks both aggregation steps with "*(n)"
-    agg_lines = [ln for ln in plan.splitlines() if "HashAggregate(" in ln]
+    final = plan.split("Initial Plan")[0]
+    agg_lines = [ln for ln in final.splitlines() if "HashAggregate(" in ln]
     assert len(agg_lines) >= 2 and all("*(" in ln for ln in agg_lines), agg_lines
 
 
