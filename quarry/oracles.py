@@ -89,6 +89,9 @@ EVENTS_COLS = [("event_id", "int"), ("ts", "time"), ("user_id", "int"), ("event_
 LINEITEM_COLS = [("l_orderkey", "int"), ("l_partkey", "int"), ("l_suppkey", "int"), ("l_linenumber", "int"),
                  ("l_quantity", "float"), ("l_extendedprice", "float"), ("l_discount", "float"),
                  ("l_tax", "float"), ("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "time")]
+DOCUMENTS_COLS = [("doc_id", "int"), ("text", "text"), ("lang", "text"), ("source", "text"), ("n_chars", "int")]
+CONVERSATIONS_COLS = [("conv_id", "int"), ("turn", "int"), ("role", "text"), ("text", "text")]
+PAGES_COLS = [("page_id", "int"), ("url", "text"), ("html", "text")]
 NATION_COLS = [("n_nationkey", "int"), ("n_name", "text"), ("n_regionkey", "int")]
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                     "l_discount", "l_tax"]
@@ -312,6 +315,9 @@ ORACLES: dict[str, str] = {
     "profile_events": profile_sql("events", EVENTS_COLS),
     "profile_lineitem": profile_sql("lineitem", LINEITEM_COLS),
     "profile_customer_nulls": profile_sql(CUSTOMER_NULLS, CUSTOMER_NULLS_COLS),
+    "profile_documents": profile_sql("documents", DOCUMENTS_COLS),
+    "profile_conversations": profile_sql("conversations", CONVERSATIONS_COLS),
+    "profile_pages": profile_sql("pages", PAGES_COLS),
     "profile_top3": "\nunion all\n".join([
         _top3("orders", "o_orderstatus"), _top3("orders", "o_orderpriority"), _top3("customer", "c_mktsegment")]),
     "profile_sample3": """select cast(c_custkey as varchar) as c_custkey, coalesce(c_name, '') as c_name,

@@ -238,6 +238,19 @@ def profile_lineitem(spark, d):
     return _profile_out(P.profile(_t(spark, d, "lineitem")))
 
 
+def profile_documents(spark, d):
+    """Whole texts (up to 20,000 words, with exact copies) as group keys of the distinct count."""
+    return _profile_out(P.profile(_t(spark, d, "documents")))
+
+
+def profile_conversations(spark, d):
+    return _profile_out(P.profile(_t(spark, d, "conversations")))
+
+
+def profile_pages(spark, d):
+    return _profile_out(P.profile(_t(spark, d, "pages")))
+
+
 def _customer_with_nulls(spark, d) -> DataFrame:
     c = _t(spark, d, "customer")
     return c.select(
@@ -479,6 +492,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_events": profile_events,
     "profile_lineitem": profile_lineitem,
     "profile_customer_nulls": profile_customer_nulls,
+    "profile_documents": profile_documents,
+    "profile_conversations": profile_conversations,
+    "profile_pages": profile_pages,
     "profile_top3": profile_top3,
     "profile_sample3": profile_sample3,
     "csv_roundtrip": csv_roundtrip,
