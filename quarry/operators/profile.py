@@ -50,6 +50,7 @@ PROFILE_SCHEMA = T.StructType([
 
 TOP_K = 3
 TOP_SALT = 64
+DIGEST_OVER = 64
 NUMERIC_ROLES = ("integer", "float", "numeric_string")
 
 
@@ -160,33 +161,44 @@ def column_evidence(df: DataFrame, text_tests: bool = True, extra: list[tuple[in
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 
 
-def _slots(name: str, dt: T.DataType) -> tuple[Column, Column, Column]:
+def _slots(name: str, dt: T.DataType, digest_over: int | None = None) -> tuple[Column, Column, Column, Column]:
     """The value in a typed slot: whole numbers as long, floats as double (where Spark's
     grouping already treats -0.0 as 0.0), everything else as text. Exactly one slot is set,
-    so grouping on all three keeps values distinct without casting numbers to text."""
+    so grouping on all of them keeps values distinct without casting numbers to text.
+
+    With ``digest_over``, text longer than that many characters is replaced by its SHA-256
+    digest in a fourth, binary slot: the distinct count then shuffles 32 bytes per long
+    value instead of the whole text (a collision is as likely as breaking SHA-256).
+    """
     c = _q(name)
     nl, nd, ns = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    nh = F.lit(None).cast("binary")
     if isinstance(dt, _INTEGRAL):
-        return c.cast("long"), nd, ns
+        return c.cast("long"), nd, ns, nh
     if isinstance(dt, (T.FloatType, T.DoubleType)):
-        return nl, c.cast("double"), ns
-    return nl, nd, _as_text(name, dt)
+        return nl, c.cast("double"), ns, nh
+    t = _as_text(name, dt)
+    if digest_over is None:
+        return nl, nd, t, nh
+    long_ = F.length(t) > F.lit(digest_over)
+    return nl, nd, F.when(~long_, t), F.when(long_, F.unhex(F.sha2(t, 256)))
 
 
-def frequency_table(df: DataFrame, positions: list[int] | None = None) -> DataFrame:
-    """``(pos, l, d, s, cnt)``: count per non-NULL value of each column, value in its slot."""
+def frequency_table(df: DataFrame, positions: list[int] | None = None, digest_over: int | None = None) -> DataFrame:
+    """``(pos, l, d, s, h, cnt)``: count per non-NULL value of each column, value in its slot."""
     fields = list(enumerate(df.schema.fields))
     if positions is not None:
         keep = set(positions)
         fields = [(i, f) for i, f in fields if i in keep]
     cells = []
     for i, f in fields:
-        l, d, s = _slots(f.name, f.dataType)
-        cells.append(F.struct(F.lit(i).alias("pos"), l.alias("l"), d.alias("d"), s.alias("s")))
+        l, d, s, h = _slots(f.name, f.dataType, digest_over)
+        cells.append(F.struct(F.lit(i).alias("pos"), l.alias("l"), d.alias("d"), s.alias("s"), h.alias("h")))
+    present = F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull() | F.col("h").isNotNull()
     return (
         df.select(F.inline(F.array(*cells)))
-        .where(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull())
-        .groupBy("pos", "l", "d", "s")
+        .where(present)
+        .groupBy("pos", "l", "d", "s", "h")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
 
@@ -307,7 +319,7 @@ def profile(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Profile:
     cand = [i for i in range(len(fields)) if maybe_categorical(i)]
     tops: dict[int, list[str]] = {}
     if uniques is None:
-        freq = frequency_table(df)
+        freq = frequency_table(df, digest_over=DIGEST_OVER)
         # exact distinct count per column: a two-phase count over the (pos, value) groups
         uq = freq.groupBy("pos").agg(F.count(F.lit(1)).alias("unique"))
         if cand:
