@@ -115,3 +115,17 @@ def test_profile_of_ingested_matches_reload(spark, sf_dir, tmp_path):
         [f.dataType.simpleString() for f in o.schema.fields]
     assert back.exceptAll(o).count() == 0 and o.exceptAll(back).count() == 0
     assert [c["type"] for c in profile(back).columns] == [c["type"] for c in profile(o).columns]
+
+
+def test_partitioned_clean_write_and_export_count(spark, sf_dir):
+    from pyspark.sql import functions as F
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    base = scratch_dir(spark, "test-sinks")
+    sinks.write_clean(o.withColumn("o_year", F.year("o_orderdate")), f"{base}/clean", partition_by=["o_year"])
+    back = sinks.read_clean(spark, f"{base}/clean")
+    assert back.count() == o.count()
+    pruned = back.where("o_year = 1995")
+    assert pruned.count() == o.where(F.year("o_orderdate") == 1995).count()
+    n = sinks.export_filtered(o.where("o_orderstatus = 'F'"), f"{base}/export")
+    assert n == o.where("o_orderstatus = 'F'").count()
+    assert read_delimited(spark, f"{base}/export").df.count() == n
