@@ -326,7 +326,7 @@ def profile(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Profile:
             # Only the candidate text columns are unpivoted for ranking, so that branch
             # reads and shuffles just those columns.
             top = top_values(text_frequencies(frequency_table(df, cand)))
-            top_l = top.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("rk", "v"))).alias("tv"))
+            top_l = top.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("rk", "v", "cnt"))).alias("tv"))
             res = uq.join(top_l, "pos", "left").collect()
         else:
             res = uq.withColumn("tv", F.lit(None)).collect()
@@ -334,11 +334,11 @@ def profile(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Profile:
         for r in res:
             uniques[r["pos"]] = r["unique"]
             if r["tv"]:
-                tops[r["pos"]] = [x["v"] for x in r["tv"]]
+                tops[r["pos"]] = [(x["v"], x["cnt"]) for x in r["tv"]]
     elif cand:
         top = top_values(text_frequencies(frequency_table(df, cand)))
         for r in top.orderBy("pos", "rk").collect():
-            tops.setdefault(r["pos"], []).append(r["v"])
+            tops.setdefault(r["pos"], []).append((r["v"], r["cnt"]))
 
     columns = []
     for i, f in enumerate(facts):
@@ -356,8 +356,10 @@ def profile(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Profile:
             "cardinality": cardinality(u),
             "range_min": f.get("min") if typ in ("integer", "float") else None,
             "range_max": f.get("max") if typ in ("integer", "float") else None,
-            "top_values": tops.get(i) if typ == "categorical" else None,
+            "top_values": [v for v, _ in tops[i]] if typ == "categorical" and i in tops else None,
         }
+        if typ == "categorical" and i in tops:
+            rec["top_counts"] = [c for _, c in tops[i]]
         columns.append(rec)
     pdf = spark.createDataFrame([tuple(c[k] for k in PROFILE_SCHEMA.names) for c in columns], PROFILE_SCHEMA)
     return Profile(rows, columns, pdf)
