@@ -41,17 +41,32 @@ def datetime_shape(col) -> Column:
     return t.rlike(_ISO_DATE) | t.rlike(_ISO_TS) | t.rlike(_SLASH_DATE) | t.rlike(_SLASH_TS)
 
 
+_SLASH_PARTS = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
+
+
 def parse_datetime(col, dayfirst: bool = False) -> Column:
-    """Text to ``timestamp_ntz``; NULL unless the shape matches and the value is valid."""
+    """Text to ``timestamp_ntz``; NULL unless the shape matches and the value is valid.
+
+    No time zone is involved: ISO forms go through ``try_cast`` to ``timestamp_ntz`` and the
+    slash forms are split into fields and built with ``try_make_timestamp_ntz`` (month first
+    unless ``dayfirst``), so a wall-clock time in a daylight-saving gap stays as written.
+    """
     t = F.trim(_c(col))
-    d, m = ("d", "M") if not dayfirst else ("M", "d")
-    slash_date = F.try_to_timestamp(t, F.lit(f"{m}/{d}/yyyy")).cast("timestamp_ntz")
-    slash_ts = F.try_to_timestamp(t, F.lit(f"{m}/{d}/yyyy H:mm[:ss]")).cast("timestamp_ntz")
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(t, _SLASH_PARTS, i)
+
+    a, b = (part(1), part(2)) if not dayfirst else (part(2), part(1))
+
+    def num(c: Column) -> Column:
+        return F.when(c == "", F.lit(0)).otherwise(c.cast("int"))
+
+    slash = F.try_make_timestamp_ntz(part(3).cast("int"), a.cast("int"), b.cast("int"),
+                                     num(part(4)), num(part(5)), num(part(6)))
     iso = t.try_cast("timestamp_ntz")
     return (
         F.when(t.rlike(_ISO_DATE) | t.rlike(_ISO_TS), iso)
-        .when(t.rlike(_SLASH_DATE), slash_date)
-        .when(t.rlike(_SLASH_TS), slash_ts)
+        .when(t.rlike(_SLASH_DATE) | t.rlike(_SLASH_TS), slash)
     )
 
 

@@ -33,6 +33,21 @@ def _as_time(df: DataFrame, x: str) -> Column:
     return _q(x)
 
 
+_DATE_GRAINS = {"day": None, "week": "week", "month": "month", "quarter": "quarter", "year": "year"}
+
+
+def truncate_time(t: Column, grain: str) -> Column:
+    """Wall-clock truncation of a datetime. Day and coarser grains go through ``to_date`` /
+    ``trunc``, which involve no time zone; finer grains use ``date_trunc``."""
+    g = grain.lower()
+    if g in _DATE_GRAINS:
+        d = F.to_date(t)
+        if _DATE_GRAINS[g]:
+            d = F.trunc(d, _DATE_GRAINS[g])
+        return d.cast("timestamp_ntz")
+    return F.date_trunc(g, t).cast("timestamp_ntz")
+
+
 def value_frequencies(df: DataFrame, x: str, k: int | None = None) -> DataFrame:
     """Count per non-null value, most frequent first, ties by value."""
     out = (
@@ -52,7 +67,7 @@ def time_series(df: DataFrame, x: str, y: str, grain: str | None = None) -> Data
     """
     t = _as_time(df, x)
     if grain:
-        t = F.date_trunc(grain, t).cast("timestamp_ntz")
+        t = truncate_time(t, grain)
     return (
         df.select(t.alias("x"), _q(y).alias("_y"))
         .where(F.col("x").isNotNull())

@@ -139,3 +139,14 @@ def test_first_file_empty(spark, tmp_path):
     write_text(tmp_path / "d" / "c.csv", b"x,y\n3,4\n")
     df = read_delimited(spark, str(tmp_path / "d")).df
     assert sorted(tuple(r) for r in df.collect()) == [(1, 2), (3, 4)]
+
+
+def test_dates_ignore_session_zone(spark):
+    df = spark.createDataFrame([("3/10/2024 2:30",), ("2024-03-10 02:30:00",)], "v string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # 02:30 is in the DST gap
+    try:
+        got = [r["t"] for r in df.select(parse_datetime(F.col("v")).alias("t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [dt.datetime(2024, 3, 10, 2, 30)] * 2

@@ -212,3 +212,20 @@ def test_scalar_median_exact(spark):
     assert kpi_value(df, "df['x'].median()") == 4.0
     assert kpi_value(df, "df[df['x'] > 2]['x'].median() + 1") == 7.5
     assert kpi_value(df.where("false"), "df['x'].median()") is None
+
+
+def test_time_grains_wall_clock(spark):
+    rows = [(dt.datetime(2024, 3, 10, 1, 30), 1.0), (dt.datetime(2024, 3, 10, 23, 59), 2.0),
+            (dt.datetime(2024, 2, 29, 12, 0), 4.0)]
+    df = spark.createDataFrame(rows, "t timestamp_ntz, v double")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        day = [(r["x"], r["y"]) for r in C.time_series(df, "t", "v", grain="day").collect()]
+        month = [(r["x"], r["y"]) for r in C.time_series(df, "t", "v", grain="month").collect()]
+        hour = [r["x"] for r in C.time_series(df, "t", "v", grain="hour").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert day == [(dt.datetime(2024, 2, 29), 4.0), (dt.datetime(2024, 3, 10), 3.0)]
+    assert month == [(dt.datetime(2024, 2, 1), 4.0), (dt.datetime(2024, 3, 1), 3.0)]
+    assert hour[0] == dt.datetime(2024, 2, 29, 12, 0)
