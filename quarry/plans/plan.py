@@ -143,6 +143,10 @@ class Dashboard:
     charts: dict = field(default_factory=dict)
     chart_status: dict = field(default_factory=dict)
 
+    def is_empty(self) -> bool:
+        """The reference stops the dashboard when the filters leave no row."""
+        return self.filtered.isEmpty()
+
     def panels(self) -> DataFrame:
         """All chart tables in one tidy frame ``(panel, kind, rank, x, x2, y, y2)``."""
         parts = [p for p in self.charts.values() if p is not None]

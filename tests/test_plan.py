@@ -68,6 +68,9 @@ def test_recorded_plan_runs(spark, sf_dir):
     hist = db.charts["Hist"].agg({"y": "sum"}).first()[0]
     assert hist == db.filtered.count()
     assert db.grouped_kpis.count() == o.select("o_orderstatus").distinct().count()
+    assert not db.is_empty()
+    none = run_plan(o, plan, selections={"Status": ["no such status"]})
+    assert none.is_empty() and none.panels().count() >= 0
 
 
 def test_recommend_rules_names():
