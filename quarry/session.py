@@ -38,13 +38,16 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
     The location comes from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only
-    when neither is set, as in a bare local test session, is a local temporary folder chosen
-    and installed as the checkpoint dir.
+    when neither is set *and* the master is local, as in a bare test session, is a local
+    temporary folder chosen and installed as the checkpoint dir; on a cluster that is an
+    error, since a node-local folder would not survive the loss of that node.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
     base = base.rstrip("/")
