@@ -132,3 +132,14 @@ def test_partitioned_clean_write_and_export_count(spark, sf_dir):
     n = sinks.export_filtered(o.where("o_orderstatus = 'F'"), f"{base}/export")
     assert n == o.where("o_orderstatus = 'F'").count()
     assert read_delimited(spark, f"{base}/export").df.count() == n
+
+
+def test_run_plan_checkpointed(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    plan = recommend_plan(profile(ev).columns)
+    a = run_plan(ev, plan)
+    b = run_plan(ev, plan, materialize="checkpoint")
+    assert b.filtered.count() == a.filtered.count()
+    pa = sorted(tuple(r) for r in a.panels().collect())
+    pb = sorted(tuple(r) for r in b.panels().collect())
+    assert pa == pb
