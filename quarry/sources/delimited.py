@@ -117,16 +117,21 @@ def sniff_delimiter(lines: list[str]) -> str:
 
 def _head(spark: SparkSession, file: str, encoding: str) -> list:
     if _is_utf16(encoding):
-        lines = read_lines(spark, file, encoding).withColumn("ok", F.lit(True))
+        lines = read_lines(spark, file, encoding).withColumn("ok", F.lit(True)).withColumn("bom", F.lit(""))
     else:
         raw = spark.read.text(file)
-        lines = raw.select(_decoded(raw, encoding).alias("value"), F.is_valid_utf8("value").alias("ok"))
+        lines = raw.select(_decoded(raw, encoding).alias("value"), F.is_valid_utf8("value").alias("ok"),
+                           F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).alias("bom"))
     return lines.where(F.length(F.trim("value")) > 0).limit(SNIFF_LINES).collect()
 
 
+_UTF16_BOMS = ("FFFE", "FEFF")
+
+
 def sniff(spark: SparkSession, path, encoding: str = "auto") -> dict:
     """The header, delimiter and encoding guess from the first non-blank lines of the first
-    non-empty file (in path order); one small job in the usual case."""
+    non-empty file (in path order); one small job in the usual case. A UTF-16 byte-order
+    mark switches an ``auto`` read to UTF-16."""
     files = list_files(spark, path)
     head = _head(spark, files[0], encoding)
     if not head and len(files) > 1:
@@ -137,8 +142,12 @@ def sniff(spark: SparkSession, path, encoding: str = "auto") -> dict:
             if sizes.get(f, 1) > 0:
                 head = _head(spark, f, encoding)
                 if head:
+                    files = [f] + [x for x in files if x != f]
                     break
-    sample = [r["value"].rstrip("\r") for r in head]
+    if (encoding or "auto") == "auto" and head and head[0]["bom"] in _UTF16_BOMS:
+        encoding = "utf-16"
+        head = _head(spark, files[0], encoding)
+    sample = [_strip_bom(r["value"].rstrip("\r")) for r in head]
     if not sample:
         raise ValueError(f"no lines in {path}")
     used = encoding
@@ -147,6 +156,10 @@ def sniff(spark: SparkSession, path, encoding: str = "auto") -> dict:
     return {"files": files, "header": sample[0], "delimiter": sniff_delimiter(sample), "encoding": used}
 
 
+def _strip_bom(text: str) -> str:
+    return text[1:] if text.startswith("\ufeff") else text
+
+
 def field_count(value: Column, sep: str) -> Column:
     """Quote-aware number of fields, in linear time: quoted segments (a doubled quote is
     two adjacent segments) are removed, then separators are counted."""
@@ -174,6 +187,7 @@ def read_delimited(
     field count. ``promote=False`` leaves every column as text.
     """
     info = sniff(spark, path, encoding)
+    encoding = info["encoding"] if _is_utf16(info["encoding"]) else encoding
     sep = sep or info["delimiter"]
     header = info["header"]
     names = _split_header(header, sep)
@@ -182,7 +196,9 @@ def read_delimited(
 
     v = F.col("value")
     no_cr = F.when(v.endswith("\r"), v.substr(F.lit(1), F.length(v) - 1)).otherwise(v)
-    lines = read_lines(spark, path, encoding).select(no_cr.alias("value"))
+    # a byte-order mark can only open a file, i.e. its header line
+    no_bom = F.when(no_cr.startswith("\ufeff"), no_cr.substr(F.lit(2), F.length(no_cr))).otherwise(no_cr)
+    lines = read_lines(spark, path, encoding).select(no_bom.alias("value"))
     body = lines.where((F.length(F.trim("value")) > 0) & (F.col("value") != F.lit(header)))
     shaped = body.select("value", field_count(F.col("value"), sep).alias("_n"))
     ok = (F.col("_n") == width) if strict else (F.col("_n") <= width)

@@ -150,3 +150,13 @@ def test_dates_ignore_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == [dt.datetime(2024, 3, 10, 2, 30)] * 2
+
+
+def test_byte_order_marks(spark, tmp_path):
+    p8 = write_text(tmp_path / "b8.csv", "\ufeffName,n\ncafé,1\n".encode("utf-8"))
+    ing = read_delimited(spark, p8)
+    assert ing.df.columns == ["name", "n"] and ing.df.count() == 1
+    p16 = write_text(tmp_path / "b16.csv", "Name;n\r\nx;1\r\ny;2\r\n".encode("utf-16"))
+    ing16 = read_delimited(spark, p16)  # encoding left on auto
+    assert ing16.metadata["encoding_used"] == "utf-16" and ing16.metadata["delimiter"] == ";"
+    assert sorted(tuple(r) for r in ing16.df.collect()) == [("x", 1), ("y", 2)]
