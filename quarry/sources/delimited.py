@@ -226,3 +226,25 @@ def read_delimited(
         "promotions": decisions,
     }
     return Ingested(df=df, rejects=rejects, raw=raw, metadata=meta)
+
+
+def load_delimited(spark: SparkSession, path, save_to: str | None = None, **options) -> tuple[bool, str, Ingested | None]:
+    """S1 with the reference's contract: ``(ok, message, result)`` instead of raising.
+
+    A missing path or an unreadable file gives ``ok=False`` and the reason. On success the
+    metadata gains the row counts (one aggregate), and with ``save_to`` the clean table
+    (Parquet) and the metadata (JSON) are written there (S7, S8).
+    """
+    try:
+        ing = read_delimited(spark, path, **options)
+        ing.metadata = ing.with_counts()
+    except FileNotFoundError:
+        return False, f"File not found: {path}", None
+    except Exception as e:  # noqa: BLE001 - reported, as the reference does
+        return False, f"Failed to read {path}: {type(e).__name__}: {e}", None
+    if save_to:
+        from quarry.sources import sinks
+        sinks.write_clean(ing.df, f"{save_to}/clean")
+        sinks.write_metadata(spark, ing.metadata, f"{save_to}/metadata")
+    rows, cols = ing.metadata["processed_shape"]
+    return True, f"Successfully loaded {rows:,} rows, {cols} columns", ing
