@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators.profile import Profile, profile, summary
 from quarry.plans.plan import Dashboard, recommend_plan, run_plan
-from quarry.sources.delimited import Ingested, read_delimited
+from quarry.session import scratch_dir
 from quarry.sources import sinks
+from quarry.sources.delimited import Ingested, read_delimited
 
 
 @dataclass
@@ -28,14 +29,23 @@ def auto_dashboard(df: DataFrame, selections: dict | None = None, approx: bool =
 
 def analyse_file(spark: SparkSession, path: str, out_dir: str | None = None, sep: str | None = None,
                  order_by: list[str] | None = None) -> tuple[Ingested, Analysis]:
-    """The reference's whole pipeline for a delimited file: ingest, profile, plan, and,
-    when ``out_dir`` is given, the clean table, metadata, profile summary and plan sinks."""
+    """The reference's whole pipeline for a delimited file: ingest, write the clean table,
+    profile, plan and answer it.
+
+    The text is parsed once: the typed table is written as Parquet (under ``out_dir``, or a
+    fresh folder under the shared ``spark.checkpoint.dir``) and everything after reads that
+    copy, with column pruning and pushed-down filters, and with the lineage cut at the
+    write, so a lost executor never sends a later step back to the raw text. With
+    ``out_dir`` the metadata, profile, summary and plan are written next to it.
+    """
     ing = read_delimited(spark, path, sep=sep)
-    res = auto_dashboard(ing.df)
+    clean_path = f"{out_dir}/clean" if out_dir else f"{scratch_dir(spark, 'clean')}"
+    sinks.write_clean(ing.df, clean_path)
+    clean = sinks.read_clean(spark, clean_path)
+    res = auto_dashboard(clean)
     if out_dir:
-        sinks.write_clean(ing.df, f"{out_dir}/clean")
         sinks.write_metadata(spark, ing.with_counts(), f"{out_dir}/metadata")
         sinks.write_profile(res.profile.df, f"{out_dir}/profile")
-        sinks.write_metadata(spark, summary(ing.df, res.profile, ing.metadata, order_by), f"{out_dir}/summary")
+        sinks.write_metadata(spark, summary(clean, res.profile, ing.metadata, order_by), f"{out_dir}/summary")
         sinks.write_plan(spark, res.plan, f"{out_dir}/plan")
-    return ing, res
+    return Ingested(df=clean, rejects=ing.rejects, raw=ing.raw, metadata=ing.metadata), res
