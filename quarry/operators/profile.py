@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.parse import datetime_shape, is_integer_text, is_number_text, parse_datetime
 from quarry.functions.tokens import BOOLEAN_WORDS, CARDINALITY_LOW_MAX, CARDINALITY_MEDIUM_MAX
+from quarry.session import spread
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType()),
@@ -297,6 +298,8 @@ def profile(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Profile:
     """
     spark = df.sparkSession
     fields = df.schema.fields
+    # the unpivot multiplies rows by columns: give a single-split input every core
+    df = spread(df)
     if approx:
         extra = [(0, F.approx_count_distinct(_q(f.name), rsd).alias(f"e{i}_aud")) for i, f in enumerate(fields)]
         rows, facts = column_evidence(df, extra=extra)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, partitions: int | None = None, app: str = "quarry") -> SparkSession:
@@ -52,3 +52,16 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
         spark.sparkContext.setCheckpointDir(base)
     base = base.rstrip("/")
     return f"{base}/quarry/{name or 'run'}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a small input over all cores when its scan yields fewer splits than
+    cores (a single Parquet row group or a small text file is one task).
+
+    Inputs with at least as many splits as cores, i.e. every large input, come back as they
+    are, so this never adds a shuffle at scale.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
