@@ -59,9 +59,10 @@ def parse_datetime(col, dayfirst: bool = False) -> Column:
     a, b = (part(1), part(2)) if not dayfirst else (part(2), part(1))
 
     def num(c: Column) -> Column:
-        return F.when(c == "", F.lit(0)).otherwise(c.cast("int"))
+        # try_cast: safe even if an optimizer evaluates this outside its shape guard
+        return F.coalesce(c.try_cast("int"), F.lit(0))
 
-    slash = F.try_make_timestamp_ntz(part(3).cast("int"), a.cast("int"), b.cast("int"),
+    slash = F.try_make_timestamp_ntz(part(3).try_cast("int"), a.try_cast("int"), b.try_cast("int"),
                                      num(part(4)), num(part(5)), num(part(6)))
     iso = t.try_cast("timestamp_ntz")
     return (
