@@ -41,29 +41,25 @@ def datetime_shape(col) -> Column:
     return t.rlike(_ISO_DATE) | t.rlike(_ISO_TS) | t.rlike(_SLASH_DATE) | t.rlike(_SLASH_TS)
 
 
-_SLASH_PARTS = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
-
-
 def parse_datetime(col, dayfirst: bool = False) -> Column:
     """Text to ``timestamp_ntz``; NULL unless the shape matches and the value is valid.
 
     No time zone is involved: ISO forms go through ``try_cast`` to ``timestamp_ntz`` and the
-    slash forms are split into fields and built with ``try_make_timestamp_ntz`` (month first
-    unless ``dayfirst``), so a wall-clock time in a daylight-saving gap stays as written.
+    slash forms are split once into their fields and built with ``try_make_timestamp_ntz``
+    (month first unless ``dayfirst``), so a wall-clock time in a daylight-saving gap stays as
+    written and an impossible date is NULL.
     """
     t = F.trim(_c(col))
+    parts = F.split(t, "[/ :]")
 
     def part(i: int) -> Column:
-        return F.regexp_extract(t, _SLASH_PARTS, i)
-
-    a, b = (part(1), part(2)) if not dayfirst else (part(2), part(1))
-
-    def num(c: Column) -> Column:
         # try_cast: safe even if an optimizer evaluates this outside its shape guard
-        return F.coalesce(c.try_cast("int"), F.lit(0))
+        return F.get(parts, i).try_cast("int")
 
-    slash = F.try_make_timestamp_ntz(part(3).try_cast("int"), a.try_cast("int"), b.try_cast("int"),
-                                     num(part(4)), num(part(5)), num(part(6)))
+    month, day = (part(0), part(1)) if not dayfirst else (part(1), part(0))
+    zero = F.lit(0)
+    slash = F.try_make_timestamp_ntz(part(2), month, day, F.coalesce(part(3), zero),
+                                     F.coalesce(part(4), zero), F.coalesce(part(5), zero))
     iso = t.try_cast("timestamp_ntz")
     return (
         F.when(t.rlike(_ISO_DATE) | t.rlike(_ISO_TS), iso)
