@@ -12,16 +12,12 @@ from pyspark.sql import functions as F
 
 from quarry.functions.tokens import NA_TOKENS, NUMERIC_NOISE
 
-# Shapes and formats, in the order they are tried. ISO forms go through try_cast, which
-# takes dates, 'T' or ' ' separators and any fraction; the slash forms are month first
-# unless ``dayfirst`` is asked for.
-_ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
-_ISO_TS = r"^\d{4}-\d{2}-\d{2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?$"
-_SLASH_DATE = r"^\d{1,2}/\d{1,2}/\d{4}$"
-_SLASH_TS = r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})?$"
+# Accepted shapes: ISO date / date-time (try_cast takes 'T' or ' ' and any fraction) and
+# slash date / date-time, month first unless ``dayfirst`` is asked for. One pattern covers
+# them all, so a single match guards the parse.
+_ANY_DATE = (r"^(\d{4}-\d{2}-\d{2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?"
+             r"|\d{1,2}/\d{1,2}/\d{4}( \d{1,2}:\d{2}(:\d{2})?)?)$")
 
-_NUMBER = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
-_INTEGER = r"^[-+]?\d{1,18}$"
 
 
 def _c(col) -> Column:
@@ -38,7 +34,7 @@ def null_tokens(col, tokens: list[str] | None = None) -> Column:
 def datetime_shape(col) -> Column:
     """True when the trimmed text has one of the accepted date shapes."""
     t = F.trim(_c(col))
-    return t.rlike(_ISO_DATE) | t.rlike(_ISO_TS) | t.rlike(_SLASH_DATE) | t.rlike(_SLASH_TS)
+    return (F.length(t) >= 8) & t.rlike(_ANY_DATE)
 
 
 def parse_datetime(col, dayfirst: bool = False) -> Column:
@@ -61,10 +57,10 @@ def parse_datetime(col, dayfirst: bool = False) -> Column:
     slash = F.try_make_timestamp_ntz(part(2), month, day, F.coalesce(part(3), zero),
                                      F.coalesce(part(4), zero), F.coalesce(part(5), zero))
     iso = t.try_cast("timestamp_ntz")
-    return (
-        F.when(t.rlike(_ISO_DATE) | t.rlike(_ISO_TS), iso)
-        .when(t.rlike(_SLASH_DATE) | t.rlike(_SLASH_TS), slash)
-    )
+    # cheap prefilter (length, a separator) before the one pattern match;
+    # ISO shapes carry '-', slash shapes never do
+    maybe = (F.length(t) >= 8) & ((F.instr(t, "-") > 0) | (F.instr(t, "/") > 0))
+    return F.when(maybe & t.rlike(_ANY_DATE), F.when(t.contains("-"), iso).otherwise(slash))
 
 
 def number_text(col) -> Column:
@@ -72,23 +68,39 @@ def number_text(col) -> Column:
     return F.translate(_c(col), NUMERIC_NOISE + " ", "")
 
 
+_NUMBER_CHARS = "0123456789+-.eE"
+_INTEGER_CHARS = "0123456789+-"
+
+
+def _only(n: Column, chars: str) -> Column:
+    """Non-empty and made only of ``chars`` (a character mapping, no pattern match)."""
+    return (F.length(n) > 0) & (F.length(F.translate(n, chars, "")) == 0)
+
+
 def is_number_text(col) -> Column:
-    return number_text(col).rlike(_NUMBER)
+    """A plain decimal number once ``, $ %`` and spaces are removed: only digits, sign, point
+    and exponent characters, arranged so that a double cast succeeds. Suffixes such as
+    ``5d`` / ``3f``, ``inf`` / ``NaN`` and hex forms are excluded by the character set."""
+    n = number_text(col)
+    return _only(n, _NUMBER_CHARS) & n.try_cast("double").isNotNull()
 
 
 def is_integer_text(col) -> Column:
-    return number_text(col).rlike(_INTEGER)
+    """A whole number of at most 18 digits (always fits a long)."""
+    n = number_text(col)
+    signed = (n.startswith("-") | n.startswith("+")).cast("int")
+    return _only(n, _INTEGER_CHARS) & (F.length(n) - signed <= 18) & n.try_cast("long").isNotNull()
 
 
 def parse_number(col, integral: bool = False) -> Column:
     """Cleaned numeric text to long (``integral``) or double; NULL when it is not a number."""
     t = number_text(col)
     if integral:
-        return F.when(t.rlike(_INTEGER), t.try_cast("long"))
-    return F.when(t.rlike(_NUMBER), t.try_cast("double"))
+        return F.when(is_integer_text(col), t.try_cast("long"))
+    return F.when(is_number_text(col), t.try_cast("double"))
 
 
 def lenient_double(col) -> Column:
     """The value as a double the way a plain numeric cast reads it; NULL when it is not one."""
     t = F.trim(_c(col))
-    return F.when(t.rlike(_NUMBER), t.try_cast("double"))
+    return F.when(_only(t, _NUMBER_CHARS), t.try_cast("double"))

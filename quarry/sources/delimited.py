@@ -198,7 +198,9 @@ def read_delimited(
     no_cr = F.when(v.endswith("\r"), v.substr(F.lit(1), F.length(v) - 1)).otherwise(v)
     # a byte-order mark can only open a file, i.e. its header line
     no_bom = F.when(no_cr.startswith("\ufeff"), no_cr.substr(F.lit(2), F.length(no_cr))).otherwise(no_cr)
-    lines = read_lines(spark, path, encoding).select(no_bom.alias("value"))
+    # Materialize the cleaned line once: the expressions above nest the decode several times,
+    # and collapsed projections would repeat it in every consumer (filter, count, from_csv).
+    lines = read_lines(spark, path, encoding).select(F.inline(F.array(F.struct(no_bom.alias("value")))))
     body = lines.where((F.length(F.trim("value")) > 0) & (F.col("value") != F.lit(header)))
     shaped = body.select("value", field_count(F.col("value"), sep).alias("_n"))
     ok = (F.col("_n") == width) if strict else (F.col("_n") <= width)
@@ -209,7 +211,9 @@ def read_delimited(
     ddl = ", ".join(f"_c{i} string" for i in range(width))
     opts = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     parsed = shaped.where(ok).select(F.from_csv("value", ddl, opts).alias("r"))
-    raw = parsed.select(*[null_tokens(F.col(f"r._c{i}"), na_tokens).alias(clean[i]) for i in range(width)])
+    fields = [null_tokens(F.col(f"r._c{i}"), na_tokens).alias(clean[i]) for i in range(width)]
+    # one materialized row of fields, so the type evidence and casts reuse them
+    raw = parsed.select(F.inline(F.array(F.struct(*fields))))
 
     df = raw
     decisions: dict[str, str] = {}
