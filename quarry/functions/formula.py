@@ -71,7 +71,8 @@ class _GroupSeries:
 
 @dataclass
 class CompiledFormula:
-    """``kind`` is ``scalar`` (``value`` is one aggregate) or ``grouped`` (``key`` + ``value``)."""
+    """``kind`` is ``scalar`` (``value`` is one aggregate), ``grouped`` (``key`` + aggregate
+    ``value``) or ``grouped_median`` (``key`` + the row expression whose median is wanted)."""
 
     kind: str
     value: Column
@@ -358,6 +359,10 @@ class _Compiler:
                     return _Agg(self.agg(f.attr, base.expr, base.mask, base.dtype))
                 if f.attr == "abs":
                     return _Series(F.abs(base.expr), base.mask, base.dtype)
+            if isinstance(base, _GroupSeries) and f.attr == "median":
+                if not _is_numeric(base.dtype):
+                    raise FormulaError("median needs a numeric column")
+                return ("grouped_median", base.key, base.expr, base.mask)
             if isinstance(base, _GroupSeries) and f.attr in _SERIES_AGGS:
                 return ("grouped", base.key, _aggregate(f.attr, base.expr, None, base.dtype), base.mask)
             if isinstance(base, _Frame) and f.attr == "count":
@@ -397,6 +402,11 @@ def compile_formula(formula: str, schema: T.StructType, median_hook=None) -> Com
     if isinstance(out, tuple) and out[0] == "grouped":
         _, key, agg, mask = out
         return CompiledFormula("grouped", agg.try_cast("double"), key=key, mask=mask)
+    if isinstance(out, tuple) and out[0] == "grouped_median":
+        # ``value`` is the row expression; the median itself is computed by a distributed
+        # selection (quarry.operators.quantiles.grouped_exact_median), not one aggregate
+        _, key, expr, mask = out
+        return CompiledFormula("grouped_median", expr, key=key, mask=mask)
     if isinstance(out, _Agg):
         return CompiledFormula("scalar", out.expr.try_cast("double"))
     if isinstance(out, _Const) and isinstance(out.value, (int, float)) and not isinstance(out.value, bool):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.format import format_kpi_value
 from quarry.functions.formula import CompiledFormula, FormulaError, compile_formula
-from quarry.operators.quantiles import exact_quantiles
+from quarry.operators.quantiles import exact_quantiles, grouped_exact_median
 
 KPI_SCHEMA = "rank int, name string, formula string, value double, formatted string, status string"
 GROUPED_SCHEMA = "name string, key string, value double"
@@ -34,10 +34,13 @@ def kpi_value(df: DataFrame, formula: str) -> float | None:
 def grouped_kpi(df: DataFrame, formula: str, name: str = "kpi") -> DataFrame:
     """``df.groupby(k)[v].agg()`` as rows ``(name, key, value)``; NULL keys dropped."""
     c = compile_formula(formula, df.schema)
-    if c.kind != "grouped":
+    if c.kind not in ("grouped", "grouped_median"):
         raise FormulaError("not a grouped formula")
     src = df if c.mask is None else df.where(c.mask)
     k = F.col(f"`{c.key}`")
+    if c.kind == "grouped_median":
+        med = grouped_exact_median(src.select(k.cast("string").alias("key"), c.value.alias("__v")), "key", "__v")
+        return med.select(F.lit(name).alias("name"), "key", F.col("median").alias("value"))
     return (
         src.where(k.isNotNull())
         .groupBy(k.cast("string").alias("key"))
@@ -67,7 +70,7 @@ def kpis(df: DataFrame, kpi_specs: list[dict]) -> tuple[DataFrame, DataFrame]:
         except FormulaError:
             meta.append((rank, name, formula, None, "unsupported"))
             continue
-        if c.kind == "grouped":
+        if c.kind in ("grouped", "grouped_median"):
             meta.append((rank, name, formula, None, "grouped"))
             grouped_parts.append(grouped_kpi(df, formula, name))
         else:

@@ -113,3 +113,45 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float]) -> list[floa
         a, b = got[k0], got[k1]
         out.append(a if a == b or frac == 0 else a + (b - a) * frac)
     return out
+
+
+def grouped_exact_median(df: DataFrame, key: str, value, partitions: int | None = None) -> DataFrame:
+    """``(key, median)`` per group, exact as pandas computes it (the middle value, or the
+    mean of the two middle values), without holding any group in one task.
+
+    1. count per ``(key, value)`` (partial aggregation collapses repeats);
+    2. range-partition that table by ``(key, value)``, so a group holding a third of the rows
+       is spread over many partitions, tag each row with its partition, and checkpoint it;
+    3. running counts inside each ``(partition, key)`` slice, plus the slice totals of the
+       earlier partitions of the same key (a small table: one row per slice);
+    4. the rows whose count interval holds the middle rank(s) give the median.
+    NULL keys and values are dropped.
+    """
+    spark = df.sparkSession
+    v = (F.col(f"`{value}`") if isinstance(value, str) else value).cast("double")
+    base = df.select(F.col(f"`{key}`").alias("k"), v.alias("v")).where(F.col("k").isNotNull() & F.col("v").isNotNull())
+    freq = base.groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = freq.repartitionByRange(n_parts, "k", "v").withColumn("pid", F.spark_partition_id())
+    # Both branches below must see the same partition tags: materialize them once in the
+    # shared checkpoint folder (this also cuts the lineage before the two passes).
+    if not spark.sparkContext.getCheckpointDir():
+        from quarry.session import scratch_dir
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark, "ckpt"))
+    ranged = ranged.checkpoint(eager=True)
+    upto = Window.partitionBy("pid", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumn("lcum", F.sum("cnt").over(upto))
+    slices = ranged.groupBy("pid", "k").agg(F.sum("cnt").alias("stot"))
+    before = Window.partitionBy("k").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select(
+        "pid", "k",
+        F.coalesce(F.sum("stot").over(before), F.lit(0)).alias("off"),
+        F.sum("stot").over(Window.partitionBy("k")).alias("n"),
+    )
+    g = local.join(offsets, ["pid", "k"]).select(
+        "k", "v", (F.col("lcum") + F.col("off")).alias("cum"), "cnt", "n")
+    lo = F.floor((F.col("n") - 1) / 2)
+    hi = F.ceil((F.col("n") - 1) / 2)
+    prev = F.col("cum") - F.col("cnt")
+    hit = g.where(((prev <= lo) & (lo < F.col("cum"))) | ((prev <= hi) & (hi < F.col("cum"))))
+    return hit.groupBy(F.col("k").alias(key)).agg(((F.min("v") + F.max("v")) / 2).alias("median"))

@@ -301,6 +301,9 @@ ORACLES: dict[str, str] = {
     "kpi_grouped": """select 'Balance by segment' as name, cast(c_mktsegment as varchar) as key,
         round(cast(coalesce(sum(c_acctbal), 0) as double), 2) as value
         from customer where c_mktsegment is not null group by c_mktsegment""",
+    "kpi_grouped_median": """select 'Median balance' as name, cast(c_mktsegment as varchar) as key,
+        round(median(c_acctbal), 6) as value from customer
+        where c_mktsegment is not null and c_acctbal is not null group by c_mktsegment""",
     "kpi_formatted": _kpi_formatted_sql(),
     "plan_kpis": """select 1 as rank, 'Total Sales' as name, round(sum(o_totalprice), 2) as value, 'ok' as status
         from orders

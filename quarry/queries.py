@@ -184,6 +184,12 @@ def kpi_grouped(spark, d):
     return g.select("name", "key", _r2("value").alias("value"))
 
 
+def kpi_grouped_median(spark, d):
+    """A12 with a median: exact per segment, no segment held in one task."""
+    g = grouped_kpi(_t(spark, d, "customer"), "df.groupby('c_mktsegment')['c_acctbal'].median()", "Median balance")
+    return g.select("name", "key", F.round("value", 6).alias("value"))
+
+
 KPI_FORMATTED = [
     ("Balance", "df['c_acctbal'].sum()"),
     ("Customers", "len(df)"),
@@ -484,6 +490,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filters_conjunction": filters_conjunction,
     "kpi_scalars": kpi_scalars,
     "kpi_grouped": kpi_grouped,
+    "kpi_grouped_median": kpi_grouped_median,
     "kpi_formatted": kpi_formatted,
     "plan_kpis": plan_kpis,
     "derived_convention": derived_convention,

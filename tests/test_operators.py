@@ -229,3 +229,20 @@ def test_time_grains_wall_clock(spark):
     assert day == [(dt.datetime(2024, 2, 29), 4.0), (dt.datetime(2024, 3, 10), 3.0)]
     assert month == [(dt.datetime(2024, 2, 1), 4.0), (dt.datetime(2024, 3, 1), 3.0)]
     assert hour[0] == dt.datetime(2024, 2, 29, 12, 0)
+
+
+def test_grouped_median_exact_with_hot_group(spark):
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    keys = np.where(rng.random(3000) < 0.4, "hot", rng.choice(["a", "b", "c", "d"], 3000))
+    vals = np.round(rng.normal(50, 20, 3000), 1)
+    vals[::17] = np.nan
+    pdf = pd.DataFrame({"k": keys, "v": vals})
+    df = spark.createDataFrame(pdf).withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
+    got = {r["k"]: r["median"] for r in Q.grouped_exact_median(df, "k", "v", partitions=7).collect()}
+    want = pdf.groupby("k")["v"].median().to_dict()
+    assert got.keys() == want.keys()
+    for k in want:
+        assert math.isclose(got[k], want[k], abs_tol=1e-12), k
+    via_kpi = {r["key"]: r["value"] for r in grouped_kpi(df, "df.groupby('k')['v'].median()").collect()}
+    assert via_kpi == got
