@@ -48,3 +48,32 @@ def test_exact_quantiles_match_numpy(spark, monkeypatch_module, vals, p):
     finally:
         monkeypatch_module.undo()
     assert np.isclose(got2, ref, rtol=1e-12, atol=1e-9)
+
+
+cells = st.lists(
+    st.tuples(st.one_of(st.none(), st.integers(-3, 3)),
+              st.one_of(st.none(), st.floats(-5, 5, allow_nan=False).map(lambda x: round(x, 1))),
+              st.one_of(st.none(), st.sampled_from(["a", "b", "c", "dd", "e e"]))),
+    min_size=1, max_size=40)
+
+
+@SETTINGS
+@given(rows=cells)
+def test_profile_counts_match_pandas(spark, rows):
+    import pandas as pd
+
+    from quarry.operators.profile import profile
+
+    pdf = pd.DataFrame(rows, columns=["i", "f", "s"]).astype({"i": "Int64", "f": "Float64", "s": "object"})
+    df = spark.createDataFrame(rows, "i long, f double, s string")
+    got = {c["name"]: c for c in profile(df).columns}
+    for name in ["i", "f", "s"]:
+        col = pdf[name]
+        assert got[name]["nulls"] == int(col.isna().sum())
+        assert got[name]["unique"] == int(col.nunique())
+        if name != "s" and col.notna().any() and got[name]["type"] in ("integer", "float"):
+            assert got[name]["range_min"] == float(col.min()) and got[name]["range_max"] == float(col.max())
+    if got["s"]["type"] == "categorical":
+        counts = pdf["s"].value_counts()
+        want = [v for v, _ in sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:3]]
+        assert got["s"]["top_values"] == want
