@@ -44,12 +44,16 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
+        try:
+            sc = spark.sparkContext
+        except Exception as e:  # noqa: BLE001 - e.g. a Spark Connect session has no context
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster") from e
+        base = sc.getCheckpointDir()
+        if not base:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+            base = tempfile.mkdtemp(prefix="quarry-ckpt-")
+            sc.setCheckpointDir(base)
     base = base.rstrip("/")
     return f"{base}/quarry/{name or 'run'}-{uuid.uuid4().hex[:12]}"
 
@@ -61,7 +65,9 @@ def spread(df: DataFrame) -> DataFrame:
     Inputs with at least as many splits as cores, i.e. every large input, come back as they
     are, so this never adds a shuffle at scale.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the plan as is
         return df
-    return df.repartition(want)
+    return df if have >= want else df.repartition(want)
