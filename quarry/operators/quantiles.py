@@ -25,6 +25,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import ensure_checkpoint_dir
+
 SMALL_DISTINCT = 1_000_000
 BUCKETS = 1024
 MAX_PASSES = 64
@@ -135,9 +137,7 @@ def grouped_exact_median(df: DataFrame, key: str, value, partitions: int | None
     ranged = freq.repartitionByRange(n_parts, "k", "v").withColumn("pid", F.spark_partition_id())
     # Both branches below must see the same partition tags: materialize them once in the
     # shared checkpoint folder (this also cuts the lineage before the two passes).
-    if not spark.sparkContext.getCheckpointDir():
-        from quarry.session import scratch_dir
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark, "ckpt"))
+    ensure_checkpoint_dir(spark)
     ranged = ranged.checkpoint(eager=True)
     upto = Window.partitionBy("pid", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("lcum", F.sum("cnt").over(upto))

@@ -19,6 +19,7 @@ from quarry.operators.filters import FilterState, apply_filters
 from quarry.operators.kpi import kpis as run_kpis
 from quarry.operators.profile import roles
 from quarry.functions.names import resolve_column
+from quarry.session import ensure_checkpoint_dir
 
 PLAN_SCHEMA = T.StructType([
     T.StructField("domain", T.StructType([T.StructField("name", T.StringType())])),
@@ -251,9 +252,7 @@ def run_plan(df: DataFrame, plan: dict, selections: dict | None = None, material
     if materialize == "cache":
         filtered = filtered.persist()
     elif materialize == "checkpoint":
-        if not df.sparkSession.sparkContext.getCheckpointDir():
-            from quarry.session import scratch_dir
-            df.sparkSession.sparkContext.setCheckpointDir(scratch_dir(df.sparkSession, "ckpt"))
+        ensure_checkpoint_dir(df.sparkSession)
         filtered = filtered.checkpoint(eager=True)
     scal, grouped = run_kpis(filtered, plan.get("kpis", []))
     charts: dict = {}

@@ -71,3 +71,14 @@ def spread(df: DataFrame) -> DataFrame:
     except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the plan as is
         return df
     return df if have >= want else df.repartition(want)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Make ``DataFrame.checkpoint()`` usable: keep the cluster's ``spark.checkpoint.dir``;
+    only when none is set (a bare local session) install a scratch folder."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no context (Spark Connect): the server's setting applies
+        return
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(scratch_dir(spark, "ckpt"))
