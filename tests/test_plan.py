@@ -143,3 +143,12 @@ def test_run_plan_checkpointed(spark, sf_dir):
     pa = sorted(tuple(r) for r in a.panels().collect())
     pb = sorted(tuple(r) for r in b.panels().collect())
     assert pa == pb
+
+
+def test_cli(spark, tmp_path, capsys):
+    from quarry.__main__ import main
+    assert main([str(tmp_path / "none.csv")]) == 1
+    p = write_text(tmp_path / "c.csv", b"Order ID,Order Date,Qty\n1,01/05/2024,2\n2,01/06/2024,\n")
+    assert main([p]) == 0
+    out = capsys.readouterr().out
+    assert "orderdate" in out and "Total Orderid" in out
