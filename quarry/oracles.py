@@ -258,6 +258,10 @@ ORACLES: dict[str, str] = {
         select bin, round(lo + bin * ((hi - lo) / 20), 9) as bin_lo,
                round(case when bin = 19 then hi else lo + (bin + 1) * ((hi - lo) / 20) end, 9) as bin_hi,
                cnt as count from h, b""",
+    "time_series_text_dates": """select o_orderdate as x, round(coalesce(sum(o_totalprice), 0), 2) as y
+        from orders where o_orderdate is not null group by o_orderdate""",
+    "histogram_text": """select c_mktsegment as x, count(*) as count from customer
+        where c_mktsegment is not null group by 1""",
     "scatter_points": "select p_size as x, p_retailprice as y from part",
     "heatmap_corr": _corr_sql(),
     "pie_count_top8": """with t as (select p_type as x, count(*) as y from part where p_type is not null
@@ -285,6 +289,9 @@ ORACLES: dict[str, str] = {
         and (select quantile_cont(l_extendedprice, 0.99) from lineitem)""",
     "filter_equals": """select * from events where event_type = (select event_type from events
         where event_type is not null group by 1 order by count(*) desc, event_type limit 1)""",
+    "filters_user_selection": """select * from lineitem
+        where cast(l_shipdate as date) between date '1997-01-01' and date '1998-06-30'
+          and l_returnflag in ('A', 'R') and l_quantity between 10.0 and 30.0""",
     "filter_options_top50": """select p_name as x, count(*) as count from part where p_name is not null
         group by 1 order by count desc, x limit 50""",
     "filters_conjunction": """with b as (select cast(min(o_orderdate) as date) as lo, cast(max(o_orderdate) as date) as hi

@@ -55,6 +55,19 @@ def time_series_raw(spark, d):
     return t.select("x", _r2("y").alias("y"))
 
 
+def time_series_text_dates(spark, d):
+    """A13 over a text date column: parsed first, then grouped."""
+    o = _t(spark, d, "orders").select(
+        F.date_format("o_orderdate", "MM/dd/yyyy").alias("order_date"), "o_totalprice")
+    t = C.time_series(o, "order_date", "o_totalprice")
+    return t.select("x", _r2("y").alias("y"))
+
+
+def histogram_text(spark, d):
+    """A15 / L16 on a text column: counts per value."""
+    return C.histogram(_t(spark, d, "customer"), "c_mktsegment")
+
+
 def time_series_day(spark, d):
     t = C.time_series(_t(spark, d, "events"), "ts", "value", grain="day")
     return t.select("x", _r2("y").alias("y"))
@@ -133,6 +146,21 @@ def filter_equals(spark, d):
     return f
 
 
+def filters_user_selection(spark, d):
+    """F1 / F3 / F5 with the user's choices instead of the defaults."""
+    import datetime as _dt
+    li = _t(spark, d, "lineitem")
+    specs = [
+        {"name": "Ship date", "column": "l_shipdate", "type": "date", "importance": 3},
+        {"name": "Flags", "column": "l_returnflag", "type": "multiselect", "importance": 2},
+        {"name": "Quantity", "column": "l_quantity", "type": "slider", "importance": 1},
+    ]
+    chosen = {"Ship date": (_dt.date(1997, 1, 1), _dt.date(1998, 6, 30)), "Flags": ["A", "R"],
+              "Quantity": (10.0, 30.0)}
+    f, _ = FL.apply_filters(li, specs, chosen)
+    return f
+
+
 def filter_options_top50(spark, d):
     return C.value_frequencies(_t(spark, d, "part"), "p_name", FL.SELECTBOX_MAX_OPTIONS)
 
@@ -473,6 +501,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bar_count_top10": bar_count_top10,
     "time_series_raw": time_series_raw,
     "time_series_day": time_series_day,
+    "time_series_text_dates": time_series_text_dates,
+    "histogram_text": histogram_text,
     "histogram_20": histogram_20,
     "scatter_points": scatter_points,
     "heatmap_corr": heatmap_corr,
@@ -486,6 +516,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filter_in_top100": filter_in_top100,
     "filter_range_p1_p99": filter_range_p1_p99,
     "filter_equals": filter_equals,
+    "filters_user_selection": filters_user_selection,
     "filter_options_top50": filter_options_top50,
     "filters_conjunction": filters_conjunction,
     "kpi_scalars": kpi_scalars,
