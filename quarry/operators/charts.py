@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from quarry.functions.parse import parse_datetime
 
 HIST_BINS = 20
-CORR_PAIRS_PER_AGG = 300
 
 
 def _q(name: str) -> Column:
