@@ -1,16 +1,19 @@
 """Column profiling.
 
-Two Spark jobs profile a whole table, however many columns it has:
-
-1. **Evidence**: one ``agg`` over every column at once (row count, non-null count,
-   min/max, integrality, infinities, and for text the boolean-word, date-shape and
-   number-shape tests plus the mean length). One row comes back.
-2. **Frequencies**: the columns are unpivoted to ``(pos, value)`` and counted with one
-   ``groupBy(pos, value)`` (partial aggregation collapses repeated values map-side). From
-   that table: the exact distinct count per column, and the three most frequent values of
-   text columns. The top-3 is taken in two window steps: first inside
-   ``(pos, hash(value) mod S)`` slices, then over the at most ``3*S`` survivors per column,
-   so no single task ranks all values of a high-cardinality column.
+A whole table is profiled in two steps, however many columns it has:
+
+1. **Evidence**: aggregates over every column (row count, non-null count, min/max,
+   integrality, infinities, and for text the boolean-word, date-shape and number-shape
+   tests plus the mean length), packed under the whole-stage-codegen field limit. That
+   is one aggregate for a table of a dozen columns, a few for wide ones; each reads only
+   its own columns. One row of numbers comes back per aggregate.
+2. **Frequencies**: the columns are unpivoted to ``(pos, value)``, with the value in a
+   typed slot (long / double / text / SHA-256 of long text), and counted with one group-by
+   (partial aggregation collapses repeated values map-side). That gives the exact distinct
+   count per column. A second, candidate-only table (text columns that can be
+   categorical) gives the three most frequent values. It is ranked in two window steps:
+   first inside ``(pos, hash(value) mod S)`` slices, then over the at most ``3*S``
+   survivors per column, so no single task ranks all values of a large column.
 
 The per-column facts (a few numbers per column) are then assembled into the profile
 table on the driver; its size is bounded by the number of columns.
