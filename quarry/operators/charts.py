@@ -47,18 +47,22 @@ def truncate_time(t: Column, grain: str) -> Column:
     return F.date_trunc(g, t).cast("timestamp_ntz")
 
 
-def value_frequencies(df: DataFrame, x: str, k: int | None = None) -> DataFrame:
-    """Count per non-null value, most frequent first, ties by value."""
+def value_frequencies(df: DataFrame, x: str, k: int | None = None, ordered: bool = True) -> DataFrame:
+    """Count per non-null value, most frequent first, ties by value.
+
+    With ``k`` the order is what picks the rows (a bounded top-k); without it,
+    ``ordered=False`` leaves out the global sort when the caller does not need it."""
     out = (
         df.where(_q(x).isNotNull())
         .groupBy(_q(x).alias("x"))
         .agg(F.count(F.lit(1)).alias("count"))
-        .orderBy(F.desc("count"), F.asc("x"))
     )
-    return out.limit(k) if k is not None else out
+    if k is not None:
+        return out.orderBy(F.desc("count"), F.asc("x")).limit(k)
+    return out.orderBy(F.desc("count"), F.asc("x")) if ordered else out
 
 
-def time_series(df: DataFrame, x: str, y: str, grain: str | None = None) -> DataFrame:
+def time_series(df: DataFrame, x: str, y: str, grain: str | None = None, ordered: bool = True) -> DataFrame:
     """sum(y) per x, NULL x dropped, ordered by x; text x is parsed first.
 
     ``grain`` (``day``, ``week``, ``month``, ...) truncates x before grouping, which keeps the
@@ -67,13 +71,13 @@ def time_series(df: DataFrame, x: str, y: str, grain: str | None = None) -> Data
     t = _as_time(df, x)
     if grain:
         t = truncate_time(t, grain)
-    return (
+    out = (
         df.select(t.alias("x"), _q(y).alias("_y"))
         .where(F.col("x").isNotNull())
         .groupBy("x")
         .agg(F.coalesce(F.sum("_y"), F.lit(0)).alias("y"))
-        .orderBy("x")
     )
+    return out.orderBy("x") if ordered else out
 
 
 def bar(df: DataFrame, x: str, y: str | None = None, k: int = 10) -> DataFrame:
@@ -94,7 +98,8 @@ def _bounds(df: DataFrame, x: str) -> tuple[float | None, float | None]:
     return r["lo"], r["hi"]
 
 
-def histogram(df: DataFrame, x: str, bins: int = HIST_BINS, keep_empty: bool = False) -> DataFrame:
+def histogram(df: DataFrame, x: str, bins: int = HIST_BINS, keep_empty: bool = False,
+              ordered: bool = True) -> DataFrame:
     """``bins`` equal-width bins over [min, max], the last bin closed.
 
     One bin when min = max. Numeric x gives ``(bin, bin_lo, bin_hi, count)``; text x is
@@ -103,7 +108,8 @@ def histogram(df: DataFrame, x: str, bins: int = HIST_BINS, keep_empty: bool = F
     """
     dt = df.schema[x].dataType
     if not isinstance(dt, T.NumericType):
-        return value_frequencies(df, x).orderBy("x")
+        counts = value_frequencies(df, x, ordered=False)
+        return counts.orderBy("x") if ordered else counts
     lo, hi = _bounds(df, x)
     schema = "bin int, bin_lo double, bin_hi double, count bigint"
     if lo is None:
@@ -134,7 +140,7 @@ def histogram(df: DataFrame, x: str, bins: int = HIST_BINS, keep_empty: bool = F
         )
         out = allbins.join(out.select("bin", "count"), "bin", "left").select(
             "bin", "bin_lo", "bin_hi", F.coalesce("count", F.lit(0)).alias("count"))
-    return out.orderBy("bin")
+    return out.orderBy("bin") if ordered else out
 
 
 def scatter(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -257,14 +263,14 @@ def pie(df: DataFrame, x: str, y: str | None = None, k: int = 8, by: str = "key"
     return base.select("x", "y", F.try_divide(F.col("y").cast("double"), total.cast("double")).alias("share"))
 
 
-def funnel(df: DataFrame, x: str, y: str) -> DataFrame:
+def funnel(df: DataFrame, x: str, y: str, ordered: bool = True) -> DataFrame:
     """sum(y) per x, largest first, no limit."""
-    return (
+    out = (
         df.where(_q(x).isNotNull())
         .groupBy(_q(x).alias("x"))
         .agg(F.coalesce(F.sum(_q(y)), F.lit(0)).alias("y"))
-        .orderBy(F.desc("y"), F.asc("x"))
     )
+    return out.orderBy(F.desc("y"), F.asc("x")) if ordered else out
 
 
 def preview(df: DataFrame, order_by: list[str] | None = None, n: int = 5) -> DataFrame:

@@ -180,7 +180,11 @@ def _tidy(name: str, kind: str, rank: int, df: DataFrame, x, x2, y, y2) -> DataF
 
 
 def chart_table(df: DataFrame, chart: dict) -> tuple[DataFrame | None, str, DataFrame]:
-    """One chart spec to ``(table, status, df)``; ``df`` may gain a product column."""
+    """One chart spec to ``(table, status, df)``; ``df`` may gain a product column.
+
+    The tables feed the tidy panel union, where row order is not kept, so charts whose
+    order is only presentation (time series, histogram, funnel) skip their global sort;
+    top-k charts keep the bounded ``orderBy().limit()`` that picks their rows."""
     kind = chart.get("type") or "bar"
     x = chart.get("x_column") or ""
     y = chart.get("y_column") or ""
@@ -202,11 +206,11 @@ def chart_table(df: DataFrame, chart: dict) -> tuple[DataFrame | None, str, Data
                 return None, f"column {y!r} not found", df
             y = alt
     if kind == "time_series":
-        return C.time_series(df, x, y), "ok", df
+        return C.time_series(df, x, y, ordered=False), "ok", df
     if kind == "bar":
         return C.bar(df, x, y or None), "ok", df
     if kind == "histogram":
-        return C.histogram(df, x), "ok", df
+        return C.histogram(df, x, ordered=False), "ok", df
     if kind == "scatter":
         return C.scatter(df, x, y), "ok", df
     if kind == "heatmap":
@@ -215,7 +219,7 @@ def chart_table(df: DataFrame, chart: dict) -> tuple[DataFrame | None, str, Data
     if kind == "pie":
         return C.pie(df, x, y or None), "ok", df
     if kind == "funnel":
-        return C.funnel(df, x, y), "ok", df
+        return C.funnel(df, x, y, ordered=False), "ok", df
     return C.preview(df), "preview", df
 
 
