@@ -62,3 +62,8 @@ def test_frequency_table_partial_aggregation(spark, sf_dir):
     # values are grouped map-side before the shuffle, and numbers are never cast to text
     assert plan.count("HashAggregate(keys=[pos") >= 2
     assert "cast(event_id" not in plan.replace("cast(event_id#", "")  # no string cast of ids
+
+
+def test_panels_carry_no_global_sort(spark, sf_dir):
+    plan = _plan(E.queries()["auto_dashboard"](spark, sf_dir))
+    assert "rangepartitioning" not in plan and "Sort [" not in plan
