@@ -187,12 +187,13 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     schema = "col_x string, col_y string, corr double"
     if len(cols) < 2:
         return spark.createDataFrame([], schema)
-    st = df.agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[e for i, c in enumerate(cols) for e in (
-            F.count(_q(c)).alias(f"n{i}"), F.min(_q(c)).cast("double").alias(f"lo{i}"),
-            F.max(_q(c)).cast("double").alias(f"hi{i}"))],
-    ).first()
+    # count / min / max per column, also packed under the field budget (3 fields a column)
+    stat_exprs = [F.count(F.lit(1)).alias("_n")] + [e for i, c in enumerate(cols) for e in (
+        F.count(_q(c)).alias(f"n{i}"), F.min(_q(c)).cast("double").alias(f"lo{i}"),
+        F.max(_q(c)).cast("double").alias(f"hi{i}"))]
+    st: dict = {}
+    for j in range(0, len(stat_exprs), FIELD_BUDGET):
+        st.update(df.agg(*stat_exprs[j:j + FIELD_BUDGET]).first().asDict())
     if not st["_n"]:
         return spark.createDataFrame([], schema)
     full = {c for i, c in enumerate(cols) if st[f"n{i}"] == st["_n"]}

@@ -246,3 +246,16 @@ def test_grouped_median_exact_with_hot_group(spark):
         assert math.isclose(got[k], want[k], abs_tol=1e-12), k
     via_kpi = {r["key"]: r["value"] for r in grouped_kpi(df, "df.groupby('k')['v'].median()").collect()}
     assert via_kpi == got
+
+
+def test_correlation_wide_table(spark):
+    # 40 numeric columns: the statistics and pair aggregates are split under the field budget
+    base = spark.range(200).select((F.col("id") * 1.0).alias("x"))
+    cols = [(F.col("x") * (i + 1) + F.lit(i) * F.sin(F.col("x") * (i + 1))).alias(f"c{i}") for i in range(40)]
+    wide = base.select(*cols)
+    got = {(r["col_x"], r["col_y"]): r["corr"] for r in C.correlation(wide).collect()}
+    assert len(got) == 40 * 40
+    pdf = wide.toPandas()
+    ref = pdf.corr()
+    for a, b in [("c0", "c1"), ("c5", "c39"), ("c12", "c30")]:
+        assert math.isclose(got[(a, b)], ref.loc[a, b], rel_tol=1e-9, abs_tol=1e-12)
