@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import quality
+from quarry.llm import quality, tokens
 
 QUERIES = {
+    "op3_token_counts": tokens.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
 }
 
