@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import quality, tokens
+from quarry.llm import packing, quality, tokens
 
 QUERIES = {
     "op3_token_counts": tokens.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 #: Queries without a twin here are tested against brute force in ``tests/llm``.
