@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import packing, quality, tokens
+from quarry.llm import packing, pii, quality, secrets, tokens
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_secrets": secrets.op2_secrets,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
