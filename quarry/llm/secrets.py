@@ -70,19 +70,21 @@ def _looks_generated(value: Column) -> Column:
     return (chars >= 9) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(_FAKE)
 
 
+def _kind_spans(text: Column, k: Kind) -> Column:
+    found = pattern_spans(text, k.name, k.pattern, k.guard(text))
+    if k.least:
+        found = F.filter(found, lambda s: F.length(k.value(s["match"])) >= k.least)
+    return F.transform(found, lambda s: F.struct(
+        s["start"].alias("start"), F.lit(_LISTED[k.name]).alias("listed"), s["kind"].alias("kind"), s["end"].alias("end"),
+        F.sha2(k.value(s["match"]), 256).alias("value_hash"), _looks_generated(k.value(s["match"])).alias("generated"),
+    ))
+
+
 def find_secrets(df: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
     """``df`` with its candidates: array<struct<start, listed, kind, end, value_hash, generated>>
     by start, then kind as listed. The value itself is not kept."""
     text = common.col(text_col)
-    cols = {}
-    for k in KINDS:
-        found = pattern_spans(text, k.name, k.pattern, k.guard(text))
-        if k.least:
-            found = F.filter(found, lambda s, k=k: F.length(k.value(s["match"])) >= k.least)
-        cols[common.free_name(df, f"{k.name}_spans")] = F.transform(found, lambda s, k=k: F.struct(
-            s["start"].alias("start"), F.lit(_LISTED[k.name]).alias("listed"), s["kind"].alias("kind"), s["end"].alias("end"),
-            F.sha2(k.value(s["match"]), 256).alias("value_hash"), _looks_generated(k.value(s["match"])).alias("generated"),
-        ))
+    cols = {common.free_name(df, f"{k.name}_spans"): _kind_spans(text, k) for k in KINDS}
     return df.withColumns(cols).withColumn(out, F.array_sort(F.concat(*map(common.col, cols)))).drop(*cols)
 
 
@@ -134,6 +136,10 @@ def judge_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return joined.select(F.col("id").alias(id_col), F.coalesce("spans", F.array().cast(kind)).alias("spans"))
 
 
+def _is_kind(name: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == name
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document; a source is an owner, its documents of one language a
     repository."""
@@ -145,7 +151,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda test: F.size(F.filter("spans", test)).cast("long")
     return judged.select(
         "doc_id",
-        *(count(lambda s, k=k: s["kind"] == k).alias(f"n_{k}") for k in BASE),
+        *(count(_is_kind(k)).alias(f"n_{k}") for k in BASE),
         F.sha2(text(base), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"),
         F.array_join(F.transform("spans", lambda s: s["verdict"]), ",").alias("verdicts"),
