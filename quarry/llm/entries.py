@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from quarry.llm import packing, pii, quality, secrets, tokens
+from quarry.llm import packing, pii, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_secrets": secrets.op2_secrets,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_url_filters": urls.op5_url_filters,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 #: Queries without a twin here are tested against brute force in ``tests/llm``.
 ORACLES = {
     "op4_quality_rules": quality.ORACLE,
+    "op5_url_filters": urls.ORACLE,
 }
