@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import packing, pii, quality, secrets, tokens, urls
+from quarry.llm import dedup, packing, pii, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_counts": tokens.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_url_filters": urls.op5_url_filters,
+    "op8_minhash_near_dedup": dedup.op8_minhash_near_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
@@ -17,4 +18,5 @@ QUERIES = {
 ORACLES = {
     "op4_quality_rules": quality.ORACLE,
     "op5_url_filters": urls.ORACLE,
+    "op8_minhash_near_dedup": dedup.ORACLE,
 }

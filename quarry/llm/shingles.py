@@ -82,8 +82,9 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     size = min(size, n)
     acc = np.full(n - size + 1, U(size), np.uint64)
     for j in range(size):
-        acc = mix(acc * U(0x9E3779B97F4A7C15) + words[j : n - size + 1 + j])
-    return acc
+        acc *= U(0x9E3779B97F4A7C15)
+        acc += words[j : n - size + 1 + j]
+    return mix(acc)
 
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
@@ -102,6 +103,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
+_ROUNDS = np.arange(4097, dtype=np.uint64) * U(0xC2B2AE3D27D4EB4F)
 _SEEDS = mix(np.arange(1, 4097, dtype=np.uint64) * U(0xA0761D6478BD642F))
 
 
@@ -125,10 +127,10 @@ def fast_sketch(items: np.ndarray, t: int = 128) -> np.ndarray:
             least = np.full(t, top, np.uint64)
             np.minimum.at(least, (g & low).astype(np.intp), g >> shift)
             new = empty & (least != top)
-            out[new] = mix(least[new] + U(r) * U(0xC2B2AE3D27D4EB4F))
+            out[new] = mix(least[new] + _ROUNDS[r])
             empty &= ~new
         elif empty[r - t]:
-            out[r - t] = mix(g.min() + U(r) * U(0xC2B2AE3D27D4EB4F))
+            out[r - t] = mix(g.min(keepdims=True) + _ROUNDS[r : r + 1])[0]
             empty[r - t] = False
         if not empty.any():
             break
