@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import dedup, packing, pii, quality, secrets, tokens, urls
+from quarry.llm import dedup, mixing, packing, pii, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_url_filters": urls.op5_url_filters,
     "op8_minhash_near_dedup": dedup.op8_minhash_near_dedup,
+    "op9_source_mixing": mixing.op9_source_mixing,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
@@ -19,4 +20,5 @@ ORACLES = {
     "op4_quality_rules": quality.ORACLE,
     "op5_url_filters": urls.ORACLE,
     "op8_minhash_near_dedup": dedup.ORACLE,
+    "op9_source_mixing": mixing.ORACLE,
 }
