@@ -15,17 +15,22 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import string
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
 FILE = "word_bpe_49k.json"
 #: Distinct pretokens remembered by a worker; beyond it the memory starts anew. It bounds
 #: memory only: what is forgotten is computed again.
-MEMORY = 500_000
+MEMORY = 800_000
 
 
 def _alphabet() -> list[str]:
@@ -35,12 +40,26 @@ def _alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-_UNASSIGNED = regex.compile(r"\p{Cn}")
+_MARKS = frozenset(string.punctuation)
 #: Separators that Python takes for white space and Unicode does not.
 _ODD = regex.compile(r"[\x1c-\x1f]")
 _GAPS = regex.compile(r"\p{White_Space}+", regex.V1)
 
 
+@cache
+def _unassigned() -> re.Pattern:
+    """Any character that Python's Unicode tables do not assign."""
+    ranges, start = [], None
+    for i in range(0x80, 0x110001):
+        lacking = i < 0x110000 and unicodedata.category(chr(i)) == "Cn"
+        if lacking and start is None:
+            start = i
+        elif not lacking and start is not None:
+            ranges.append(f"\\U{start:08x}-\\U{i - 1:08x}")
+            start = None
+    return re.compile("[" + "".join(ranges) + "]")
+
+
 def _split(text: str) -> list[str]:
     """The runs of characters between Unicode white space."""
     return [x for x in _GAPS.split(text) if x] if _ODD.search(text) else text.split()
@@ -106,8 +125,8 @@ class Rules:
 
     def beyond(self, segment: str) -> bool:
         """Whether it holds characters that Python's Unicode tables lack; the library may
-        know a later version, so ``library_words`` cuts such a text."""
-        return not segment.isascii() and _UNASSIGNED.search(segment) is not None
+        know a later version, and then ``library_words`` cuts such a text."""
+        return not segment.isascii() and _unassigned().search(segment) is not None
 
     def library_words(self, segment: str) -> list[str]:
         if self._library is None:
@@ -116,6 +135,15 @@ class Rules:
         words = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(segment))
         return [bytes(map(self._bytes.__getitem__, w)).decode() for w, _ in words]
 
+    def parts(self, chunk: str) -> list[str]:
+        """The pretokens of a chunk. A run of letters, with or without one mark after it, is
+        what nearly all chunks are; the file's pattern cuts the rest."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in _MARKS and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.cut(chunk)
+
     def symbols(self, word: str) -> list[str]:
         """A pretoken's initial symbols: one per UTF-8 byte, the last with the word-end suffix."""
         out = [self.letters[b] for b in word.encode("utf-8")]
@@ -161,21 +189,64 @@ def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return n - merges
 
 
+def numbered(chunks: list[str]) -> tuple[np.ndarray, list[str]]:
+    """For each chunk the number of its text among the distinct texts, and these."""
+    coded = pa.array(chunks, pa.large_string()).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+#: Characters of text whose chunks are looked up together.
+TOGETHER = 1 << 22
+
+
+def grouped(texts: Iterable[str | None], size: int = TOGETHER) -> Iterator[list[str]]:
+    """Texts in lists of about ``size`` characters; null is an empty text."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t or "")
+        n += len(held[-1])
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 class WordCounter:
     """Counts the tokens of whole texts."""
 
     def __init__(self, path: str | None = None, memory: int = MEMORY):
-        rules = self.rules = Rules(path)
-        self._word = Memo(lambda w: merge_count(rules.symbols(w), rules.ranks), memory).__getitem__
-        self._chunk = Memo(lambda c: sum(map(self._word, rules.cut(c))), memory).__getitem__
+        self.rules = Rules(path)
+        self._of = Memo(self._chunk, memory).__getitem__
+        self._word = Memo(self._merged, memory).__getitem__
+
+    def _merged(self, word: str) -> int:
+        return merge_count(self.rules.symbols(word), self.rules.ranks)
+
+    def _chunk(self, chunk: str) -> int:
+        parts = self.rules.parts(chunk)
+        return self._merged(chunk) if len(parts) == 1 else sum(map(self._word, parts))
+
+    def counts(self, texts: Iterable[str | None]) -> Iterator[int]:
+        """The number of tokens of each text in turn."""
+        rules = self.rules
+        for some in grouped(texts):
+            chunks: list[str] = []
+            ends, more = [], []  # where a text's chunks end; tokens besides its chunks
+            for t in some:
+                parts = rules.segments(t)
+                besides = len(parts) // 2
+                for p in parts[::2]:
+                    if rules.beyond(p):
+                        besides += sum(map(self._word, rules.library_words(p)))
+                    else:
+                        chunks += rules.chunks(p)
+                ends.append(len(chunks))
+                more.append(besides)
+            codes, distinct = numbered(chunks)
+            each = np.fromiter(map(self._of, distinct), np.int64, len(distinct))
+            sums = np.concatenate(([0], np.cumsum(each[codes])))[[0, *ends]]
+            yield from (np.diff(sums) + np.array(more, np.int64)).tolist()
 
     def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        parts = self.rules.segments(text)
-        return sum(map(self._segment, parts[::2])) + len(parts) // 2
-
-    def _segment(self, segment: str) -> int:
-        if self.rules.beyond(segment):
-            return sum(map(self._word, self.rules.library_words(segment)))
-        return sum(map(self._chunk, self.rules.chunks(segment)))
+        return next(self.counts([text]))

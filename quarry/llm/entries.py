@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import dedup, langid, mixing, packing, pii, quality, secrets, tokens, urls
+from quarry.llm import ann, dedup, langid, mixing, packing, pii, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_url_filters": urls.op5_url_filters,
     "op8_minhash_near_dedup": dedup.op8_minhash_near_dedup,
     "op9_source_mixing": mixing.op9_source_mixing,
+    "op6_vantage_point_ann": ann.op6_vantage_point_ann,
     "op7_language_id": langid.op7_language_id,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }

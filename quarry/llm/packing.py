@@ -19,9 +19,12 @@ table gives no piece; only the id and text columns are read.
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,34 +44,98 @@ _STRIDE = 1 << 32
 
 
 class WordIds:
-    """The library's token ids of a text, as little-endian 32-bit bytes, remembered by the
-    runs of characters between white space (which no pretoken crosses)."""
+    """The library's token ids of texts, as little-endian 32-bit bytes.
+
+    Texts are cut into the runs of characters between white space, which no pretoken crosses.
+    Pretokens not met before go through the library's model together; where each chunk's ids
+    start in one array is remembered up to a bound, beyond which the memory starts anew.
+    """
 
     def __init__(self, path: str | None = None, memory: int = bpe.MEMORY):
         rules = self.rules = bpe.Rules(path)
-        self.library = Tokenizer.from_file(rules.path)
-        self.special = {k: self._pack([v]) for k, v in rules.special.items()}
-        self._word = bpe.Memo(self._word_ids, memory).__getitem__
-        self._chunk = bpe.Memo(lambda c: b"".join(map(self._word, rules.cut(c))), memory).__getitem__
+        with open(rules.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.library = Tokenizer.from_str(json.dumps(spec))
+        # the same model over words already normalized and cut
+        self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self.alphabet = {b: c for b, c in enumerate(rules.letters) if b != 0x20}
+        self.most = memory
+        self._forget()
+
+    def _forget(self) -> None:
+        self.row: dict[str, int] = {}
+        self.at = np.zeros(1, np.int64)  # where each row's ids start; one more for the end
+        self.flat = np.zeros(0, "<u4")
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Append the ids of chunks that have no row yet."""
+        parts = [self.rules.parts(c) for c in chunks]
+        words = list(dict.fromkeys(chain.from_iterable(parts)))
+        found = self.words.encode(" ".join(words).encode("utf-8").decode("latin-1").translate(self.alphabet), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        size = np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+        place = dict(zip(words, range(len(words))))
+        which = np.fromiter((place[w] for p in parts for w in p), np.int64)
+        of_chunk = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat, ends = _gather(ids, np.cumsum(size) - size, size, which)
+        self.flat = np.concatenate((self.flat, flat))
+        self.at = np.concatenate((self.at, self.at[-1] + ends[np.cumsum(of_chunk) - 1]))
+        first = len(self.row)
+        self.row.update(zip(chunks, range(first, first + len(chunks))))
+
+    def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text in turn."""
+        for some in bpe.grouped(texts):
+            yield from self._together(some)
+
+    def _together(self, texts: list[str]) -> Iterator[bytes]:
+        rules = self.rules
+        chunks: list[str] = []
+        plan: list[list[int | bytes]] = []  # per text: ids as they are, or the number of chunks that follow
+        for t in texts:
+            steps: list[int | bytes] = []
+            for i, p in enumerate(rules.segments(t)):
+                if i % 2:
+                    steps.append(_pack([rules.special[p]]))
+                elif rules.beyond(p):
+                    steps.append(_pack(self.library.encode(p, add_special_tokens=False).ids))
+                else:
+                    own = rules.chunks(p)
+                    chunks += own
+                    steps.append(len(own))
+            plan.append(steps)
+        codes, distinct = bpe.numbered(chunks)
+        new = [c for c in distinct if c not in self.row]
+        if self.row and len(self.row) + len(new) > self.most:
+            self._forget()
+            new = distinct
+        if new:
+            self._learn(new)
+        rows = np.fromiter(map(self.row.__getitem__, distinct), np.int64, len(distinct))[codes]
+        flat, ends = _gather(self.flat, self.at[:-1], np.diff(self.at), rows)
+        data, ends, done, at = flat.tobytes(), np.concatenate(([0], ends)) * 4, 0, 0
+        for steps in plan:
+            out = []
+            for step in steps:
+                if isinstance(step, bytes):
+                    out.append(step)
+                else:
+                    done += step
+                    end = int(ends[done])
+                    out.append(data[at:end])
+                    at = end
+            yield b"".join(out)
 
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
 
-    def _word_ids(self, word: str) -> bytes:
-        letters = self.rules.letters
-        return self._pack([t.id for t in self.library.model.tokenize("".join(letters[b] for b in word.encode("utf-8")))])
+def _pack(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
-    def _segment(self, segment: str) -> bytes:
-        if self.rules.beyond(segment):
-            return self._pack(self.library.encode(segment, add_special_tokens=False).ids)
-        return b"".join(map(self._chunk, self.rules.chunks(segment)))
 
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts = self.rules.segments(text)
-        return b"".join(self.special[p] if i % 2 else self._segment(p) for i, p in enumerate(parts))
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of ``flat`` that ``which`` names, end to end, and where each ends."""
+    size = sizes[which]
+    ends = np.cumsum(size)
+    return flat[np.repeat(starts[which] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
 
 @cache
@@ -93,8 +160,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         ids = _word_ids(path).ids
         step = 4 * capacity
         out = []
-        for t in texts:
-            data = memoryview(ids(t) + end)
+        for found in ids(texts):
+            data = memoryview(found + end)
             out.append([
                 {"piece": k, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
                 for k, at in enumerate(range(0, len(data), step)) if (part := data[at : at + step])
@@ -111,9 +178,8 @@ def token_ids(text, path: str | None = None, end_id: int = END_ID):
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        of = _word_ids(path).ids
         end = end_id.to_bytes(4, "little")
-        return pd.Series([np.frombuffer(of(t) + end, "<i4") for t in texts])
+        return pd.Series([np.frombuffer(found + end, "<i4") for found in _word_ids(path).ids(texts)])
 
     return ids(text)
 

@@ -31,8 +31,7 @@ def token_count(text: Column, path: str | None = None) -> Column:
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        of = _counter(path).count
-        return pd.Series([of(t) for t in texts], dtype="int64")
+        return pd.Series(list(_counter(path).counts(texts)), dtype="int64")
 
     return count(text)
 
