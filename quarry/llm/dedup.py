@@ -8,8 +8,8 @@ components without ever listing the pairs of a group:
 
 1. every member of a band bucket is compared with the bucket's least member only; the
    minimum is pre-aggregated and joined back, so a hot bucket is a skewed join;
-2. classes connected by buckets form a family, verified links form groups within it. Where a
-   family has several groups left, its classes are dealt into blocks of bounded bytes by set
+2. classes connected by buckets form a family, and those verified against one hub a group
+   within it. Where a family has several groups, its classes are dealt into blocks of bounded bytes by set
    size, and pairs of blocks whose sizes allow a link compare their members across groups,
    inside the task, by sketch first and full set next. Only links that join groups come out.
 
@@ -121,8 +121,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Data
     if nodes.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     held = docs.select(common.col(id_col).alias("v"), common.col(text_col).alias("t")).join(wanted, "v", "left_semi")
-    found = held.select("v", _full_set(F.col("t")).alias("s")).select("v", "s.*").filter("n > 0")
-    return common.saved(found)
+    # filtered only after the checkpoint: a filter on the function's result would otherwise
+    # move below the join, and the function with it to every document
+    return common.saved(held.select("v", _full_set(F.col("t")).alias("s")).select("v", "s.*")).filter("n > 0")
 
 
 def _star_links(stars: DataFrame, sets: DataFrame) -> DataFrame:
@@ -137,8 +138,10 @@ def _star_links(stars: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _family_links(families: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
     """Links across the groups that are left within a family, as (a, b)."""
-    groups = components(links)
-    held = families.join(groups.withColumnRenamed("component", "grp"), "node", "left").select("node", F.col("component").alias("family"), F.coalesce("grp", "node").alias("grp"))
+    # a group by first links alone, not closed: classes of one group are linked, and those of
+    # one component in different groups are joined in the tasks
+    groups = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("grp"))
+    held = families.join(groups, "node", "left").select("node", F.col("component").alias("family"), F.coalesce("grp", "node").alias("grp"))
     # a family of two was settled by its star; one of a single group needs nothing more
     open_ = held.groupBy("family").agg(F.count("*").alias("n"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("n > 2 and lo < hi").select("family")
     # sizes of linked sets differ by at most 4/3, so by at most one level

@@ -13,7 +13,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+_BYTE = np.random.default_rng(20240229).integers(1, 2**63, (2, 256), dtype=np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 2**64)
 #: Texts are hashed in runs of so many bytes, so the power tables stay small.
@@ -49,8 +49,10 @@ def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
     return span_hashes(data, starts, ends)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each byte span; equal bytes give equal hashes wherever they stand."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Polynomial hash of each byte span; equal bytes give equal hashes wherever they stand.
+    The spans are in order; ``salt`` 0 and 1 give two independent hashes."""
+    byte = _BYTE[salt]
     out = np.zeros(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -60,14 +62,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         if int(high[-1]) <= _RUN:
             n = int(high[-1])
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[data[base : base + n]] * _POW[:n], dtype=np.uint64, out=sums[1:])
+            np.cumsum(byte[data[base : base + n]] * _POW[:n], dtype=np.uint64, out=sums[1:])
             out[at:stop] = (sums[high] - sums[low]) * _POW_INV[low]
         else:  # one word longer than a run: fold its pieces
             n, h, scale = int(high[0]), 0, 1
             step = pow(_BASE, _RUN, 2**64)
             for i in range(0, n, _RUN):
                 piece = data[base + i : base + min(n, i + _RUN)]
-                h = (h + int(np.sum(_BYTE[piece] * _POW[: len(piece)], dtype=np.uint64)) * scale) % 2**64
+                h = (h + int(np.sum(byte[piece] * _POW[: len(piece)], dtype=np.uint64)) * scale) % 2**64
                 scale = scale * step % 2**64
             out[at] = h
         at = stop
@@ -108,7 +110,8 @@ _SEEDS = mix(np.arange(1, 4097, dtype=np.uint64) * U(0xA0761D6478BD642F))
 
 
 def fast_sketch(items: np.ndarray, t: int = 128) -> np.ndarray:
-    """Fast similarity sketch of a non-empty set of hashes: ``t`` coordinates (``t`` a power of two).
+    """Fast similarity sketch of a set of hashes: ``t`` coordinates (``t`` a power of two), all
+    zero for the empty set.
 
     Round ``r < t`` throws every item into a hashed bin with a hashed value; a bin keeps the
     least value of the first round that reaches it. Round ``t + j`` throws every item into bin
@@ -119,6 +122,8 @@ def fast_sketch(items: np.ndarray, t: int = 128) -> np.ndarray:
     shift = U(t.bit_length() - 1)
     low = U(t - 1)
     out = np.zeros(t, np.uint64)
+    if not len(items):
+        return out
     empty = np.ones(t, bool)
     top = U(0xFFFFFFFFFFFFFFFF)
     for r in range(2 * t):
