@@ -24,23 +24,22 @@ def normalize_names(names: list[str]) -> tuple[list[str], dict[str, str]]:
 
 
 def resolve_column(target: str | None, columns: list[str]) -> str | None:
-    """Find a column for a name from a plan.
+    """The column that a plan's name means: the best-ranked candidate, None without one.
 
-    Case-insensitive equality first, then a substring either way (first column wins), then
-    the synonym list; None when nothing fits.
+    Candidates rank by kind of match (equal but for case, one name within the other, holding
+    a synonym), synonyms by their order, then columns by their position.
     """
-    if not target:
+    wanted = (target or "").lower()
+    if not wanted:
         return None
-    t = target.lower()
-    for c in columns:
-        if c.lower() == t:
-            return c
-    for c in columns:
-        cl = c.lower()
-        if t in cl or cl in t:
-            return c
-    for alt in COLUMN_SYNONYMS.get(t, []):
-        for c in columns:
-            if alt in c.lower():
-                return c
-    return None
+    synonyms = COLUMN_SYNONYMS.get(wanted, [])
+
+    def ranked(place: int, name: str):
+        if name == wanted:
+            yield 0, 0, place
+        if wanted in name or name in wanted:
+            yield 1, 0, place
+        yield from ((2, order, place) for order, s in enumerate(synonyms) if s in name)
+
+    best = min((r for place, c in enumerate(columns) for r in ranked(place, c.lower())), default=None)
+    return None if best is None else columns[best[-1]]

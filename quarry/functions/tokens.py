@@ -38,5 +38,3 @@ CARDINALITY_LOW_MAX = 10
 CARDINALITY_MEDIUM_MAX = 100
 
 # Chart and filter kinds.
-CHART_TYPES = ["time_series", "bar", "histogram", "scatter", "heatmap", "pie", "funnel"]
-FILTER_TYPES = ["date", "multiselect", "slider", "selectbox"]

@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from quarry.functions.names import resolve_column
 from quarry.functions.parse import parse_datetime
@@ -26,7 +27,6 @@ DATE_DEFAULT_DAYS = 90
 MULTISELECT_MAX_OPTIONS = 100
 MULTISELECT_DEFAULT_COUNT = 5
 SELECTBOX_MAX_OPTIONS = 50
-SEMI_JOIN_MIN_VALUES = 1000
 ALL = "All"
 
 
@@ -103,19 +103,6 @@ def in_predicate(column: str, selected: list) -> Column | None:
     return _q(column).isin(list(selected))
 
 
-def apply_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
-    """F3 for selections too long to inline: a left-semi join against the value table.
-
-    The value table is broadcast only under a checked size bound; beyond it Spark's own
-    join selection (with AQE) decides.
-    """
-    n = values.count()
-    vals = values.select(F.col(values.columns[0]).alias("__v")).distinct()
-    if n <= 1_000_000:
-        vals = F.broadcast(vals)
-    return df.join(vals, _q(column) == F.col("__v"), "left_semi")
-
-
 # -- F5 / F6: slider -------------------------------------------------------------
 
 def slider_bounds(df: DataFrame, column: str) -> tuple[float | None, float | None]:
@@ -209,8 +196,8 @@ def build_filter(df: DataFrame, spec: dict, selection=_UNSET) -> FilterState:
 def apply_filters(df: DataFrame, specs: list[dict], selections: dict | None = None) -> tuple[DataFrame, list[FilterState]]:
     """all filters in descending importance (stable), ANDed into one ``where``.
 
-    Options and bounds come from ``df`` unfiltered. A filter that fails to build is
-    skipped, as in the reference. ``selections`` maps a filter name to its chosen value;
+    Options and bounds come from ``df`` unfiltered. A filter whose spec does not fit the
+    table is skipped, as in the reference; a failed job is an error. ``selections`` maps a filter name to its chosen value;
     ``{}`` keeps the defaults. Reset = use ``df`` itself.
     """
     selections = selections or {}
@@ -220,7 +207,7 @@ def apply_filters(df: DataFrame, specs: list[dict], selections: dict | None = No
         sel = selections.get(spec.get("name"), _UNSET)
         try:
             st = build_filter(df, spec, sel)
-        except Exception as e:  # noqa: BLE001 - a broken filter is skipped, never fatal
+        except (AnalysisException, ValueError, TypeError) as e:  # a spec that does not fit; failed jobs rise
             st = FilterState(name=spec.get("name") or "Filter", column=spec.get("column"),
                              type=spec.get("type") or "", status=f"skipped: {type(e).__name__}")
         states.append(st)

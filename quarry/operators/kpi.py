@@ -81,7 +81,7 @@ def kpis(df: DataFrame, kpi_specs: list[dict]) -> tuple[DataFrame, DataFrame]:
         row = df.agg(*scalar_exprs)
         cells = []
         for rank, name, formula, alias, status in meta:
-            v = F.col(alias) if alias else F.lit(None).cast("double")
+            v = (F.col(alias) if alias else F.lit(None)).cast("double")
             cells.append(F.struct(
                 F.lit(rank).alias("rank"), F.lit(name).alias("name"), F.lit(formula).alias("formula"),
                 v.alias("value"), F.lit(status).alias("status")))

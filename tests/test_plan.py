@@ -60,9 +60,9 @@ def test_recorded_plan_runs(spark, sf_dir):
                     {"name": "Status", "column": "o_orderstatus", "type": "multiselect", "importance": 9}],
     }
     db = run_plan(o, plan)
-    assert db.chart_status["Odd"] == "preview" and db.chart_status["Gone"].startswith("column")
+    assert db.chart_status["Odd"] == "preview" and db.chart_status["Gone"].startswith("error: no column")
     kinds = {r["kind"] for r in db.panels().select("kind").distinct().collect()}
-    assert kinds == {"time_series", "pie", "histogram", "preview"}
+    assert kinds == {"time_series", "pie", "histogram", "preview", "error"}
     shares = db.charts["Pie"].agg({"y2": "sum"}).first()[0]
     assert abs(shares - 1.0) < 1e-9
     hist = db.charts["Hist"].agg({"y": "sum"}).first()[0]
