@@ -108,6 +108,8 @@ def _aggregate(fn: str, expr: Column, mask: Column | None, dtype: T.DataType) ->
         expr = expr.cast("long")
     x = expr if mask is None else F.when(mask, expr)
     if fn == "sum":
+        if isinstance(dtype, T.IntegralType):
+            x = x.cast("decimal(19,0)")  # no total overflows
         return F.coalesce(F.sum(x), F.lit(0))
     if fn == "mean":
         return F.avg(x)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.missing import without_nan
 from quarry.functions.parse import parse_datetime
 
 HIST_BINS = 20
@@ -24,6 +25,13 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def total(df: DataFrame, y: str) -> Column:
+    """``sum(y)``, 0 for no value; whole numbers add up as decimals, so no total overflows."""
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    v = _q(y).cast("decimal(19,0)") if isinstance(df.schema[y].dataType, whole) else _q(y)
+    return F.coalesce(F.sum(v), F.lit(0))
+
+
 def _as_time(df: DataFrame, x: str) -> Column:
     """A datetime view of ``x``: typed columns as they are, text parsed leniently."""
     dt = df.schema[x].dataType
@@ -68,26 +76,27 @@ def time_series(df: DataFrame, x: str, y: str, grain: str | None = None, ordered
     ``grain`` (``day``, ``week``, ``month``, ...) truncates x before grouping, which keeps the
     output small when x is a raw event time.
     """
+    df = without_nan(df, [y])
     t = _as_time(df, x)
     if grain:
         t = truncate_time(t, grain)
     out = (
-        df.select(t.alias("x"), _q(y).alias("_y"))
-        .where(F.col("x").isNotNull())
-        .groupBy("x")
-        .agg(F.coalesce(F.sum("_y"), F.lit(0)).alias("y"))
+        df.where(t.isNotNull())
+        .groupBy(t.alias("x"))
+        .agg(total(df, y).alias("y"))
     )
     return out.orderBy("x") if ordered else out
 
 
 def bar(df: DataFrame, x: str, y: str | None = None, k: int = 10) -> DataFrame:
     """Top-k of count per x (no y) or of sum(y) per x. Ties keep the smaller key."""
+    df = without_nan(df, [c for c in (x, y) if c])
     if not y:
         return value_frequencies(df, x, k).withColumnRenamed("count", "y")
     return (
         df.where(_q(x).isNotNull())
         .groupBy(_q(x).alias("x"))
-        .agg(F.coalesce(F.sum(_q(y)), F.lit(0)).alias("y"))
+        .agg(total(df, y).alias("y"))
         .orderBy(F.desc("y"), F.asc("x"))
         .limit(k)
     )
@@ -106,6 +115,7 @@ def histogram(df: DataFrame, x: str, bins: int = HIST_BINS, keep_empty: bool = F
     counted per value (``x``, ``count``). The two bounds are one small aggregate; the bins
     are then a plain projection and a partial-aggregated group-by of at most ``bins`` keys.
     """
+    df = without_nan(df, [x])
     dt = df.schema[x].dataType
     if not isinstance(dt, T.NumericType):
         counts = value_frequencies(df, x, ordered=False)
@@ -145,6 +155,7 @@ def histogram(df: DataFrame, x: str, bins: int = HIST_BINS, keep_empty: bool = F
 
 def scatter(df: DataFrame, x: str, y: str) -> DataFrame:
     """Every (x, y) row of the filtered table."""
+    df = without_nan(df, [x, y])
     return df.select(_q(x).alias("x"), _q(y).alias("y"))
 
 
@@ -182,6 +193,7 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     interpreted scan). The one-row results are numbers bounded by the column count; the
     long matrix, each pair in both orders, is built from them.
     """
+    df = without_nan(df)
     cols = columns if columns is not None else numeric_columns(df)
     spark = df.sparkSession
     schema = "col_x string, col_y string, corr double"
@@ -249,27 +261,29 @@ def pie(df: DataFrame, x: str, y: str | None = None, k: int = 8, by: str = "key"
     (``by='key'``, as the reference does) or the k largest (``by='largest'``). ``share`` is
     the slice's part of the k slices shown.
     """
+    df = without_nan(df, [c for c in (x, y) if c])
     if not y:
         base = value_frequencies(df, x, k).withColumnRenamed("count", "y")
     else:
         g = (
             df.where(_q(x).isNotNull())
             .groupBy(_q(x).alias("x"))
-            .agg(F.coalesce(F.sum(_q(y)), F.lit(0)).alias("y"))
+            .agg(total(df, y).alias("y"))
         )
         order = [F.asc("x")] if by == "key" else [F.desc("y"), F.asc("x")]
         base = g.orderBy(*order).limit(k)
     # At most k rows here, so one window over all of them is cheap and bounded.
-    total = F.sum("y").over(Window.partitionBy(F.lit(0)))
-    return base.select("x", "y", F.try_divide(F.col("y").cast("double"), total.cast("double")).alias("share"))
+    whole = F.sum("y").over(Window.partitionBy(F.lit(0)))
+    return base.select("x", "y", F.try_divide(F.col("y").cast("double"), whole.cast("double")).alias("share"))
 
 
 def funnel(df: DataFrame, x: str, y: str, ordered: bool = True) -> DataFrame:
     """sum(y) per x, largest first, no limit."""
+    df = without_nan(df, [x, y])
     out = (
         df.where(_q(x).isNotNull())
         .groupBy(_q(x).alias("x"))
-        .agg(F.coalesce(F.sum(_q(y)), F.lit(0)).alias("y"))
+        .agg(total(df, y).alias("y"))
     )
     return out.orderBy(F.desc("y"), F.asc("x")) if ordered else out
 
@@ -279,8 +293,3 @@ def preview(df: DataFrame, order_by: list[str] | None = None, n: int = 5) -> Dat
     keys = order_by or [df.columns[0]]
     return df.orderBy(*[_q(k) for k in keys]).limit(n)
 
-
-def date_range(df: DataFrame, x: str) -> DataFrame:
-    """Min and max of a date column (text parsed first)."""
-    t = _as_time(df, x)
-    return df.agg(F.min(t).alias("min_x"), F.max(t).alias("max_x"))

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.missing import without_nan
 from quarry.functions.parse import datetime_shape, is_integer_text, is_number_text, parse_datetime
 from quarry.functions.tokens import BOOLEAN_WORDS, CARDINALITY_LOW_MAX, CARDINALITY_MEDIUM_MAX
 from quarry.session import spread
@@ -300,6 +301,7 @@ def profile(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Profile:
     tables too large for an exact distinct count of every column.
     """
     spark = df.sparkSession
+    df = without_nan(df)
     fields = df.schema.fields
     # the unpivot multiplies rows by columns: give a single-split input every core
     df = spread(df)
@@ -395,7 +397,3 @@ def summary(df: DataFrame, prof: Profile, metadata: dict | None = None, order_by
         "metadata": metadata or {},
     }
 
-
-def empty_profile(spark: SparkSession) -> DataFrame:
-    """The profile schema with no rows."""
-    return spark.createDataFrame([], PROFILE_SCHEMA)

@@ -1,119 +1,116 @@
 """Exact quantiles with linear interpolation, without holding a column in one task.
 
 pandas ``Series.quantile(p)`` is the value at position ``h = (n - 1) * p`` of the sorted
-non-null values, interpolated between the neighbours ``floor(h)`` and ``floor(h) + 1``.
+non-missing values, interpolated between the neighbours ``floor(h)`` and ``floor(h) + 1``.
 Spark's exact ``percentile`` keeps a map of every distinct value in a single task, which
-does not survive a 100 TB column, and ``percentile_approx`` is not exact. So the two order
-statistics are found by selection:
-
-* few distinct values (checked with ``approx_count_distinct``): one frequency table
-  ``groupBy(v).count()`` whose size is bounded by that check, with a running count over it;
-* otherwise: repeated range refinement. Each pass scans only the current value range (a
-  pushed-down filter), counts rows per equal-width bucket (a partial-aggregated group-by of
-  at most ``buckets`` keys, with the min and max per bucket), and keeps the bucket that holds
-  the wanted rank. Bucket numbering is monotone in the value, so a bucket is exactly the
-  rows between its own min and max. It stops when the range is one value or small enough
-  for the frequency-table step.
-
-Only counts and a handful of values reach the driver.
+does not survive a 100 TB column, and ``percentile_approx`` is not exact. So the order
+statistics of all wanted ranks are found together, by selection:
+
+* one scan takes the count, the extremes and a coarse grid of approximate quantiles;
+* each further scan cuts the ranges that still hold a wanted rank at their grids, counts
+  every part exactly (with its extremes and a grid of its own) and keeps the parts that hold
+  a rank. Grids follow the values, so a long tail costs no extra scans, and each grid value
+  is a part of its own, so a value that fills most of a range settles at once;
+* what is left of at most ``GATHER`` rows a range is counted by value in one last job.
+
+Ranges are pushed down as filters. Only counts, grids and the last few values reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import ensure_checkpoint_dir
 
-SMALL_DISTINCT = 1_000_000
-BUCKETS = 1024
-MAX_PASSES = 64
-
-
-def _ranks_from_frequencies(vals: DataFrame, ranks: list[int], offset: int = 0) -> dict[int, float]:
-    """Values at 0-based ``ranks`` (counted from ``offset``) in a table of few distinct values."""
-    freq = vals.groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
-    # The frequency table is bounded by the distinct-count check, so a single ordered window
-    # over it is safe.
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = freq.select("v", "cnt", F.sum("cnt").over(w).alias("cum"))
-    cond = None
-    for k in ranks:
-        kk = k - offset
-        c = (F.col("cum") - F.col("cnt") <= F.lit(kk)) & (F.lit(kk) < F.col("cum"))
-        cond = c if cond is None else (cond | c)
-    rows = cum.where(cond).select("v", "cnt", "cum").collect()
-    out: dict[int, float] = {}
-    for k in ranks:
-        kk = k - offset
-        for r in rows:
-            if r["cum"] - r["cnt"] <= kk < r["cum"]:
-                out[k] = r["v"]
-                break
-    return out
+GRID = 32
+GATHER = 20_000
+
+
+@dataclass
+class _Range:
+    """The values in ``[lo, hi]``: ``count`` of them, ``below`` smaller ones outside."""
+
+    lo: float
+    hi: float
+    below: int
+    count: int
+    grid: list[float]
+
+    def holds(self, rank: int) -> bool:
+        return self.below <= rank < self.below + self.count
+
+    def inside(self) -> Column:
+        return F.col("v").between(F.lit(self.lo), F.lit(self.hi))
 
+    def cuts(self) -> list[float]:
+        """Grid values and their lower neighbours: each grid value becomes a part."""
+        return sorted({c for g in self.grid for c in (math.nextafter(g, -math.inf), g) if self.lo <= c < self.hi})
 
-def _select_rank(vals: DataFrame, k: int, n: int, lo: float, hi: float) -> float:
-    """The k-th smallest value (0-based) of ``vals.v`` by range refinement."""
-    offset = 0  # rows strictly below the current range
-    count = n   # rows inside [lo, hi]
-    for _ in range(MAX_PASSES):
-        if lo == hi:
-            return lo
-        if count <= SMALL_DISTINCT:
-            sub = vals.where((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
-            return _ranks_from_frequencies(sub, [k], offset)[k]
-        width = (hi - lo) / BUCKETS
-        if not math.isfinite(width) or width <= 0:
-            sub = vals.where((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
-            return _ranks_from_frequencies(sub, [k], offset)[k]
-        b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(BUCKETS - 1)).cast("int")
-        rows = (
-            vals.where((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
-            .groupBy(b.alias("b"))
-            .agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-            .orderBy("b")
-            .collect()
-        )
-        seen = offset
-        for r in rows:
-            if seen + r["cnt"] > k:
-                lo, hi, count, offset = r["mn"], r["mx"], r["cnt"], seen
-                break
-            seen += r["cnt"]
-        else:  # pragma: no cover - ranks are always below n
-            raise ValueError("rank outside the data")
-    sub = vals.where((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
-    return _ranks_from_frequencies(sub, [k], offset)[k]
+
+def _grid() -> Column:
+    return F.percentile_approx("v", [(i + 0.5) / GRID for i in range(GRID)], 1000)
+
+
+def _part(number: int, r: _Range) -> Column:
+    """A row's part: the range's number, and how many cuts lie below the value."""
+    cuts = r.cuts()
+    above = reduce(lambda a, b: a + b, [(F.col("v") > F.lit(c)).cast("int") for c in cuts], F.lit(0))
+    return F.when(r.inside(), F.struct(F.lit(number).alias("range"), above.alias("part")))
+
+
+def _refined(vals: DataFrame, ranges: list[_Range]) -> list[_Range]:
+    """The parts of all ranges, counted in one scan."""
+    part = F.coalesce(*(_part(i, r) for i, r in enumerate(ranges)))
+    rows = (
+        vals.where(reduce(or_, (r.inside() for r in ranges))).groupBy(part.alias("p"))
+        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), _grid().alias("grid")).collect()
+    )
+    out, below = [], [r.below for r in ranges]
+    for row in sorted(rows, key=lambda x: tuple(x["p"])):
+        i = row["p"]["range"]
+        out.append(_Range(row["lo"], row["hi"], below[i], row["n"], row["grid"]))
+        below[i] += row["n"]
+    return out
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: list[float]) -> list[float | None]:
-    """pandas-equal quantiles (linear interpolation) of a numeric column; NULLs ignored."""
-    vals = df.select(F.col(f"`{column}`").cast("double").alias("v")).where(F.col("v").isNotNull())
-    st = vals.agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.approx_count_distinct("v").alias("nd"),
-    ).first()
+    """pandas-equal quantiles (linear interpolation) of a numeric column; NULL and NaN ignored."""
+    v = F.col(f"`{column}`").cast("double")
+    vals = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    st = vals.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), _grid().alias("grid")).first()
     n = st["n"]
     if not n:
         return [None for _ in probs]
-    pos = []
-    for p in probs:
-        h = (n - 1) * p
-        k0 = int(math.floor(h))
-        k1 = min(k0 + 1, n - 1)
-        pos.append((k0, k1, h - k0))
-    ranks = sorted({k for k0, k1, _ in pos for k in (k0, k1)})
-    if st["nd"] <= SMALL_DISTINCT:
-        got = _ranks_from_frequencies(vals, ranks)
-    else:
-        got = {k: _select_rank(vals, k, n, st["lo"], st["hi"]) for k in ranks}
+    places = [((n - 1) * p, math.floor((n - 1) * p)) for p in probs]
+    open_ranks = {min(k + d, n - 1) for _, k in places for d in (0, 1)}
+    got: dict[int, float] = {}
+    ranges = [_Range(st["lo"], st["hi"], 0, n, st["grid"])]
+    while open_ranks:
+        settled = {k: r.lo for r in ranges for k in open_ranks if r.holds(k) and r.lo == r.hi}
+        got |= settled
+        open_ranks -= settled.keys()
+        ranges = [r for r in ranges if any(map(r.holds, open_ranks))]
+        if not ranges:
+            break
+        if all(r.count <= GATHER for r in ranges):
+            rows = vals.where(reduce(or_, (r.inside() for r in ranges))).groupBy("v").agg(F.count("*").alias("n")).collect()
+            for r in ranges:
+                at = r.below
+                for row in sorted(x for x in rows if r.lo <= x["v"] <= r.hi):
+                    got |= {k: row["v"] for k in open_ranks if at <= k < at + row["n"]}
+                    at += row["n"]
+            break
+        ranges = _refined(vals, ranges)
     out = []
-    for k0, k1, frac in pos:
-        a, b = got[k0], got[k1]
-        out.append(a if a == b or frac == 0 else a + (b - a) * frac)
+    for h, k in places:
+        a, b = got[k], got[min(k + 1, n - 1)]
+        out.append(a if a == b or h == k else a + (b - a) * (h - k))
     return out
 
 

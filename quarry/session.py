@@ -63,9 +63,13 @@ def spread(df: DataFrame) -> DataFrame:
     cores (a single Parquet row group or a small text file is one task).
 
     Inputs with at least as many splits as cores, i.e. every large input, come back as they
-    are, so this never adds a shuffle at scale.
+    are, and so does everything but a plain scan: counting another plan's partitions could
+    run its shuffles.
     """
     try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        if any(word in plan for word in ("Aggregate", "Join", "Window", "Sort", "Repartition", "Distinct", "Limit", "Union")):
+            return df
         want = df.sparkSession.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the plan as is

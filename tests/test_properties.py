@@ -42,7 +42,7 @@ def test_exact_quantiles_match_numpy(spark, monkeypatch_module, vals, p):
     ref = float(np.quantile(np.array(vals), p))
     got = Q.exact_quantiles(df, "x", [p])[0]
     assert np.isclose(got, ref, rtol=1e-12, atol=1e-9)
-    monkeypatch_module.setattr(Q, "SMALL_DISTINCT", 3)  # force the range-refinement path
+    monkeypatch_module.setattr(Q, "GATHER", 3)  # force the range-refinement path
     try:
         got2 = Q.exact_quantiles(df, "x", [p])[0]
     finally:
