@@ -12,12 +12,23 @@ from pyspark.sql import functions as F
 
 from quarry.functions.tokens import NA_TOKENS, NUMERIC_NOISE
 
-# Accepted shapes: ISO date / date-time (try_cast takes 'T' or ' ' and any fraction) and
-# slash date / date-time, month first unless ``dayfirst`` is asked for. One pattern covers
-# them all, so a single match guards the parse.
-_ANY_DATE = (r"^(\d{4}-\d{2}-\d{2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?"
-             r"|\d{1,2}/\d{1,2}/\d{4}( \d{1,2}:\d{2}(:\d{2})?)?)$")
-
+# Accepted shapes, one pattern so a single match guards the parse: ISO date or date-time with
+# any fraction and an optional offset; year first with slashes; day and month as numbers with
+# slashes or dashes (month first unless ``dayfirst`` is asked for) and a year of four digits,
+# or of two with slashes; English month names. Times may be 12-hour with AM / PM.
+_TIME = r" \d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?( ?[AaPp][Mm])?"
+_ANY_DATE = (
+    r"^(\d{4}-\d{2}-\d{2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?( ?(Z|[+-]\d{2}(:?\d{2})?))?)?"
+    rf"|\d{{4}}/\d{{1,2}}/\d{{1,2}}({_TIME})?"
+    rf"|\d{{1,2}}(?<sep>[/-])\d{{1,2}}\k<sep>\d{{4}}({_TIME})?"
+    rf"|\d{{1,2}}/\d{{1,2}}/\d{{2}}({_TIME})?"
+    rf"|[A-Za-z]{{3,9}}\.? \d{{1,2}},? \d{{4}}({_TIME})?"
+    rf"|\d{{1,2}}[ -][A-Za-z]{{3,9}}\.?[ -]\d{{4}}({_TIME})?)$"
+)
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_MONTH_NAME = r"^(?i)(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sept?(ember)?|oct(ober)?|nov(ember)?|dec(ember)?)$"
+#: Two-digit years from here on are of the last century, as date parsers commonly have it.
+_PIVOT = 69
 
 
 def _c(col) -> Column:
@@ -34,33 +45,51 @@ def null_tokens(col, tokens: list[str] | None = None) -> Column:
 def datetime_shape(col) -> Column:
     """True when the trimmed text has one of the accepted date shapes."""
     t = F.trim(_c(col))
-    return (F.length(t) >= 8) & t.rlike(_ANY_DATE)
+    return (F.length(t) >= 6) & t.rlike(_ANY_DATE)
 
 
 def parse_datetime(col, dayfirst: bool = False) -> Column:
     """Text to ``timestamp_ntz``; NULL unless the shape matches and the value is valid.
 
-    No time zone is involved: ISO forms go through ``try_cast`` to ``timestamp_ntz`` and the
-    slash forms are split once into their fields and built with ``try_make_timestamp_ntz``
-    (month first unless ``dayfirst``), so a wall-clock time in a daylight-saving gap stays as
-    written and an impossible date is NULL.
+    No time zone is involved: an offset is dropped and the wall-clock time stays as written.
+    ISO forms go through ``try_cast``; the others are split once into their fields and built
+    with ``try_make_timestamp_ntz`` (month first unless ``dayfirst``), so an impossible date
+    is NULL.
     """
     t = F.trim(_c(col))
-    parts = F.split(t, "[/ :]")
+    iso_like = t.rlike(r"^\d{4}-")
+    iso = F.regexp_replace(t, r"(?<=:\d{2}|\.\d{1,9}) ?(Z|[+-]\d{2}(:?\d{2})?)$", "").try_cast("timestamp_ntz")
+    parts = F.split(t, r"[^0-9A-Za-z.]+|\. ")
 
-    def part(i: int) -> Column:
+    def number(i: int) -> Column:
         # try_cast: safe even if an optimizer evaluates this outside its shape guard
         return F.get(parts, i).try_cast("int")
 
-    month, day = (part(0), part(1)) if not dayfirst else (part(1), part(0))
+    def month_name(i: int) -> Column:
+        name = F.get(parts, i)
+        at = F.instr(F.lit(_MONTHS), F.lower(F.substring(name, 1, 3)))
+        return F.when(name.rlike(_MONTH_NAME), ((at + 2) / 3).cast("int"))
+
+    first_year, first_name, second_name = (F.get(parts, i).rlike(p) for i, p in ((0, r"^\d{4}$"), (0, "^[A-Za-z]"), (1, "^[A-Za-z]")))
+    a, b, c = number(0), number(1), number(2)
+    short = F.length(F.get(parts, 2)) == 2
+    year = F.when(first_year, a).when(short, F.when(c >= _PIVOT, c + 1900).otherwise(c + 2000)).otherwise(c)
+    month = F.when(first_year, b).when(first_name, month_name(0)).when(second_name, month_name(1)).otherwise(b if dayfirst else a)
+    day = F.when(first_year, c).when(first_name, b).when(second_name, a).otherwise(a if dayfirst else b)
+    # "26AM" and "26 AM" alike
+    tail = F.upper(F.right(t, F.lit(2)))
+    hour, noon = number(3), tail.isin("AM", "PM")
+    minute = F.regexp_extract(F.get(parts, 4), r"^(\d+)", 1).try_cast("int")
+    second = F.regexp_extract(F.get(parts, 5), r"^([0-9.]+)", 1).try_cast("decimal(16,6)")
+    hour = F.when(~noon, hour).when(hour.between(1, 12), hour % 12 + F.when(tail == "PM", 12).otherwise(0))
+    timed = F.size(parts) > 3
     zero = F.lit(0)
-    slash = F.try_make_timestamp_ntz(part(2), month, day, F.coalesce(part(3), zero),
-                                     F.coalesce(part(4), zero), F.coalesce(part(5), zero))
-    iso = t.try_cast("timestamp_ntz")
-    # cheap prefilter (length, a separator) before the one pattern match;
-    # ISO shapes carry '-', slash shapes never do
-    maybe = (F.length(t) >= 8) & ((F.instr(t, "-") > 0) | (F.instr(t, "/") > 0))
-    return F.when(maybe & t.rlike(_ANY_DATE), F.when(t.contains("-"), iso).otherwise(slash))
+    other = F.try_make_timestamp_ntz(
+        year, month, day, F.when(timed, hour).otherwise(zero), F.when(timed, minute).otherwise(zero), F.coalesce(second, zero.cast("decimal(16,6)"))
+    )
+    # cheap prefilter (length, a separator) before the one pattern match
+    maybe = (F.length(t) >= 6) & ((F.instr(t, "-") > 0) | (F.instr(t, "/") > 0) | (F.instr(t, " ") > 0))
+    return F.when(maybe & t.rlike(_ANY_DATE), F.when(iso_like, iso).otherwise(other))
 
 
 def number_text(col) -> Column:
@@ -86,15 +115,28 @@ def is_number_text(col) -> Column:
 
 
 def is_integer_text(col) -> Column:
-    """A whole number of at most 18 digits (always fits a long)."""
+    """A whole number that fits a long."""
+    n = number_text(col)
+    return _only(n, _INTEGER_CHARS) & n.try_cast("long").isNotNull()
+
+
+def is_wide_integer_text(col) -> Column:
+    """A whole number of any size up to 38 digits."""
     n = number_text(col)
-    signed = (n.startswith("-") | n.startswith("+")).cast("int")
-    return _only(n, _INTEGER_CHARS) & (F.length(n) - signed <= 18) & n.try_cast("long").isNotNull()
+    return _only(n, _INTEGER_CHARS) & n.try_cast("decimal(38,0)").isNotNull()
+
+
+def is_whole_text(col) -> Column:
+    """Nothing but digits and signs, however many: as a double it might lose digits."""
+    return _only(number_text(col), _INTEGER_CHARS)
 
 
-def parse_number(col, integral: bool = False) -> Column:
-    """Cleaned numeric text to long (``integral``) or double; NULL when it is not a number."""
+def parse_number(col, integral: bool = False, wide: bool = False) -> Column:
+    """Cleaned numeric text to long (``integral``), decimal(38,0) (``wide``) or double; NULL
+    when it is not a number."""
     t = number_text(col)
+    if wide:
+        return F.when(is_wide_integer_text(col), t.try_cast("decimal(38,0)"))
     if integral:
         return F.when(is_integer_text(col), t.try_cast("long"))
     return F.when(is_number_text(col), t.try_cast("double"))

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from quarry.functions.parse import (
     is_integer_text,
     is_number_text,
+    is_whole_text,
+    is_wide_integer_text,
     lenient_double,
     parse_datetime,
     parse_number,
@@ -25,14 +27,31 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def promotion_plan(df: DataFrame, dayfirst: bool = False) -> dict[str, str]:
-    """Target type per text column: ``boolean``, ``timestamp_ntz``, ``long``, ``double``
-    or ``string`` (unchanged). One aggregate over the text columns.
+# Aggregates are packed under whole-stage codegen's field limit.
+_FIELD_BUDGET = 90
+
+
+def evidence(df: DataFrame, items: list[Column]) -> dict:
+    """The named aggregates over ``df`` as one dict, in as few scans as the field budget allows."""
+    out: dict = {}
+    for at in range(0, len(items), _FIELD_BUDGET):
+        out.update(df.agg(*items[at : at + _FIELD_BUDGET]).first().asDict())
+    return out
+
+
+def promotion_plan(df: DataFrame, dayfirst: bool = False, lenient: float | None = None, failures: dict[str, int] | None = None) -> dict[str, str]:
+    """Target type per text column: ``boolean``, ``timestamp_ntz``, ``long``, ``decimal(38,0)``,
+    ``double`` or ``string`` (unchanged). One aggregate over the text columns.
 
     A column is promoted only when *every* non-NULL value passes: ``true``/``false``
     words (as the pandas reader) -> boolean; a valid date in an accepted shape -> timestamp;
-    a number once ``, $ %`` and spaces are removed -> long when all are whole and short
-    enough, else double. Everything else stays text, untouched.
+    a number once ``, $ %`` and spaces are removed -> long when all are whole and fit one,
+    decimal when all are whole and some are wider, text when a whole one is wider than that
+    or stands among fractions without fitting a long, else double. Everything else stays
+    text, untouched.
+
+    ``lenient`` is the share of a column's values that must be dates for the rest to become
+    NULL; ``failures`` then receives how many that were, per column.
     """
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not text:
@@ -42,20 +61,32 @@ def promotion_plan(df: DataFrame, dayfirst: bool = False) -> dict[str, str]:
         c = _q(n)
         nn = c.isNotNull()
         exprs += [
+            F.count(c).alias(f"c{i}"),
             F.bool_and(F.when(nn, c.isin("True", "TRUE", "true", "False", "FALSE", "false"))).alias(f"b{i}"),
-            F.bool_and(F.when(nn, parse_datetime(c, dayfirst).isNotNull())).alias(f"d{i}"),
+            F.count_if(parse_datetime(c, dayfirst).isNotNull()).alias(f"d{i}"),
             F.bool_and(F.when(nn, is_number_text(c))).alias(f"n{i}"),
             F.bool_and(F.when(nn, is_integer_text(c))).alias(f"i{i}"),
+            F.bool_and(F.when(nn, is_wide_integer_text(c))).alias(f"w{i}"),
+            F.bool_or(F.when(nn, is_whole_text(c) & ~is_integer_text(c))).alias(f"x{i}"),
         ]
-    r = df.agg(*exprs).first()
+    r = evidence(df, exprs)
     out = {}
     for i, n in enumerate(text):
+        count, dates = r[f"c{i}"], r[f"d{i}"]
         if r[f"b{i}"]:
             out[n] = "boolean"
-        elif r[f"d{i}"]:
+        elif count and dates == count:
             out[n] = "timestamp_ntz"
-        elif r[f"n{i}"]:
-            out[n] = "long" if r[f"i{i}"] else "double"
+        elif r[f"i{i}"]:
+            out[n] = "long"
+        elif r[f"w{i}"]:
+            out[n] = "decimal(38,0)"
+        elif r[f"n{i}"] and not r[f"x{i}"]:
+            out[n] = "double"
+        elif lenient is not None and dates and dates >= lenient * count:
+            out[n] = "timestamp_ntz"
+            if failures is not None:
+                failures[n] = count - dates
         else:
             out[n] = "string"
     return out
@@ -63,27 +94,20 @@ def promotion_plan(df: DataFrame, dayfirst: bool = False) -> dict[str, str]:
 
 def apply_promotion(df: DataFrame, plan: dict[str, str], dayfirst: bool = False) -> DataFrame:
     """One projection applying the decided types."""
-    cols = []
-    for f in df.schema.fields:
-        t = plan.get(f.name, "string")
-        c = _q(f.name)
-        if t == "boolean":
-            e = F.lower(c) == F.lit("true")
-        elif t == "timestamp_ntz":
-            e = parse_datetime(c, dayfirst)
-        elif t == "long":
-            e = parse_number(c, integral=True)
-        elif t == "double":
-            e = parse_number(c)
-        else:
-            e = c
-        cols.append(e.alias(f.name))
-    return df.select(*cols)
-
-
-def promote_types(df: DataFrame, dayfirst: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    typed = {
+        "boolean": lambda c: F.lower(c) == F.lit("true"),
+        "timestamp_ntz": lambda c: parse_datetime(c, dayfirst),
+        "long": lambda c: parse_number(c, integral=True),
+        "decimal(38,0)": lambda c: parse_number(c, wide=True),
+        "double": parse_number,
+        "string": lambda c: c,
+    }
+    return df.select(*(typed[plan.get(n, "string")](_q(n)).alias(n) for n in df.columns))
+
+
+def promote_types(df: DataFrame, dayfirst: bool = False, lenient: float | None = None, failures: dict[str, int] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """P2 + P3: evidence, then casts. Returns the typed frame and the decisions."""
-    plan = promotion_plan(df, dayfirst)
+    plan = promotion_plan(df, dayfirst, lenient, failures)
     return apply_promotion(df, plan, dayfirst), plan
 
 
@@ -96,7 +120,7 @@ def empty_columns(df: DataFrame) -> list[str]:
     """Columns with no value at all (one aggregate)."""
     if not df.columns:
         return []
-    r = df.agg(*[F.count(_q(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    r = evidence(df, [F.count(_q(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
     return [c for i, c in enumerate(df.columns) if r[f"c{i}"] == 0]
 
 
@@ -134,11 +158,11 @@ def display_prep(df: DataFrame) -> DataFrame:
 
     text_plain = [f.name for f in fields if is_text(f) and not date_named(f)]
     others = [f.name for f in fields if not is_text(f) and not is_time(f)]
-    r = df.agg(
+    r = evidence(df, [
         F.count(F.lit(1)).alias("rows"),
-        *[F.count(lenient_double(blank(_q(n)))).alias(f"n{i}") for i, n in enumerate(text_plain)],
-        *[F.count(_q(n)).alias(f"o{i}") for i, n in enumerate(others)],
-    ).first()
+        *(F.count(lenient_double(blank(_q(n)))).alias(f"n{i}") for i, n in enumerate(text_plain)),
+        *(F.count(_q(n)).alias(f"o{i}") for i, n in enumerate(others)),
+    ])
     rows = r["rows"]
     numeric_major = {n for i, n in enumerate(text_plain) if r[f"n{i}"] > rows * 0.5}
     empty = {n for i, n in enumerate(others) if r[f"o{i}"] == 0}

@@ -1,26 +1,35 @@
 """Delimited-text ingest (S1-S6, P1, P4): sniff, decode, shape-check, parse, type.
 
-The files are read as text lines (splittable, so any number of tasks per file), which
-keeps each line's raw bytes. Per line:
+The files are read as lines (splittable, so any number of tasks per file) with their bytes
+kept. Per file the first non-blank line is the header and goes by its position, whatever it
+holds. Per line:
 
 * bytes that are not valid UTF-8 are decoded as ISO-8859-1 (the reference's fallback
   chain ends in a one-byte code page; no character is dropped);
-* the header line of every file and blank lines are removed;
-* a quote-aware field count (linear in the line) decides the row's fate: more fields than the header -> the
-  rejects table (pandas ``on_bad_lines='skip'``); fewer -> kept and padded with NULL
-  (``strict=True`` rejects those too, the reference's repair reader);
+* blank lines are removed;
+* the number of fields, with quotes counted as the parser does (a quote opens a field only
+  at the field's start), decides the row's fate: more fields than the header, or a quote
+  that is never closed -> the rejects table (pandas ``on_bad_lines='skip'``), with the
+  line's file; fewer -> kept and padded with NULL (``strict=True`` rejects those too, the
+  reference's repair reader);
 * ``from_csv`` splits the kept lines into all-text columns; missing-value tokens become
   NULL.
 
+``multiline=True`` reads records whose quoted fields hold line breaks; a file is then one
+task. Without it such a record's first line has an unclosed quote and is rejected, never
+split silently into rows.
+
 Names are then normalized (P1), types promoted from whole-column evidence (P2, P3) and
-all-empty rows dropped (P4). Only the sniff (first lines of the first file) and the type
-evidence (one aggregate row) reach the driver. A record must fit on one physical line.
+all-empty rows dropped (P4). Only the sniff (first lines of one file) and the type
+evidence (one aggregate row) reach the driver. The files of one read have one header.
 """
 
 from __future__ import annotations
 
 import csv
+import datetime as dt
 import io
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +62,11 @@ class Ingested:
         r = self.raw.agg(F.count(F.lit(1)).alias("n"), F.count_if(~all_null).alias("kept")).first()
         rej = self.rejects.count()
         meta = dict(self.metadata)
+        if meta["encoding_used"] == "auto":
+            # decided line by line; named here by the whole input
+            lines = read_lines(self.raw.sparkSession, meta["file_path"], _BYTES)
+            other = lines.where(~F.is_valid_utf8(F.encode("value", _BYTES).cast("string")))
+            meta["encoding_used"] = "utf-8" if other.isEmpty() else "utf-8, else iso-8859-1"
         meta["file_size_mb"] = total_size_mb(self.raw.sparkSession, meta["file_path"])
         meta["original_shape"] = [r["n"], ncol]
         meta["processed_shape"] = [r["kept"], len(self.df.columns)]
@@ -77,29 +91,47 @@ def total_size_mb(spark: SparkSession, path) -> float:
     return (r["n"] or 0) / (1024 * 1024)
 
 
-def _decoded(lines: DataFrame, encoding: str) -> Column:
-    raw = F.col("value")
-    enc = (encoding or "auto").lower()
-    if enc in _ONE_BYTE:
-        return F.decode(raw.cast("binary"), "ISO-8859-1")
-    if enc in ("utf-8", "utf8"):
+#: Separates nothing: a line comes back whole from the line-based CSV reader.
+_NO_SEP = "\u0001\u0002\u0001\u0002"
+_BYTES = "ISO-8859-1"
+
+
+def decoded(raw: Column, encoding: str) -> Column:
+    """Text from a line whose bytes came in one per character."""
+    if (encoding or "auto").lower() in _ONE_BYTE:
         return raw
-    return F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode(raw.cast("binary"), "ISO-8859-1"))
+    text = F.encode(raw, _BYTES).cast("string")
+    if encoding.lower() in ("utf-8", "utf8"):
+        return text
+    return F.when(F.is_valid_utf8(text), text).otherwise(raw)
 
 
 def _is_utf16(encoding: str | None) -> bool:
     return (encoding or "").lower().replace("-", "") in ("utf16", "utf16le", "utf16be")
 
 
-def read_lines(spark: SparkSession, path, encoding: str = "auto") -> DataFrame:
-    """One row per physical line, decoded, column ``value``."""
+def line_reader(reader, header: bool):
+    """A batch or stream reader of whole lines, their bytes kept; ``header`` drops the first
+    non-blank line of each file."""
+    reader = reader.schema("value string").option("sep", _NO_SEP).option("quote", "").option("encoding", _BYTES)
+    return reader.option("header", header).option("mode", "PERMISSIVE")
+
+
+def without_cr(v: Column) -> Column:
+    return F.when(v.endswith("\r"), v.substr(F.lit(1), F.length(v) - 1)).otherwise(v)
+
+
+def read_lines(spark: SparkSession, path, encoding: str = "auto", header: bool = False) -> DataFrame:
+    """One row per non-blank physical line, decoded: ``value`` and its ``file``. With
+    ``header`` the first non-blank line of each file is left out, by its position."""
     if _is_utf16(encoding):
         # UTF-16 is not line-splittable as bytes; each file is decoded whole in one task.
         files = spark.read.format("binaryFile").load(path)
-        text = F.decode(F.col("content"), "UTF-16")
-        return files.select(F.explode(F.split(text, "\r?\n")).alias("value"))
-    lines = spark.read.text(path)
-    return lines.select(_decoded(lines, encoding).alias("value"))
+        lines = F.filter(F.split(F.decode(F.col("content"), "UTF-16"), "\r?\n"), lambda x: F.length(F.trim(x)) > 0)
+        lines = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))) if header else lines
+        return files.select(F.explode(lines).alias("value"), F.col("path").alias("file"))
+    lines = line_reader(spark.read, header).csv(path)
+    return lines.select(decoded(F.col("value"), encoding or "auto").alias("value"), F.col("_metadata.file_path").alias("file")).where(F.length(F.trim("value")) > 0)
 
 
 def sniff_delimiter(lines: list[str]) -> str:
@@ -117,12 +149,10 @@ def sniff_delimiter(lines: list[str]) -> str:
 
 def _head(spark: SparkSession, file: str, encoding: str) -> list:
     if _is_utf16(encoding):
-        lines = read_lines(spark, file, encoding).withColumn("ok", F.lit(True)).withColumn("bom", F.lit(""))
-    else:
-        raw = spark.read.text(file)
-        lines = raw.select(_decoded(raw, encoding).alias("value"), F.is_valid_utf8("value").alias("ok"),
-                           F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).alias("bom"))
-    return lines.where(F.length(F.trim("value")) > 0).limit(SNIFF_LINES).collect()
+        return read_lines(spark, file, encoding).select("value", F.lit("").alias("bom")).limit(SNIFF_LINES).collect()
+    raw = read_lines(spark, file, _BYTES)
+    text = decoded(F.col("value"), encoding or "auto")
+    return raw.select(text.alias("value"), F.hex(F.encode(F.substring("value", 1, 2), _BYTES)).alias("bom")).limit(SNIFF_LINES).collect()
 
 
 _UTF16_BOMS = ("FFFE", "FEFF")
@@ -131,29 +161,22 @@ _UTF16_BOMS = ("FFFE", "FEFF")
 def sniff(spark: SparkSession, path, encoding: str = "auto") -> dict:
     """The header, delimiter and encoding guess from the first non-blank lines of the first
     non-empty file (in path order); one small job in the usual case. A UTF-16 byte-order
-    mark switches an ``auto`` read to UTF-16."""
+    mark switches an ``auto`` read to UTF-16; otherwise ``auto`` is decided line by line."""
     files = list_files(spark, path)
     head = _head(spark, files[0], encoding)
     if not head and len(files) > 1:
-        # the first file is empty (writers leave empty part files): find the first with bytes
-        sizes = {r["path"]: r["length"] for r in
-                 spark.read.format("binaryFile").load(files).select("path", "length").collect()}
-        for f in files[1:]:
-            if sizes.get(f, 1) > 0:
-                head = _head(spark, f, encoding)
-                if head:
-                    files = [f] + [x for x in files if x != f]
-                    break
+        # the first file is empty (writers leave empty part files): the first with bytes
+        full = spark.read.format("binaryFile").load(files).where("length > 0").agg(F.min("path").alias("p")).first()["p"]
+        if full is not None:
+            head = _head(spark, full, encoding)
+            files = [full, *(x for x in files if x != full)]
     if (encoding or "auto") == "auto" and head and head[0]["bom"] in _UTF16_BOMS:
         encoding = "utf-16"
         head = _head(spark, files[0], encoding)
     sample = [_strip_bom(r["value"].rstrip("\r")) for r in head]
     if not sample:
         raise ValueError(f"no lines in {path}")
-    used = encoding
-    if (encoding or "auto") == "auto":
-        used = "utf-8" if all(r["ok"] for r in head) else "iso-8859-1"
-    return {"files": files, "header": sample[0], "delimiter": sniff_delimiter(sample), "encoding": used}
+    return {"files": files, "header": sample[0], "delimiter": sniff_delimiter(sample), "encoding": encoding or "auto"}
 
 
 def _strip_bom(text: str) -> str:
@@ -161,16 +184,46 @@ def _strip_bom(text: str) -> str:
 
 
 def field_count(value: Column, sep: str) -> Column:
-    """Quote-aware number of fields, in linear time: quoted segments (a doubled quote is
-    two adjacent segments) are removed, then separators are counted."""
-    bare = F.when(F.instr(value, '"') > 0, F.regexp_replace(value, '"[^"]*"', "")).otherwise(value)
-    return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + F.lit(1)
+    """The number of fields as the parser counts them, in linear time; NULL when a quote that
+    opens a field is never closed. Quoted fields are taken out (a quote elsewhere is text),
+    then separators are counted."""
+    d = re.escape(sep)
+    quoted = rf'(^|{d})"[^"]*+(?:""[^"]*+)*+"(?={d}|$)'
+    bare = F.when(F.instr(value, '"') > 0, F.regexp_replace(value, quoted, "$1")).otherwise(value)
+    count = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + F.lit(1)
+    return F.when((F.instr(bare, '"') == 0) | ~bare.rlike(rf'(^|{d})"'), count)
 
 
 def _split_header(header: str, sep: str) -> list[str]:
     return next(csv.reader(io.StringIO(header), delimiter=sep, quotechar='"'))
 
 
+def _by_line(spark: SparkSession, path, sep: str, encoding: str, width: int) -> DataFrame:
+    """Lines with their field count and parsed fields: value, file, n, r."""
+    v = F.col("value")
+    # Materialize the cleaned line once: the expressions above nest the decode several times,
+    # and collapsed projections would repeat it in every consumer (filter, count, from_csv).
+    lines = read_lines(spark, path, encoding, header=True).select(F.inline(F.array(F.struct(without_cr(v).alias("value"), F.col("file")))))
+    opts = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    return lines.select("value", "file", field_count(v, sep).alias("n"), F.from_csv("value", text_fields(width), opts).alias("r"))
+
+
+def _by_record(spark: SparkSession, path, sep: str, encoding: str, width: int) -> DataFrame:
+    """The same of records that may span lines; a file is one task."""
+    schema = f"{text_fields(width)}, _bad string"
+    used = "UTF-8" if (encoding or "auto") == "auto" else encoding
+    read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").option("encoding", used)
+    read = read.option("multiLine", True).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+    rows = read.csv(path)
+    fields = F.struct(*(F.col(f"_c{i}") for i in range(width)))
+    n = F.when(F.col("_bad").isNull(), F.lit(width)).otherwise(field_count(F.regexp_replace("_bad", r"\r?\n$", ""), sep))
+    return rows.select(F.col("_bad").alias("value"), F.col("_metadata.file_path").alias("file"), n.alias("n"), fields.alias("r"))
+
+
+def text_fields(width: int) -> str:
+    return ", ".join(f"_c{i} string" for i in range(width))
+
+
 def read_delimited(
     spark: SparkSession,
     path,
@@ -180,54 +233,47 @@ def read_delimited(
     na_tokens: list[str] | None = None,
     promote: bool = True,
     dayfirst: bool = False,
+    multiline: bool = False,
+    lenient: float | None = None,
 ) -> Ingested:
     """S1-S6 + P1-P4: a delimited file (or many) as a typed DataFrame.
 
-    ``sep`` is sniffed when not given. ``strict`` keeps only lines with exactly the header's
-    field count. ``promote=False`` leaves every column as text.
+    ``sep`` is sniffed when not given. ``strict`` keeps only records with exactly the header's
+    field count. ``promote=False`` leaves every column as text. ``multiline`` reads quoted
+    line breaks. ``lenient`` is the share of dates from which a column becomes one, its other
+    values NULL and counted in the metadata.
     """
     info = sniff(spark, path, encoding)
-    encoding = info["encoding"] if _is_utf16(info["encoding"]) else encoding
+    encoding = info["encoding"]
     sep = sep or info["delimiter"]
-    header = info["header"]
-    names = _split_header(header, sep)
+    names = _split_header(info["header"], sep)
     width = len(names)
     clean, mapping = normalize_names(names)
-
-    v = F.col("value")
-    no_cr = F.when(v.endswith("\r"), v.substr(F.lit(1), F.length(v) - 1)).otherwise(v)
-    # a byte-order mark can only open a file, i.e. its header line
-    no_bom = F.when(no_cr.startswith("\ufeff"), no_cr.substr(F.lit(2), F.length(no_cr))).otherwise(no_cr)
-    # Materialize the cleaned line once: the expressions above nest the decode several times,
-    # and collapsed projections would repeat it in every consumer (filter, count, from_csv).
-    lines = read_lines(spark, path, encoding).select(F.inline(F.array(F.struct(no_bom.alias("value")))))
-    body = lines.where((F.length(F.trim("value")) > 0) & (F.col("value") != F.lit(header)))
-    shaped = body.select("value", field_count(F.col("value"), sep).alias("_n"))
-    ok = (F.col("_n") == width) if strict else (F.col("_n") <= width)
-
+    read = _by_record if multiline else _by_line
+    shaped = read(spark, path, sep, encoding, width)
+    ok = F.coalesce((F.col("n") == width) if strict else (F.col("n") <= width), F.lit(False))
     rejects = shaped.where(~ok).select(
-        F.col("value").alias("line"), F.lit(width).alias("expected"), F.col("_n").alias("found"))
-
-    ddl = ", ".join(f"_c{i} string" for i in range(width))
-    opts = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    parsed = shaped.where(ok).select(F.from_csv("value", ddl, opts).alias("r"))
+        F.col("value").alias("line"), F.lit(width).alias("expected"), F.col("n").alias("found"), "file")
     fields = [null_tokens(F.col(f"r._c{i}"), na_tokens).alias(clean[i]) for i in range(width)]
     # one materialized row of fields, so the type evidence and casts reuse them
-    raw = parsed.select(F.inline(F.array(F.struct(*fields))))
+    raw = shaped.where(ok).select(F.inline(F.array(F.struct(*fields))))
 
     df = raw
     decisions: dict[str, str] = {}
+    failures: dict[str, int] = {}
     if promote:
-        df, decisions = promote_types(raw, dayfirst)
+        df, decisions = promote_types(raw, dayfirst, lenient, failures)
     df = drop_empty_rows(df)
     meta = {
         "file_path": path if isinstance(path, str) else list(path),
         "file_size_mb": None,
-        "encoding_used": info["encoding"],
+        "load_timestamp": dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds"),
+        "encoding_used": encoding,
         "delimiter": sep,
         "column_mapping": mapping,
         "dtypes": {f.name: f.dataType.simpleString() for f in df.schema.fields},
         "promotions": decisions,
+        "date_failures": failures,
     }
     return Ingested(df=df, rejects=rejects, raw=raw, metadata=meta)
 
@@ -243,12 +289,12 @@ def load_delimited(spark: SparkSession, path, save_to: str | None = None, **opti
         ing = read_delimited(spark, path, **options)
         ing.metadata = ing.with_counts()
     except FileNotFoundError:
-        return False, f"File not found: {path}", None
+        return False, f"nothing to read at {path}", None
     except Exception as e:  # noqa: BLE001 - reported, as the reference does
-        return False, f"Failed to read {path}: {type(e).__name__}: {e}", None
+        return False, f"{path} is not readable as a table: {type(e).__name__}: {e}", None
     if save_to:
         from quarry.sources import sinks
         sinks.write_clean(ing.df, f"{save_to}/clean")
         sinks.write_metadata(spark, ing.metadata, f"{save_to}/metadata")
     rows, cols = ing.metadata["processed_shape"]
-    return True, f"Successfully loaded {rows:,} rows, {cols} columns", ing
+    return True, f"{rows:,} rows in {cols} columns from {path}", ing

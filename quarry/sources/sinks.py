@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +34,8 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).option("sep", sep).option("escape", '"').csv(path)
+        w = w.option("header", True).option("sep", sep).option("escape", '"')
+        w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         w.parquet(path)
     return path
@@ -44,7 +45,7 @@ def read_clean(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     """The cleaned table back (Parquet keeps every type)."""
     if fmt == "csv":
         from quarry.sources.delimited import read_delimited
-        return read_delimited(spark, path).df
+        return read_delimited(spark, path, multiline=True).df
     return spark.read.parquet(path)
 
 
@@ -55,8 +56,8 @@ def _write_json_text(spark: SparkSession, obj, path: str) -> str:
 
 
 def _read_json_text(spark: SparkSession, path: str):
-    lines = [r["value"] for r in spark.read.text(path).collect()]
-    return json.loads("\n".join(lines))
+    row = spark.read.option("wholetext", True).text(path).where("trim(value) <> ''").first()  # one document
+    return json.loads(row["value"])
 
 
 def write_metadata(spark: SparkSession, meta: dict, path: str) -> str:
@@ -95,6 +96,7 @@ def read_plan(spark: SparkSession, path: str) -> dict:
 
 
 def export_filtered(df: DataFrame, path: str, sep: str = ",") -> int:
-    """The filtered table as CSV, and its row count."""
-    write_clean(df, path, fmt="csv", sep=sep)
-    return df.count()
+    """The filtered table as CSV, and its row count, taken while it is written."""
+    seen = Observation()
+    write_clean(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, fmt="csv", sep=sep)
+    return seen.get["rows"]

@@ -7,30 +7,28 @@ from pyspark.sql import functions as F
 
 from quarry.functions.names import normalize_names
 from quarry.functions.parse import null_tokens
-from quarry.sources.delimited import _split_header, field_count
+from quarry.sources.delimited import _split_header, decoded, field_count, line_reader, text_fields, without_cr
 
 
 def stream_delimited(spark: SparkSession, folder: str, header: str, sep: str = ",",
-                     strict: bool = False, max_files_per_trigger: int | None = None) -> DataFrame:
+                     strict: bool = False, encoding: str = "auto", max_files_per_trigger: int | None = None) -> DataFrame:
     """A streaming DataFrame of all-text rows from files landing in ``folder``.
 
-    Lines equal to ``header`` and blank lines are skipped; lines with more fields than the
-    header are dropped (``strict`` also drops shorter ones). Typing needs whole-column
-    evidence, so it is applied per micro-batch by the caller (``foreachBatch``) or with
-    types decided from a first file.
+    The first non-blank line of each file is its header and goes by position; blank lines are
+    skipped; lines with more fields than the header or an unclosed quote are dropped
+    (``strict`` also drops shorter ones); bytes are decoded as in the batch reader. Typing
+    needs whole-column evidence, so it is applied per micro-batch by the caller
+    (``foreachBatch``) or with types decided from a first file.
     """
     names = _split_header(header, sep)
     clean, _ = normalize_names(names)
     width = len(names)
-    reader = spark.readStream.format("text")
+    reader = line_reader(spark.readStream, header=True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    v = F.col("value")
-    lines = reader.load(folder).select(
-        F.when(v.endswith("\r"), v.substr(F.lit(1), F.length(v) - 1)).otherwise(v).alias("value"))
-    body = lines.where((F.length(F.trim("value")) > 0) & (F.col("value") != F.lit(header)))
+    lines = reader.csv(folder).select(without_cr(decoded(F.col("value"), encoding)).alias("value"))
     n = field_count(F.col("value"), sep)
-    ok = (n == width) if strict else (n <= width)
-    ddl = ", ".join(f"_c{i} string" for i in range(width))
-    parsed = body.where(ok).select(F.from_csv("value", ddl, {"sep": sep, "quote": '"', "escape": '"'}).alias("r"))
+    ok = F.coalesce((n == width) if strict else (n <= width), F.lit(False))
+    parsed = lines.where((F.length(F.trim("value")) > 0) & ok).select(
+        F.from_csv("value", text_fields(width), {"sep": sep, "quote": '"', "escape": '"'}).alias("r"))
     return parsed.select(*[null_tokens(F.col(f"r._c{i}")).alias(clean[i]) for i in range(width)])

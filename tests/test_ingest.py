@@ -166,9 +166,9 @@ def test_load_contract(spark, tmp_path):
     from quarry.session import scratch_dir
     from quarry.sources.delimited import load_delimited
     ok, msg, res = load_delimited(spark, str(tmp_path / "missing.csv"))
-    assert not ok and msg.startswith("File not found") and res is None
+    assert not ok and "missing.csv" in msg and res is None
     p = write_text(tmp_path / "ok.csv", b"a,b\n1,2\n3,4\n")
     out = scratch_dir(spark, "test-load")
     ok, msg, res = load_delimited(spark, p, save_to=out)
-    assert ok and msg == "Successfully loaded 2 rows, 2 columns"
+    assert ok and msg.startswith("2 rows in 2 columns")
     assert spark.read.parquet(f"{out}/clean").count() == 2
