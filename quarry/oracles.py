@@ -335,10 +335,51 @@ ORACLES: dict[str, str] = {
         coalesce(c_mktsegment, '') as c_mktsegment
         from (select * from customer order by c_custkey limit 3) s""",
     "csv_roundtrip": "select * from events",
-    "csv_bad_rows": """select event_id, user_id, event_type,
-        case when event_id % 100 = 1 then null else value end as value from events where event_id % 100 <> 0""",
-    "csv_rejects": """select concat_ws(',', event_id, user_id, event_type, value, 'x') as line, 4 as expected,
-        5 as found from events where event_id % 100 = 0""",
+    "csv_bad_rows": """select event_id, ts, user_id, event_type,
+        case when event_id % 100 = 1 then null else value end as value,
+        case when event_id % 100 = 1 then null else props end as props from events where event_id % 100 <> 0""",
+    "csv_rejects": """select concat_ws(',', event_id, cast(ts as varchar), user_id, event_type, value, props, 'x') as line,
+        6 as expected, 7 as found from events where event_id % 100 = 0""",
+    "csv_strict": "select * from events where event_id % 100 > 1",
+    "csv_quotes": "select * from events",
+    "csv_documents": "select * from documents",
+    "csv_long_ids": """select o_orderkey + 1234567890123456789 as id,
+        cast(o_orderkey + 1234567890123456789000 as decimal(38, 0)) as wide from orders""",
+    "csv_many_headers": """select case when n_nationkey = 10 then 'key' else cast(n_nationkey as varchar) end as key,
+        case when n_nationkey = 10 then 'name' else n_name end as name from nation""",
+    "csv_tokens": """select c_custkey, case when c_custkey % 2 = 0 then null else c_mktsegment end as c_mktsegment
+        from customer""",
+    "plan_roundtrip": """select 'kpis' as section, 1 as rank, 'Total N_Nationkey' as name, 'kpi' as type, null as x_column, null as y_column,
+          'df[''n_nationkey''].sum()' as formula, 10 as importance
+        union all select 'kpis', 2, 'Average N_Regionkey', 'kpi', null, null, 'df[''n_regionkey''].mean()', 8
+        union all select 'charts', 1, 'N_Nationkey Distribution', 'histogram', 'n_nationkey', null, null, 7
+        union all select 'charts', 2, 'N_Nationkey vs N_Regionkey', 'scatter', 'n_nationkey', 'n_regionkey', null, 6""",
+    "metadata_roundtrip": """select ',' as delimiter, 'utf-8' as encoding, count_if(event_id % 100 <> 0) as rows,
+        cast(6 as bigint) as columns, count_if(event_id % 100 = 0) as rejects from events""",
+    "bar_sum_wide": """select l_returnflag as x, cast(sum(cast(l_partkey as hugeint) + 4000000000000000000) as varchar) as y
+        from lineitem group by 1""",
+    "kpi_sum_wide": """select 'Big' as name, cast(sum(cast(l_partkey as hugeint) + 4000000000000000000) as double) as value,
+        'ok' as status from lineitem""",
+    "derived_int_product": """select p_partkey,
+        cast(cast(p_partkey * 1000000 as hugeint) * (p_size * 1000000) as varchar) as total_sales from part""",
+    "plan_text_numbers": """select 'Total' as name, null as x, round(sum(o_totalprice), 2) as y from orders
+        union all (select 'By priority', o_orderpriority, round(sum(o_totalprice), 2) from orders group by 2)""",
+    "profile_nan": profile_sql("(select event_id, ts, user_id, event_type, case when event_id % 7 = 0 then null else value end as value, props from events)", EVENTS_COLS),
+    "profile_infinite": """select 'event_id' as name, 'integer' as type, 0 as nulls union all
+        select 'value', 'unknown', count(*) - count(value) from events where event_id <> 5 or value is not null""",
+    "histogram_nan": """with e as (select value from events where event_id % 7 <> 0),
+        b as (select cast(min(value) as double) as lo, cast(max(value) as double) as hi from e),
+        h as (select cast(least(floor((value - lo) / ((hi - lo) / 20)), 19) as integer) as bin, count(*) as cnt
+              from e, b where value is not null group by 1)
+        select bin, round(lo + bin * ((hi - lo) / 20), 9) as bin_lo,
+               round(case when bin = 19 then hi else lo + (bin + 1) * ((hi - lo) / 20) end, 9) as bin_hi,
+               cnt as count from h, b""",
+    "filter_range_nan": """with e as (select * from events where event_id % 7 <> 0)
+        select * from e where value between (select quantile_cont(value, 0.01) from e) and (select quantile_cont(value, 0.99) from e)""",
+    "promote_dates_forms": """select o_orderkey, o_orderdate as zulu, o_orderdate as "offset", o_orderdate as slashes, o_orderdate as dashes,
+        o_orderdate as words, o_orderdate as day_first, o_orderdate as short, o_orderdate as noon from orders""",
+    "promote_dates_lenient": """select o_orderkey, case when o_orderkey % 50 = 0 then null else o_orderdate end as d,
+        (select count(*) from orders where o_orderkey % 50 = 0) as failures from orders""",
     "csv_latin1": r"""select doc_id, regexp_replace(text, '[\r\n]+', ' ', 'g') as text from documents
         where not regexp_matches(text, '[^\x{0000}-\x{00FF}]')""",
     "normalize_names": """select n_nationkey as nnationkey, n_name as nname, n_regionkey as nregionkey
@@ -361,9 +402,7 @@ ORACLES: dict[str, str] = {
     "export_filtered": """select l_orderkey, l_partkey, l_suppkey, cast(l_linenumber as bigint) as l_linenumber,
         l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate
         from lineitem where l_returnflag = 'R'""",
-    "empty_input": """select cast(null as varchar) as panel, cast(null as varchar) as kind, cast(null as integer) as rank,
-        cast(null as varchar) as x, cast(null as varchar) as x2, cast(null as double) as y,
-        cast(null as double) as y2 from customer where false""",
+    "empty_input": "select 0::bigint as rows, count(*) as kept from customer where c_acctbal > 1e12",
     "spec_roundtrip": profile_sql("nation", NATION_COLS),
     "reload_clean": "select * from orders",
     "recommend_plan": _recommend_sql(),

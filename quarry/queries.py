@@ -328,29 +328,35 @@ def csv_roundtrip(spark, d):
     return read_delimited(spark, path).df
 
 
+_EVENT_HEAD = "event_id,ts,user_id,event_type,value,props"
+
+
+def _raw_lines(df, header: str, path: str) -> str:
+    """Lines as they are, each part file under its own header."""
+    w = df.toDF(header).write.option("header", True).option("sep", "\u0001\u0002").option("quote", "").option("escape", "")
+    w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def _event_line(*more):
+    """One event as a line with all its columns; props holds inner quotes, left unquoted."""
+    return F.concat_ws(",", "event_id", F.col("ts").cast("string"), "user_id", "event_type", "value", "props", *more)
+
+
 def _bad_rows_dir(spark, d) -> str:
     ev = _t(spark, d, "events")
-    base = scratch_dir(spark, "csv-bad-rows")
-    head = spark.createDataFrame([("event_id,user_id,event_type,value",)], "value string")
-    head.coalesce(1).write.text(f"{base}/0-header")
     k = F.col("event_id") % 100
-    line = (
-        F.when(k == 0, F.concat_ws(",", "event_id", "user_id", "event_type", "value", F.lit("x")))
-        .when(k == 1, F.concat_ws(",", "event_id", "user_id", "event_type"))
-        .otherwise(F.concat_ws(",", "event_id", "user_id", "event_type", "value"))
-    )
-    ev.select(line.alias("value")).write.text(f"{base}/1-body")
-    return base
+    short = F.concat_ws(",", "event_id", F.col("ts").cast("string"), "user_id", "event_type")
+    line = F.when(k == 0, _event_line(F.lit("x"))).when(k == 1, short).otherwise(_event_line())
+    return _raw_lines(ev.select(line), _EVENT_HEAD, scratch_dir(spark, "csv-bad-rows"))
 
 
 def csv_bad_rows(spark, d):
-    base = _bad_rows_dir(spark, d)
-    return read_delimited(spark, [f"{base}/0-header", f"{base}/1-body"]).df
+    return read_delimited(spark, _bad_rows_dir(spark, d), sep=",").df
 
 
 def csv_rejects(spark, d):
-    base = _bad_rows_dir(spark, d)
-    return read_delimited(spark, [f"{base}/0-header", f"{base}/1-body"]).rejects
+    return read_delimited(spark, _bad_rows_dir(spark, d), sep=",").rejects.drop("file")
 
 
 def csv_latin1(spark, d):
@@ -430,7 +436,8 @@ def export_filtered(spark, d):
 
 
 def empty_input(spark, d):
-    c = _t(spark, d, "customer").where(F.lit(False))
+    """A filter that no row meets: an empty profile, and panels without rows."""
+    c = _t(spark, d, "customer").where(F.col("c_acctbal") > 1e12)
     prof = P.profile(c)
     assert prof.rows == 0 and prof.df.schema == P.PROFILE_SCHEMA
     plan = {"charts": [
@@ -440,7 +447,8 @@ def empty_input(spark, d):
         {"name": "Funnel", "type": "funnel", "x_column": "c_mktsegment", "y_column": "c_acctbal"},
         {"name": "Heat", "type": "heatmap"},
     ]}
-    return run_plan(c, plan).panels()
+    shown = run_plan(c, plan).panels()
+    return shown.groupBy().agg(F.count("*").alias("rows"), F.lit(c.count()).alias("kept"))
 
 
 def spec_roundtrip(spark, d):
@@ -448,13 +456,156 @@ def spec_roundtrip(spark, d):
     prof = P.profile(nation)
     base = scratch_dir(spark, "specs")
     sinks.write_profile(prof.df, f"{base}/profile")
-    plan = recommend_plan(prof.columns)
-    sinks.write_plan(spark, plan, f"{base}/plan")
-    sinks.write_metadata(spark, {"rows": prof.rows, "columns": nation.columns}, f"{base}/metadata")
-    back = sinks.read_profile(spark, f"{base}/profile")
-    assert sinks.read_plan(spark, f"{base}/plan")["kpis"] == plan["kpis"]
-    assert sinks.read_metadata(spark, f"{base}/metadata")["rows"] == prof.rows
-    return _profile_out(P.Profile(prof.rows, prof.columns, back))
+    return _profile_out(P.Profile(prof.rows, prof.columns, sinks.read_profile(spark, f"{base}/profile")))
+
+
+def plan_roundtrip(spark, d):
+    """The recommended plan of nation, written and read back, as rows."""
+    prof = P.profile(_t(spark, d, "nation"))
+    path = scratch_dir(spark, "plan")
+    sinks.write_plan(spark, recommend_plan(prof.columns), path)
+    return plan_frame(spark, sinks.read_plan(spark, path))
+
+
+def metadata_roundtrip(spark, d):
+    """The counts of a load, written and read back."""
+    path = scratch_dir(spark, "meta")
+    ing = read_delimited(spark, _bad_rows_dir(spark, d), sep=",")
+    sinks.write_metadata(spark, ing.with_counts(), path)
+    m = sinks.read_metadata(spark, path)
+    assert m["load_timestamp"]
+    cols = ["delimiter", "encoding", "rows", "columns", "rejects"]
+    return spark.createDataFrame(
+        [(m["delimiter"], m["encoding_used"], m["original_shape"][0], m["original_shape"][1], m["errors_found"])],
+        f"{cols[0]} string, {cols[1]} string, {cols[2]} long, {cols[3]} long, {cols[4]} long")
+
+
+def csv_documents(spark, d):
+    """Whole documents, line breaks and blanks at the ends included, through the CSV sink."""
+    path = scratch_dir(spark, "csv-documents")
+    sinks.write_clean(_t(spark, d, "documents"), path, fmt="csv")
+    return sinks.read_clean(spark, path, fmt="csv")
+
+
+def csv_long_ids(spark, d):
+    """Keys of 19 and of 22 digits keep every digit."""
+    o = _t(spark, d, "orders")
+    path = scratch_dir(spark, "csv-long-ids")
+    wide = F.lit("1234567890123456789000").cast("decimal(38,0)")
+    src = o.select((F.col("o_orderkey") + F.lit(1234567890123456789)).alias("id"), (F.col("o_orderkey") + wide).cast("string").alias("wide"))
+    sinks.write_clean(src, path, fmt="csv")
+    return read_delimited(spark, path).df
+
+
+def csv_quotes(spark, d):
+    """Events with inner quotes that the writer left unquoted."""
+    path = _raw_lines(_t(spark, d, "events").select(_event_line()), _EVENT_HEAD, scratch_dir(spark, "csv-quotes"))
+    return read_delimited(spark, path, sep=",").df
+
+
+def csv_strict(spark, d):
+    """Only records with exactly the header's fields."""
+    return read_delimited(spark, _bad_rows_dir(spark, d), sep=",", strict=True).df
+
+
+def csv_many_headers(spark, d):
+    """Files that spell the header differently, and a row that equals one of them."""
+    n = _t(spark, d, "nation")
+    base = scratch_dir(spark, "csv-headers")
+    row = F.concat_ws(",", "n_nationkey", "n_name")
+    _raw_lines(n.where("n_nationkey < 10").select(row), "key,name", f"{base}/a")
+    _raw_lines(n.where("n_nationkey >= 10").select(F.when(F.col("n_nationkey") == 10, F.lit("key,name")).otherwise(row)), '"key","name"', f"{base}/b")
+    return read_delimited(spark, [f"{base}/a", f"{base}/b"], promote=False).df
+
+
+def csv_tokens(spark, d):
+    """Every missing-value token in a column becomes NULL."""
+    from quarry.functions.tokens import NA_TOKENS
+    words = F.array(*(F.lit(t) for t in NA_TOKENS))
+    c = _t(spark, d, "customer")
+    token = F.get(words, (F.col("c_custkey") % len(NA_TOKENS)).cast("int"))
+    path = scratch_dir(spark, "csv-tokens")
+    line = F.concat_ws(",", "c_custkey", F.when(F.col("c_custkey") % 2 == 0, token).otherwise(F.col("c_mktsegment")))
+    return read_delimited(spark, _raw_lines(c.select(line), "c_custkey,c_mktsegment", path)).df
+
+
+_BIG = 4_000_000_000_000_000_000
+
+
+def bar_sum_wide(spark, d):
+    """Totals beyond a long."""
+    li = _t(spark, d, "lineitem").select("l_returnflag", (F.col("l_partkey") + F.lit(_BIG)).alias("big"))
+    return C.bar(li, "l_returnflag", "big").select("x", F.col("y").cast("string").alias("y"))
+
+
+def kpi_sum_wide(spark, d):
+    li = _t(spark, d, "lineitem").select((F.col("l_partkey") + F.lit(_BIG)).alias("big"))
+    scal, _ = kpis(li, [{"name": "Big", "formula": "df['big'].sum()", "importance": 1}])
+    return scal.select("name", "value", "status")
+
+
+def derived_int_product(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 1000000).cast("int").alias("quantity"), (F.col("p_size") * 1000000).cast("int").alias("unitprice"))
+    return convention_columns(p).select("p_partkey", F.col("total_sales").cast("string").alias("total_sales"))
+
+
+def plan_text_numbers(spark, d):
+    """U2 over prices that came as text: the KPI and the chart add them up as numbers."""
+    price = F.concat(F.lit("$"), F.format_number("o_totalprice", 2))
+    o = _t(spark, d, "orders").select("o_orderpriority", price.alias("price"))
+    plan = {
+        "kpis": [{"name": "Total", "formula": "df['price'].sum()", "importance": 1}],
+        "charts": [{"name": "By priority", "type": "bar", "x_column": "o_orderpriority", "y_column": "price"}],
+    }
+    db = run_plan(o, plan)
+    return db.kpis.select("name", F.lit(None).cast("string").alias("x"), _r2("value").alias("y")).unionByName(
+        db.panels().select(F.col("panel").alias("name"), "x", _r2("y").alias("y")))
+
+
+def _events_nan(spark, d):
+    return _t(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+
+
+def profile_nan(spark, d):
+    return _profile_out(P.profile(_events_nan(spark, d)))
+
+
+def profile_infinite(spark, d):
+    """A column with an infinity has no numeric type."""
+    ev = _t(spark, d, "events").select("event_id", F.when(F.col("event_id") == 5, F.lit(float("inf"))).otherwise(F.col("value")).alias("value"))
+    return _profile_out(P.profile(ev)).select("name", "type", "nulls")
+
+
+def histogram_nan(spark, d):
+    t = C.histogram(_events_nan(spark, d), "value")
+    return t.select("bin", _r9("bin_lo").alias("bin_lo"), _r9("bin_hi").alias("bin_hi"), "count")
+
+
+def filter_range_nan(spark, d):
+    from quarry.functions.missing import without_nan
+    ev = without_nan(_events_nan(spark, d))
+    lo, hi = FL.slider_bounds(ev, "value")
+    return ev.where(FL.range_predicate("value", lo, hi))
+
+
+def promote_dates_forms(spark, d):
+    """P2 over one column for each accepted way of writing a date."""
+    o, t = _t(spark, d, "orders"), F.col("o_orderdate").cast("timestamp_ntz")
+    forms = {
+        "zulu": "yyyy-MM-dd'T'HH:mm:ss'Z'", "offset": "yyyy-MM-dd HH:mm:ss'+02:00'", "slashes": "yyyy/MM/dd", "dashes": "MM-dd-yyyy",
+        "words": "MMM d, yyyy", "day_first": "d MMMM yyyy", "short": "M/d/yy", "noon": "M/d/yyyy h:mm a",
+    }
+    src = o.select("o_orderkey", *(F.date_format(t, f).alias(n) for n, f in forms.items()))
+    return CL.promote_types(src)[0]
+
+
+def promote_dates_lenient(spark, d):
+    """P2 with a few values that are no dates: they become NULL and are counted."""
+    o = _t(spark, d, "orders")
+    src = o.select("o_orderkey", F.when(F.col("o_orderkey") % 50 == 0, F.lit("unknown")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("d"))
+    failures: dict[str, int] = {}
+    out, _ = CL.promote_types(src, lenient=0.9, failures=failures)
+    return out.withColumn("failures", F.lit(failures["d"]).cast("long"))
 
 
 def reload_clean(spark, d):
@@ -548,6 +699,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_filtered": export_filtered,
     "empty_input": empty_input,
     "spec_roundtrip": spec_roundtrip,
+    "plan_roundtrip": plan_roundtrip,
+    "metadata_roundtrip": metadata_roundtrip,
+    "csv_documents": csv_documents,
+    "csv_long_ids": csv_long_ids,
+    "csv_quotes": csv_quotes,
+    "csv_strict": csv_strict,
+    "csv_many_headers": csv_many_headers,
+    "csv_tokens": csv_tokens,
+    "bar_sum_wide": bar_sum_wide,
+    "kpi_sum_wide": kpi_sum_wide,
+    "derived_int_product": derived_int_product,
+    "plan_text_numbers": plan_text_numbers,
+    "profile_nan": profile_nan,
+    "profile_infinite": profile_infinite,
+    "histogram_nan": histogram_nan,
+    "filter_range_nan": filter_range_nan,
+    "promote_dates_forms": promote_dates_forms,
+    "promote_dates_lenient": promote_dates_lenient,
     "reload_clean": reload_clean,
     "recommend_plan": recommend_plan_q,
     "auto_dashboard": auto_dashboard,
