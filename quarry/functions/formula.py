@@ -43,6 +43,7 @@ class _Series:
     expr: Column
     mask: Column | None
     dtype: T.DataType
+    name: str | None = None  # of a plain column
 
 
 @dataclass
@@ -69,15 +70,42 @@ class _GroupSeries:
     dtype: T.DataType
 
 
+@dataclass
+class _Unique:
+    """The distinct values of a series, a missing one included."""
+
+    series: _Series
+
+
+@dataclass
+class _Grouped:
+    """One aggregate per key; reduced again it is a single value."""
+
+    key: str
+    expr: Column
+    mask: Column | None
+    median: bool = False
+
+
+@dataclass
+class _Nested:
+    """A reduction over one aggregate per key."""
+
+    inner: _Grouped
+    outer: str
+
+
 @dataclass
 class CompiledFormula:
     """``kind`` is ``scalar`` (``value`` is one aggregate), ``grouped`` (``key`` + aggregate
-    ``value``) or ``grouped_median`` (``key`` + the row expression whose median is wanted)."""
+    ``value``), ``grouped_median`` (``key`` + the row expression whose median is wanted) or
+    ``nested`` (like grouped, its values reduced by ``outer``)."""
 
     kind: str
     value: Column
     key: str | None = None
     mask: Column | None = None
+    outer: str | None = None
 
 
 _SERIES_AGGS = {"sum", "mean", "min", "max", "count", "nunique", "median", "std", "var"}
@@ -96,6 +124,11 @@ def _and(a: Column | None, b: Column | None) -> Column | None:
     return a & b
 
 
+def reduce_values(fn: str, value: Column) -> Column:
+    """A reduction of already aggregated values."""
+    return _aggregate(fn, value, None, T.DoubleType())
+
+
 def _is_numeric(dt: T.DataType) -> bool:
     return isinstance(dt, (T.NumericType, T.BooleanType))
 
@@ -142,9 +175,10 @@ def _fold(op, a, b):
     if not all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in (a, b)):
         raise FormulaError("arithmetic needs numbers")
     if isinstance(op, ast.Pow):
-        if abs(b) > 64:
-            raise FormulaError("exponent too large")
-        return a ** b
+        try:
+            return float(a) ** float(b)
+        except (OverflowError, ZeroDivisionError) as e:
+            raise FormulaError("a power out of range") from e
     f = _FOLD.get(type(op))
     if f is None:
         raise FormulaError("unsupported operator")
@@ -174,7 +208,7 @@ class _Compiler:
 
     def column(self, name: str, mask: Column | None) -> _Series:
         actual = self.resolve(name)
-        return _Series(F.col(f"`{actual}`"), mask, self.types[actual])
+        return _Series(F.col(f"`{actual}`"), mask, self.types[actual], actual)
 
     def lit_or_col(self, v) -> tuple[Column, T.DataType]:
         if isinstance(v, _Series):
@@ -196,6 +230,39 @@ class _Compiler:
             return F.lit(self.median_hook(e, mask)).cast("double")
         return _aggregate(fn, expr, mask, dtype)
 
+    def method(self, base: _Series, name: str, args: list):
+        """A row-wise method of a column, or a reduction with arguments."""
+        if not all(isinstance(a, _Const) for a in args):
+            raise FormulaError(f"{name}() takes constants")
+        values, x = [a.value for a in args], base.expr
+        truth = lambda e: _Series(e, base.mask, T.BooleanType())
+        match name, values:
+            case "isin", [list() as wanted]:
+                return truth(F.coalesce(x.isin(wanted), F.lit(False)) if wanted else F.lit(False))
+            case "isna" | "isnull", []:
+                return truth(x.isNull())
+            case "notna" | "notnull", []:
+                return truth(x.isNotNull())
+            case "between", [low, high]:
+                return truth(F.coalesce(x.between(F.lit(low), F.lit(high)), F.lit(False)))
+            case "fillna", [value] if value is not None:
+                return _Series(F.coalesce(x, F.lit(value)), base.mask, base.dtype)
+            case "round", ([] | [int()]):
+                return _Series(F.bround(x, values[0] if values else 0), base.mask, base.dtype)
+            case "abs", []:
+                return _Series(F.abs(x), base.mask, base.dtype)
+            case "unique", []:
+                return _Unique(base)
+            case "value_counts", [] if base.name:
+                return _Grouped(base.name, F.count(x), base.mask)
+            case "quantile", [float() | int() as q] if 0 <= q <= 1:
+                if self.median_hook is None or not _is_numeric(base.dtype):
+                    raise FormulaError("quantile needs a numeric column of a table")
+                return _Agg(F.lit(self.median_hook(x, base.mask, q)).cast("double"))
+            case _, [] if name in _SERIES_AGGS:
+                return _Agg(self.agg(name, x, base.mask, base.dtype))
+        raise FormulaError(f"unsupported call {name}()")
+
     # -- visitor -------------------------------------------------------------
     def visit(self, node):
         m = getattr(self, f"v_{type(node).__name__}", None)
@@ -216,6 +283,14 @@ class _Compiler:
             return _Const(node.value)
         raise FormulaError("unsupported constant")
 
+    def v_List(self, node):
+        items = [self.visit(e) for e in node.elts]
+        if not all(isinstance(i, _Const) and not isinstance(i.value, list) for i in items):
+            raise FormulaError("a list holds constants")
+        return _Const([i.value for i in items])
+
+    v_Tuple = v_List
+
     def v_UnaryOp(self, node):
         v = self.visit(node.operand)
         if isinstance(node.op, ast.USub):
@@ -324,6 +399,12 @@ class _Compiler:
             raise FormulaError("keyword arguments are not supported")
         f = node.func
         # Builtins and numpy functions over one argument.
+        if isinstance(f, ast.Name) and f.id == "round" and len(node.args) in (1, 2):
+            arg, *places = map(self.visit, node.args)
+            digits = places[0].value if places and isinstance(places[0], _Const) else 0
+            if isinstance(arg, _Agg) and isinstance(digits, int):
+                return _Agg(F.bround(arg.expr.cast("double"), digits))
+            raise FormulaError("round needs a single value")
         if isinstance(f, ast.Name) and f.id in _BUILTIN_AGGS:
             if len(node.args) != 1:
                 raise FormulaError(f"{f.id} takes one argument")
@@ -332,6 +413,10 @@ class _Compiler:
             if fn == "len":
                 if isinstance(arg, (_Frame, _Series)):
                     return _Agg(_row_count(arg.mask))
+                if isinstance(arg, _Unique):
+                    s = arg.series
+                    missing = s.expr.isNull() if s.mask is None else s.mask & s.expr.isNull()
+                    return _Agg(_aggregate("nunique", s.expr, s.mask, s.dtype) + F.coalesce(F.bool_or(missing), F.lit(False)).cast("long"))
                 raise FormulaError("len needs a frame or column")
             if isinstance(arg, _Series):
                 return _Agg(self.agg(fn, arg.expr, arg.mask, arg.dtype))
@@ -354,19 +439,18 @@ class _Compiler:
                     raise FormulaError("groupby key must be a column name")
                 return _GroupBy(self.resolve(k.value), base.mask)
             base = self.visit(f.value)
+            if isinstance(base, _Series):
+                return self.method(base, f.attr, [self.visit(a) for a in node.args])
             if node.args:
                 raise FormulaError(f"{f.attr}() takes no arguments here")
-            if isinstance(base, _Series):
-                if f.attr in _SERIES_AGGS:
-                    return _Agg(self.agg(f.attr, base.expr, base.mask, base.dtype))
-                if f.attr == "abs":
-                    return _Series(F.abs(base.expr), base.mask, base.dtype)
             if isinstance(base, _GroupSeries) and f.attr == "median":
                 if not _is_numeric(base.dtype):
                     raise FormulaError("median needs a numeric column")
-                return ("grouped_median", base.key, base.expr, base.mask)
+                return _Grouped(base.key, base.expr, base.mask, median=True)
             if isinstance(base, _GroupSeries) and f.attr in _SERIES_AGGS:
-                return ("grouped", base.key, _aggregate(f.attr, base.expr, None, base.dtype), base.mask)
+                return _Grouped(base.key, _aggregate(f.attr, base.expr, None, base.dtype), base.mask)
+            if isinstance(base, _Grouped) and not base.median and f.attr in _SERIES_AGGS - {"median", "nunique"}:
+                return _Nested(base, f.attr)
             if isinstance(base, _Frame) and f.attr == "count":
                 raise FormulaError("frame-wide count is not a single value")
         raise FormulaError("unsupported call")
@@ -389,7 +473,7 @@ def _shape_rows(tree: ast.AST) -> ast.AST:
 def compile_formula(formula: str, schema: T.StructType, median_hook=None) -> CompiledFormula:
     """Compile one KPI formula against a schema. Raises :class:`FormulaError`.
 
-    ``median_hook(expr, mask) -> float`` computes a scalar median up front (see
+    ``median_hook(expr, mask, q=0.5) -> float`` computes a scalar quantile up front (see
     :func:`quarry.operators.kpi.exact_median_hook`); without it ``median`` is Spark's exact
     ``percentile``, whose final step holds every distinct value in one task.
     """
@@ -401,14 +485,14 @@ def compile_formula(formula: str, schema: T.StructType, median_hook=None) -> Com
         raise FormulaError(f"not an expression: {e.msg}") from e
     tree = _shape_rows(tree)
     out = _Compiler(schema, median_hook).visit(tree)
-    if isinstance(out, tuple) and out[0] == "grouped":
-        _, key, agg, mask = out
-        return CompiledFormula("grouped", agg.try_cast("double"), key=key, mask=mask)
-    if isinstance(out, tuple) and out[0] == "grouped_median":
-        # ``value`` is the row expression; the median itself is computed by a distributed
-        # selection (quarry.operators.quantiles.grouped_exact_median), not one aggregate
-        _, key, expr, mask = out
-        return CompiledFormula("grouped_median", expr, key=key, mask=mask)
+    if isinstance(out, _Grouped):
+        # for a median ``value`` is the row expression; the median itself is computed by a
+        # distributed selection (quarry.operators.quantiles.grouped_exact_median)
+        kind, value = ("grouped_median", out.expr) if out.median else ("grouped", out.expr.try_cast("double"))
+        return CompiledFormula(kind, value, key=out.key, mask=out.mask)
+    if isinstance(out, _Nested):
+        g = out.inner
+        return CompiledFormula("nested", g.expr.try_cast("double"), key=g.key, mask=g.mask, outer=out.outer)
     if isinstance(out, _Agg):
         return CompiledFormula("scalar", out.expr.try_cast("double"))
     if isinstance(out, _Const) and isinstance(out.value, (int, float)) and not isinstance(out.value, bool):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.format import format_kpi_value
-from quarry.functions.formula import CompiledFormula, FormulaError, compile_formula
+from quarry.functions.formula import CompiledFormula, FormulaError, compile_formula, reduce_values
 from quarry.operators.quantiles import exact_quantiles, grouped_exact_median
 
 KPI_SCHEMA = "rank int, name string, formula string, value double, formatted string, status string"
@@ -16,9 +16,9 @@ GROUPED_SCHEMA = "name string, key string, value double"
 def exact_median_hook(df: DataFrame):
     """Scalar medians by distributed selection (:func:`exact_quantiles`), not by one task."""
 
-    def hook(expr, mask):
+    def hook(expr, mask, q=0.5):
         src = df if mask is None else df.where(mask)
-        return exact_quantiles(src.select(expr.alias("__m")), "__m", [0.5])[0]
+        return exact_quantiles(src.select(expr.alias("__m")), "__m", [q])[0]
 
     return hook
 
@@ -26,11 +26,20 @@ def exact_median_hook(df: DataFrame):
 def kpi_value(df: DataFrame, formula: str) -> float | None:
     """One scalar KPI evaluated now (a single aggregate)."""
     c = compile_formula(formula, df.schema, exact_median_hook(df))
+    if c.kind == "nested":
+        return nested_kpi(df, c).first()["value"]
     if c.kind != "scalar":
         raise FormulaError("grouped formula; use grouped_kpi")
     return df.agg(c.value.alias("v")).first()["v"]
 
 
+def nested_kpi(df: DataFrame, c: CompiledFormula) -> DataFrame:
+    """One row, ``value``: the aggregates of all keys, reduced again."""
+    src = df if c.mask is None else df.where(c.mask)
+    k = F.col(f"`{c.key}`")
+    return src.where(k.isNotNull()).groupBy(k).agg(c.value.alias("v")).agg(reduce_values(c.outer, F.col("v")).cast("double").alias("value"))
+
+
 def grouped_kpi(df: DataFrame, formula: str, name: str = "kpi") -> DataFrame:
     """``df.groupby(k)[v].agg()`` as rows ``(name, key, value)``; NULL keys dropped."""
     c = compile_formula(formula, df.schema)
@@ -62,6 +71,7 @@ def kpis(df: DataFrame, kpi_specs: list[dict]) -> tuple[DataFrame, DataFrame]:
     scalar_exprs = []
     meta = []
     grouped_parts = []
+    nested_parts = []
     for rank, spec in enumerate(ordered, start=1):
         name = spec.get("name") or "KPI"
         formula = spec.get("formula") or ""
@@ -70,7 +80,10 @@ def kpis(df: DataFrame, kpi_specs: list[dict]) -> tuple[DataFrame, DataFrame]:
         except FormulaError:
             meta.append((rank, name, formula, None, "unsupported"))
             continue
-        if c.kind in ("grouped", "grouped_median"):
+        if c.kind == "nested":
+            nested_parts.append(nested_kpi(df, c).select(
+                F.lit(rank).alias("rank"), F.lit(name).alias("name"), F.lit(formula).alias("formula"), "value", F.lit("ok").alias("status")))
+        elif c.kind in ("grouped", "grouped_median"):
             meta.append((rank, name, formula, None, "grouped"))
             grouped_parts.append(grouped_kpi(df, formula, name))
         else:
@@ -90,6 +103,8 @@ def kpis(df: DataFrame, kpi_specs: list[dict]) -> tuple[DataFrame, DataFrame]:
         scal = spark.createDataFrame(
             [(r, n, f, None, s) for r, n, f, _, s in meta],
             "rank int, name string, formula string, value double, status string")
+    for part in nested_parts:
+        scal = scal.unionByName(part)
     scal = scal.select("rank", "name", "formula", "value",
                        format_kpi_value(F.col("value")).alias("formatted"), "status")
     if grouped_parts:

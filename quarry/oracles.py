@@ -360,6 +360,19 @@ ORACLES: dict[str, str] = {
         from lineitem group by 1""",
     "kpi_sum_wide": """select 'Big' as name, cast(sum(cast(l_partkey as hugeint) + 4000000000000000000) as double) as value,
         'ok' as status from lineitem""",
+    "kpi_nested": """select 1 as rank, 'Mean per customer' as name, round((select avg(s) from
+          (select sum(o_totalprice) as s from orders where o_custkey is not null group by o_custkey)), 2) as value, 'ok' as status
+        union all select 2, 'Largest status', (select max(n) from (select count(*) as n from orders
+          where o_orderstatus is not null group by o_orderstatus)), 'ok'""",
+    "kpi_masks": """select rank, round(cast(value as double), 2) as value, 'ok' as status from (
+        select 1 as rank, count_if(o_orderstatus in ('F', 'P'))::double as value from orders
+        union all select 2, coalesce(sum(o_totalprice) filter (o_totalprice between 1000 and 50000), 0) from orders
+        union all select 3, count_if(o_orderpriority is null) from orders
+        union all select 4, count(distinct o_custkey) from orders
+        union all select 5, quantile_cont(o_totalprice, 0.9) from orders
+        union all select 6, count(distinct o_orderpriority) + cast(coalesce(bool_or(o_orderpriority is null), false) as int) from orders
+        union all select 7, round_even(avg(o_totalprice), 1) from orders
+        union all select 8, min(coalesce(o_totalprice, 0)) from orders)""",
     "derived_int_product": """select p_partkey,
         cast(cast(p_partkey * 1000000 as hugeint) * (p_size * 1000000) as varchar) as total_sales from part""",
     "plan_text_numbers": """select 'Total' as name, null as x, round(sum(o_totalprice), 2) as y from orders

@@ -544,6 +544,28 @@ def kpi_sum_wide(spark, d):
     return scal.select("name", "value", "status")
 
 
+def kpi_nested(spark, d):
+    """Reductions of grouped results."""
+    o = _t(spark, d, "orders")
+    scal, _ = kpis(o, [
+        {"name": "Mean per customer", "formula": "df.groupby('o_custkey')['o_totalprice'].sum().mean()", "importance": 3},
+        {"name": "Largest status", "formula": "df['o_orderstatus'].value_counts().max()", "importance": 2},
+    ])
+    return scal.select("rank", "name", _r2("value").alias("value"), "status")
+
+
+def kpi_masks(spark, d):
+    """Row-wise methods inside masks and arguments."""
+    o = _t(spark, d, "orders")
+    forms = [
+        "df['o_orderstatus'].isin(['F', 'P']).sum()", "df[df['o_totalprice'].between(1000, 50000)]['o_totalprice'].sum()",
+        "df['o_orderpriority'].isna().sum()", "df[df['o_custkey'].notna()]['o_custkey'].nunique()", "df['o_totalprice'].quantile(0.9)",
+        "len(df['o_orderpriority'].unique())", "round(df['o_totalprice'].mean(), 1)", "df['o_totalprice'].fillna(0).min()",
+    ]
+    scal, _ = kpis(o, [{"name": str(i), "formula": f, "importance": 99 - i} for i, f in enumerate(forms)])
+    return scal.select("rank", _r2("value").alias("value"), "status")
+
+
 def derived_int_product(spark, d):
     p = _t(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 1000000).cast("int").alias("quantity"), (F.col("p_size") * 1000000).cast("int").alias("unitprice"))
     return convention_columns(p).select("p_partkey", F.col("total_sales").cast("string").alias("total_sales"))
@@ -709,6 +731,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_tokens": csv_tokens,
     "bar_sum_wide": bar_sum_wide,
     "kpi_sum_wide": kpi_sum_wide,
+    "kpi_nested": kpi_nested,
+    "kpi_masks": kpi_masks,
     "derived_int_product": derived_int_product,
     "plan_text_numbers": plan_text_numbers,
     "profile_nan": profile_nan,
