@@ -8,12 +8,12 @@ A whole table is profiled in two steps, however many columns it has:
    is one aggregate for a table of a dozen columns, a few for wide ones; each reads only
    its own columns. One row of numbers comes back per aggregate.
 2. **Frequencies**: the columns are unpivoted to ``(pos, value)``, with the value in a
-   typed slot (long / double / text / SHA-256 of long text), and counted with one group-by
-   (partial aggregation collapses repeated values map-side). That gives the exact distinct
-   count per column. A second, candidate-only table (text columns that can be
-   categorical) gives the three most frequent values. It is ranked in two window steps:
-   first inside ``(pos, hash(value) mod S)`` slices, then over the at most ``3*S``
-   survivors per column, so no single task ranks all values of a large column.
+   typed slot (long / double / text / SHA-256 of text), and counted with one group-by
+   (partial aggregation collapses repeated values map-side). Text columns that can be
+   categorical are unpivoted by value: inside ``(pos, hash(value) mod S)`` slices the values
+   are counted and ranked, and the at most ``3*S`` survivors per column give the three most
+   frequent, so no single task ranks all values of a large column. The other columns need
+   the exact distinct count alone, text by its digest.
 
 The per-column facts (a few numbers per column) are then assembled into the profile
 table on the driver; its size is bounded by the number of columns.
@@ -55,7 +55,6 @@ PROFILE_SCHEMA = T.StructType([
 
 TOP_K = 3
 TOP_SALT = 64
-DIGEST_OVER = 64
 NUMERIC_ROLES = ("integer", "float", "numeric_string")
 
 
@@ -166,14 +165,14 @@ def column_evidence(df: DataFrame, text_tests: bool = True, extra: list[tuple[in
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 
 
-def _slots(name: str, dt: T.DataType, digest_over: int | None = None) -> tuple[Column, Column, Column, Column]:
+def _slots(name: str, dt: T.DataType, digest: bool = False) -> tuple[Column, Column, Column, Column]:
     """The value in a typed slot: whole numbers as long, floats as double (where Spark's
     grouping already treats -0.0 as 0.0), everything else as text. Exactly one slot is set,
     so grouping on all of them keeps values distinct without casting numbers to text.
 
-    With ``digest_over``, text longer than that many characters is replaced by its SHA-256
-    digest in a fourth, binary slot: the distinct count then shuffles 32 bytes per long
-    value instead of the whole text (a collision is as likely as breaking SHA-256).
+    With ``digest``, text goes as its SHA-256 digest into a fourth, binary slot: a distinct
+    count then shuffles 32 bytes a value instead of whole texts (a collision is as likely as
+    breaking SHA-256).
     """
     c = _q(name)
     nl, nd, ns = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
@@ -183,13 +182,10 @@ def _slots(name: str, dt: T.DataType, digest_over: int | None = None) -> tuple[C
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return nl, c.cast("double"), ns, nh
     t = _as_text(name, dt)
-    if digest_over is None:
-        return nl, nd, t, nh
-    long_ = F.length(t) > F.lit(digest_over)
-    return nl, nd, F.when(~long_, t), F.when(long_, F.unhex(F.sha2(t, 256)))
+    return (nl, nd, ns, F.unhex(F.sha2(t, 256))) if digest else (nl, nd, t, nh)
 
 
-def frequency_table(df: DataFrame, positions: list[int] | None = None, digest_over: int | None = None) -> DataFrame:
+def frequency_table(df: DataFrame, positions: list[int] | None = None, digest: bool = False) -> DataFrame:
     """``(pos, l, d, s, h, cnt)``: count per non-NULL value of each column, value in its slot."""
     fields = list(enumerate(df.schema.fields))
     if positions is not None:
@@ -197,7 +193,7 @@ def frequency_table(df: DataFrame, positions: list[int] | None = None, digest_ov
         fields = [(i, f) for i, f in fields if i in keep]
     cells = []
     for i, f in fields:
-        l, d, s, h = _slots(f.name, f.dataType, digest_over)
+        l, d, s, h = _slots(f.name, f.dataType, digest)
         cells.append(F.struct(F.lit(i).alias("pos"), l.alias("l"), d.alias("d"), s.alias("s"), h.alias("h")))
     present = F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull() | F.col("h").isNotNull()
     return (
@@ -214,22 +210,23 @@ def text_frequencies(freq: DataFrame) -> DataFrame:
     return freq.select("pos", v.alias("v"), "cnt")
 
 
-def top_values(freq: DataFrame, k: int = TOP_K, salt: int = TOP_SALT) -> DataFrame:
-    """``(pos, rk, v, cnt)``: the k most frequent values per column, ties by value.
+def ranked_values(freq: DataFrame, k: int = TOP_K, salt: int = TOP_SALT) -> DataFrame:
+    """``(pos, unique, tv)``: per column of a ``(pos, v, cnt)`` table the number of values and
+    the k most frequent as an array of (v, cnt), ties by value.
 
-    Every global top-k row is in the top-k of its own hash slice, so ranking slices first
-    and then the survivors is exact.
+    Values are ranked and counted inside ``(pos, hash(value) mod salt)`` slices first. Every
+    global top-k row is in the top-k of its own slice, so the at most ``k * salt`` survivors
+    per column decide, and the slices' counts add up.
     """
-    order = [F.desc("cnt"), F.asc("v")]
+    w = Window.partitionBy("pos", "s")
     sliced = freq.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salt)))
-    local = (
-        sliced.withColumn("rk", F.row_number().over(Window.partitionBy("pos", "s").orderBy(*order)))
-        .where(F.col("rk") <= k)
-        .drop("rk", "s")
-    )
-    return (
-        local.withColumn("rk", F.row_number().over(Window.partitionBy("pos").orderBy(*order)))
-        .where(F.col("rk") <= k)
+    local = sliced.withColumns({
+        "rk": F.row_number().over(w.orderBy(F.desc("cnt"), F.asc("v"))), "n": F.count(F.lit(1)).over(w),
+    }).where(F.col("rk") <= k)
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("less"), "v"))), 1, k)
+    return local.groupBy("pos").agg(
+        F.sum(F.when(F.col("rk") == 1, F.col("n"))).alias("unique"),
+        F.transform(best, lambda b: F.struct(b["v"].alias("v"), (-b["less"]).alias("cnt"))).alias("tv"),
     )
 
 
@@ -324,29 +321,18 @@ def profile(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Profile:
             return False
         return (f.get("len") or 0) < 50
 
+    # every column is unpivoted once: candidates by value, for the count and the ranking;
+    # the others for the distinct count only, text among them by digest
     cand = [i for i in range(len(fields)) if maybe_categorical(i)]
-    tops: dict[int, list[str]] = {}
+    rest = [i for i in range(len(fields)) if i not in cand] if uniques is None else []
+    found = []
+    if cand:
+        found += ranked_values(text_frequencies(frequency_table(df, cand))).collect()
+    if rest:
+        found += frequency_table(df, rest, digest=True).groupBy("pos").agg(F.count(F.lit(1)).alias("unique"), F.lit(None).alias("tv")).collect()
+    tops = {r["pos"]: [(x["v"], x["cnt"]) for x in r["tv"]] for r in found if r["tv"]}
     if uniques is None:
-        freq = frequency_table(df, digest_over=DIGEST_OVER)
-        # exact distinct count per column: a two-phase count over the (pos, value) groups
-        uq = freq.groupBy("pos").agg(F.count(F.lit(1)).alias("unique"))
-        if cand:
-            # Only the candidate text columns are unpivoted for ranking, so that branch
-            # reads and shuffles just those columns.
-            top = top_values(text_frequencies(frequency_table(df, cand)))
-            top_l = top.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("rk", "v", "cnt"))).alias("tv"))
-            res = uq.join(top_l, "pos", "left").collect()
-        else:
-            res = uq.withColumn("tv", F.lit(None)).collect()
-        uniques = {i: 0 for i in range(len(fields))}
-        for r in res:
-            uniques[r["pos"]] = r["unique"]
-            if r["tv"]:
-                tops[r["pos"]] = [(x["v"], x["cnt"]) for x in r["tv"]]
-    elif cand:
-        top = top_values(text_frequencies(frequency_table(df, cand)))
-        for r in top.orderBy("pos", "rk").collect():
-            tops.setdefault(r["pos"], []).append((r["v"], r["cnt"]))
+        uniques = {r["pos"]: r["unique"] for r in found}
 
     columns = []
     for i, f in enumerate(facts):
