@@ -19,6 +19,7 @@ QUERIES = {
 
 #: Queries without a twin here are tested against brute force in ``tests/llm``.
 ORACLES = {
+    "op2_secrets": secrets.ORACLE,
     "op4_quality_rules": quality.ORACLE,
     "op5_url_filters": urls.ORACLE,
     "op8_minhash_near_dedup": dedup.ORACLE,

@@ -158,3 +158,43 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(lambda s: s["verdict"] == "live").alias("n_live"),
         count(lambda s: s["verdict"] == "example").alias("n_example"),
     )
+
+
+def _oracle() -> str:
+    """The same in SQL: matches and the pieces between them give the places."""
+    patterns = {
+        "assign": """(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        "access": "AKIA[A-Z0-9]{12,}",
+        "hex": "[0-9a-f]{32,}",
+        "github": "gh[pousr]_[A-Za-z0-9]{36,}",
+        "slack": "xox[abprs]-[A-Za-z0-9-]{10,}",
+        "jwt": "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}",
+        "private_key": "-----BEGIN\\x20(?:[A-Z]{2,10}\\x20)?PRIVATE\\x20KEY-----",
+    }
+    parts = "\n  UNION ALL ".join(
+        f"SELECT rid, {_LISTED[k]} AS listed, '{k}' AS kind, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS ps, "
+        f"regexp_extract_all(t, '{p}', {1 if k == 'assign' else 0}) AS vs FROM d"
+        for k, p in patterns.items()
+    )
+    text = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, listed){}, '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS o, concat_ws('/', source, lang) AS r FROM documents),
+m AS ({parts}),
+u AS (SELECT rid, listed, kind, unnest(ms) AS m, unnest(vs) AS v, unnest(ps[1:len(ms)]) AS p, unnest(range(len(ms))) AS i FROM m WHERE len(ms) > 0),
+x AS (SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY rid, listed ORDER BY i) AS e FROM u),
+c AS (SELECT rid, listed, kind, (e - length(m))::BIGINT AS s, e::BIGINT AS e, sha256(v) AS h,
+    len(list_distinct(string_split(v[1:256], ''))) >= 9 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{_FAKE}') AS g
+  FROM x WHERE kind <> 'assign' OR length(v) >= 8),
+f AS (SELECT h, count(DISTINCT o) AS owners FROM c JOIN d USING (rid) GROUP BY h),
+j AS (SELECT c.*, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 'example' WHEN g AND owners = 1 THEN 'live' ELSE 'unclear' END AS verdict FROM c JOIN f USING (h)),
+a AS (SELECT rid, {counts}, sha256({text.format(" FILTER (listed < 3)")}) AS base_sha256, {text.format("")} AS spans,
+    string_agg(verdict, ',' ORDER BY s, listed) AS verdicts, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example
+  FROM j GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(verdicts, '') AS verdicts, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
+ORACLE = _oracle()
