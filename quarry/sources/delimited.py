@@ -214,10 +214,12 @@ def _by_record(spark: SparkSession, path, sep: str, encoding: str, width: int) -
     used = "UTF-8" if (encoding or "auto") == "auto" else encoding
     read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").option("encoding", used)
     read = read.option("multiLine", True).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-    rows = read.csv(path)
+    # one row of everything: a query of the corrupt-record column alone is refused
+    held = [*(F.col(f"_c{i}") for i in range(width)), F.col("_bad"), F.col("_metadata.file_path").alias("file")]
+    rows = read.csv(path).select(F.inline(F.array(F.struct(*held))))
     fields = F.struct(*(F.col(f"_c{i}") for i in range(width)))
     n = F.when(F.col("_bad").isNull(), F.lit(width)).otherwise(field_count(F.regexp_replace("_bad", r"\r?\n$", ""), sep))
-    return rows.select(F.col("_bad").alias("value"), F.col("_metadata.file_path").alias("file"), n.alias("n"), fields.alias("r"))
+    return rows.select(F.col("_bad").alias("value"), "file", n.alias("n"), fields.alias("r"))
 
 
 def text_fields(width: int) -> str:

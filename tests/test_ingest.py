@@ -172,3 +172,70 @@ def test_load_contract(spark, tmp_path):
     ok, msg, res = load_delimited(spark, p, save_to=out)
     assert ok and msg.startswith("2 rows in 2 columns")
     assert spark.read.parquet(f"{out}/clean").count() == 2
+
+
+def test_header_goes_by_position_in_every_file(spark, tmp_path):
+    write_text(tmp_path / "h" / "1.csv", b"\n a,b\n1,2\n a,b\n")
+    write_text(tmp_path / "h" / "2.csv", b'" a","b"\n3,4\n')
+    write_text(tmp_path / "h" / "3.csv", b"")
+    rows = sorted(tuple(r) for r in read_delimited(spark, str(tmp_path / "h"), promote=False).df.collect())
+    assert rows == [(" a", "b"), ("1", "2"), ("3", "4")]
+
+
+def test_encoding_is_decided_line_by_line(spark, tmp_path):
+    body = b"n,t\n" + b"".join(b"%d,ok\n" % i for i in range(30)) + b"99,caf\xe9\n100,na\xc3\xafve\n"
+    p = write_text(tmp_path / "e.csv", body)
+    ing = read_delimited(spark, p)
+    got = {r["n"]: r["t"] for r in ing.df.collect()}
+    assert got[99] == "café" and got[100] == "naïve" and ing.with_counts()["encoding_used"] == "utf-8, else iso-8859-1"
+
+
+def test_quotes_count_as_the_parser_takes_them(spark, tmp_path):
+    lines = ["a,b", '5" x,6" y', '"p ""q"", r",s', '5" x,6" y,LOST', '1,"open', '"x"y,z', "  pad  ,t"]
+    p = write_text(tmp_path / "q.csv", ("\n".join(lines) + "\n").encode())
+    ing = read_delimited(spark, p, promote=False, strict=True)
+    assert sorted(tuple(r) for r in ing.df.collect()) == sorted([('5" x', '6" y'), ('p "q", r', "s"), ("  pad  ", "t")])
+    rej = {r["line"]: r["found"] for r in ing.rejects.collect()}
+    assert rej == {'5" x,6" y,LOST': 3, '1,"open': None, '"x"y,z': None}
+    assert all(r["file"].endswith("q.csv") for r in ing.rejects.collect())
+
+
+def test_long_quoted_field_needs_no_deep_recursion(spark, tmp_path):
+    p = write_text(tmp_path / "l.csv", b'a,b\n"' + b'x""' * 60000 + b'",1\n')
+    assert read_delimited(spark, p).df.count() == 1
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    p = write_text(tmp_path / "m.csv", b'a,b\n1,"x\ny"\n2,z\n3,"p, ""q""\n\n r"\n4\n5,6,7\n')
+    one = read_delimited(spark, p, multiline=True, promote=False)
+    assert sorted(tuple(r) for r in one.df.collect()) == [("1", "x\ny"), ("2", "z"), ("3", 'p, "q"\n\n r'), ("4", None)]
+    assert [r["found"] for r in one.rejects.collect()] == [3]
+    by_line = read_delimited(spark, p, promote=False)
+    assert ("1", "x") not in {tuple(r) for r in by_line.df.collect()}
+    assert '1,"x' in {r["line"] for r in by_line.rejects.collect()}
+
+
+def test_wide_whole_numbers_keep_their_digits(spark):
+    rows = [("1234567890123456789", "12345678901234567890123", "1.5", "1" * 45), ("1234567890123456788", "7", "12345678901234567890123", "2")]
+    df, plan = promote_types(spark.createDataFrame(rows, "a string, b string, c string, d string"))
+    assert plan == {"a": "long", "b": "decimal(38,0)", "c": "string", "d": "string"}
+    assert {r["a"] for r in df.collect()} == {1234567890123456789, 1234567890123456788}
+
+
+@pytest.mark.parametrize("text, want", [
+    ("2024-01-05T10:00:00Z", (2024, 1, 5, 10)), ("2024-01-05 10:00:00+02:00", (2024, 1, 5, 10)), ("2024/01/05", (2024, 1, 5)),
+    ("05-01-2024", (2024, 5, 1)), ("Jan 5, 2024", (2024, 1, 5)), ("5 January 2024", (2024, 1, 5)), ("1/5/24", (2024, 1, 5)), ("1/5/71", (1971, 1, 5)),
+    ("1/5/2024 8:26 AM", (2024, 1, 5, 8, 26)), ("1/5/2024 12:26:30 pm", (2024, 1, 5, 12, 26, 30)), ("1/5/2024 13:26 PM", None),
+    ("Foo 5, 2024", None), ("5/2024", None), ("1-5/2024", None), ("2024-13-01", None), ("13/13/2024", None),
+])
+def test_date_forms(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(parse_datetime(F.col("t")).alias("d")).first()["d"]
+    assert got == (dt.datetime(*want) if want else None)
+
+
+def test_lenient_dates_count_their_failures(spark):
+    df = spark.createDataFrame([(f"2024-01-{i:02d}",) for i in range(1, 20)] + [("unknown",), (None,)], "d string")
+    assert promote_types(df)[1] == {"d": "string"}
+    failures = {}
+    out, plan = promote_types(df, lenient=0.9, failures=failures)
+    assert plan == {"d": "timestamp_ntz"} and failures == {"d": 1} and out.where("d is null").count() == 2

@@ -261,3 +261,41 @@ def test_correlation_wide_table(spark):
     ref = pdf.corr()
     for a, b in [("c0", "c1"), ("c5", "c39"), ("c12", "c30")]:
         assert math.isclose(got[(a, b)], ref.loc[a, b], rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_totals_and_products_do_not_overflow(spark):
+    big = spark.createDataFrame([("a", 4 * 10**18)] * 4, "k string, v long")
+    assert C.bar(big, "k", "v").first()["y"] == 16 * 10**18
+    assert C.pie(big, "k", "v").first()["y"] == C.funnel(big, "k", "v").first()["y"] == 16 * 10**18
+    assert kpi_value(big, "df['v'].sum()") == 16e18
+    ints = spark.createDataFrame([(100000, 100000)], "quantity int, unitprice int")
+    assert convention_columns(ints).first()["total_sales"] == 10**10
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", float("nan")), ("b", None)], "k string, v double")
+    assert Q.exact_quantiles(df, "v", [0.5]) == [1.5]
+    assert sum(r["count"] for r in C.histogram(df, "v").collect()) == 2
+    assert {r["x"]: r["y"] for r in C.bar(df, "k", "v").collect()} == {"a": 3.0, "b": 0.0}
+
+
+def test_quantile_scans_do_not_grow_with_the_ranks(spark, monkeypatch):
+    df = spark.range(100_000).selectExpr("cast(id * id as double) as v")
+    scans = []
+    refined = Q._refined
+    monkeypatch.setattr(Q, "_refined", lambda vals, ranges: scans.append(len(ranges)) or refined(vals, ranges))
+    got = Q.exact_quantiles(df, "v", [0.01, 0.25, 0.5, 0.75, 0.99])
+    assert np.allclose(got, np.quantile(np.arange(100_000.0) ** 2, [0.01, 0.25, 0.5, 0.75, 0.99])) and len(scans) <= 2
+
+
+def test_formula_methods_and_nested_reductions(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), (None, None)], "k string, v double")
+    for f, want in {
+        "df.groupby('k')['v'].sum().mean()": 4.5, "df['k'].value_counts().max()": 2.0, "df['k'].isin(['a', 'c']).sum()": 2.0,
+        "df['v'].isna().sum()": 1.0, "df[df['v'].between(2, 9)]['v'].sum()": 8.0, "df['v'].quantile(0.5)": 3.0,
+        "len(df['k'].unique())": 3.0, "round(df['v'].mean(), 0)": 3.0, "df['v'].fillna(0).mean()": 2.25, "2 ** 70": float(2**70),
+    }.items():
+        assert kpi_value(df, f) == want, f
+    for bad in ("df['v'].isin(df['v'])", "9.0 ** 99999", "df['v'].between(1)", "df.groupby('k')['v'].sum().median()"):
+        with pytest.raises(FormulaError):
+            compile_formula(bad, df.schema)
