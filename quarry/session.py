@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,7 @@ def get_spark(master: str | None = None, partitions: int | None = None, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
@@ -34,6 +36,17 @@ def get_spark(master: str | None = None, partitions: int | None = None, app: str
     return spark
 
 
+@cache
+def _local_folder() -> str:
+    """One temporary folder for a local session, removed when the process ends."""
+    folder = tempfile.TemporaryDirectory(prefix="quarry-ckpt-", ignore_cleanup_errors=True)
+    _KEPT.append(folder)
+    return folder.name
+
+
+_KEPT: list[tempfile.TemporaryDirectory] = []
+
+
 def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
@@ -52,7 +65,7 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
         if not base:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-            base = tempfile.mkdtemp(prefix="quarry-ckpt-")
+            base = _local_folder()
             sc.setCheckpointDir(base)
     base = base.rstrip("/")
     return f"{base}/quarry/{name or 'run'}-{uuid.uuid4().hex[:12]}"
