@@ -9,8 +9,10 @@ per-partition heap, no global sort). Ties are broken by the key, ascending.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,19 +166,50 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def _safe_corr(a: str, b: str) -> Column:
-    """Pearson over rows where both are present; NULL when undefined (constant or too few)."""
-    ca, cb = _q(a).cast("double"), _q(b).cast("double")
-    both = ca.isNotNull() & cb.isNotNull()
-    return F.try_divide(
-        F.covar_pop(ca, cb),
-        F.stddev_pop(F.when(both, ca)) * F.stddev_pop(F.when(both, cb)),
-    )
+class _Moments:
+    """Pairwise-complete counts, means and centred products of columns, of one or more batches.
 
+    ``mean[i, j]`` and ``square[i, j]`` are those of column i over the rows where j is present
+    too. Batches are centred before they are multiplied and merged by their means, so a large
+    mean costs no digits.
+    """
 
-# Aggregation buffers wider than Spark's whole-stage-codegen field limit (100) fall back to
-# the interpreted path, several times slower; each aggregate below stays under this budget.
-FIELD_BUDGET = 96
+    def __init__(self, x: np.ndarray):
+        there = ~np.isnan(x)
+        centre = np.where(there.any(axis=0), np.nanmean(np.where(there, x, np.nan), axis=0) if len(x) else 0.0, 0.0)
+        x, m = np.where(there, x - centre, 0.0), there.astype(float)
+        self.n = m.T @ m
+        n = np.maximum(self.n, 1)
+        off = (x.T @ m) / n
+        self.square = np.maximum((x * x).T @ m - n * off * off, 0)
+        self.cross = x.T @ x - n * off * off.T
+        self.mean = off + centre[:, None]
+
+    def merge(self, other: _Moments) -> None:
+        n = self.n + other.n
+        share = other.n / np.maximum(n, 1)
+        apart, weight = other.mean - self.mean, self.n * share
+        self.square += other.square + apart * apart * weight
+        self.cross += other.cross + apart * apart.T * weight
+        self.mean += apart * share
+        self.n = n
+
+
+def _pair_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per pair of columns and task: i, j, n, mx, my, cxx, cyy, cxy."""
+    total = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = _Moments(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]))
+        if total is None:
+            total = part
+        else:
+            total.merge(part)
+    if total is not None:
+        i, j = np.triu_indices(len(total.n))
+        cells = (i, j, total.n[i, j], total.mean[i, j], total.mean[j, i], total.square[i, j], total.square[j, i], total.cross[i, j])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["i", "j", "n", "mx", "my", "cxx", "cyy", "cxy"])
 
 
 def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -185,73 +218,30 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     Pairwise-complete Pearson, NULL when undefined, diagonal 1.0 unless the column is
     constant or empty; fewer than two numeric columns, or no rows, gives an empty table.
 
-    Plan: one small aggregate (count, min, max per column) decides which columns hold
-    NULLs. Pairs of NULL-free columns share one ``stddev_pop`` per column and need only a
-    ``covar_pop`` each; pairs touching a NULL-bearing column use the full pairwise form.
-    The expressions are packed into aggregates under ``FIELD_BUDGET`` buffer fields so
-    each one is code-generated (a few scans of the numeric columns instead of one slow
-    interpreted scan). The one-row results are numbers bounded by the column count; the
-    long matrix, each pair in both orders, is built from them.
+    One scan, whatever the number of columns: each task multiplies its Arrow batches as
+    matrices and gives one row per pair; these are merged by their means.
     """
     df = without_nan(df)
     cols = columns if columns is not None else numeric_columns(df)
-    spark = df.sparkSession
-    schema = "col_x string, col_y string, corr double"
     if len(cols) < 2:
-        return spark.createDataFrame([], schema)
-    # count / min / max per column, also packed under the field budget (3 fields a column)
-    stat_exprs = [F.count(F.lit(1)).alias("_n")] + [e for i, c in enumerate(cols) for e in (
-        F.count(_q(c)).alias(f"n{i}"), F.min(_q(c)).cast("double").alias(f"lo{i}"),
-        F.max(_q(c)).cast("double").alias(f"hi{i}"))]
-    st: dict = {}
-    for j in range(0, len(stat_exprs), FIELD_BUDGET):
-        st.update(df.agg(*stat_exprs[j:j + FIELD_BUDGET]).first().asDict())
-    if not st["_n"]:
-        return spark.createDataFrame([], schema)
-    full = {c for i, c in enumerate(cols) if st[f"n{i}"] == st["_n"]}
-    # (buffer fields, alias, aggregate, pairs it answers)
-    items: list[tuple[int, str, Column, list[tuple[str, str]]]] = []
-    sd = {}
-    for i, c in enumerate(cols):
-        if c in full:
-            sd[c] = f"s{i}"
-            items.append((3, f"s{i}", F.stddev_pop(_q(c).cast("double")), []))
-    kinds = {}
-    for j, (a, b) in enumerate(combinations(cols, 2)):
-        if a in full and b in full:
-            items.append((4, f"p{j}", F.covar_pop(_q(a).cast("double"), _q(b).cast("double")), [(a, b)]))
-            kinds[f"p{j}"] = "cov"
-        else:
-            items.append((10, f"p{j}", _safe_corr(a, b), [(a, b)]))
-            kinds[f"p{j}"] = "corr"
-    chunks: list[list] = [[]]
-    used = 0
-    for it in items:
-        if used + it[0] > FIELD_BUDGET and chunks[-1]:
-            chunks.append([])
-            used = 0
-        chunks[-1].append(it)
-        used += it[0]
-    # Each chunk is one code-generated aggregate returning one row of numbers; the matrix
-    # (bounded by the number of columns) is assembled from them.
-    got: dict = {}
-    for ch in chunks:
-        got.update(df.agg(*[e.alias(a) for _, a, e, _ in ch]).first().asDict())
-    out = []
-    for i, c in enumerate(cols):
-        lo, hi = st[f"lo{i}"], st[f"hi{i}"]
-        out.append((c, c, 1.0 if lo is not None and lo < hi else None))
-    for _, alias, _, pairs in items:
-        for a, b in pairs:
-            if kinds[alias] == "cov":
-                cov, den = got[alias], None
-                if got[sd[a]] is not None and got[sd[b]] is not None:
-                    den = got[sd[a]] * got[sd[b]]
-                v = None if cov is None or not den else cov / den
-            else:
-                v = got[alias]
-            out += [(a, b, v), (b, a, v)]
-    return spark.createDataFrame(out, schema)
+        return df.sparkSession.createDataFrame([], "col_x string, col_y string, corr double")
+    numbers = df.select(*(_q(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)))
+    parts = numbers.mapInArrow(_pair_moments, "i long, j long, n double, mx double, my double, cxx double, cyy double, cxy double")
+    pair = Window.partitionBy("i", "j")
+    away = lambda m: F.col(m) - F.sum(F.col("n") * F.col(m)).over(pair) / F.nullif(F.sum("n").over(pair), F.lit(0.0))
+    spread = parts.select("i", "j", "n", "cxx", "cyy", "cxy", F.coalesce(away("mx"), F.lit(0.0)).alias("dx"), F.coalesce(away("my"), F.lit(0.0)).alias("dy"))
+    sums = spread.groupBy("i", "j").agg(
+        F.sum(F.col("cxx") + F.col("n") * F.col("dx") * F.col("dx")).alias("xx"),
+        F.sum(F.col("cyy") + F.col("n") * F.col("dy") * F.col("dy")).alias("yy"),
+        F.sum(F.col("cxy") + F.col("n") * F.col("dx") * F.col("dy")).alias("xy"),
+    )
+    names = F.array(*(F.lit(c) for c in cols))
+    name = lambda k: F.get(names, F.col(k).cast("int"))
+    corr = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct(name("i").alias("col_x"), name("j").alias("col_y"), F.when(F.col("xx") > 0, F.lit(1.0)).alias("corr")))).otherwise(
+        F.array(*(F.struct(name(a).alias("col_x"), name(b).alias("col_y"), corr.alias("corr")) for a, b in (("i", "j"), ("j", "i"))))
+    )
+    return sums.select(F.inline(both))
 
 
 def pie(df: DataFrame, x: str, y: str | None = None, k: int = 8, by: str = "key") -> DataFrame:

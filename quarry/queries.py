@@ -448,7 +448,7 @@ def empty_input(spark, d):
         {"name": "Heat", "type": "heatmap"},
     ]}
     shown = run_plan(c, plan).panels()
-    return shown.groupBy().agg(F.count("*").alias("rows"), F.lit(c.count()).alias("kept"))
+    return shown.groupBy().agg(F.count("*").alias("rows"), F.lit(c.count()).cast("long").alias("kept"))
 
 
 def spec_roundtrip(spark, d):
