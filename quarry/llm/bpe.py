@@ -15,11 +15,10 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
 import string
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import public_tokenizers
@@ -27,10 +26,12 @@ import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
+from quarry.llm.shingles import span_hashes
+
 FILE = "word_bpe_49k.json"
-#: Distinct pretokens remembered by a worker; beyond it the memory starts anew. It bounds
-#: memory only: what is forgotten is computed again.
-MEMORY = 800_000
+#: Distinct chunks remembered by a worker; beyond it the memory starts anew. It bounds memory
+#: only: what is forgotten is computed again.
+MEMORY = 2_500_000
 
 
 def _alphabet() -> list[str]:
@@ -47,17 +48,9 @@ _GAPS = regex.compile(r"\p{White_Space}+", regex.V1)
 
 
 @cache
-def _unassigned() -> re.Pattern:
-    """Any character that Python's Unicode tables do not assign."""
-    ranges, start = [], None
-    for i in range(0x80, 0x110001):
-        lacking = i < 0x110000 and unicodedata.category(chr(i)) == "Cn"
-        if lacking and start is None:
-            start = i
-        elif not lacking and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{i - 1:08x}")
-            start = None
-    return re.compile("[" + "".join(ranges) + "]")
+def _unassigned(char: str) -> bool:
+    """Whether Python's Unicode tables do not assign a character."""
+    return unicodedata.category(char) == "Cn"
 
 
 def _split(text: str) -> list[str]:
@@ -70,26 +63,11 @@ def _pattern(text: str) -> regex.Pattern:
     return regex.compile(text.replace(r"[^\s", r"[^\p{White_Space}"), regex.V1)
 
 
-class Memo(dict):
-    """What ``make`` gives for each key, remembered up to a bound; sums run at C speed."""
-
-    def __init__(self, make: Callable, most: int = MEMORY):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 class Rules:
     """The cutting rules and merges of one tokenizer file."""
 
     def __init__(self, path: str | None = None):
         self.path = path or public_tokenizers.path(FILE)
-        self._library: Tokenizer | None = None
         with open(self.path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
@@ -102,9 +80,7 @@ class Rules:
         ):
             raise ValueError("the tokenizer file declares rules that are not implemented")
         self.suffix = model["end_of_word_suffix"] or ""
-        self.vocab: dict[str, int] = model["vocab"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks: dict[tuple[str, str], int] = {m: i for i, m in enumerate(merges)}
+        self.merges: list = model["merges"]
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.cut = _pattern(pre[0]["pattern"]["Regex"]).findall
@@ -126,14 +102,28 @@ class Rules:
     def beyond(self, segment: str) -> bool:
         """Whether it holds characters that Python's Unicode tables lack; the library may
         know a later version, and then ``library_words`` cuts such a text."""
-        return not segment.isascii() and _unassigned().search(segment) is not None
+        if segment.isascii():
+            return False
+        try:
+            segment.encode("latin-1")
+        except UnicodeEncodeError:
+            return any(map(_unassigned, set(segment)))
+        return False
+
+    @cached_property
+    def ranks(self) -> dict[tuple[str, str], int]:
+        """The rank of each mergeable pair."""
+        pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in self.merges)
+        return {m: i for i, m in enumerate(pairs)}
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
 
     def library_words(self, segment: str) -> list[str]:
-        if self._library is None:
-            self._library = Tokenizer.from_file(self.path)
-            self._bytes = {c: b for b, c in enumerate(self.letters)}
-        words = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(segment))
-        return [bytes(map(self._bytes.__getitem__, w)).decode() for w, _ in words]
+        value = {c: b for b, c in enumerate(self.letters)}
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(segment))
+        return [bytes(map(value.__getitem__, w)).decode() for w, _ in words]
 
     def parts(self, chunk: str) -> list[str]:
         """The pretokens of a chunk. A run of letters, with or without one mark after it, is
@@ -189,14 +179,70 @@ def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return n - merges
 
 
-def numbered(chunks: list[str]) -> tuple[np.ndarray, list[str]]:
-    """For each chunk the number of its text among the distinct texts, and these."""
-    coded = pa.array(chunks, pa.large_string()).dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+class Seen:
+    """Row numbers of the texts met so far, by 128-bit hash in an open-addressing table: some
+    thirty bytes a text instead of the text. Holds ``MEMORY`` texts, then starts anew."""
+
+    def __init__(self, bits: int = 22, most: int = MEMORY):
+        self.mask, self.most = np.uint64((1 << bits) - 1), min(most, (1 << bits) * 5 // 8)
+        self.forget()
+
+    def forget(self) -> None:
+        size = int(self.mask) + 1
+        self.n = 0
+        self.row, self.key, self.check = np.full(size, -1, np.int32), np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The row of each text, -1 for those not met."""
+        out, at, todo = np.full(len(key), -1, np.int64), (key & self.mask).astype(np.int64), np.arange(len(key))
+        while len(todo):
+            slot = at[todo]
+            row = self.row[slot]
+            hit = (row >= 0) & (self.key[slot] == key[todo]) & (self.check[slot] == check[todo])
+            out[todo[hit]] = row[hit]
+            todo = todo[(row >= 0) & ~hit]
+            at[todo] = (at[todo] + 1) & int(self.mask)
+        return out
+
+    def add(self, key: np.ndarray, check: np.ndarray) -> None:
+        """Give the next rows to texts that were not met, in order."""
+        at, todo = (key & self.mask).astype(np.int64), np.arange(len(key))
+        while len(todo):
+            free = todo[self.row[at[todo]] < 0]
+            slots, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.row[slots], self.key[slots], self.check[slots] = self.n + won, key[won], check[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            at[todo] = (at[todo] + 1) & int(self.mask)
+        self.n += len(key)
+
+    def rows(self, chunks: list[str], learn: Callable[[list[str]], None], forget: Callable[[], None]) -> np.ndarray:
+        """The row of each chunk; ``learn`` is told the chunks that get the next rows."""
+        if not chunks:
+            return np.empty(0, np.int64)
+        coded = pa.array(chunks, pa.large_string()).dictionary_encode()
+        texts = coded.dictionary
+        _, offsets, data = texts.buffers()
+        ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        spans = np.frombuffer(data, np.uint8), ends[:-1], ends[1:]
+        key, check = span_hashes(*spans, salt=0), span_hashes(*spans, salt=1)
+        found = self.find(key, check)
+        new = np.flatnonzero(found < 0)
+        if self.n + len(new) > self.most:
+            size = max(len(self.row), 1 << int(2 * len(texts)).bit_length())
+            self.mask = np.uint64(size - 1)
+            self.forget()
+            forget()
+            new = np.arange(len(texts))
+        if len(new):
+            found[new] = self.n + np.arange(len(new))
+            learn(texts.take(pa.array(new)).to_pylist())
+            self.add(key[new], check[new])
+        return found[coded.indices.to_numpy()]
 
 
 #: Characters of text whose chunks are looked up together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 
 
 def grouped(texts: Iterable[str | None], size: int = TOGETHER) -> Iterator[list[str]]:
@@ -217,15 +263,26 @@ class WordCounter:
 
     def __init__(self, path: str | None = None, memory: int = MEMORY):
         self.rules = Rules(path)
-        self._of = Memo(self._chunk, memory).__getitem__
-        self._word = Memo(self._merged, memory).__getitem__
+        self.seen = Seen(most=memory)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.each = np.zeros(0, np.int64)  # tokens of each chunk met
 
-    def _merged(self, word: str) -> int:
+    def _word(self, word: str) -> int:
         return merge_count(self.rules.symbols(word), self.rules.ranks)
 
-    def _chunk(self, chunk: str) -> int:
-        parts = self.rules.parts(chunk)
-        return self._merged(chunk) if len(parts) == 1 else sum(map(self._word, parts))
+    def _learn(self, chunks: list[str]) -> None:
+        counts: dict[str, int] = {}
+        out = []
+        for c in chunks:
+            n = 0
+            for w in self.rules.parts(c):
+                if w not in counts:
+                    counts[w] = self._word(w)
+                n += counts[w]
+            out.append(n)
+        self.each = np.concatenate((self.each, np.array(out, np.int64)))
 
     def counts(self, texts: Iterable[str | None]) -> Iterator[int]:
         """The number of tokens of each text in turn."""
@@ -243,9 +300,8 @@ class WordCounter:
                         chunks += rules.chunks(p)
                 ends.append(len(chunks))
                 more.append(besides)
-            codes, distinct = numbered(chunks)
-            each = np.fromiter(map(self._of, distinct), np.int64, len(distinct))
-            sums = np.concatenate(([0], np.cumsum(each[codes])))[[0, *ends]]
+            rows = self.seen.rows(chunks, self._learn, self._forget)
+            sums = np.concatenate(([0], np.cumsum(self.each[rows])))[[0, *ends]]
             yield from (np.diff(sums) + np.array(more, np.int64)).tolist()
 
     def count(self, text: str | None) -> int:

@@ -26,7 +26,7 @@ result; only the id and text columns are read. Whole texts are used.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,42 +51,42 @@ def _fields(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
 
-@F.pandas_udf(_fields(n=_LONG, f1=_LONG, f2=_LONG, bands=T.ArrayType(_LONG)))
-def _signature(texts: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_fields(n=_LONG, f1=_LONG, f2=_LONG, bands=T.ArrayType(_LONG)))
+def _signature(texts: pa.Array) -> pa.Array:
     """Set size, a 128-bit fingerprint of the set, and its band keys."""
-    out = []
+    common.give_back()
+    numbers, bands, ends = [], [np.empty(0, np.int64)], [0]
     for t in texts:
-        s = shingles.shingle_set(t)
-        if len(s):
-            bands = shingles.band_keys(shingles.fast_sketch(s, COORDINATES), BAND_ROWS).view(np.int64)
-            f1, f2 = (int(shingles.mix(s ^ np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for k in (1, 2))
-            out.append((len(s), f1, f2, bands))
-        else:
-            out.append((0, 0, 0, np.empty(0, np.int64)))
-    return pd.DataFrame(out, columns=["n", "f1", "f2", "bands"])
-
-
-@F.pandas_udf(_fields(n=_LONG, sketch=_BINARY, items=_BINARY))
-def _full_set(texts: pd.Series) -> pd.DataFrame:
+        s = shingles.shingle_set(t.as_py())
+        keys = shingles.band_keys(shingles.fast_sketch(s, COORDINATES), BAND_ROWS).view(np.int64) if len(s) else bands[0]
+        prints = (int(shingles.mix(s ^ np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for k in (1, 2))
+        numbers.append((len(s), *prints))
+        bands.append(keys)
+        ends.append(ends[-1] + len(keys))
+    table = np.array(numbers, np.int64).reshape(len(texts), 3)
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands)))
+    return pa.StructArray.from_arrays([*(pa.array(table[:, i]) for i in range(3)), lists], ["n", "f1", "f2", "bands"])
+
+
+@F.arrow_udf(_fields(n=_LONG, sketch=_BINARY, items=_BINARY))
+def _full_set(texts: pa.Array) -> pa.Array:
     """The set itself, sorted, and its sketch cut to 16 bits a coordinate."""
-    out = []
-    for t in texts:
-        s = shingles.shingle_set(t)
-        out.append((len(s), shingles.fast_sketch(s, COORDINATES).astype(np.uint16).tobytes(), s.tobytes()))
-    return pd.DataFrame(out, columns=["n", "sketch", "items"])
+    common.give_back()
+    sets = [shingles.shingle_set(t.as_py()) for t in texts]
+    sketches = [shingles.fast_sketch(s, COORDINATES).astype(np.uint16).tobytes() for s in sets]
+    columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+    return pa.StructArray.from_arrays(columns, ["n", "sketch", "items"])
 
 
-@F.pandas_udf(T.IntegerType())
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    x, y = (np.frombuffer(b"".join(c), np.uint16).reshape(len(c), -1) for c in (a, b))
-    return pd.Series((x == y).sum(axis=1), dtype="int32")
+@F.arrow_udf(T.IntegerType())
+def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(len(c), COORDINATES) for c in (a, b))
+    return pa.array((x == y).sum(axis=1), pa.int32())
 
 
-@F.pandas_udf(T.BooleanType())
-def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype="bool")
+@F.arrow_udf(T.BooleanType())
+def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([_linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(a, b)], pa.bool_())
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -160,17 +160,17 @@ def _family_links(families: DataFrame, links: DataFrame, sets: DataFrame) -> Dat
         (F.col("level") == F.col("level2")) & (F.col("part") == F.col("part2")), F.array(F.struct("level", "part", F.lit(0).alias("side")))
     ).otherwise(F.array(F.struct("level", "part", F.lit(0).alias("side")), F.struct(F.col("level2").alias("level"), F.col("part2").alias("part"), F.lit(1).alias("side"))))).alias("s")).select("task", "family", "s.*")
     spread = dealt.join(sides, ["family", "level", "part"]).select("task", "side", "v", "grp", "n", "sketch", "items")
-    return spread.groupBy("task").applyInPandas(_compare_blocks, "a long, b long")
+    return spread.groupBy("task").applyInArrow(_compare_blocks, "a long, b long")
 
 
-def _compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+def _compare_blocks(rows: pa.Table) -> pa.Table:
     """The links between members of different groups, of one block or across two, that join
     groups not joined yet in this task."""
-    rows = rows.sort_values(["side", "v"], kind="stable")
-    grp, v, n = rows["grp"].tolist(), rows["v"].to_numpy(), rows["n"].to_numpy()
-    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1)
-    sets = [np.frombuffer(x, np.uint64) for x in rows["items"]]
-    right = int(np.count_nonzero(rows["side"] == 0))
+    rows = rows.sort_by([("side", "ascending"), ("v", "ascending")])
+    grp, v, n = rows["grp"].to_pylist(), rows["v"].to_numpy(), rows["n"].to_numpy()
+    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(len(rows), COORDINATES)
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows["items"]]
+    right = int(np.count_nonzero(rows["side"].to_numpy() == 0))
     one = right == len(rows)
     names = {g: i for i, g in enumerate(dict.fromkeys(grp))}
     mine = np.array([names[g] for g in grp])
@@ -191,7 +191,8 @@ def _compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
                 gone, left = sorted((int(mine[i]), int(mine[j])), key=lambda g: len(members[g]))
                 mine[members[gone]] = left
                 members[left] += members.pop(gone)
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    found = np.array(out, np.int64).reshape(len(out), 2)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

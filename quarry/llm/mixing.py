@@ -30,8 +30,10 @@ KEEP, TEMPERATURE, ROUNDS = 0.5, 0.7, 10
 SEED = "mix-1"
 #: Thousandths of a token.
 UNIT = 1000
-#: Cell tables up to so many rows are broadcast to the documents, larger ones joined by shuffle.
+#: Cell tables up to so many rows (and sums over them) are broadcast, larger ones joined by shuffle.
 BROADCAST_CELLS = 50_000
+#: Cells of a checkpoint partition.
+PART_CELLS = 100_000
 
 
 def topic_of(text: Column) -> Column:
@@ -78,12 +80,14 @@ def rake(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, DataFrame]
         want = part.select(d, (F.lit(budget) * F.col("part").cast("double") / F.lit(max(1.0, whole(part, "part")))).alias(f"want_{d}"))
         now = now.join(want, d, "left").fillna(0.0, [f"want_{d}"])
     now = common.saved(now)
+    rows = now.count()
+    small, parts = rows <= BROADCAST_CELLS, max(1, -(-rows // PART_CELLS))
     for _ in range(rounds):
         for d in dims:
             has = now.groupBy(d).agg(F.sum("w").alias("has"))
             scaled = F.when(F.col("has") > 0, _half_up(F.col("w").cast("double") * F.col(f"want_{d}") / F.col("has").cast("double"))).otherwise(F.lit(0))
-            now = now.join(has, d).withColumn("w", F.least(F.col("n") * UNIT, scaled.cast("long"))).drop("has")
-        now = common.saved(now)
+            now = now.join(F.broadcast(has) if small else has, d).withColumn("w", F.least(F.col("n") * UNIT, scaled.cast("long"))).drop("has")
+        now = common.saved(now.coalesce(parts))
     return now.select(*dims, "n", "w")
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -27,8 +28,8 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -48,40 +49,49 @@ class WordIds:
 
     Texts are cut into the runs of characters between white space, which no pretoken crosses.
     Pretokens not met before go through the library's model together; where each chunk's ids
-    start in one array is remembered up to a bound, beyond which the memory starts anew.
+    start in one array is remembered up to a bound.
     """
 
+    #: Words given to the model in one call.
+    SLICE = 8192
+
     def __init__(self, path: str | None = None, memory: int = bpe.MEMORY):
         rules = self.rules = bpe.Rules(path)
+        # the same model over words already normalized and cut
         with open(rules.path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_str(json.dumps(spec))
-        # the same model over words already normalized and cut
-        self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        if not rules.suffix:
+            raise ValueError("the tokenizer file marks no word ends")
+        vocab = spec["model"]["vocab"]
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for t, i in vocab.items() if t.endswith(rules.suffix)]] = True
+        self.words = Tokenizer.from_str(json.dumps(spec))
         self.alphabet = {b: c for b, c in enumerate(rules.letters) if b != 0x20}
-        self.most = memory
+        rules.merges = []  # the model has them
+        self.seen = bpe.Seen(most=memory)
         self._forget()
 
     def _forget(self) -> None:
-        self.row: dict[str, int] = {}
         self.at = np.zeros(1, np.int64)  # where each row's ids start; one more for the end
         self.flat = np.zeros(0, "<u4")
 
+    def _model_ids(self, words: list[str]) -> np.ndarray:
+        mapped = " ".join(words).encode("utf-8").decode("latin-1").translate(self.alphabet)
+        return np.array(self.words.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
+
     def _learn(self, chunks: list[str]) -> None:
-        """Append the ids of chunks that have no row yet."""
+        """Append the ids of chunks met for the first time."""
         parts = [self.rules.parts(c) for c in chunks]
         words = list(dict.fromkeys(chain.from_iterable(parts)))
-        found = self.words.encode(" ".join(words).encode("utf-8").decode("latin-1").translate(self.alphabet), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        size = np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+        ids = np.concatenate([self._model_ids(words[i : i + self.SLICE]) for i in range(0, len(words), self.SLICE)])
+        size = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)  # tokens of each word
         place = dict(zip(words, range(len(words))))
         which = np.fromiter((place[w] for p in parts for w in p), np.int64)
         of_chunk = np.fromiter(map(len, parts), np.int64, len(parts))
         flat, ends = _gather(ids, np.cumsum(size) - size, size, which)
         self.flat = np.concatenate((self.flat, flat))
         self.at = np.concatenate((self.at, self.at[-1] + ends[np.cumsum(of_chunk) - 1]))
-        first = len(self.row)
-        self.row.update(zip(chunks, range(first, first + len(chunks))))
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text in turn."""
@@ -98,20 +108,13 @@ class WordIds:
                 if i % 2:
                     steps.append(_pack([rules.special[p]]))
                 elif rules.beyond(p):
-                    steps.append(_pack(self.library.encode(p, add_special_tokens=False).ids))
+                    steps.append(_pack(rules.library.encode(p, add_special_tokens=False).ids))
                 else:
                     own = rules.chunks(p)
                     chunks += own
                     steps.append(len(own))
             plan.append(steps)
-        codes, distinct = bpe.numbered(chunks)
-        new = [c for c in distinct if c not in self.row]
-        if self.row and len(self.row) + len(new) > self.most:
-            self._forget()
-            new = distinct
-        if new:
-            self._learn(new)
-        rows = np.fromiter(map(self.row.__getitem__, distinct), np.int64, len(distinct))[codes]
+        rows = self.seen.rows(chunks, self._learn, self._forget)
         flat, ends = _gather(self.flat, self.at[:-1], np.diff(self.at), rows)
         data, ends, done, at = flat.tobytes(), np.concatenate(([0], ends)) * 4, 0, 0
         for steps in plan:
@@ -140,7 +143,8 @@ def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.n
 
 @cache
 def _word_ids(path: str | None) -> WordIds:
-    """One per worker process."""
+    """One per worker process; Spark's tasks are the parallelism."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordIds(path)
 
 
@@ -155,31 +159,31 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     task; ``token_ids`` gives them where a writer needs them."""
     end = end_id.to_bytes(4, "little")
 
-    @F.pandas_udf(PIECES)
-    def cut(texts: pd.Series) -> pd.Series:
-        ids = _word_ids(path).ids
-        step = 4 * capacity
-        out = []
-        for found in ids(texts):
+    @F.arrow_udf(PIECES)
+    def cut(texts: pa.Array) -> pa.Array:
+        step, ends, rows = 4 * capacity, [0], []
+        for found in _word_ids(path).ids(t.as_py() for t in texts):
             data = memoryview(found + end)
-            out.append([
-                {"piece": k, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
-                for k, at in enumerate(range(0, len(data), step)) if (part := data[at : at + step])
-            ])
-        return pd.Series(out)
+            for k, at in enumerate(range(0, len(data), step)):
+                part = data[at : at + step]
+                rows.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
+            ends.append(len(rows))
+        common.give_back()
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, PIECES.elementType.names))
 
     return docs.select(common.col(id_col).alias("id"), cut(common.col(text_col)).alias("p")).select(
         F.col("id").alias(id_col), F.inline("p")
     )
 
 
-def token_ids(text, path: str | None = None, end_id: int = END_ID):
+def token_ids(text: Column, path: str | None = None, end_id: int = END_ID) -> Column:
     """A document's ids as ``array<int>``, the end id included."""
+    end = end_id.to_bytes(4, "little")
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        end = end_id.to_bytes(4, "little")
-        return pd.Series([np.frombuffer(found + end, "<i4") for found in _word_ids(path).ids(texts)])
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(texts: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(found + end, "<i4") for found in _word_ids(path).ids(t.as_py() for t in texts)], pa.list_(pa.int32()))
 
     return ids(text)
 
@@ -313,14 +317,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length_col: str = "length",
     salted = items.withColumn(group, F.pmod(F.xxhash64(*map(common.col, names), F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(groups)))
     schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        number = int(rows[group].iloc[0])
-        rows = rows.drop(columns=[group])
-        where, rows["offset"] = pack_lengths(rows[length_col].to_numpy(), capacity)
-        rows["sequence_id"] = where + number * _STRIDE
-        return rows[[*names, "sequence_id", "offset"]]
+    def place(rows: pa.Table) -> pa.Table:
+        number = rows[group][0].as_py()
+        where, offset = pack_lengths(rows[length_col].to_numpy(), capacity)
+        placed = [rows[n] for n in names] + [pa.chunked_array([where + number * _STRIDE]), pa.chunked_array([offset])]
+        return pa.Table.from_arrays(placed, [*names, "sequence_id", "offset"])
 
-    return salted.groupBy(group).applyInPandas(place, schema)
+    return salted.groupBy(group).applyInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, group_items: int = GROUP_ITEMS) -> DataFrame:

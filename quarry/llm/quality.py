@@ -17,7 +17,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,10 +103,12 @@ def _in_repeats(ids: np.ndarray, size: int) -> int:
     return int(np.count_nonzero(inside))
 
 
-@F.pandas_udf(MEASURES)
-def measures(texts: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(MEASURES)
+def measures(texts: pa.Array) -> pa.Array:
     """The measurements of each text as a struct."""
-    return pd.DataFrame([measure_text(t) for t in texts], columns=MEASURES.names, dtype="int64")
+    common.give_back()
+    table = np.array([measure_text(t.as_py()) for t in texts], np.int64).reshape(len(texts), len(MEASURES))
+    return pa.StructArray.from_arrays([pa.array(table[:, i]) for i in range(len(MEASURES))], MEASURES.names)
 
 
 def failed_bits(prefix: str = "") -> Column:

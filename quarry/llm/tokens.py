@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +29,11 @@ def token_count(text: Column, path: str | None = None) -> Column:
     """The number of tokens of a text column under a tokenizer file (default: the public
     word-level file); ``path`` must exist on every executor."""
 
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(_counter(path).counts(texts)), dtype="int64")
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        counts = pa.array(_counter(path).counts(t.as_py() for t in texts), pa.int64())
+        common.give_back()
+        return counts
 
     return count(text)
 
