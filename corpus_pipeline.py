@@ -5,6 +5,12 @@ Each stage takes all that its predecessor kept and returns the columns of ``docu
 last one returns the packed pieces. ``run`` writes every stage's result as Parquet below the
 shared checkpoint folder and reads it back for the next, so a lost executor costs a stage's
 lost tasks and no stage runs twice.
+
+Defined results, stage by stage: a null or empty text is rejected by the quality rules; rows
+without an id are linked with nothing and stay, rows that repeat one are one document;
+masking keeps every row and a null text null; null sources and languages are cells of their
+own in the mixture; a text without tokens packs as its end id. Further columns pass through,
+whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations

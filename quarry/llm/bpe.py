@@ -23,6 +23,7 @@ from functools import cache, cached_property
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -42,9 +43,8 @@ def _alphabet() -> list[str]:
 
 
 _MARKS = frozenset(string.punctuation)
-#: Separators that Python takes for white space and Unicode does not.
-_ODD = regex.compile(r"[\x1c-\x1f]")
-_GAPS = regex.compile(r"\p{White_Space}+", regex.V1)
+#: Separators that splitting takes for white space and the tokenizer's rules do not.
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 @cache
@@ -53,9 +53,11 @@ def _unassigned(char: str) -> bool:
     return unicodedata.category(char) == "Cn"
 
 
-def _split(text: str) -> list[str]:
-    """The runs of characters between Unicode white space."""
-    return [x for x in _GAPS.split(text) if x] if _ODD.search(text) else text.split()
+def split(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The runs of characters between white space of all texts, empty ones at a text's ends
+    included, and where each text's runs begin (one more for the end)."""
+    lists = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+    return lists.values, lists.offsets.to_numpy()
 
 
 def _pattern(text: str) -> regex.Pattern:
@@ -90,18 +92,20 @@ class Rules:
         """Raw text and special strings in turn: odd places hold the special strings."""
         return self.at_special.split(text) if any(s in text for s in self.special) else [text]
 
-    def chunks(self, segment: str) -> list[str]:
-        """A text without special strings, normalized and cut at white space; no pretoken
-        reaches over white space, so what a chunk gives does not depend on its neighbours."""
+    def normalized(self, segment: str) -> str:
+        """A text without special strings as the tokenizer's rules normalize it. No pretoken
+        reaches over white space, so its runs between white space can be cut one by one."""
         if not segment.isascii():
             segment = unicodedata.normalize("NFC", segment)
             if "Σ" in segment:  # one character at a time: lower case does not depend on the neighbours
-                return _split("".join(c.lower() for c in segment))
-        return _split(segment.lower())
+                return "".join(c.lower() for c in segment)
+        return segment.lower()
 
     def beyond(self, segment: str) -> bool:
-        """Whether it holds characters that Python's Unicode tables lack; the library may
-        know a later version, and then ``library_words`` cuts such a text."""
+        """Whether the library itself must cut a text: it holds odd separators or characters
+        that Python's Unicode tables lack and the library may know."""
+        if any(c in segment for c in _ODD):
+            return True
         if segment.isascii():
             return False
         try:
@@ -128,6 +132,8 @@ class Rules:
     def parts(self, chunk: str) -> list[str]:
         """The pretokens of a chunk. A run of letters, with or without one mark after it, is
         what nearly all chunks are; the file's pattern cuts the rest."""
+        if not chunk:
+            return []
         if chunk.isalpha():
             return [chunk]
         if chunk[-1] in _MARKS and chunk[:-1].isalpha():
@@ -216,11 +222,11 @@ class Seen:
             at[todo] = (at[todo] + 1) & int(self.mask)
         self.n += len(key)
 
-    def rows(self, chunks: list[str], learn: Callable[[list[str]], None], forget: Callable[[], None]) -> np.ndarray:
+    def rows(self, chunks: pa.Array, learn: Callable[[list[str]], None], forget: Callable[[], None]) -> np.ndarray:
         """The row of each chunk; ``learn`` is told the chunks that get the next rows."""
-        if not chunks:
+        if not len(chunks):
             return np.empty(0, np.int64)
-        coded = pa.array(chunks, pa.large_string()).dictionary_encode()
+        coded = chunks.dictionary_encode()
         texts = coded.dictionary
         _, offsets, data = texts.buffers()
         ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -288,8 +294,8 @@ class WordCounter:
         """The number of tokens of each text in turn."""
         rules = self.rules
         for some in grouped(texts):
-            chunks: list[str] = []
-            ends, more = [], []  # where a text's chunks end; tokens besides its chunks
+            plain: list[str] = []
+            ends, more = [], []  # where a text's plain segments end; tokens besides them
             for t in some:
                 parts = rules.segments(t)
                 besides = len(parts) // 2
@@ -297,11 +303,12 @@ class WordCounter:
                     if rules.beyond(p):
                         besides += sum(map(self._word, rules.library_words(p)))
                     else:
-                        chunks += rules.chunks(p)
-                ends.append(len(chunks))
+                        plain.append(rules.normalized(p))
+                ends.append(len(plain))
                 more.append(besides)
+            chunks, starts = split(plain)
             rows = self.seen.rows(chunks, self._learn, self._forget)
-            sums = np.concatenate(([0], np.cumsum(self.each[rows])))[[0, *ends]]
+            sums = np.concatenate(([0], np.cumsum(self.each[rows])))[starts[[0, *ends]]]
             yield from (np.diff(sums) + np.array(more, np.int64)).tolist()
 
     def count(self, text: str | None) -> int:

@@ -84,14 +84,14 @@ class WordIds:
         """Append the ids of chunks met for the first time."""
         parts = [self.rules.parts(c) for c in chunks]
         words = list(dict.fromkeys(chain.from_iterable(parts)))
-        ids = np.concatenate([self._model_ids(words[i : i + self.SLICE]) for i in range(0, len(words), self.SLICE)])
+        ids = np.concatenate([np.zeros(0, "<u4"), *(self._model_ids(words[i : i + self.SLICE]) for i in range(0, len(words), self.SLICE))])
         size = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)  # tokens of each word
         place = dict(zip(words, range(len(words))))
         which = np.fromiter((place[w] for p in parts for w in p), np.int64)
         of_chunk = np.fromiter(map(len, parts), np.int64, len(parts))
         flat, ends = _gather(ids, np.cumsum(size) - size, size, which)
         self.flat = np.concatenate((self.flat, flat))
-        self.at = np.concatenate((self.at, self.at[-1] + ends[np.cumsum(of_chunk) - 1]))
+        self.at = np.concatenate((self.at, self.at[-1] + np.concatenate(([0], ends))[np.cumsum(of_chunk)]))
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text in turn."""
@@ -100,33 +100,31 @@ class WordIds:
 
     def _together(self, texts: list[str]) -> Iterator[bytes]:
         rules = self.rules
-        chunks: list[str] = []
-        plan: list[list[int | bytes]] = []  # per text: ids as they are, or the number of chunks that follow
+        plain: list[str] = []
+        plan: list[list[bytes | None]] = []  # per text: ids as they are, or none for a plain segment
         for t in texts:
-            steps: list[int | bytes] = []
+            steps: list[bytes | None] = []
             for i, p in enumerate(rules.segments(t)):
                 if i % 2:
                     steps.append(_pack([rules.special[p]]))
                 elif rules.beyond(p):
                     steps.append(_pack(rules.library.encode(p, add_special_tokens=False).ids))
                 else:
-                    own = rules.chunks(p)
-                    chunks += own
-                    steps.append(len(own))
+                    plain.append(rules.normalized(p))
+                    steps.append(None)
             plan.append(steps)
+        chunks, starts = bpe.split(plain)
         rows = self.seen.rows(chunks, self._learn, self._forget)
         flat, ends = _gather(self.flat, self.at[:-1], np.diff(self.at), rows)
-        data, ends, done, at = flat.tobytes(), np.concatenate(([0], ends)) * 4, 0, 0
+        cuts = (np.concatenate(([0], ends))[starts] * 4).tolist()
+        data, done = flat.tobytes(), 0
         for steps in plan:
             out = []
             for step in steps:
-                if isinstance(step, bytes):
-                    out.append(step)
-                else:
-                    done += step
-                    end = int(ends[done])
-                    out.append(data[at:end])
-                    at = end
+                if step is None:
+                    step = data[cuts[done] : cuts[done + 1]]
+                    done += 1
+                out.append(step)
             yield b"".join(out)
 
 

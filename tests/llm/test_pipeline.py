@@ -55,3 +55,25 @@ def test_every_operator_is_registered():
     assert "pipeline" in names and all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
     assert dedup and packing
+
+
+def test_stages_on_odd_documents(spark):
+    """Nulls everywhere, empty and repeated rows, long texts, columns named like the stages' own."""
+    words = " ".join(f"word{i}" for i in range(120))
+    rows = [(1, words, "en", "a", 5, 1), (1, words, "en", "a", 5, 1), (2, words, None, None, None, 2), (None, words + " more", "en", "a", 5, 3), (None, None, None, None, None, 4),
+            (3, "", "en", "b", 0, 5), (4, words.replace("word", "x@y.zz "), "fr", None, 9, 6), (5, " ".join(f"long{i}" for i in range(30000)), "en", "a", 1, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, mix long").selectExpr("*", "1 as q", "'k' as keep_id", "2 as p", "3 as `group`")
+    good = quality.keep_good(docs)
+    assert good.columns == docs.columns and sorted((r.doc_id for r in good.collect()), key=str) == [1, 1, 2, 4, 5, None]
+    one = dedup.keep_one(good)
+    assert one.columns == docs.columns and sorted((r.doc_id for r in one.collect()), key=str) == [1, 4, 5, None]
+    masked = pii.mask_pii(one)
+    assert masked.columns == docs.columns and all(test_pii.base(r.text) == [] and r.n_chars == len(r.text) for r in masked.collect())
+    mixed = mixing.sample_mixture(masked)
+    assert mixed.columns == docs.columns and mixed.count() <= 4
+    packed = packing.pack_documents(masked).collect()
+    n, tokens = test_packing.check(packed)
+    assert n >= 1 and tokens == sum(p[3] for r in masked.collect() for p in test_packing.brute_pieces(r.doc_id, r.text))
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
