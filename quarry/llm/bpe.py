@@ -32,7 +32,7 @@ from quarry.llm.shingles import span_hashes
 FILE = "word_bpe_49k.json"
 #: Distinct chunks remembered by a worker; beyond it the memory starts anew. It bounds memory
 #: only: what is forgotten is computed again.
-MEMORY = 2_500_000
+MEMORY = 1_500_000
 
 
 def _alphabet() -> list[str]:
@@ -186,17 +186,17 @@ def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
 
 
 class Seen:
-    """Row numbers of the texts met so far, by 128-bit hash in an open-addressing table: some
-    thirty bytes a text instead of the text. Holds ``MEMORY`` texts, then starts anew."""
+    """Row numbers of the texts met so far, by 96-bit hash in an open-addressing table: some
+    twenty bytes a text instead of the text. Holds ``MEMORY`` texts, then starts anew."""
 
-    def __init__(self, bits: int = 22, most: int = MEMORY):
-        self.mask, self.most = np.uint64((1 << bits) - 1), min(most, (1 << bits) * 5 // 8)
+    def __init__(self, bits: int = 21, most: int = MEMORY):
+        self.mask, self.most = np.uint64((1 << bits) - 1), min(most, (1 << bits) * 3 // 4)
         self.forget()
 
     def forget(self) -> None:
         size = int(self.mask) + 1
         self.n = 0
-        self.row, self.key, self.check = np.full(size, -1, np.int32), np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.row, self.key, self.check = np.full(size, -1, np.int32), np.zeros(size, np.uint64), np.zeros(size, np.uint32)
 
     def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """The row of each text, -1 for those not met."""
@@ -231,7 +231,7 @@ class Seen:
         _, offsets, data = texts.buffers()
         ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
         spans = np.frombuffer(data, np.uint8), ends[:-1], ends[1:]
-        key, check = span_hashes(*spans, salt=0), span_hashes(*spans, salt=1)
+        key, check = span_hashes(*spans, salt=0), span_hashes(*spans, salt=1).astype(np.uint32)
         found = self.find(key, check)
         new = np.flatnonzero(found < 0)
         if self.n + len(new) > self.most:

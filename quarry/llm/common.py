@@ -27,6 +27,14 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def bounded_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Arrow batches of texts of some 8 MB instead of 64 MB, unless the session has a bound of
+    its own: every running task holds a batch on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(limit))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut there."""
     ensure_checkpoint_dir(df.sparkSession)

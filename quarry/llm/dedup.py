@@ -197,6 +197,7 @@ def _compare_blocks(rows: pa.Table) -> pa.Table:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the least id reachable over links), kept."""
+    common.bounded_batches(docs.sparkSession)
     ids, classes = _classes(docs, id_col, text_col)
     stars = _bucket_stars(classes)
     families = common.saved(components(stars.withColumnsRenamed({"v": "a", "hub": "b"})))

@@ -147,6 +147,7 @@ def predict(text: Column, model: Model) -> Column:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the three quarters that are not held out."""
+    common.bounded_batches(spark)
     docs = common.table(spark, sf_dir, "documents")
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     model = fit(docs.filter((part != 2) & F.col("lang").isNotNull()))

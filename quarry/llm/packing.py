@@ -73,8 +73,8 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.at = np.zeros(1, np.int64)  # where each row's ids start; one more for the end
-        self.flat = np.zeros(0, "<u4")
+        self.at = np.zeros(1, np.uint32)  # where each row's ids start; one more for the end
+        self.flat = np.zeros(0, np.min_scalar_type(len(self.last)))
 
     def _model_ids(self, words: list[str]) -> np.ndarray:
         mapped = " ".join(words).encode("utf-8").decode("latin-1").translate(self.alphabet)
@@ -89,9 +89,10 @@ class WordIds:
         place = dict(zip(words, range(len(words))))
         which = np.fromiter((place[w] for p in parts for w in p), np.int64)
         of_chunk = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat, ends = _gather(ids, np.cumsum(size) - size, size, which)
-        self.flat = np.concatenate((self.flat, flat))
-        self.at = np.concatenate((self.at, self.at[-1] + np.concatenate(([0], ends))[np.cumsum(of_chunk)]))
+        flat, ends = _slices(ids, (np.cumsum(size) - size)[which], size[which])
+        self.flat = np.concatenate((self.flat, flat.astype(self.flat.dtype)))
+        ends = np.concatenate(([0], ends))[np.cumsum(of_chunk)]
+        self.at = np.concatenate((self.at, (int(self.at[-1]) + ends).astype(np.uint32)))
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text in turn."""
@@ -115,7 +116,9 @@ class WordIds:
             plan.append(steps)
         chunks, starts = bpe.split(plain)
         rows = self.seen.rows(chunks, self._learn, self._forget)
-        flat, ends = _gather(self.flat, self.at[:-1], np.diff(self.at), rows)
+        first = self.at[rows].astype(np.int64)
+        flat, ends = _slices(self.flat, first, self.at[rows + 1] - first)
+        flat = flat.astype("<u4")
         cuts = (np.concatenate(([0], ends))[starts] * 4).tolist()
         data, done = flat.tobytes(), 0
         for steps in plan:
@@ -132,11 +135,10 @@ def _pack(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slices of ``flat`` that ``which`` names, end to end, and where each ends."""
-    size = sizes[which]
-    ends = np.cumsum(size)
-    return flat[np.repeat(starts[which] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+def _slices(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of ``flat`` end to end, and where each ends."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
 
 @cache
@@ -170,6 +172,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, PIECES.elementType.names))
 
+    common.bounded_batches(docs.sparkSession)
     return docs.select(common.col(id_col).alias("id"), cut(common.col(text_col)).alias("p")).select(
         F.col("id").alias(id_col), F.inline("p")
     )

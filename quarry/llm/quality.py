@@ -128,6 +128,7 @@ def _word_sub(text: str, name: str, by: str) -> str:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, measurements, ``failed_bits``."""
+    common.bounded_batches(docs.sparkSession)
     q = docs.select(common.col(id_col).alias("id"), measures(common.col(text_col)).alias("q"))
     return q.select(F.col("id").alias(id_col), "q.*", failed_bits("q.").alias("failed_bits"))
 
@@ -170,6 +171,7 @@ def ablations(rows: DataFrame, policies: Iterable[Policy]) -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: Policy = STRICT, text_col: str = "text") -> DataFrame:
     """The documents that the policy keeps, with exactly their columns."""
+    common.bounded_batches(docs.sparkSession)
     q = common.free_name(docs, "q")
     held = docs.withColumn(q, measures(common.col(text_col)))
     return held.filter(~rejected(policy, failed_bits(f"{q}."))).select(*map(common.col, docs.columns))

@@ -40,6 +40,7 @@ def token_count(text: Column, path: str | None = None) -> Column:
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, path: str | None = None) -> DataFrame:
     """Per document: id, n_bytes (UTF-8), n_tokens, over_limit."""
+    common.bounded_batches(docs.sparkSession)
     text = common.col(text_col)
     counted = docs.select(
         common.col(id_col).alias(id_col),
