@@ -32,7 +32,7 @@ from quarry.llm.shingles import span_hashes
 FILE = "word_bpe_49k.json"
 #: Distinct chunks remembered by a worker; beyond it the memory starts anew. It bounds memory
 #: only: what is forgotten is computed again.
-MEMORY = 1_500_000
+MEMORY = 2_500_000
 
 
 def _alphabet() -> list[str]:
@@ -189,7 +189,7 @@ class Seen:
     """Row numbers of the texts met so far, by 96-bit hash in an open-addressing table: some
     twenty bytes a text instead of the text. Holds ``MEMORY`` texts, then starts anew."""
 
-    def __init__(self, bits: int = 21, most: int = MEMORY):
+    def __init__(self, bits: int = 22, most: int = MEMORY):
         self.mask, self.most = np.uint64((1 << bits) - 1), min(most, (1 << bits) * 3 // 4)
         self.forget()
 

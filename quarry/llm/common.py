@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,9 +47,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def give_back() -> None:
-    """Hand memory that freed buffers still hold back to the system. A worker serves many
-    batches; without this, each of its allocators keeps its own peak."""
+_calls = count(1)
+
+
+def give_back(every: int = 8) -> None:
+    """Hand memory that freed buffers still hold back to the system, at every so many calls.
+    A worker serves many batches; without this, each of its allocators keeps its own peak."""
+    if next(_calls) % every:
+        return
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
     if trim is not None:
