@@ -3,7 +3,7 @@
 import __spark_entry__ as entry
 import corpus_pipeline
 from pyspark.sql import functions as F
-from quarry.llm import dedup, mixing, packing, pii, quality
+from quarry.llm import common, dedup, mixing, packing, pii, quality
 
 import test_dedup
 import test_packing
@@ -63,13 +63,13 @@ def test_stages_on_odd_documents(spark):
     rows = [(1, words, "en", "a", 5, 1), (1, words, "en", "a", 5, 1), (2, words, None, None, None, 2), (None, words + " more", "en", "a", 5, 3), (None, None, None, None, None, 4),
             (3, "", "en", "b", 0, 5), (4, words.replace("word", "x@y.zz "), "fr", None, 9, 6), (5, " ".join(f"long{i}" for i in range(30000)), "en", "a", 1, 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, mix long").selectExpr("*", "1 as q", "'k' as keep_id", "2 as p", "3 as `group`")
-    good = quality.keep_good(docs)
+    good = common.saved(quality.keep_good(docs))
     assert good.columns == docs.columns and sorted((r.doc_id for r in good.collect()), key=str) == [1, 1, 2, 4, 5, None]
-    one = dedup.keep_one(good)
+    one = common.saved(dedup.keep_one(good))
     assert one.columns == docs.columns and sorted((r.doc_id for r in one.collect()), key=str) == [1, 4, 5, None]
-    masked = pii.mask_pii(one)
+    masked = common.saved(pii.mask_pii(one))
     assert masked.columns == docs.columns and all(test_pii.base(r.text) == [] and r.n_chars == len(r.text) for r in masked.collect())
-    mixed = mixing.sample_mixture(masked)
+    mixed = common.saved(mixing.sample_mixture(masked))
     assert mixed.columns == docs.columns and mixed.count() <= 4
     packed = packing.pack_documents(masked).collect()
     n, tokens = test_packing.check(packed)
