@@ -51,25 +51,41 @@ def _parts(text: Column, pattern: str) -> Column:
     return F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
 
 
+def _before(x: Column, context: int) -> Column:
+    """For each match of ``_parts`` the up to ``context`` code points of the text before it.
+
+    A piece that is too short is completed from what precedes it: a match and its piece have
+    a code point at least, so ``context`` of them always suffice, and each match costs the same.
+    """
+    tail = lambda s: F.right(s, F.lit(context))
+    pieces = F.slice(x["p"], 1, F.size(x["m"]))
+    if not context:
+        return F.transform(pieces, lambda p: F.lit(""))
+    tails = F.zip_with(pieces, x["m"], lambda p, m: tail(F.concat(tail(p), tail(m))))
+    earlier = lambda t, i: F.array_join(F.slice(t, F.greatest(i - context, F.lit(0)) + 1, F.least(i, F.lit(context))), "")
+    whole = lambda t, p, i: F.when(F.length(p) >= context, tail(p)).otherwise(tail(F.concat(earlier(t, i), p)))
+    return let(tails, lambda t: F.transform(pieces, lambda p, i: whole(t, p, i)))
+
+
 def pattern_spans(text: Column, kind: str, pattern: str, guard: Column, context: int = 0) -> Column:
     """All matches of a Java pattern as an array of kind, start, end, match, before.
 
     ``guard`` is a cheap condition without which the pattern cannot match; the pattern runs
-    only where it holds. ``before`` holds up to ``context`` code points that precede the
-    match and follow the last match before it.
+    only where it holds. ``before`` holds up to ``context`` code points of the text that precede
+    the match, other matches included.
     """
     lengths = lambda x: F.zip_with(
         x["m"], F.slice(x["p"], 1, F.size(x["m"])), lambda m, p: (F.length(p) + F.length(m)).cast("long")
     )
     spans = lambda x, ends: F.zip_with(
-        F.zip_with(x["m"], F.slice(x["p"], 1, F.size(x["m"])), lambda m, p: F.struct(m.alias("m"), p.alias("p"))),
+        F.zip_with(x["m"], _before(x, context), lambda m, b: F.struct(m.alias("m"), b.alias("b"))),
         ends,
         lambda r, e: F.struct(
             F.lit(kind).alias("kind"),
             (e - F.length(r["m"])).alias("start"),
             e.alias("end"),
             r["m"].alias("match"),
-            (F.right(r["p"], F.lit(context)) if context else F.lit("")).alias("before"),
+            r["b"].alias("before"),
         ),
     )
     found = let(_parts(text, pattern), lambda x: let(running_total(lengths(x)), lambda ends: spans(x, ends)))
@@ -81,10 +97,8 @@ def replace_matches(text: Column, pattern: str, guard: Column, valid: Callable[[
     the text and its matches."""
 
     def put(x: Column) -> Column:
-        pairs = F.zip_with(
-            F.slice(x["p"], 1, F.size(x["m"])), x["m"],
-            lambda p, m: F.concat(p, F.when(valid(m, F.right(p, F.lit(context)) if context else F.lit("")), F.lit(by)).otherwise(m)),
-        )
+        marked = F.zip_with(x["m"], _before(x, context), lambda m, b: F.when(valid(m, b), F.lit(by)).otherwise(m))
+        pairs = F.zip_with(F.slice(x["p"], 1, F.size(x["m"])), marked, lambda p, m: F.concat(p, m))
         return F.concat(F.array_join(pairs, ""), F.element_at(x["p"], -1))
 
     return F.when(guard, let(_parts(text, pattern), put)).otherwise(text)

@@ -85,6 +85,25 @@ def test_further_kinds_need_checksum_or_context(spark):
     assert got["call 555-123-4567"] == {"local_phone"} and got["amex card 378282246310005"] == {"short_card"}
 
 
+LISTS = {
+    "SSN 123-45-6789 and 321-54-9876": ("ssn", 2), "SSN 123-45-6789, 321-54-9876 or 456-12-3456": ("ssn", 3),
+    "call 212-555-0101 or 212-555-0102": ("local_phone", 2), "call 212-555-0101, 212-555-0102, 212-555-0103": ("local_phone", 3),
+    "Amex card no 12: 378282246310005": ("short_card", 1), "é🙂 ssn" + " 1-2" * 3 + " 123-45-6789": ("ssn", 1),
+    "ssn" + " " * 38 + "123-45-6789": ("ssn", 0), "ssn" + " " * 37 + "123-45-6789": ("ssn", 1),
+    "ssn 123-45-6789" + " " * 29 + "321-54-9876": ("ssn", 1), "card" + " 12;" * 9 + "378282246310005": ("short_card", 1), "card" + " 12;" * 10 + "378282246310005": ("short_card", 0),
+}
+
+
+def test_context_reaches_over_earlier_matches(spark):
+    df = spark.createDataFrame([(t,) for t in LISTS], "text string")
+    for r in pii.find_pii(df).collect():
+        kind, n = LISTS[r.text]
+        assert [s["kind"] for s in r.spans] == [kind] * n, r.text
+    masked = [r.text for r in pii.mask_pii(df, length_col=None).collect()]
+    for text, (kind, n) in zip(masked, LISTS.values()):
+        assert text.count(f"<{kind.upper()}>") == n, text
+
+
 def test_masking_leaves_no_base_span_and_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(i, t, 0, "x", 7) for i, t in enumerate(ODD)] + [(None, ODD[4], 0, None, None)], "doc_id long, text string, n_chars int, email_spans string, q int")
     out = pii.mask_pii(df)
