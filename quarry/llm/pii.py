@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,18 +133,60 @@ def find_pii(df: DataFrame, text_col: str = "text", out: str = "spans", base_out
     return found.drop(*kinds, *([base] if base_out != base else []))
 
 
+def _mask(text: Column, name: str) -> Column:
+    """The text with the confirmed matches of one kind replaced."""
+    k = next(k for k in KINDS if k.name == name)
+    return replace_matches(text, k.pattern, _guard(text, k), lambda m, b: _confirmed(k, m, b), f"<{name.upper()}>", CONTEXT)
+
+
+def _holds_base(text: Column) -> Column:
+    """Whether a text holds a confirmed match of a base kind."""
+    held = [_guard(text, k) & F.exists(F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)), k.valid) for k in KINDS if k.base]
+    return reduce(Column.__or__, held)
+
+
+#: Masking order, containing ones first; the further kinds wait until no base match is left.
+_FIRST, _NEXT = ("email", "card", "phone", "ip"), ("iban", "short_card", "ssn", "local_phone")
+
+
+def _mask_on(text: Column) -> Column:
+    """The text masked kind by kind, from the first one again while a base kind matches.
+
+    One step a kind, and one after the base kinds and after all kinds that looks for a base
+    match. Nothing matches in ``<KIND>``, so each round but the last takes a base match of at
+    least five code points of the text itself, and the steps suffice for any text.
+    """
+    steps = (*_FIRST, None, *_NEXT, None)
+    done = len(steps)
+
+    def step(s: Column) -> Column:
+        put, to = s["t"], s["at"] + 1
+        for i, name in enumerate(steps):
+            if name:
+                put = F.when(s["at"] == i, _mask(s["t"], name)).otherwise(put)
+        look = reduce(Column.__or__, (s["at"] == i for i, name in enumerate(steps) if not name))
+        to = F.when(look, F.when(_holds_base(s["t"]), F.lit(0)).otherwise(to)).otherwise(to)
+        return F.when(s["at"] < done, F.struct(put.alias("t"), to.alias("at"))).otherwise(s)
+
+    rounds = F.floor(F.length(text) / 5).cast("int") + 2
+    start = F.struct(text.alias("t"), F.lit(0).alias("at"))
+    return F.aggregate(F.sequence(F.lit(1), rounds * done), start, lambda s, _: step(s), lambda s: s["t"])
+
+
 def mask_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The documents with every confirmed match replaced by ``<KIND>``; same columns, same rows.
 
-    The kinds are masked one after the other, containing ones first, so the masked text holds
-    no match of any base kind. ``length_col``, where there is one, becomes the new length.
+    The kinds are masked one after the other. What a replaced match leaves of a run around it
+    can match itself; such texts are masked on until no base kind matches, so the masked text
+    holds no match of any base kind. ``length_col``, where there is one, becomes the new length.
     """
-    order = ("email", "card", "iban", "phone", "ip", "short_card", "ssn", "local_phone")
-    by_name = {k.name: k for k in KINDS}
-    out, text = docs, common.col(text_col)
-    for name in order:
-        k = by_name[name]
-        out = out.withColumn(text_col, replace_matches(text, k.pattern, _guard(text, k), lambda m, b, k=k: _confirmed(k, m, b), f"<{name.upper()}>", CONTEXT))
+    out, text, again = docs, common.col(text_col), common.free_name(docs, "again")
+    for name in _FIRST:
+        out = out.withColumn(text_col, _mask(text, name))
+    out = out.withColumn(again, _holds_base(text))
+    for name in _NEXT:
+        out = out.withColumn(text_col, F.when(common.col(again), text).otherwise(_mask(text, name)))
+    out = out.withColumn(text_col, F.when(common.col(again) | _holds_base(text), _mask_on(text)).otherwise(text))
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text).cast(docs.schema[length_col].dataType))
     return out.select(*map(common.col, docs.columns))

@@ -115,6 +115,23 @@ def test_masking_leaves_no_base_span_and_keeps_rows_and_columns(spark):
     assert by_id[ODD.index("call 555-123-4567")] == "call <LOCAL_PHONE>" and by_id[2] == "<EMAIL>"
 
 
+#: Texts in which a masked match leaves a base match behind, and the masked text.
+LEFT = {
+    "+1 (826) 555-4081 190.137.223.204": "<PHONE> <IP>", "call +1 (826) 555-4081 190.137.223.204": "call <PHONE> <IP>",
+    "DE89370400440532013000-4111111111111111": "<IBAN>-<CARD>", "ssn +12345678 123-45-6789": "ssn <PHONE> <SSN>",
+    "call 212.555.0101.1.2.3.4": "call <LOCAL_PHONE>.<IP>", "+1 (826) 555-4081 190.137.223.204 " * 300: "<PHONE> <IP> " * 300,
+}
+
+
+def test_masking_goes_on_until_no_base_match_is_left(spark):
+    random.seed(5)
+    pool = [*LEFT, "+1 (826) 555-4081", "190.137.223.204", "212.555.0101", "4111111111111111", "call ", "ssn 123-45-6789", ".", " ", "-", "+", "300", "1"]
+    texts = [*LEFT, *("".join(random.choice(pool[6:]) for _ in range(random.randint(2, 14))) for _ in range(400))]
+    rows = pii.mask_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.text for r in sorted(rows)][: len(LEFT)] == list(LEFT.values())
+    assert not [texts[r.doc_id] for r in rows if base(r.text)]
+
+
 def test_extra_columns_empty_table_and_repeats(spark):
     df = spark.createDataFrame([(1, "a@b.c", "s"), (1, "a@b.c", "s"), (None, None, None)], "doc_id long, text string, email_spans string")
     out = pii.find_pii(df)

@@ -77,3 +77,9 @@ def test_stages_on_odd_documents(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_masking_stage_leaves_no_phone_beside_an_address(spark):
+    docs = spark.createDataFrame([(1, "+1 (826) 555-4081 190.137.223.204", "en", "a", 33)], "doc_id long, text string, lang string, source string, n_chars long")
+    row = dict(corpus_pipeline.STAGES)["pii"](spark, docs, "").first()
+    assert row.text == "<PHONE> <IP>" and row.n_chars == len(row.text) and test_pii.base(row.text) == []
