@@ -221,33 +221,50 @@ class Bins:
                     bisect.insort(rooms, left)
                 by_room[left].append(b)
 
-    def improve(self, width: int = 64, rounds: int = 4) -> None:
-        """Local search from the emptiest sequence up.
+    def improve(self) -> None:
+        """Local search from the emptiest sequence up, pass after pass until no step helps or
+        the free room of all sequences is less than one.
 
-        The source is the emptiest sequence; its partners are in turn the ``width`` emptiest
-        others that are at least as full. A step takes an item x of the source into a partner
+        The source is the emptiest sequence; its partners are in turn all others that are at
+        least as full, the emptiest first. A step takes an item x of the source into a partner
         by moving it there, or against one item y < x, or against two items y + z < x, so the
         partner gets fuller and the source emptier by as much: the sum of squared fills
-        rises. A source that runs empty is gone. Sources whose items cannot all find room
-        elsewhere are left alone: no sequence could be saved.
+        rises, so the passes end. A source that runs empty is gone.
+
+        A pair without a step is tried again only after one of the two changed, and partners
+        of the same lengths once.
         """
-        for _ in range(rounds):
+        clock = 0  # steps made
+        changed, scanned = [0] * len(self.items), [-1] * len(self.items)
+        content = [tuple(sorted(n for n, _ in items)) for items in self.items]
+        while True:
             under = sorted((b for b, items in enumerate(self.items) if items and self.room[b]), key=lambda b: -self.room[b])
-            spare = sum(self.room[b] for b in under)
-            changed = False
+            spare, began = sum(self.room[b] for b in under), clock
             for s in under:
                 if spare < self.capacity:
                     return
                 if not self.items[s]:
                     continue
-                partners = [b for b in under if b != s and self.items[b] and 0 < self.room[b] <= self.room[s]][:width]
-                for p in partners:
+                last, scanned[s] = scanned[s], clock
+                fresh = changed[s] > last  # else only partners that changed since
+                tried: set[tuple[int, ...]] = set()
+                for p in under:
+                    room = self.room[p]
+                    if p == s or not self.items[p] or not 0 < room <= self.room[s] or not (fresh or changed[p] > last) or content[p] in tried:
+                        continue
                     while self.items[s] and self.room[p] and self._step(s, p):
-                        changed = True
+                        clock += 1
+                        changed[s] = changed[p] = clock
+                    if self.room[p] != room:
+                        for b in (s, p):
+                            content[b] = tuple(sorted(n for n, _ in self.items[b]))
+                        tried = set()
+                        fresh = True
+                    tried.add(content[p])
                     if not self.items[s]:
                         spare -= self.capacity
                         break
-            if not changed:
+            if clock == began:
                 return
 
     def _step(self, s: int, p: int) -> bool:

@@ -80,3 +80,19 @@ def test_search_empties_a_sequence():
     bins.room = [4, 3, 4, 5]
     bins.improve()
     assert sum(1 for items in bins.items if items) == 3
+
+
+def _lengths(seed, n, low, high, same=0.0):
+    r = np.random.default_rng(seed)
+    return np.where(r.random(n) < same, 700, r.integers(low, high + 1, n))
+
+
+def test_search_ends_only_where_no_step_helps():
+    for lengths in (_lengths(1, 1000, 600, 760), _lengths(2, 1000, 400, 1000, 1 / 3), _lengths(3, 1000, 500, 900), np.full(1000, 700)):
+        bins = packing.Bins(2048)
+        bins.fill(lengths)
+        first = sum(1 for items in bins.items if items)
+        bins.improve()
+        under = [b for b, items in enumerate(bins.items) if items and bins.room[b]]
+        assert sum(1 for items in bins.items if items) <= first
+        assert not any(bins._step(s, p) for s in under for p in under if s != p and bins.room[p] <= bins.room[s])
