@@ -2,8 +2,8 @@
 
 A document's token ids, closed by an end id, are cut into pieces of at most ``capacity``
 tokens only when they are longer. Full pieces are sequences of their own. The others are
-dealt by hash into groups of a bounded number of items; each group is packed by best fit
-(longest first) and then searched locally: documents are moved, exchanged one for one or two
+dealt by hash into groups of a bounded number of items, at most one a document; each group is
+packed by best fit (longest first) and then searched locally: documents are moved, exchanged one for one or two
 for one between underfull sequences whenever that raises the sum of squared fills, until the
 emptiest sequences run empty or no step helps.
 
@@ -321,24 +321,43 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return where, offset
 
 
+def dealt(items: DataFrame, capacity: int, length_col: str, group_items: int, groups: int) -> tuple[DataFrame, str, str]:
+    """``items`` with a group and a place, and the names of these columns.
+
+    Items of ``capacity`` belong to no group of the search: they have numbers below zero, one
+    for each run of ``group_items`` places. The others' group follows from a hash of their
+    columns; as repeated rows share one hash, a random part that is fixed by the row's place
+    deals them out, so no value, however frequent, gathers in one group.
+    """
+    names = list(items.columns)
+    group, at = common.free_name(items, "group"), common.free_name(items, "place")
+    numbered = items.withColumn(at, F.monotonically_increasing_id())
+    run = F.expr(f"`{at}` div {group_items}")
+    by_hash = F.pmod(F.xxhash64(*map(common.col, names), F.spark_partition_id(), common.col(at)), F.lit(groups))
+    return numbered.withColumn(group, F.when(common.col(length_col) >= capacity, -1 - run).otherwise(by_hash)), group, at
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, length_col: str = "length", group_items: int = GROUP_ITEMS, groups: int | None = None) -> DataFrame:
     """``items`` with ``sequence_id`` and ``offset``: the items of a sequence fill it without gaps.
 
-    ``groups`` is the number of groups, by default one for each ``group_items`` rows (the
-    items are then counted first). An item's group follows from a hash of its columns; as
-    repeated rows share one hash, a random part that is fixed by the row's place deals them
-    out, so no value, however frequent, gathers in one group.
+    ``groups`` is the number of groups of the items below ``capacity``, by default one for each
+    ``group_items`` rows (the items are then counted first). A full item is a sequence of its
+    own, with a number below zero from its place.
     """
     if groups is None:
         groups = max(1, -(-items.count() // group_items))
-    group, names = common.free_name(items, "group"), list(items.columns)
-    salted = items.withColumn(group, F.pmod(F.xxhash64(*map(common.col, names), F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(groups)))
+    names = list(items.columns)
+    salted, group, at = dealt(items, capacity, length_col, group_items, groups)
     schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(rows: pa.Table) -> pa.Table:
         number = rows[group][0].as_py()
-        where, offset = pack_lengths(rows[length_col].to_numpy(), capacity)
-        placed = [rows[n] for n in names] + [pa.chunked_array([where + number * _STRIDE]), pa.chunked_array([offset])]
+        if number < 0:
+            where, offset = -1 - rows[at].to_numpy(), np.zeros(len(rows), np.int64)
+        else:
+            where, offset = pack_lengths(rows[length_col].to_numpy(), capacity)
+            where = where + number * _STRIDE
+        placed = [rows[n] for n in names] + [pa.chunked_array([where]), pa.chunked_array([offset])]
         return pa.Table.from_arrays(placed, [*names, "sequence_id", "offset"])
 
     return salted.groupBy(group).applyInArrow(place, schema)

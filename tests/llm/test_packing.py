@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import packing
@@ -96,3 +97,15 @@ def test_search_ends_only_where_no_step_helps():
         under = [b for b, items in enumerate(bins.items) if items and bins.room[b]]
         assert sum(1 for items in bins.items if items) <= first
         assert not any(bins._step(s, p) for s in under for p in under if s != p and bins.room[p] <= bins.room[s])
+
+
+def test_full_pieces_are_in_no_group_of_the_search(spark):
+    items = spark.range(12000, numPartitions=3).selectExpr("id", "cast(if(id % 400 = 0, 7 + id % 90, 2048) as long) as length")
+    rows, group, _ = packing.dealt(items, 2048, "length", 50, 1)
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.max("length").alias("most")).collect()
+    assert max(r.n for r in sizes) <= 50 and all((r[0] < 0) == (r.most == 2048) for r in sizes)
+    out = packing.pack(items, group_items=50, groups=1).collect()
+    n, tokens = check(out)
+    full = [r.sequence_id for r in out if r.length == 2048]
+    assert len(out) == 12000 and tokens == items.agg(F.sum("length")).first()[0]
+    assert len(set(full)) == len(full) == 11970 and max(full) < 0 and n == 11971
