@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
 SF_SMALL = os.environ.get("QUARRY_TEST_SF", "/root/testdata/sf0.001")
 
@@ -32,12 +32,6 @@ def sf_dir():
     return SF_SMALL
 
 
-def write_text(path: Path, data: bytes) -> str:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_bytes(data)
-    return str(path)
-
-
 @pytest.fixture(scope="module")
 def monkeypatch_module():
     mp = pytest.MonkeyPatch()

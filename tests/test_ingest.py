@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import write_text
+from helpers import write_text
 from quarry.functions.names import normalize_names, resolve_column
 from quarry.functions.parse import parse_datetime
 from quarry.functions.tokens import NA_TOKENS

@@ -9,7 +9,7 @@ from quarry.sources import sinks
 from quarry.sources.delimited import read_delimited
 from quarry.streaming import stream_delimited
 
-from conftest import write_text
+from helpers import write_text
 
 RETAIL = b"""InvoiceNo\tStockCode\tDescription\tQuantity\tInvoiceDate\tUnitPrice\tCustomerID\tCountry
 536365\t85123A\tWHITE HANGING HEART\t6\t12/1/2010 8:26\t2.55\t17850\tUnited Kingdom
