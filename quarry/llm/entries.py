@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import ann, dedup, langid, mixing, packing, pii, quality, secrets, tokens, urls
+from quarry.llm import ann, dedup, importance, langid, mixing, packing, pii, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_vantage_point_ann": ann.op6_vantage_point_ann,
     "op7_language_id": langid.op7_language_id,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_importance_resampling": importance.op11_importance_resampling,
 }
 
 #: Queries without a twin here are tested against brute force in ``tests/llm``.
@@ -24,4 +25,5 @@ ORACLES = {
     "op5_url_filters": urls.ORACLE,
     "op8_minhash_near_dedup": dedup.ORACLE,
     "op9_source_mixing": mixing.ORACLE,
+    "op11_importance_resampling": importance.ORACLE,
 }

@@ -14,7 +14,7 @@ def _rows(columns, rows):
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_query_matches_sql(spark, sf_dir, key):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     df = QUERIES[key](spark, sf_dir)
     res = con.sql(ORACLES[key])
