@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import ann, dedup, importance, langid, mixing, packing, pii, quality, secrets, tokens, urls
+from quarry.llm import ann, codes, dedup, importance, langid, mixing, packing, pii, prefix_bpe, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +16,8 @@ QUERIES = {
     "op7_language_id": langid.op7_language_id,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_prefix_bpe": prefix_bpe.op12_prefix_bpe,
+    "op13_orchard_codes": codes.op13_orchard_codes,
 }
 
 #: Queries without a twin here are tested against brute force in ``tests/llm``.
@@ -26,4 +28,5 @@ ORACLES = {
     "op8_minhash_near_dedup": dedup.ORACLE,
     "op9_source_mixing": mixing.ORACLE,
     "op11_importance_resampling": importance.ORACLE,
+    "op13_orchard_codes": codes.ORACLE,
 }
