@@ -2,8 +2,8 @@
 
 Patterns propose candidates (SQL functions only). The SHA-256 of each candidate's value is
 aggregated over the corpus by distinct repositories and owners: a value that several owners
-hold is a widely copied *example*; one that a single owner holds and that looks generated is
-*live*; the rest is *unclear*. Counting is pre-aggregated in each task by (value, owner,
+or many repositories hold is a widely copied *example*; one that a single owner holds in few
+repositories and that looks generated is *live*; the rest is *unclear*. Counting is pre-aggregated in each task by (value, owner,
 repository), so a value that stands in a third of all rows costs no task more than its
 distinct owners.
 
@@ -27,6 +27,8 @@ from quarry.llm.spans import pattern_spans
 
 #: From so many distinct owners on, a value is a copied example.
 EXAMPLE_OWNERS = 3
+#: So is one in so many distinct repositories, be they of one owner.
+EXAMPLE_REPOS = 6
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 
 
@@ -66,7 +68,7 @@ _FAKE = "(?i)example|sample|change.?me|placeholder|dummy|your|xxxx|0000|1234567|
 
 def _looks_generated(value: Column) -> Column:
     """Enough distinct characters, letters and digits, and no filler word."""
-    chars = F.array_size(F.array_distinct(F.split(F.substring(value, 1, 256), "")))
+    chars = F.array_size(F.array_distinct(F.split(value, "")))
     return (chars >= 9) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(_FAKE)
 
 
@@ -96,9 +98,9 @@ def ownership(values: DataFrame) -> DataFrame:
     return repos.groupBy("value_hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
 
 
-def verdict(generated: Column, n_owners: Column) -> Column:
+def verdict(generated: Column, n_owners: Column, n_repos: Column) -> Column:
     return (
-        F.when(n_owners >= EXAMPLE_OWNERS, F.lit("example"))
+        F.when((n_owners >= EXAMPLE_OWNERS) | (n_repos >= EXAMPLE_REPOS), F.lit("example"))
         .when(generated & (n_owners == 1), F.lit("live"))
         .otherwise(F.lit("unclear"))
     )
@@ -128,7 +130,7 @@ def judge_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         values.join(held_by, "value_hash")
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct(
-            "start", "listed", "kind", "end", verdict(F.col("generated"), F.col("n_owners")).alias("verdict"), "n_owners", "n_repos"
+            "start", "listed", "kind", "end", verdict(F.col("generated"), F.col("n_owners"), F.col("n_repos")).alias("verdict"), "n_owners", "n_repos"
         ))).alias("spans"))
     )
     joined = rows.select("row", "id").join(judged, "row", "left")
@@ -155,6 +157,8 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(text(base), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"),
         F.array_join(F.transform("spans", lambda s: s["verdict"]), ",").alias("verdicts"),
+        F.array_join(F.transform("spans", lambda s: s["n_owners"].cast("string")), ",").alias("n_owners"),
+        F.array_join(F.transform("spans", lambda s: s["n_repos"].cast("string")), ",").alias("n_repos"),
         count(lambda s: s["verdict"] == "live").alias("n_live"),
         count(lambda s: s["verdict"] == "example").alias("n_example"),
     )
@@ -184,15 +188,15 @@ m AS ({parts}),
 u AS (SELECT rid, listed, kind, unnest(ms) AS m, unnest(vs) AS v, unnest(ps[1:len(ms)]) AS p, unnest(range(len(ms))) AS i FROM m WHERE len(ms) > 0),
 x AS (SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY rid, listed ORDER BY i) AS e FROM u),
 c AS (SELECT rid, listed, kind, (e - length(m))::BIGINT AS s, e::BIGINT AS e, sha256(v) AS h,
-    len(list_distinct(string_split(v[1:256], ''))) >= 9 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{_FAKE}') AS g
+    len(list_distinct(string_split(v, ''))) >= 9 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{_FAKE}') AS g
   FROM x WHERE kind <> 'assign' OR length(v) >= 8),
-f AS (SELECT h, count(DISTINCT o) AS owners FROM c JOIN d USING (rid) GROUP BY h),
-j AS (SELECT c.*, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 'example' WHEN g AND owners = 1 THEN 'live' ELSE 'unclear' END AS verdict FROM c JOIN f USING (h)),
+f AS (SELECT h, count(DISTINCT o) AS owners, count(DISTINCT row(o, r)) AS repos FROM c JOIN d USING (rid) GROUP BY h),
+j AS (SELECT c.*, owners, repos, CASE WHEN owners >= {EXAMPLE_OWNERS} OR repos >= {EXAMPLE_REPOS} THEN 'example' WHEN g AND owners = 1 THEN 'live' ELSE 'unclear' END AS verdict FROM c JOIN f USING (h)),
 a AS (SELECT rid, {counts}, sha256({text.format(" FILTER (listed < 3)")}) AS base_sha256, {text.format("")} AS spans,
-    string_agg(verdict, ',' ORDER BY s, listed) AS verdicts, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example
+    string_agg(verdict, ',' ORDER BY s, listed) AS verdicts, string_agg(owners, ',' ORDER BY s, listed) AS n_owners, string_agg(repos, ',' ORDER BY s, listed) AS n_repos, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example
   FROM j GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(verdicts, '') AS verdicts, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  coalesce(spans, '') AS spans, coalesce(verdicts, '') AS verdicts, coalesce(n_owners, '') AS n_owners, coalesce(n_repos, '') AS n_repos, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM d LEFT JOIN a USING (rid)
 """
 

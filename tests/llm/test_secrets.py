@@ -77,6 +77,15 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert by[20] == by[21] == {("unclear", 2, 2)} and by[None] == set()
 
 
+def test_repositories_alone_make_an_example_and_values_count_whole(spark):
+    late, wide = "g" * 400 + "Q7r2mW9sK4xT8vB1", "Yk3N8pL5wQ2zH7cD"
+    rows = [(1, f"token={late}", "a", "r1")] + [(10 + i, f"secret={wide}", "a", f"r{i}") for i in range(secrets.EXAMPLE_REPOS)] + [(10, f"secret={wide}", "a", "r0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, o string, r string")
+    got = {r.doc_id: [(s.verdict, s.n_owners, s.n_repos) for s in r.spans] for r in secrets.judge_secrets(df, owner=F.col("o"), repo=F.col("r")).collect()}
+    assert got[1] == [("live", 1, 1)]  # distinct characters beyond the first 256 count
+    assert got[10] == got[15] == [("example", 1, secrets.EXAMPLE_REPOS)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.judge_secrets(df).count() == 0
