@@ -8,8 +8,10 @@ a blocked member is blocked, else it is allowed. SQL functions only; components
 distributed over the edges, never over pages without one.
 
 Defined results: a null url or one without ``://`` has empty host and path, no rule and no
-aliases, and is allowed; repeated rows are judged row by row; an empty table gives an empty
-result; only the id, url and html columns are read.
+aliases, and is allowed; repeated rows are judged row by row; all canonical links and
+refreshes of a page count, relative ones (``//host/x``, ``/x``, ``x``, ``?x``, ``..``) resolved
+against its url, a ``<base>`` tag not read; an empty table gives an empty result; only the id,
+url and html columns are read.
 """
 
 from __future__ import annotations
@@ -75,23 +77,51 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
     return out
 
 
-_LINK = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_META = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+_LINK = r"""(?i)<link\b[^<>]*\brel\s*=\s*["']?canonical\b[^<>]*>"""
+_META = r"""(?i)<meta\b[^<>]*\bhttp-equiv\s*=\s*["']?refresh\b[^<>]*>"""
 _HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _TO = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
+_ORIGIN, _SCHEME = "^.*?://[^/?#]*", "^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments taken out, what follows the path kept."""
+    own, rest = F.regexp_extract(path, "^[^?#]*", 0), F.regexp_extract(path, "^[^?#]*(.*)$", 1)
+    kept = F.aggregate(
+        F.split(own, "/"), F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))),
+    )
+    return F.concat(F.array_join(kept, "/"), rest)
+
+
+def resolve(page: Column, target: Column) -> Column:
+    """The whole url that a link of a page means; null for other schemes than ``x://``, for a
+    place in the page itself, and for relative links of a page without an origin."""
+    origin, path = F.regexp_extract(page, _ORIGIN, 0), path_of(page)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, "^(.*/)", 1), F.lit("")), F.lit("/"))
+    return (
+        F.when(target.rlike(_SCHEME + "//"), target)
+        .when(target.rlike(_SCHEME) | F.startswith(target, F.lit("#")) | (F.coalesce(origin, F.lit("")) == ""), F.lit(None))
+        .when(F.startswith(target, F.lit("//")), F.concat(F.regexp_extract(page, "^(.*?)://", 1), F.lit(":"), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(origin, _without_dots(target)))
+        .when(F.startswith(target, F.lit("?")), F.concat(origin, path, target))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, target))))
+    )
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(source, target)`` urls of the canonical links and meta redirects that pages declare.
-    A target that starts with ``/`` is on the page's own host; other relative ones are left out."""
+    """``(source, target)`` urls of all canonical links and meta redirects that pages declare,
+    relative ones resolved against the page's url."""
     html, url = common.col(html_col), common.col(url_col)
-    link = F.when(F.contains(F.lower(html), F.lit("canonical")), F.regexp_extract(F.regexp_extract(html, _LINK, 0), _HREF, 1))
-    meta = F.when(F.contains(F.lower(html), F.lit("http-equiv")), F.regexp_extract(F.regexp_extract(html, _META, 0), _TO, 1))
-    target = F.explode(F.filter(F.array(link, meta), lambda t: F.coalesce(t, F.lit("")) != ""))
-    whole = F.when(F.col("t").contains("://"), F.col("t")).when(
-        F.col("t").startswith("/") & ~F.col("t").startswith("//"), F.concat(F.regexp_extract("source", "^.*?://[^/?#]*", 0), "t")
-    )
-    return pages.select(url.alias("source"), target.alias("t")).select("source", whole.alias("target")).filter("target is not null")
+
+    def declared(mark: str, tag: str, attribute: str) -> Column:
+        tags = F.regexp_extract_all(html, F.lit(tag), F.lit(0))
+        found = F.transform(tags, lambda t: F.regexp_extract(t, attribute, 1))
+        return F.coalesce(F.when(F.contains(F.lower(html), F.lit(mark)), found), F.array().cast("array<string>"))
+
+    targets = F.concat(declared("canonical", _LINK, _HREF), declared("http-equiv", _META, _TO))
+    links = pages.select(url.alias("source"), F.explode(F.filter(targets, lambda t: t != "")).alias("t"))
+    return links.select("source", resolve(F.col("source"), F.col("t")).alias("target")).filter("target is not null")
 
 
 def filter_urls(pages: DataFrame, links: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -134,10 +164,16 @@ _KEY = r"""CASE WHEN regexp_extract({u}, '://([^/?#]*)', 1) <> '' THEN regexp_re
 
 ORACLE = r"""
 WITH RECURSIVE rules(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-t AS (SELECT url, unnest([
-    regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t FROM pages),
-l AS (SELECT url AS s, CASE WHEN contains(t, '://') THEN t WHEN t LIKE '/%' AND t NOT LIKE '//%' THEN regexp_extract(url, '^.*?://[^/?#]*') || t END AS d FROM t WHERE t <> ''),
+t AS (SELECT url, regexp_extract(url, '^.*?://[^/?#]*') AS origin, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?i)<link\b[^<>]*\brel\s*=\s*["'']?canonical\b[^<>]*>'), lambda x: regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?i)<meta\b[^<>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^<>]*>'), lambda x: regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS t FROM pages),
+w AS (SELECT *, CASE WHEN t LIKE '/%' THEN t ELSE coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || t END AS p FROM t WHERE t <> ''),
+l AS (SELECT url AS s, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR t LIKE '#%' OR coalesce(origin, '') = '' THEN NULL
+    WHEN t LIKE '//%' THEN regexp_extract(url, '^(.*?)://', 1) || ':' || t WHEN t LIKE '?%' THEN origin || path || t
+    ELSE origin || array_to_string(list_reduce(list_concat([[]::VARCHAR[]], list_transform(string_split(regexp_extract(p, '^[^?#]*'), '/'), lambda x: [x])),
+      lambda a, b: CASE WHEN b[1] = '..' THEN CASE WHEN len(a) > 1 THEN a[1 : len(a) - 1] ELSE a END WHEN b[1] = '.' THEN a ELSE list_concat(a, b) END), '/')
+      || regexp_extract(p, '^[^?#]*(.*)$', 1) END AS d FROM w),
 u AS (SELECT true AS page, page_id, url AS u FROM pages UNION ALL SELECT false, NULL, unnest([s, d]) FROM l WHERE d IS NOT NULL),
 k AS (SELECT row_number() OVER () AS rid, page, page_id, u, translate(coalesce(regexp_extract(u, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(u, '://[^/?#]*([^?#]*)', 1), '') AS path, KEY(u) AS key FROM u),

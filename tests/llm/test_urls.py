@@ -59,6 +59,46 @@ def test_rules_aliases_and_precedence(spark):
     assert got[None][:2] == ("n.net", "") and got[15][:2] == ("b.net", "/c://d")
 
 
+LINKS = [
+    ("https://a.org/x/y.html?q=1", "//b.org/z"), ("https://a.org/x/y.html?q=1", "z.html"), ("https://a.org/x/y.html?q=1", "?p=1"), ("https://a.org/x/y.html", "../z"),
+    ("https://a.org/x/y.html", "../../../z/./w?a=../b"), ("https://a.org", "z"), ("https://a.org?q", "z"), ("https://a.org/x", "/z/../w#f"), ("https://a.org/x/", "sub/"),
+    ("https://a.org/x", "ftp://c.org/1"), ("https://a.org/x", "mailto:x@y.z"), ("https://a.org/x", "#top"), ("no scheme", "z"), ("https://a.org/x/", "z?u=http://q.org/"),
+]
+
+
+def test_relative_links(spark):
+    from urllib.parse import urljoin
+
+    df = spark.createDataFrame(LINKS, "page string, target string")
+    got = [r.t for r in df.select(urls.resolve(df.page, df.target).alias("t")).collect()]
+    none = {"mailto:x@y.z", "#top"}
+    assert got == [None if t in none or "://" not in p else urljoin(p, t) for p, t in LINKS]
+
+
+def test_all_links_of_a_page_and_long_html(spark):
+    html = "<link rel=canonical href='/1'><LINK REL=\"canonical\" HREF=\"//c.org/2\"><meta http-equiv=refresh content='0; url=3'><meta http-equiv='refresh' content='1;URL=?4'><link rel=canonical>"
+    rows = [(1, "https://a.org/d/e", html), (2, "https://l.org/", "<link " * 40000 + "canonical http-equiv" + "x" * 100000 + "<link rel='canonical' href='z'>"), (3, "https://u.org/" + "y" * 200000, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.source, r.target) for r in urls.page_links(df).collect())
+    assert got == sorted([("https://a.org/d/e", t) for t in ("https://a.org/1", "https://c.org/2", "https://a.org/d/3", "https://a.org/d/e?4")] + [("https://l.org/", "https://l.org/z")])
+    assert urls.filter_urls(df, urls.page_links(df)).count() == 3
+
+
+def test_sql_twin_follows_the_links(spark, tmp_path):
+    import duckdb
+
+    html = [f'<link rel="canonical" href="{t}">' for _, t in LINKS]
+    rows = [*ROWS, *((100 + i, p, h) for i, ((p, _), h) in enumerate(zip(LINKS, html)))]
+    rows += [(200, "https://a.org/z", "<link rel=canonical href='https://example.com/de/q'>"), (201, "https://b.org/z/", "<meta http-equiv=refresh content='0;url=../fr/x'>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    res = con.sql(urls.ORACLE)
+    got = urls.op5_url_filters(spark, str(tmp_path)).select(*res.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, res.fetchall()))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert urls.filter_urls(df, urls.page_links(df)).count() == 0
