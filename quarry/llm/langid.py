@@ -5,11 +5,13 @@ A document is a mixture of languages: expectation-maximisation estimates its pro
 from its grams' likelihoods, and the language set grows as long as the penalised likelihood
 does. The prediction is the language of largest proportion.
 
-Training counts are summed in each task before they are shuffled; a table of languages times
-``BUCKETS`` counts reaches the driver, whatever the input, and goes out with the function
-that predicts. Prediction reads the text alone, whole.
+Training counts are summed in each task before they are shuffled. The model is sparse: per
+bucket the languages that have it, at most ``BUCKETS`` pairs a language whatever the input. It
+goes out with the function that predicts; its size is checked first, and a label column with
+more pairs than ``MOST_PAIRS`` (thousands of languages) is refused, not cut. Prediction reads
+the text alone, whole.
 
-Defined results: a null text or one without a letter is ``und`` with score 0; so is every
+Defined results: a null text or one without a letter (Unicode category L) is ``und`` with score 0; so is every
 text when nothing could be learned. Ties go to the name that sorts first. Training leaves
 out rows without a language or an id; repeated rows count as often as they stand; an empty
 table gives an empty result; only the named columns are read.
@@ -17,12 +19,12 @@ table gives an empty result; only the named columns are read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +36,10 @@ SMOOTH = 0.5
 #: Cost of one more language in units of the logarithm of the number of grams.
 PENALTY = 3.0
 STEPS, TOLERANCE = 30, 1e-4
-#: A model holds this many languages at most; more labels than that are refused.
-MAX_LANGUAGES = 1000
+#: (bucket, language) pairs of a model that is sent to tasks: some 200 MB.
+MOST_PAIRS = 1 << 24
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _KEEP = np.full(256, 0x20, np.uint32)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
@@ -55,10 +57,22 @@ def grams(text: str | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in order and, per language, the probability of each bucket."""
+    """Languages in order; the probability each gives to a bucket it has not seen; and, bucket
+    by bucket (``start``), the languages (``owner``) that have seen it, with its probability."""
 
     languages: tuple[str, ...]
-    gram: np.ndarray
+    unseen: np.ndarray
+    start: np.ndarray
+    owner: np.ndarray
+    seen: np.ndarray
+
+    def likely(self, ids: np.ndarray) -> np.ndarray:
+        """The probabilities of buckets, a row per language."""
+        out = np.repeat(self.unseen[:, None], len(ids), axis=1)
+        size = self.start[ids + 1] - self.start[ids]
+        at = np.repeat(self.start[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        out[self.owner[at], np.repeat(np.arange(len(ids)), size)] = self.seen[at]
+        return out
 
     def proportions(self, likely: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, float]:
         """Maximum-likelihood proportions of the languages whose gram likelihoods are the rows
@@ -81,7 +95,7 @@ class Model:
         ids, count = np.unique(grams(text), return_counts=True)
         if not len(ids):
             return []
-        likely, count = self.gram[:, ids], count.astype(float)
+        likely, count = self.likely(ids), count.astype(float)
         alone = np.log(likely) @ count
         # candidates in the order of their share in the mixture of all languages
         every, _ = self.proportions(likely, count)
@@ -119,14 +133,15 @@ def gram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """A model of all rows of ``docs`` that have a language."""
     counts = common.saved(gram_counts(docs, lang_col, text_col))
-    names = [r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names.sort()
+    if counts.count() > MOST_PAIRS:
+        raise ValueError(f"the languages have more than {MOST_PAIRS} grams between them")
     table = counts.toPandas()
-    have = np.zeros((len(names), BUCKETS))
-    have[np.searchsorted(np.array(names, dtype=object), table["lang"].to_numpy()) if len(names) else [], table["bucket"].to_numpy(np.int64)] = table["n"]
-    return Model(tuple(names), (have + SMOOTH) / (have.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS))
+    names, owner = np.unique(table["lang"].to_numpy(object).astype(str), return_inverse=True) if len(table) else (np.empty(0, str), np.empty(0, np.int64))
+    bucket, n = table["bucket"].to_numpy(np.int64), table["n"].to_numpy(np.float64)
+    total = np.bincount(owner, n, minlength=len(names)) + SMOOTH * BUCKETS
+    order = np.lexsort((owner, bucket))
+    start = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    return Model(tuple(names.tolist()), SMOOTH / total, start, owner[order], ((n + SMOOTH) / total[owner])[order])
 
 
 def predict(text: Column, model: Model) -> Column:
