@@ -1,9 +1,14 @@
 """Mixing a corpus to target marginals by iterative proportional fitting, then sampling.
 
 Documents are counted into cells (one per combination of source, language and topic) with
-their token weights. Raking scales the cells' weights in turn to the target marginal of each
-dimension, never above what a cell holds, so a cell's weight over its tokens is a sampling
-probability. A document is kept when its hashed uniform number is below its cell's.
+their token weights. A value's target is what its part of the budget gives, but never more than
+the value holds; what that cuts off is spread over the values with room. Raking scales the
+cells in turn to the target marginal of each dimension. A cell's weight is its scaled number,
+at most what it holds; the number itself goes on above that, so that full cells stay full while
+others make up for them. Raking ends when every marginal is within ``TOLERANCE`` of its target,
+or after ``ROUNDS`` rounds where cells leave no such solution; ``marginals`` gives target and
+reached weight of every value either way. A cell's weight over its tokens is a sampling
+probability: a document is kept when its hashed uniform number is below its cell's.
 
 SQL functions only. Weights are whole thousandths of a token, so sums are exact and the same
 sample comes out whatever the order of rows, partitions or retries. Documents are counted
@@ -26,7 +31,9 @@ from pyspark.sql import functions as F
 from quarry.llm import common
 
 #: Share of all tokens that the mixture keeps, and the exponent that flattens each marginal.
-KEEP, TEMPERATURE, ROUNDS = 0.5, 0.7, 10
+KEEP, TEMPERATURE = 0.5, 0.7
+#: A marginal's largest error against its target, and the rounds after which raking ends anyway.
+TOLERANCE, ROUNDS = 0.005, 60
 SEED = "mix-1"
 #: Thousandths of a token.
 UNIT = 1000
@@ -66,29 +73,68 @@ def tempered(cells: DataFrame, dim: str, temperature: float = TEMPERATURE) -> Da
     return sums.select(dim, _half_up(F.pow(F.col("n").cast("double"), F.lit(temperature)) * 1000.0).alias("part"))
 
 
-def rake(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, DataFrame], keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (dims, n) with ``w``: raked weights in thousandths of a token, 0 <= w <= UNIT * n.
+def _whole(df: DataFrame, column: str) -> int:
+    return int(df.agg(F.sum(column)).first()[0] or 0)
+
+
+def feasible(cells: DataFrame, dim: str, target: DataFrame, keep: float = KEEP) -> DataFrame:
+    """``(dim, want)``: the parts of ``target`` scaled so that they add up to ``keep`` of all
+    tokens, in thousandths. No value gets more than it holds; the rest takes up what that cuts
+    off, as long as some value has room. Each step is one sum over the values."""
+    part = target.groupBy(dim).agg(F.sum("part").alias("part"))
+    now = cells.groupBy(dim).agg((F.sum("n") * UNIT).alias("cap")).join(part, dim, "left").fillna(0, ["part"])
+    now = common.saved(now.withColumn("full", F.lit(False)))
+    budget = float(_whole(now, "cap")) * keep
+    while True:
+        held = now.agg(F.sum(F.when(F.col("full"), F.col("cap"))).alias("full"), F.sum(F.when(~F.col("full"), F.col("part"))).alias("open")).first()
+        scale = (budget - float(held["full"] or 0)) / float(held["open"]) if held["open"] else 0.0
+        wanted = F.col("part").cast("double") * F.lit(scale)
+        over = ~F.col("full") & (F.col("part") > 0) & (wanted >= F.col("cap").cast("double"))
+        marked = now.withColumn("full", F.col("full") | over)
+        if not now.filter(over).limit(1).count():
+            return now.select(dim, F.when(F.col("full"), F.col("cap").cast("double")).otherwise(wanted).alias("want"))
+        now = common.saved(marked)
+
+
+def marginals(raked: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """``(dimension, value, target, reached)`` of raked cells, in thousandths of a token. Values
+    are as ``mix`` keys them: empty for null, else after ``=``."""
+    out = None
+    for d in dims:
+        one = raked.groupBy(F.col(d).alias("value")).agg(F.first(f"want_{d}").alias("target"), F.sum("w").alias("reached"))
+        one = one.select(F.lit(d).alias("dimension"), F.col("value").cast("string").alias("value"), "target", "reached")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _residual(raked: DataFrame, dims: Sequence[str]) -> float:
+    off = F.abs(F.col("reached") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0))
+    return float(marginals(raked, dims).agg(F.max(off)).first()[0] or 0.0)
+
+
+def rake(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, DataFrame], keep: float = KEEP, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` (dims, n) with ``w``, raked weights in thousandths of a token, 0 <= w <= UNIT *
+    n, and ``want_<dim>``, the targets of the cell's values.
 
     ``targets`` gives for each dimension a (value, part) table; parts are scaled so that the
-    mixture holds ``keep`` of all tokens. A value without a part gets none.
+    mixture holds ``keep`` of all tokens (``feasible``). A value without a part gets none.
     """
-    now = cells.withColumn("w", F.col("n") * UNIT)
-    whole = lambda df, c: float(df.agg(F.sum(c)).first()[0] or 0)  # noqa: E731  one number each to the driver
-    budget = whole(cells, "n") * (UNIT * keep)
+    now = cells.withColumn("w", F.col("n") * UNIT).withColumn("x", F.col("w").cast("double"))
     for d in dims:
-        part = targets[d].groupBy(d).agg(F.sum("part").alias("part"))
-        want = part.select(d, (F.lit(budget) * F.col("part").cast("double") / F.lit(max(1.0, whole(part, "part")))).alias(f"want_{d}"))
-        now = now.join(want, d, "left").fillna(0.0, [f"want_{d}"])
+        now = now.join(feasible(cells, d, targets[d], keep).withColumnRenamed("want", f"want_{d}"), d)
     now = common.saved(now)
     rows = now.count()
     small, parts = rows <= BROADCAST_CELLS, max(1, -(-rows // PART_CELLS))
-    for _ in range(rounds):
+    for _ in range(rounds if rows else 0):
         for d in dims:
             has = now.groupBy(d).agg(F.sum("w").alias("has"))
-            scaled = F.when(F.col("has") > 0, _half_up(F.col("w").cast("double") * F.col(f"want_{d}") / F.col("has").cast("double"))).otherwise(F.lit(0))
-            now = now.join(F.broadcast(has) if small else has, d).withColumn("w", F.least(F.col("n") * UNIT, scaled.cast("long"))).drop("has")
+            scaled = F.when(F.col("has") > 0, F.col("x") * F.col(f"want_{d}") / F.col("has").cast("double")).otherwise(F.lit(0.0))
+            now = now.join(F.broadcast(has) if small else has, d).withColumn("x", scaled).drop("has")
+            now = now.withColumn("w", F.least(F.col("n") * UNIT, _half_up(F.least("x", F.lit(2.0**62)))))
         now = common.saved(now.coalesce(parts))
-    return now.select(*dims, "n", "w")
+        if _residual(now, dims) <= tolerance:
+            break
+    return now.drop("x")
 
 
 def mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -145,33 +191,41 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """The same steps: targets by the order in which values fill up, rounds by recursion."""
     dims = ("source", "lang", "topic")
-    steps, last = [], "r0"
-    for i in range(ROUNDS):
-        for d in dims:
-            name = f"r{i}_{d}"
-            steps.append(
-                f"{name} AS (SELECT source, lang, topic, n, t_source, t_lang, t_topic, least(n * {UNIT}, CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 "
-                f"THEN floor(w::DOUBLE * t_{d} / (sum(w) OVER (PARTITION BY {d}))::DOUBLE + 0.5) ELSE 0 END::BIGINT) AS w FROM {last})"
-            )
-            last = name
+    steps = []
+    for d in dims:
+        scaled = f"CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 THEN x * t_{d} / (sum(w) OVER (PARTITION BY {d}))::DOUBLE ELSE 0.0 END"
+        steps.append(f"(SELECT * EXCLUDE (x, w), x, least(n * {UNIT}, floor(least(x, {2.0**62!r}) + 0.5)::BIGINT) AS w FROM (SELECT * REPLACE ({scaled} AS x) FROM {{}}))")
+    body = "s"
+    for step in steps:
+        body = step.format(body)
+    off = ", ".join(f"abs(sum(w) OVER (PARTITION BY {d}) - t_{d}) / greatest(t_{d}, 1.0)" for d in dims)
     parts = ", ".join(
-        f"p_{d} AS (SELECT {d}, floor(pow(sum(n)::DOUBLE, {TEMPERATURE}) * 1000.0 + 0.5)::BIGINT AS part FROM c GROUP BY {d})" for d in dims
-    )
-    want = ", ".join(
-        f"(SELECT sum(n) FROM c)::DOUBLE * {UNIT * KEEP} * p_{d}.part::DOUBLE / (SELECT sum(part) FROM p_{d})::DOUBLE AS t_{d}" for d in dims
+        f"""v_{d} AS MATERIALIZED (SELECT {d}, (sum(n) * {UNIT})::BIGINT AS cap, floor(pow(sum(n)::DOUBLE, {TEMPERATURE}) * 1000.0 + 0.5)::BIGINT AS part FROM c GROUP BY {d}),
+l_{d} AS MATERIALIZED (SELECT *, ((SELECT sum(cap) FROM v_{d})::DOUBLE * {KEEP} - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(part) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS scale, row_number() OVER w AS place
+  FROM v_{d} WHERE part > 0 WINDOW w AS (ORDER BY cap::DOUBLE / part, {d})),
+k_{d} AS MATERIALIZED (SELECT scale, place FROM l_{d} WHERE part::DOUBLE * scale < cap::DOUBLE ORDER BY place LIMIT 1),
+p_{d} AS MATERIALIZED (SELECT {d}, CASE WHEN part = 0 THEN 0.0 WHEN place < (SELECT place FROM k_{d}) THEN cap::DOUBLE ELSE part::DOUBLE * (SELECT scale FROM k_{d}) END AS want
+  FROM v_{d} LEFT JOIN (SELECT {d} AS q, place FROM l_{d}) ON {d} IS NOT DISTINCT FROM q)""" for d in dims
     )
+    want = ", ".join(f"p_{d}.want AS t_{d}" for d in dims)
     joins = " ".join(f"JOIN p_{d} ON c.{d} IS NOT DISTINCT FROM p_{d}.{d}" for d in dims)
     return rf"""
-WITH d AS (SELECT doc_id, source, lang, CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, 'License') THEN 'license'
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, lang, CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, 'License') THEN 'license'
     WHEN contains(text, '@') OR regexp_matches(text, '\+[0-9]') THEN 'contact' ELSE 'prose' END AS topic,
   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n,
   ('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::VARCHAR, text, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u FROM documents),
-c AS (SELECT source, lang, topic, sum(n)::BIGINT AS n FROM d GROUP BY ALL),
+c AS MATERIALIZED (SELECT source, lang, topic, sum(n)::BIGINT AS n FROM d GROUP BY ALL),
 {parts},
-r0 AS (SELECT c.source, c.lang, c.topic, n, {want}, n * {UNIT} AS w FROM c {joins}),
-{", ".join(steps)},
-f AS (SELECT source, lang, topic, CASE WHEN n > 0 THEN w::DOUBLE / (n * {UNIT})::DOUBLE ELSE 1.0 END AS p FROM {last})
+rounds AS (
+  SELECT 0 AS i, false AS done, c.source, c.lang, c.topic, n, {want}, (n * {UNIT})::DOUBLE AS x, (n * {UNIT})::BIGINT AS w FROM c {joins}
+  UNION ALL
+  SELECT i + 1, max(off) OVER () <= {TOLERANCE}, source, lang, topic, n, {", ".join(f"t_{d}" for d in dims)}, x, w FROM (
+    SELECT *, greatest({off}) AS off FROM {body.replace("FROM s)", f"FROM rounds WHERE NOT done AND i < {ROUNDS})")})
+),
+f AS (SELECT source, lang, topic, CASE WHEN n > 0 THEN w::DOUBLE / (n * {UNIT})::DOUBLE ELSE 1.0 END AS p FROM rounds WHERE i = (SELECT max(i) FROM rounds))
 SELECT doc_id, d.source, d.lang, d.topic, d.n AS n_tokens, d.n::DOUBLE * p AS weight, p AS probability, u < p AS kept
 FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.lang IS NOT DISTINCT FROM f.lang AND d.topic = f.topic
 """
