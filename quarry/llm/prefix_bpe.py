@@ -3,7 +3,9 @@
 Merging by rank gives a byte string exactly one encoding, and a sequence of tokens is that
 encoding just when every two neighbours are the encoding of their own bytes and a lone token
 that of its own: as long as no merge has crossed the border between two neighbours, their span
-goes through the very merges it would go through alone. So every prefix of a string has one
+goes through the very merges it would go through alone. In a vocabulary whose tokens are made of
+tokens of lower rank merges happen in the order of ranks, and two tokens are tested by undoing
+the merges at their border, the latest first; in another one by merging their bytes. So every prefix of a string has one
 last token: the token that ends there and stays apart from the last token of the prefix it
 begins at. ``Prefixes`` stores these last tokens, byte by byte. Bytes appended only add to the
 table; after an edit it is computed anew from the edit on, until as many last tokens in a row
@@ -61,10 +63,18 @@ class Vocabulary:
         if any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("the tokenizer file lacks single bytes")
         self.bytes = {rank: token for token, rank in self.ranks.items()}
-        #: What a longer token ends with.
-        self.tails = {t[i:] for t in self.ranks for i in range(1, len(t))}
+        self.beyond = max(self.bytes) + 1
         self.longest = max(map(len, self.ranks))
-        self._apart: dict[tuple[int, int], bool] = {}
+        #: By byte string: its token (-1 for none) times two, one more if a longer token ends with it.
+        self.endings = {t[i:]: -1 for t in self.ranks for i in range(1, len(t))}
+        self.endings = {t: 2 * self.ranks.get(t, -1) + 1 for t in self.endings} | {t: 2 * r + (t in self.endings) for t, r in self.ranks.items()}
+        self.apart_of: dict[int, bool] = {}
+        #: By token: the pair whose merge makes it; none for single bytes and for tokens that
+        #: merging their own bytes does not make.
+        self.made = {rank: self._last_merge(token) for token, rank in self.ranks.items() if len(token) > 1}
+        # merges happen in the order of ranks if every token is made of tokens of lower rank
+        single = {self.ranks[bytes([b])] for b in range(256)}
+        self.in_order = all(x in single or x < t for t, pair in self.made.items() if pair for x in pair)
         # all tokens' bytes in one row, for decoding
         ids = np.array(sorted(self.bytes), np.int64)
         sizes = np.zeros(int(ids[-1]) + 1, np.int64)
@@ -72,29 +82,55 @@ class Vocabulary:
         self.sizes, self.begins = sizes, np.cumsum(sizes) - sizes
         self.row = np.frombuffer(b"".join(self.bytes[i] for i in ids.tolist()), np.uint8)
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """A short byte string after all merges, lowest rank first, from the left."""
+    def merged(self, data: bytes, least: int = 1) -> list[bytes]:
+        """A short byte string after all merges, lowest rank first, from the left, as long as
+        more than ``least`` parts are there."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(a + b, len(self.bytes) << 1), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank >= len(self.bytes) << 1:
+        get, none = self.ranks.get, self.beyond
+        pairs = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while len(parts) > least:
+            rank = min(pairs)
+            if rank == none:
                 break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            i = pairs.index(rank)
+            whole = parts[i] + parts[i + 1]
+            parts[i : i + 2] = [whole]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(whole + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + whole, none)
         return parts
 
+    def _last_merge(self, token: bytes) -> tuple[int, int] | None:
+        """The two tokens whose merge makes a token out of its own bytes."""
+        parts = self.merged(token, least=2)
+        return (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+
     def apart(self, left: int, right: int) -> bool:
         """Whether two tokens stand side by side in an encoding; ``left`` -1 is the start."""
-        known = self._apart.get((left, right))
-        if known is None:
-            a, b = self.bytes.get(left, b""), self.bytes[right]
-            if left < 0:
-                known = self.merged(b) == [b]
+        if len(self.bytes[right]) > 1 and self.made[right] is None:
+            return False
+        if left < 0:
+            return True
+        a, b = self.bytes[left], self.bytes[right]
+        if a + b in self.ranks:
+            return False
+        if not self.in_order:
+            return self.merged(a + b) == [a, b]
+        # back in time: undo the later of the two merges that made the tokens at the border,
+        # and see whether the border would have been merged away before it
+        made, ranks, whole = self.made, self.ranks, self.bytes
+        while True:
+            p, q = made.get(left), made.get(right)
+            if p is None and q is None:
+                return True
+            if q is None or p is not None and left > right:
+                rank, left = left, p[1]
             else:
-                known = a + b not in self.ranks and self.merged(a + b) == [a, b]
-            if len(self._apart) >= MEMORY:
-                self._apart.clear()
-            self._apart[left, right] = known
-        return known
+                rank, right = right + 1, q[0]  # of equal ranks the left one merges first
+            if ranks.get(whole[left] + whole[right], self.beyond) < rank:
+                return False
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that token ids stand for."""
@@ -112,27 +148,35 @@ class Prefixes:
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
         self.vocabulary = vocabulary
         self.data = b""
-        self.last = array("i", [-1])  # of the empty prefix: none
+        self.last = [-1]  # of the empty prefix: none
         self.append(data)
 
-    def _next(self) -> int:
-        """The last token of the first prefix that has none yet."""
-        v, data, last = self.vocabulary, self.data, self.last
-        end = len(last)
-        for begin in range(end - 1, -1, -1):
-            piece = data[begin:end]
-            token = v.ranks.get(piece)
-            if token is not None and v.apart(last[begin], token):
-                return token
-            if piece not in v.tails:
-                break
-        raise AssertionError("every prefix has a last token")
-
     def append(self, more: bytes) -> None:
         """The string goes on; what is stored stays."""
         self.data += more
-        for _ in more:
-            self.last.append(self._next())
+        self._extend(len(self.data))
+
+    def _extend(self, upto: int) -> None:
+        """The last tokens of the prefixes that have none yet, up to a length: of the tokens
+        that end there, shortest first, the one that stays apart from what stands before it."""
+        v, data, last = self.vocabulary, self.data, self.last
+        endings, known, most = v.endings, v.apart_of, v.beyond
+        if len(known) > MEMORY:
+            known.clear()
+        for end in range(len(last), upto + 1):
+            begin = end - 1
+            while True:
+                found = endings[data[begin:end]]
+                if found >= 0:
+                    token, left = found >> 1, last[begin]
+                    pair = left * most + token
+                    ok = known.get(pair)
+                    if ok is None:
+                        ok = known[pair] = v.apart(left, token)
+                    if ok:
+                        last.append(token)
+                        break
+                begin -= 1
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Put ``new`` in place of the bytes from ``start`` to ``end``; returns how many
@@ -145,9 +189,9 @@ class Prefixes:
         while len(self.last) <= len(self.data):
             at = len(self.last)
             if same >= self.vocabulary.longest:
-                self.last.extend(old[at - shift :])
+                self.last += old[at - shift :]
                 return at - 1 - start
-            self.last.append(self._next())
+            self._extend(at)
             same = same + 1 if at >= settled and self.last[at] == old[at - shift] else 0
         return len(self.data) - start
 
@@ -184,9 +228,8 @@ class Encoder:
         """The ids of pretokens one after the other, and how many each has."""
         if len(self.seen) > self.memory:
             self._forget()
-        for piece in dict.fromkeys(pieces):
-            if piece not in self.seen:
-                self._learn(piece)
+        for piece in set(pieces).difference(self.seen):
+            self._learn(piece)
         rows = np.fromiter(map(self.seen.__getitem__, pieces), np.int64, len(pieces))
         ends, flat = np.array(self.ends, np.int64), np.frombuffer(self.flat, np.int32) if self.flat else np.empty(0, np.int32)
         begins = ends[rows]

@@ -59,6 +59,29 @@ def test_every_token_and_random_pairs(encoder):
             assert prefix_bpe.Prefixes(v, data).tokens() == LIB._encode_single_piece(data)
 
 
+def test_neighbours_by_undoing_and_by_merging(encoder, tmp_path):
+    v = encoder.vocabulary
+    assert v.in_order
+    random.seed(4)
+    ids = list(v.bytes)
+    near = [(a, b) for a, b in ((random.choice(ids), random.choice(ids)) for _ in range(20000))]
+    for text in ODD:
+        got = encoder.encode(text).tolist()
+        near += zip(got, got[1:])
+    for a, b in near:
+        assert v.apart(a, b) == (v.merged(v.bytes[a] + v.bytes[b]) == [v.bytes[a], v.bytes[b]])
+    # a vocabulary out of order: "abc" is made through "bc", which ranks above it
+    ranks = {bytes([i]): i for i in range(256)} | {b"abc": 256, b"bc": 257, b"abcd": 258, b"cd": 259, b"xyz": 260}
+    path = tmp_path / "odd.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in ranks.items()))
+    odd = prefix_bpe.Encoder(str(path))
+    lib = tiktoken.Encoding("odd", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert not odd.vocabulary.in_order
+    for _ in range(500):
+        text = "".join(random.choice("abcdxyz ") for _ in range(random.randint(0, 12)))
+        assert odd.encode(text).tolist() == lib.encode_ordinary(text)
+
+
 def test_appends_and_edits(encoder):
     v = encoder.vocabulary
     random.seed(2)
