@@ -139,10 +139,15 @@ def _aggregate(fn: str, expr: Column, mask: Column | None, dtype: T.DataType) ->
         raise FormulaError(f"{fn} needs a numeric column")
     if isinstance(dtype, T.BooleanType):
         expr = expr.cast("long")
+    if isinstance(dtype, T.DecimalType) and fn in {"mean", "median", "std", "var", "std_pop", "var_pop"}:
+        expr = expr.cast("double")
     x = expr if mask is None else F.when(mask, expr)
     if fn == "sum":
         if isinstance(dtype, T.IntegralType):
             x = x.cast("decimal(19,0)")  # no total overflows
+        if isinstance(dtype, T.DecimalType):
+            # a total beyond 38 digits goes on as a double
+            return F.coalesce(F.try_sum(x).cast("double"), F.sum(x.cast("double")), F.lit(0.0))
         return F.coalesce(F.sum(x), F.lit(0))
     if fn == "mean":
         return F.avg(x)
@@ -188,6 +193,31 @@ def _fold(op, a, b):
         raise FormulaError("division by zero in a literal") from e
 
 
+#: Decimal digits that hold any value of a whole-number type.
+_WHOLE_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19, T.BooleanType: 1}
+
+
+def _digits(dtype: T.DataType) -> int | None:
+    """The decimal digits of a whole number type, None for others."""
+    if isinstance(dtype, T.DecimalType):
+        return dtype.precision if dtype.scale == 0 else None
+    return _WHOLE_DIGITS.get(type(dtype))
+
+
+def _arith(op, a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> tuple[Column, T.DataType]:
+    """Row arithmetic and its type. Whole numbers add and multiply as decimals wide enough for
+    any result, beyond 38 digits as doubles; everything else as doubles."""
+    da, db = _digits(ta), _digits(tb)
+    if da and db and isinstance(op, (ast.Add, ast.Sub, ast.Mult)):
+        digits = da + db if isinstance(op, ast.Mult) else max(da, db) + 1
+        if digits <= 38:
+            x, y = ((c.cast("int") if isinstance(t, T.BooleanType) else c).cast(f"decimal({d},0)") for c, t, d in ((a, ta, da), (b, tb, db)))
+            wide = T.DecimalType(digits, 0)
+            return _Compiler.arith(op, x, y).cast(wide), wide
+    x, y = ((c.cast("int") if isinstance(t, T.BooleanType) else c).cast("double") for c, t in ((a, ta), (b, tb)))
+    return _Compiler.arith(op, x, y), T.DoubleType()
+
+
 def _row_count(mask: Column | None) -> Column:
     return F.count(F.lit(1)) if mask is None else F.count_if(mask)
 
@@ -216,8 +246,11 @@ class _Compiler:
         if isinstance(v, _Const):
             if isinstance(v.value, bool):
                 return F.lit(v.value), T.BooleanType()
+            if isinstance(v.value, int) and len(str(abs(v.value))) <= 38:
+                digits = len(str(abs(v.value)))
+                return F.lit(str(v.value)).cast(f"decimal({digits},0)"), T.DecimalType(digits, 0)
             if isinstance(v.value, (int, float)):
-                return F.lit(v.value), T.DoubleType()
+                return F.lit(float(v.value)), T.DoubleType()
             return F.lit(v.value), T.StringType()
         raise FormulaError("expected a column or a constant")
 
@@ -297,7 +330,8 @@ class _Compiler:
             if isinstance(v, _Const) and isinstance(v.value, (int, float)):
                 return _Const(-v.value)
             if isinstance(v, _Series):
-                return _Series(-v.expr, v.mask, v.dtype)
+                expr, dtype = _arith(ast.Sub(), F.lit(0), T.IntegerType(), v.expr, v.dtype)
+                return _Series(expr, v.mask, dtype)
             if isinstance(v, _Agg):
                 return _Agg(-v.expr)
         if isinstance(node.op, (ast.Invert, ast.Not)) and isinstance(v, _Series):
@@ -373,10 +407,10 @@ class _Compiler:
                     raise FormulaError("arithmetic needs numeric columns")
             mask = _and(left.mask if isinstance(left, _Series) else None,
                         right.mask if isinstance(right, _Series) else None)
-            return _Series(self.arith(op, a, b), mask, T.DoubleType())
+            expr, dtype = _arith(op, a, ta, b, tb)
+            return _Series(expr, mask, dtype)
         if isinstance(left, (_Agg, _Const)) and isinstance(right, (_Agg, _Const)):
-            a = left.expr if isinstance(left, _Agg) else F.lit(left.value)
-            b = right.expr if isinstance(right, _Agg) else F.lit(right.value)
+            a, b = ((v.expr if isinstance(v, _Agg) else F.lit(v.value)).cast("double") for v in (left, right))
             return _Agg(self.arith(op, a, b))
         raise FormulaError("unsupported arithmetic")
 

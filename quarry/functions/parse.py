@@ -97,13 +97,17 @@ def number_text(col) -> Column:
     return F.translate(_c(col), NUMERIC_NOISE + " ", "")
 
 
-_NUMBER_CHARS = "0123456789+-.eE"
-_INTEGER_CHARS = "0123456789+-"
+_DIGITS = "0123456789"
+_SIGNS = ("", "+", "-")
+#: What is left of a plain decimal number without digits and points.
+_NUMBER_REST = [a + b for a in _SIGNS for b in ("", *(e + s for e in "eE" for s in _SIGNS))]
 
 
-def _only(n: Column, chars: str) -> Column:
-    """Non-empty and made only of ``chars`` (a character mapping, no pattern match)."""
-    return (F.length(n) > 0) & (F.length(F.translate(n, chars, "")) == 0)
+def _whole(n: Column) -> Column:
+    """Digits with at most a sign in front. Tested on what is left without the digits, so that
+    texts such as ``05-01-2024`` do not get as far as a cast that fails by exception."""
+    rest = F.translate(n, _DIGITS, "")
+    return (F.length(n) > F.length(rest)) & ((rest == "") | (rest.isin("+", "-") & F.startswith(n, rest)))
 
 
 def is_number_text(col) -> Column:
@@ -111,24 +115,24 @@ def is_number_text(col) -> Column:
     and exponent characters, arranged so that a double cast succeeds. Suffixes such as
     ``5d`` / ``3f``, ``inf`` / ``NaN`` and hex forms are excluded by the character set."""
     n = number_text(col)
-    return _only(n, _NUMBER_CHARS) & n.try_cast("double").isNotNull()
+    return (F.length(n) > 0) & F.translate(n, _DIGITS + ".", "").isin(_NUMBER_REST) & n.try_cast("double").isNotNull()
 
 
 def is_integer_text(col) -> Column:
     """A whole number that fits a long."""
     n = number_text(col)
-    return _only(n, _INTEGER_CHARS) & n.try_cast("long").isNotNull()
+    return _whole(n) & n.try_cast("long").isNotNull()
 
 
 def is_wide_integer_text(col) -> Column:
     """A whole number of any size up to 38 digits."""
     n = number_text(col)
-    return _only(n, _INTEGER_CHARS) & n.try_cast("decimal(38,0)").isNotNull()
+    return _whole(n) & n.try_cast("decimal(38,0)").isNotNull()
 
 
 def is_whole_text(col) -> Column:
-    """Nothing but digits and signs, however many: as a double it might lose digits."""
-    return _only(number_text(col), _INTEGER_CHARS)
+    """A whole number, however long: as a double it might lose digits."""
+    return _whole(number_text(col))
 
 
 def parse_number(col, integral: bool = False, wide: bool = False) -> Column:
@@ -145,4 +149,4 @@ def parse_number(col, integral: bool = False, wide: bool = False) -> Column:
 def lenient_double(col) -> Column:
     """The value as a double the way a plain numeric cast reads it; NULL when it is not one."""
     t = F.trim(_c(col))
-    return F.when(_only(t, _NUMBER_CHARS), t.try_cast("double"))
+    return F.when((F.length(t) > 0) & F.translate(t, _DIGITS + ".", "").isin(_NUMBER_REST), t.try_cast("double"))

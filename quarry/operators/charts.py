@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.missing import without_nan
-from quarry.functions.parse import parse_datetime
+from quarry.functions.dates import date_column
 
 HIST_BINS = 20
 
@@ -38,7 +38,7 @@ def _as_time(df: DataFrame, x: str) -> Column:
     """A datetime view of ``x``: typed columns as they are, text parsed leniently."""
     dt = df.schema[x].dataType
     if isinstance(dt, T.StringType):
-        return parse_datetime(_q(x))
+        return date_column(df, x)
     return _q(x)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.dates import Formats, column_formats, maybe_date, parsed, shape, with_dates
 from quarry.functions.parse import (
     is_integer_text,
     is_number_text,
@@ -39,9 +40,16 @@ def evidence(df: DataFrame, items: list[Column]) -> dict:
     return out
 
 
-def promotion_plan(df: DataFrame, dayfirst: bool = False, lenient: float | None = None, failures: dict[str, int] | None = None) -> dict[str, str]:
+class Promotion(dict):
+    """Target type per text column; ``formats`` says how the dates among them are written."""
+
+    formats: dict[str, Formats]
+
+
+def promotion_plan(df: DataFrame, dayfirst: bool | None = None, lenient: float | None = None, failures: dict[str, int] | None = None) -> Promotion:
     """Target type per text column: ``boolean``, ``timestamp_ntz``, ``long``, ``decimal(38,0)``,
-    ``double`` or ``string`` (unchanged). One aggregate over the text columns.
+    ``double`` or ``string`` (unchanged). One aggregate over the text columns, and two more jobs
+    over those whose every value may be a date.
 
     A column is promoted only when *every* non-NULL value passes: ``true``/``false``
     words (as the pandas reader) -> boolean; a valid date in an accepted shape -> timestamp;
@@ -50,12 +58,16 @@ def promotion_plan(df: DataFrame, dayfirst: bool = False, lenient: float | None
     or stands among fractions without fitting a long, else double. Everything else stays
     text, untouched.
 
+    Whether the day or the month comes first is decided for each column by the values that
+    are valid dates in each order (a tie is month first); ``dayfirst`` settles it for all.
     ``lenient`` is the share of a column's values that must be dates for the rest to become
     NULL; ``failures`` then receives how many that were, per column.
     """
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    out = Promotion()
+    out.formats = {}
     if not text:
-        return {}
+        return out
     exprs = []
     for i, n in enumerate(text):
         c = _q(n)
@@ -63,16 +75,18 @@ def promotion_plan(df: DataFrame, dayfirst: bool = False, lenient: float | None
         exprs += [
             F.count(c).alias(f"c{i}"),
             F.bool_and(F.when(nn, c.isin("True", "TRUE", "true", "False", "FALSE", "false"))).alias(f"b{i}"),
-            F.count_if(parse_datetime(c, dayfirst).isNotNull()).alias(f"d{i}"),
+            F.count_if(maybe_date(c)).alias(f"d{i}"),
             F.bool_and(F.when(nn, is_number_text(c))).alias(f"n{i}"),
             F.bool_and(F.when(nn, is_integer_text(c))).alias(f"i{i}"),
             F.bool_and(F.when(nn, is_wide_integer_text(c))).alias(f"w{i}"),
             F.bool_or(F.when(nn, is_whole_text(c) & ~is_integer_text(c))).alias(f"x{i}"),
         ]
     r = evidence(df, exprs)
-    out = {}
+    share = 1.0 if lenient is None else min(lenient, 1.0)
+    maybe = [n for i, n in enumerate(text) if r[f"d{i}"] and r[f"d{i}"] >= share * r[f"c{i}"]]
+    formats = column_formats(df, maybe, dayfirst)
     for i, n in enumerate(text):
-        count, dates = r[f"c{i}"], r[f"d{i}"]
+        count, dates = r[f"c{i}"], formats[n].valid if n in formats else 0
         if r[f"b{i}"]:
             out[n] = "boolean"
         elif count and dates == count:
@@ -89,23 +103,27 @@ def promotion_plan(df: DataFrame, dayfirst: bool = False, lenient: float | None
                 failures[n] = count - dates
         else:
             out[n] = "string"
+        if out[n] == "timestamp_ntz":
+            out.formats[n] = formats[n]
     return out
 
 
-def apply_promotion(df: DataFrame, plan: dict[str, str], dayfirst: bool = False) -> DataFrame:
-    """One projection applying the decided types."""
+def apply_promotion(df: DataFrame, plan: dict[str, str], dayfirst: bool | None = None) -> DataFrame:
+    """The decided types. Dates whose formats the plan holds go by them, others by the
+    general parser."""
+    formats = getattr(plan, "formats", {})
     typed = {
-        "boolean": lambda c: F.lower(c) == F.lit("true"),
-        "timestamp_ntz": lambda c: parse_datetime(c, dayfirst),
-        "long": lambda c: parse_number(c, integral=True),
-        "decimal(38,0)": lambda c: parse_number(c, wide=True),
-        "double": parse_number,
-        "string": lambda c: c,
+        "boolean": lambda n: F.lower(_q(n)) == F.lit("true"),
+        "timestamp_ntz": lambda n: _q(n) if n in formats else parse_datetime(_q(n), bool(dayfirst)),
+        "long": lambda n: parse_number(_q(n), integral=True),
+        "decimal(38,0)": lambda n: parse_number(_q(n), wide=True),
+        "double": lambda n: parse_number(_q(n)),
+        "string": _q,
     }
-    return df.select(*(typed[plan.get(n, "string")](_q(n)).alias(n) for n in df.columns))
+    return with_dates(df.select(*(typed[plan.get(n, "string")](n).alias(n) for n in df.columns)), formats)
 
 
-def promote_types(df: DataFrame, dayfirst: bool = False, lenient: float | None = None, failures: dict[str, int] | None = None) -> tuple[DataFrame, dict[str, str]]:
+def promote_types(df: DataFrame, dayfirst: bool | None = None, lenient: float | None = None, failures: dict[str, int] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """P2 + P3: evidence, then casts. Returns the typed frame and the decisions."""
     plan = promotion_plan(df, dayfirst, lenient, failures)
     return apply_promotion(df, plan, dayfirst), plan
@@ -140,7 +158,8 @@ def display_prep(df: DataFrame) -> DataFrame:
     * finally columns NULL everywhere are dropped; after the steps above only non-text
       columns can still be, so an all-missing text column stays as ``''``.
 
-    The majority and emptiness tests are one aggregate.
+    The majority and emptiness tests are one aggregate; the formats of the dates are looked up
+    as in :mod:`quarry.functions.dates`.
     """
     fields = df.schema.fields
 
@@ -164,6 +183,7 @@ def display_prep(df: DataFrame) -> DataFrame:
         *(F.count(_q(n)).alias(f"o{i}") for i, n in enumerate(others)),
     ])
     rows = r["rows"]
+    dates = column_formats(df, [f.name for f in fields if is_text(f) and date_named(f)])
     numeric_major = {n for i, n in enumerate(text_plain) if r[f"n{i}"] > rows * 0.5}
     empty = {n for i, n in enumerate(others) if r[f"o{i}"] == 0}
     cols = []
@@ -172,7 +192,7 @@ def display_prep(df: DataFrame) -> DataFrame:
         if f.name in empty:
             continue
         if is_text(f) and date_named(f):
-            e = F.coalesce(F.date_format(parse_datetime(c), "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+            e = F.coalesce(F.date_format(parsed(c, shape(c), dates[f.name]), "yyyy-MM-dd HH:mm:ss"), F.lit(""))
         elif is_text(f):
             e = F.coalesce(lenient_double(blank(c)), F.lit(0.0)) if f.name in numeric_major else blank(c)
         elif is_time(f):

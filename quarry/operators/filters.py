@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from quarry.functions.names import resolve_column
-from quarry.functions.parse import parse_datetime
+from quarry.functions.dates import date_column
 from quarry.operators.quantiles import exact_quantiles
 
 DATE_DEFAULT_DAYS = 90
@@ -52,7 +52,7 @@ class FilterState:
 def time_view(df: DataFrame, column: str) -> Column:
     """Datetime view of a column: text parsed leniently, typed columns as they are."""
     if isinstance(df.schema[column].dataType, T.StringType):
-        return parse_datetime(_q(column))
+        return date_column(df, column)
     return _q(column)
 
 

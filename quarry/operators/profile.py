@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.missing import without_nan
-from quarry.functions.parse import datetime_shape, is_integer_text, is_number_text, parse_datetime
+from quarry.functions.dates import column_formats, maybe_date
+from quarry.functions.parse import is_integer_text, is_number_text
 from quarry.functions.tokens import BOOLEAN_WORDS, CARDINALITY_LOW_MAX, CARDINALITY_MEDIUM_MAX
 from quarry.session import spread
 
@@ -117,7 +118,7 @@ def evidence_exprs(i: int, name: str, dt: T.DataType, text_tests: bool = True) -
                 (1, F.bool_and(F.when(nn, idx > 0)).alias(f"e{i}_allword")),
                 # one bit per boolean word seen: the distinct-word count without a set
                 (1, F.bit_or(F.when(idx > 0, F.pow(F.lit(2), idx - 1).cast("long"))).alias(f"e{i}_words")),
-                (1, F.bool_and(F.when(nn, datetime_shape(t) & parse_datetime(t).isNotNull())).alias(f"e{i}_date")),
+                (1, F.bool_and(F.when(nn, maybe_date(t))).alias(f"e{i}_maybe")),
                 (1, F.bool_and(F.when(nn, is_number_text(t))).alias(f"e{i}_num")),
                 (1, F.bool_and(F.when(nn, is_integer_text(t))).alias(f"e{i}_int")),
                 (1, F.bool_and(F.when(nn, t.isin("True", "TRUE", "true", "False", "FALSE", "false"))).alias(f"e{i}_tf")),
@@ -139,7 +140,8 @@ def _budgeted(items: list[tuple[int, Column]], budget: int = FIELD_BUDGET) -> li
 
 def column_evidence(df: DataFrame, text_tests: bool = True, extra: list[tuple[int, Column]] | None = None
                     ) -> tuple[int, list[dict]]:
-    """Job 1: ``(rows, [facts per column])`` from field-budgeted aggregates over all columns."""
+    """Job 1: ``(rows, [facts per column])`` from field-budgeted aggregates over all columns;
+    text columns whose every value may be a date get the two jobs that tell."""
     items: list[tuple[int, Column]] = [(1, F.count(F.lit(1)).alias("rows"))]
     for i, f in enumerate(df.schema.fields):
         items += evidence_exprs(i, f.name, f.dataType, text_tests)
@@ -157,6 +159,9 @@ def column_evidence(df: DataFrame, text_tests: bool = True, extra: list[tuple[in
         if "words" in d:
             d["nword"] = bin(d["words"] or 0).count("1")
         facts.append(d)
+    formats = column_formats(df, [d["name"] for d in facts if d.get("maybe")])
+    for d in facts:
+        d["date"] = d["name"] in formats and formats[d["name"]].valid == d["nn"]
     return row["rows"], facts
 
 

@@ -360,6 +360,16 @@ ORACLES: dict[str, str] = {
         from lineitem group by 1""",
     "kpi_sum_wide": """select 'Big' as name, cast(sum(cast(l_partkey as hugeint) + 4000000000000000000) as double) as value,
         'ok' as status from lineitem""",
+    "kpi_product_wide": """with li as (select cast(l_partkey as hugeint) + 4000000000000000000 as big, l_linenumber as n from lineitem),
+        p as (select cast(1900000000 + p_partkey % 100000000 as hugeint) as wide, cast(p_size * 1000000 as hugeint) as size from part)
+        select name, printf('%.6e', value) as value, 'ok' as status from (
+        select '(df[''big''] + df[''big'']).sum()' as name, cast(sum(big + big) as double) as value from li
+        union all select '(df[''big''] * df[''l_linenumber'']).max()', cast(max(big * n) as double) from li
+        union all select '(df[''big''] * df[''big'']).mean()', avg(cast(big as double) * big) from li
+        union all select '(df[''big''] * df[''big'']).sum()', sum(cast(big as double) * big) from li
+        union all select '(df[''wide''] * df[''size'']).sum()', cast(sum(wide * size) as double) from p
+        union all select '(df[''wide''] * 1000 - df[''size''] * df[''wide''] * 7).min()', cast(min(wide * 1000 - size * wide * 7) as double) from p
+        union all select '(-df[''wide''] * df[''wide'']).mean()', avg(cast(-wide * wide as double)) from p)""",
     "kpi_nested": """select 1 as rank, 'Mean per customer' as name, round((select avg(s) from
           (select sum(o_totalprice) as s from orders where o_custkey is not null group by o_custkey)), 2) as value, 'ok' as status
         union all select 2, 'Largest status', (select max(n) from (select count(*) as n from orders
@@ -374,7 +384,7 @@ ORACLES: dict[str, str] = {
         union all select 7, round_even(avg(o_totalprice), 1) from orders
         union all select 8, min(coalesce(o_totalprice, 0)) from orders)""",
     "derived_int_product": """select p_partkey,
-        cast(cast(p_partkey * 1000000 as hugeint) * (p_size * 1000000) as varchar) as total_sales from part""",
+        cast(cast(1900000000 + p_partkey % 100000000 as hugeint) * (p_size * 1000000) as varchar) as total_sales from part""",
     "plan_text_numbers": """select 'Total' as name, null as x, round(sum(o_totalprice), 2) as y from orders
         union all (select 'By priority', o_orderpriority, round(sum(o_totalprice), 2) from orders group by 2)""",
     "profile_nan": profile_sql("(select event_id, ts, user_id, event_type, case when event_id % 7 = 0 then null else value end as value, props from events)", EVENTS_COLS),
@@ -391,6 +401,7 @@ ORACLES: dict[str, str] = {
         select * from e where value between (select quantile_cont(value, 0.01) from e) and (select quantile_cont(value, 0.99) from e)""",
     "promote_dates_forms": """select o_orderkey, o_orderdate as zulu, o_orderdate as "offset", o_orderdate as slashes, o_orderdate as dashes,
         o_orderdate as words, o_orderdate as day_first, o_orderdate as short, o_orderdate as noon from orders""",
+    "promote_dates_dayfirst": "select o_orderkey, o_orderdate as day, o_orderdate as timed, o_orderdate as month from orders",
     "promote_dates_lenient": """select o_orderkey, case when o_orderkey % 50 = 0 then null else o_orderdate end as d,
         (select count(*) from orders where o_orderkey % 50 = 0) as failures from orders""",
     "csv_latin1": r"""select doc_id, regexp_replace(text, '[\r\n]+', ' ', 'g') as text from documents

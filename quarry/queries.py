@@ -544,6 +544,17 @@ def kpi_sum_wide(spark, d):
     return scal.select("name", "value", "status")
 
 
+def kpi_product_wide(spark, d):
+    """Row arithmetic on whole numbers whose results need more than an int, more than a long."""
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") + F.lit(_BIG)).alias("big"))
+    part = _t(spark, d, "part").select("p_partkey", (F.col("p_size") * 1000000).cast("int").alias("size"), (1_900_000_000 + F.col("p_partkey") % 100_000_000).cast("int").alias("wide"))
+    specs = lambda forms: [{"name": f, "formula": f, "importance": 9 - i} for i, f in enumerate(forms)]
+    a, _ = kpis(li, specs(["(df['big'] + df['big']).sum()", "(df['big'] * df['l_linenumber']).max()", "(df['big'] * df['big']).mean()", "(df['big'] * df['big']).sum()"]))
+    b, _ = kpis(part, specs(["(df['wide'] * df['size']).sum()", "(df['wide'] * 1000 - df['size'] * df['wide'] * 7).min()", "(-df['wide'] * df['wide']).mean()"]))
+    # totals beyond a double's digits: compared as 7 significant ones
+    return a.unionByName(b).select("name", F.format_string("%.6e", "value").alias("value"), "status")
+
+
 def kpi_nested(spark, d):
     """Reductions of grouped results."""
     o = _t(spark, d, "orders")
@@ -567,7 +578,9 @@ def kpi_masks(spark, d):
 
 
 def derived_int_product(spark, d):
-    p = _t(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 1000000).cast("int").alias("quantity"), (F.col("p_size") * 1000000).cast("int").alias("unitprice"))
+    """P10 over int columns whose products need a long, at any scale."""
+    wide = 1_900_000_000 + F.col("p_partkey") % 100_000_000
+    p = _t(spark, d, "part").select("p_partkey", wide.cast("int").alias("quantity"), (F.col("p_size") * 1000000).cast("int").alias("unitprice"))
     return convention_columns(p).select("p_partkey", F.col("total_sales").cast("string").alias("total_sales"))
 
 
@@ -621,6 +634,13 @@ def promote_dates_forms(spark, d):
     return CL.promote_types(src)[0]
 
 
+def promote_dates_dayfirst(spark, d):
+    """P2 where the day comes first, which only the whole column shows."""
+    o, t = _t(spark, d, "orders"), F.col("o_orderdate").cast("timestamp_ntz")
+    src = o.select("o_orderkey", F.date_format(t, "dd/MM/yyyy").alias("day"), F.date_format(t, "d-M-yyyy HH:mm").alias("timed"), F.date_format(t, "MM/dd/yyyy").alias("month"))
+    return CL.promote_types(src)[0]
+
+
 def promote_dates_lenient(spark, d):
     """P2 with a few values that are no dates: they become NULL and are counted."""
     o = _t(spark, d, "orders")
@@ -731,6 +751,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_tokens": csv_tokens,
     "bar_sum_wide": bar_sum_wide,
     "kpi_sum_wide": kpi_sum_wide,
+    "kpi_product_wide": kpi_product_wide,
     "kpi_nested": kpi_nested,
     "kpi_masks": kpi_masks,
     "derived_int_product": derived_int_product,
@@ -740,6 +761,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "histogram_nan": histogram_nan,
     "filter_range_nan": filter_range_nan,
     "promote_dates_forms": promote_dates_forms,
+    "promote_dates_dayfirst": promote_dates_dayfirst,
     "promote_dates_lenient": promote_dates_lenient,
     "reload_clean": reload_clean,
     "recommend_plan": recommend_plan_q,

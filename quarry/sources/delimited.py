@@ -234,7 +234,7 @@ def read_delimited(
     strict: bool = False,
     na_tokens: list[str] | None = None,
     promote: bool = True,
-    dayfirst: bool = False,
+    dayfirst: bool | None = None,
     multiline: bool = False,
     lenient: float | None = None,
 ) -> Ingested:
