@@ -92,7 +92,8 @@ LINEITEM_COLS = [("l_orderkey", "int"), ("l_partkey", "int"), ("l_suppkey", "int
 DOCUMENTS_COLS = [("doc_id", "int"), ("text", "text"), ("lang", "text"), ("source", "text"), ("n_chars", "int")]
 CONVERSATIONS_COLS = [("conv_id", "int"), ("turn", "int"), ("role", "text"), ("text", "text")]
 PAGES_COLS = [("page_id", "int"), ("url", "text"), ("html", "text")]
-NATION_COLS = [("n_nationkey", "int"), ("n_name", "text"), ("n_regionkey", "int")]
+CUSTOMER_COLS = [("c_custkey", "int"), ("c_name", "text"), ("c_nationkey", "int"), ("c_acctbal", "float"), ("c_mktsegment", "text")]
+ORDERS_COLS = [("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderstatus", "text"), ("o_totalprice", "float"), ("o_orderdate", "time"), ("o_orderpriority", "text")]
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                     "l_discount", "l_tax"]
 
@@ -210,37 +211,30 @@ from {f} t
 """
 
 
-_RECOMMENDED = [
-    ("kpis", 1, "Total Event_Id", "kpi", None, None, "df['event_id'].sum()", 10),
-    ("kpis", 2, "Average User_Id", "kpi", None, None, "df['user_id'].mean()", 8),
-    ("charts", 1, "Event_Id Trend", "time_series", "ts", "event_id", None, 10),
-    ("charts", 2, "Event_Id by Event_Type", "bar", "event_type", "event_id", None, 9),
-    ("charts", 3, "Event_Id Distribution", "histogram", "event_id", None, None, 7),
-    ("charts", 4, "Event_Id vs User_Id", "scatter", "event_id", "user_id", None, 6),
-    ("filters", 1, "Ts Filter", "date", "ts", None, None, 10),
-    ("filters", 2, "Event_Type Filter", "multiselect", "event_type", None, None, 8),
-]
-
-
-def _lit(v) -> str:
-    if v is None:
-        return "null"
-    if isinstance(v, int):
-        return str(v)
-    return "'" + str(v).replace("'", "''") + "'"
-
-
-def _recommend_sql() -> str:
-    rows = []
-    for r in _RECOMMENDED:
-        sec, rank, name, typ, x, y, formula, imp = r
-        rows.append(
-            f"select {_lit(sec)} as section, {rank} as rank, {_lit(name)} as name, {_lit(typ)} as type, "
-            f"cast({_lit(x)} as varchar) as x_column, cast({_lit(y)} as varchar) as y_column, "
-            f"cast({_lit(formula)} as varchar) as formula, {imp} as importance "
-            f"from (select count(*) from events) e"
-        )
-    return "\nunion all\n".join(rows)
+def _recommend_sql(table: str, cols: list[tuple[str, str]]) -> str:
+    """U3 from the profile's types: the first columns of each role fill the items that need them."""
+    title = "array_to_string(list_transform(string_split({0}, '_'), lambda w: upper(w[1]) || lower(w[2:])), '_')"
+    n0, n1, d0, c0 = title.format("n[1]"), title.format("n[2]"), title.format("d[1]"), title.format("c[1]")
+    items = [
+        ("kpis", "len(n) > 0", f"'Total ' || {n0}", "kpi", "null", "null", "'df[''' || n[1] || '''].sum()'", 10),
+        ("kpis", "len(n) > 1", f"'Average ' || {n1}", "kpi", "null", "null", "'df[''' || n[2] || '''].mean()'", 8),
+        ("charts", "len(d) > 0 and len(n) > 0", f"{n0} || ' Trend'", "time_series", "d[1]", "n[1]", "null", 10),
+        ("charts", "len(c) > 0 and len(n) > 0", f"{n0} || ' by ' || {c0}", "bar", "c[1]", "n[1]", "null", 9),
+        ("charts", "len(n) > 0", f"{n0} || ' Distribution'", "histogram", "n[1]", "null", "null", 7),
+        ("charts", "len(n) > 1", f"{n0} || ' vs ' || {n1}", "scatter", "n[1]", "n[2]", "null", 6),
+        ("filters", "len(d) > 0", f"{d0} || ' Filter'", "date", "d[1]", "null", "null", 10),
+        ("filters", "len(c) > 0", f"{c0} || ' Filter'", "multiselect", "c[1]", "null", "null", 8),
+    ]
+    rows = "\nunion all\n".join(
+        f"select '{sec}' as section, {name} as name, '{typ}' as type, cast({x} as varchar) as x_column, cast({y} as varchar) as y_column, "
+        f"cast({formula} as varchar) as formula, {imp} as importance from slots where {needs}"
+        for sec, needs, name, typ, x, y, formula, imp in items
+    )
+    return f"""with prof as ({profile_sql(table, cols)}),
+slots as (select list(name order by position) filter (type in ('integer', 'float', 'numeric_string')) as n,
+  list(name order by position) filter (type = 'datetime') as d, list(name order by position) filter (type = 'categorical') as c from prof),
+items as ({rows})
+select *, cast(row_number() over (partition by section order by importance desc) as integer) as rank from items"""
 
 
 ORACLES: dict[str, str] = {
@@ -312,10 +306,12 @@ ORACLES: dict[str, str] = {
         round(median(c_acctbal), 6) as value from customer
         where c_mktsegment is not null and c_acctbal is not null group by c_mktsegment""",
     "kpi_formatted": _kpi_formatted_sql(),
-    "plan_kpis": """select 1 as rank, 'Total Sales' as name, round(sum(o_totalprice), 2) as value, 'ok' as status
+    "plan_kpis": """select 1 as rank, 'Total Sales' as name, null as key, round(sum(o_totalprice), 2) as value, 'ok' as status
         from orders
-        union all select 2, 'Average Order Value', round(avg(o_totalprice), 2), 'ok' from orders
-        union all select 3, 'Sales by Status', cast(null as double), 'grouped'""",
+        union all select 2, 'Average Order Value', null, round(avg(o_totalprice), 2), 'ok' from orders
+        union all select 3, 'Sales by Status', null, cast(null as double), 'grouped'
+        union all (select null, 'Sales by Status', o_orderstatus, round(sum(o_totalprice), 2), 'group' from orders
+          where o_orderstatus is not null group by o_orderstatus)""",
     "derived_convention": """select l_orderkey, l_linenumber, l_quantity as quantity, l_extendedprice as unitprice,
         round(l_quantity * l_extendedprice, 2) as total_sales, round(l_quantity * l_extendedprice, 2) as revenue
         from lineitem""",
@@ -345,15 +341,20 @@ ORACLES: dict[str, str] = {
     "csv_documents": "select * from documents",
     "csv_long_ids": """select o_orderkey + 1234567890123456789 as id,
         cast(o_orderkey + 1234567890123456789000 as decimal(38, 0)) as wide from orders""",
-    "csv_many_headers": """select case when n_nationkey = 10 then 'key' else cast(n_nationkey as varchar) end as key,
-        case when n_nationkey = 10 then 'name' else n_name end as name from nation""",
+    "csv_many_headers": """select case when c_custkey = 10 then 'key' else cast(c_custkey as varchar) end as key,
+        case when c_custkey = 10 then 'name' else c_name end as name from customer""",
+    "csv_reject_lines": """select part, line_number, expected, found from (
+        select event_id, event_id % 8 as part, row_number() over (partition by event_id % 8 order by event_id) + 1 as line_number,
+          6 as expected, case event_id % 100 when 0 then 7 when 1 then 2 else 6 end as found from events)
+        where event_id % 100 < 2""",
+    "csv_headers_by_name": """select o_orderkey, o_orderstatus, o_totalprice, o_orderdate,
+        case when o_orderkey % 2 = 1 then o_custkey end as o_custkey from orders""",
+    "csv_line_breaks": r"""select cast(doc_id as varchar) as doc_id, text, lang, source, cast(n_chars as varchar) as n_chars,
+        (select coalesce(sum(length(text) - length(replace(text, chr(10), '')) + 1), 0)::bigint from documents where contains(text, chr(10))) as rejected
+        from documents where not coalesce(contains(text, chr(10)), false)""",
     "csv_tokens": """select c_custkey, case when c_custkey % 2 = 0 then null else c_mktsegment end as c_mktsegment
         from customer""",
-    "plan_roundtrip": """select 'kpis' as section, 1 as rank, 'Total N_Nationkey' as name, 'kpi' as type, null as x_column, null as y_column,
-          'df[''n_nationkey''].sum()' as formula, 10 as importance
-        union all select 'kpis', 2, 'Average N_Regionkey', 'kpi', null, null, 'df[''n_regionkey''].mean()', 8
-        union all select 'charts', 1, 'N_Nationkey Distribution', 'histogram', 'n_nationkey', null, null, 7
-        union all select 'charts', 2, 'N_Nationkey vs N_Regionkey', 'scatter', 'n_nationkey', 'n_regionkey', null, 6""",
+    "plan_roundtrip": _recommend_sql("orders", ORDERS_COLS),
     "metadata_roundtrip": """select ',' as delimiter, 'utf-8' as encoding, count_if(event_id % 100 <> 0) as rows,
         cast(6 as bigint) as columns, count_if(event_id % 100 = 0) as rejects from events""",
     "bar_sum_wide": """select l_returnflag as x, cast(sum(cast(l_partkey as hugeint) + 4000000000000000000) as varchar) as y
@@ -404,10 +405,9 @@ ORACLES: dict[str, str] = {
     "promote_dates_dayfirst": "select o_orderkey, o_orderdate as day, o_orderdate as timed, o_orderdate as month from orders",
     "promote_dates_lenient": """select o_orderkey, case when o_orderkey % 50 = 0 then null else o_orderdate end as d,
         (select count(*) from orders where o_orderkey % 50 = 0) as failures from orders""",
-    "csv_latin1": r"""select doc_id, regexp_replace(text, '[\r\n]+', ' ', 'g') as text from documents
-        where not regexp_matches(text, '[^\x{0000}-\x{00FF}]')""",
-    "normalize_names": """select n_nationkey as nnationkey, n_name as nname, n_regionkey as nregionkey
-        from nation""",
+    "csv_latin1": "select doc_id, text from documents",
+    "normalize_names": """select c_custkey as ccustkey, c_name as cname, c_nationkey as cnationkey, c_acctbal as cacctbal,
+        c_mktsegment as cmktsegment from customer""",
     "promote_dates": "select o_orderkey, o_orderdate from orders",
     "promote_numbers": """select c_custkey, case when c_custkey % 10 = 0 then null else c_acctbal end as c_acctbal,
         cast(c_nationkey as bigint) as c_nationkey, c_name from customer""",
@@ -427,8 +427,8 @@ ORACLES: dict[str, str] = {
         l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate
         from lineitem where l_returnflag = 'R'""",
     "empty_input": "select 0::bigint as rows, count(*) as kept from customer where c_acctbal > 1e12",
-    "spec_roundtrip": profile_sql("nation", NATION_COLS),
+    "spec_roundtrip": profile_sql("customer", CUSTOMER_COLS),
     "reload_clean": "select * from orders",
-    "recommend_plan": _recommend_sql(),
+    "recommend_plan": _recommend_sql("events", EVENTS_COLS),
     "auto_dashboard": _auto_dashboard_sql(),
 }

@@ -356,24 +356,57 @@ def csv_bad_rows(spark, d):
 
 
 def csv_rejects(spark, d):
-    return read_delimited(spark, _bad_rows_dir(spark, d), sep=",").rejects.drop("file")
+    return read_delimited(spark, _bad_rows_dir(spark, d), sep=",").rejects.drop("file", "line_number")
+
+
+def csv_reject_lines(spark, d):
+    """Where the rejected lines stand. Eight files of events, each in the order of its ids."""
+    ev = _t(spark, d, "events").withColumn("part", F.col("event_id") % 8)
+    k = F.col("event_id") % 100
+    line = F.when(k == 0, _event_line(F.lit("x"))).when(k == 1, F.concat_ws(",", "event_id", "user_id")).otherwise(_event_line())
+    path = scratch_dir(spark, "csv-reject-lines")
+    rows = ev.select("part", "event_id", line.alias(_EVENT_HEAD)).repartition("part").sortWithinPartitions("part", "event_id").drop("event_id")
+    w = rows.write.partitionBy("part").option("header", True).option("sep", "\u0001\u0002").option("quote", "").option("escape", "")
+    w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    rejects = read_delimited(spark, path, sep=",", strict=True, promote=False).rejects
+    return rejects.select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("long").alias("part"), "line_number", "expected", "found")
+
+
+def csv_headers_by_name(spark, d):
+    """Every other order in files whose columns stand in another order, with one more."""
+    o = _t(spark, d, "orders")
+    base, odd = scratch_dir(spark, "csv-headers-by-name"), F.col("o_orderkey") % 2 == 1
+    sinks.write_clean(o.where(~odd).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"), f"{base}/a", fmt="csv")
+    sinks.write_clean(o.where(odd).select("o_orderdate", "o_custkey", "o_totalprice", "o_orderkey", "o_orderstatus"), f"{base}/b", fmt="csv")
+    return read_delimited(spark, [f"{base}/a", f"{base}/b"]).df
+
+
+def csv_line_breaks(spark, d):
+    """Documents with line breaks in a file that is read by lines: no fragment of a text
+    is a row, and every line of it is among the rejects."""
+    path = scratch_dir(spark, "csv-line-breaks")
+    sinks.write_clean(_t(spark, d, "documents"), path, fmt="csv")
+    ing = read_delimited(spark, path, sep=",", promote=False)
+    rejected = ing.rejects.count()
+    return ing.df.withColumn("rejected", F.lit(rejected).cast("long"))
 
 
 def csv_latin1(spark, d):
-    docs = _t(spark, d, "documents")
-    one_line = F.regexp_replace("text", "[\\r\\n]+", " ")
-    latin = ~F.col("text").rlike("[^\\u0000-\\u00FF]")  # what ISO-8859-1 can hold
-    src = docs.where(latin).select("doc_id", one_line.alias("text"))
-    path = scratch_dir(spark, "csv-latin1")
-    (src.write.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
-    return read_delimited(spark, path, sep=",").df
+    """S3: whole documents, those that ISO-8859-1 can hold in files of that encoding, the others
+    in UTF-8 files beside them."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    latin = F.coalesce(~F.col("text").rlike("[^\\u0000-\\u00FF]"), F.lit(True))
+    base = scratch_dir(spark, "csv-latin1")
+    for name, part in (("ISO-8859-1", docs.where(latin)), ("UTF-8", docs.where(~latin))):
+        (part.write.option("header", True).option("encoding", name).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/{name}"))
+    return read_delimited(spark, [f"{base}/ISO-8859-1", f"{base}/UTF-8"], sep=",", multiline=True).df
 
 
 def normalize_names_q(spark, d):
-    n = _t(spark, d, "nation").toDF("N. NationKey ", " N. Name", "N. Region Key")
-    clean, _ = normalize_names(n.columns)
-    return n.toDF(*clean)
+    c = _t(spark, d, "customer").toDF("C. CustKey ", " C. Name", "C. Nation Key", "C Acct.Bal", "C. MktSegment")
+    clean, _ = normalize_names(c.columns)
+    return c.toDF(*clean)
 
 
 def promote_dates(spark, d):
@@ -452,16 +485,15 @@ def empty_input(spark, d):
 
 
 def spec_roundtrip(spark, d):
-    nation = _t(spark, d, "nation")
-    prof = P.profile(nation)
+    prof = P.profile(_t(spark, d, "customer"))
     base = scratch_dir(spark, "specs")
     sinks.write_profile(prof.df, f"{base}/profile")
     return _profile_out(P.Profile(prof.rows, prof.columns, sinks.read_profile(spark, f"{base}/profile")))
 
 
 def plan_roundtrip(spark, d):
-    """The recommended plan of nation, written and read back, as rows."""
-    prof = P.profile(_t(spark, d, "nation"))
+    """The recommended plan of orders, written and read back, as rows."""
+    prof = P.profile(_t(spark, d, "orders"))
     path = scratch_dir(spark, "plan")
     sinks.write_plan(spark, recommend_plan(prof.columns), path)
     return plan_frame(spark, sinks.read_plan(spark, path))
@@ -510,11 +542,12 @@ def csv_strict(spark, d):
 
 def csv_many_headers(spark, d):
     """Files that spell the header differently, and a row that equals one of them."""
-    n = _t(spark, d, "nation")
+    c = _t(spark, d, "customer")
     base = scratch_dir(spark, "csv-headers")
-    row = F.concat_ws(",", "n_nationkey", "n_name")
-    _raw_lines(n.where("n_nationkey < 10").select(row), "key,name", f"{base}/a")
-    _raw_lines(n.where("n_nationkey >= 10").select(F.when(F.col("n_nationkey") == 10, F.lit("key,name")).otherwise(row)), '"key","name"', f"{base}/b")
+    row = F.concat_ws(",", "c_custkey", "c_name")
+    odd = F.col("c_custkey") % 2 == 1
+    _raw_lines(c.where(~odd).select(F.when(F.col("c_custkey") == 10, F.lit("key,name")).otherwise(row)), "key,name", f"{base}/a")
+    _raw_lines(c.where(odd).select(row), '"key","name"', f"{base}/b")
     return read_delimited(spark, [f"{base}/a", f"{base}/b"], promote=False).df
 
 
@@ -686,7 +719,9 @@ def plan_kpis(spark, d):
         ]
     }
     db = run_plan(o, plan)
-    return db.kpis.select("rank", "name", _r2("value").alias("value"), "status")
+    one = db.kpis.select("rank", "name", F.lit(None).cast("string").alias("key"), _r2("value").alias("value"), "status")
+    groups = db.grouped_kpis.select(F.lit(None).cast("int").alias("rank"), "name", "key", _r2("value").alias("value"), F.lit("group").alias("status"))
+    return one.unionByName(groups)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -730,6 +765,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_roundtrip": csv_roundtrip,
     "csv_bad_rows": csv_bad_rows,
     "csv_rejects": csv_rejects,
+    "csv_reject_lines": csv_reject_lines,
+    "csv_headers_by_name": csv_headers_by_name,
+    "csv_line_breaks": csv_line_breaks,
     "csv_latin1": csv_latin1,
     "normalize_names": normalize_names_q,
     "promote_dates": promote_dates,

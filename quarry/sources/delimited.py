@@ -1,27 +1,28 @@
 """Delimited-text ingest (S1-S6, P1, P4): sniff, decode, shape-check, parse, type.
 
-The files are read as lines (splittable, so any number of tasks per file) with their bytes
-kept. Per file the first non-blank line is the header and goes by its position, whatever it
-holds. Per line:
+The files are read as lines (splittable, so any number of tasks per file). One scan finds what
+the lines depend on (:mod:`quarry.sources.records`): each file's header, which lines belong to
+quoted fields with line breaks, line numbers, lines that are not UTF-8. Then, per line:
 
 * bytes that are not valid UTF-8 are decoded as ISO-8859-1 (the reference's fallback
   chain ends in a one-byte code page; no character is dropped);
-* blank lines are removed;
+* blank lines are removed, and of each file its first other line, the header;
+* each file's fields go by its own header: columns of one name are one column, whatever
+  their place, and a column that a file lacks is NULL there;
 * the number of fields, with quotes counted as the parser does (a quote opens a field only
-  at the field's start), decides the row's fate: more fields than the header, or a quote
-  that is never closed -> the rejects table (pandas ``on_bad_lines='skip'``), with the
-  line's file; fewer -> kept and padded with NULL (``strict=True`` rejects those too, the
-  reference's repair reader);
-* ``from_csv`` splits the kept lines into all-text columns; missing-value tokens become
+  at the field's start), decides the row's fate: more fields than the header -> the rejects
+  table (pandas ``on_bad_lines='skip'``), with the line's file and number; fewer -> kept and
+  padded with NULL (``strict=True`` rejects those too, the reference's repair reader);
+* ``from_csv`` splits the kept records into all-text columns; missing-value tokens become
   NULL.
 
-``multiline=True`` reads records whose quoted fields hold line breaks; a file is then one
-task. Without it such a record's first line has an unclosed quote and is rejected, never
-split silently into rows.
+``multiline=True`` puts records over several lines together. Without it every line of such a
+record is a reject, none of them a row. Lines of a quoted field that its file never closes, or
+that is longer than ``records.MOST_RECORD_BYTES``, are rejects in both modes.
 
 Names are then normalized (P1), types promoted from whole-column evidence (P2, P3) and
-all-empty rows dropped (P4). Only the sniff (first lines of one file) and the type
-evidence (one aggregate row) reach the driver. The files of one read have one header.
+all-empty rows dropped (P4). Only the sniff (first lines of one file), the different headers
+and the type evidence (one aggregate row) reach the driver.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ from quarry.functions.names import normalize_names
 from quarry.functions.parse import null_tokens
 from quarry.functions.tokens import DELIMITERS
 from quarry.operators.clean import drop_empty_rows, promote_types
+from quarry.sources import records as R
 
 SNIFF_LINES = 10
 _ONE_BYTE = {"latin-1", "latin1", "iso-8859-1", "iso8859-1", "cp1252", "windows-1252"}
@@ -54,23 +56,18 @@ class Ingested:
     metadata: dict = field(default_factory=dict)
 
     def with_counts(self) -> dict:
-        """Metadata plus ``original_shape`` / ``processed_shape`` (one aggregate)."""
+        """Metadata plus ``original_shape`` / ``processed_shape`` and the number of rejects
+        (one aggregate over the records, one over the lines)."""
         ncol = len(self.raw.columns)
         all_null = F.lit(True)
         for c in self.raw.columns:
             all_null = all_null & F.col(f"`{c}`").isNull()
         r = self.raw.agg(F.count(F.lit(1)).alias("n"), F.count_if(~all_null).alias("kept")).first()
-        rej = self.rejects.count()
         meta = dict(self.metadata)
-        if meta["encoding_used"] == "auto":
-            # decided line by line; named here by the whole input
-            lines = read_lines(self.raw.sparkSession, meta["file_path"], _BYTES)
-            other = lines.where(~F.is_valid_utf8(F.encode("value", _BYTES).cast("string")))
-            meta["encoding_used"] = "utf-8" if other.isEmpty() else "utf-8, else iso-8859-1"
         meta["file_size_mb"] = total_size_mb(self.raw.sparkSession, meta["file_path"])
         meta["original_shape"] = [r["n"], ncol]
         meta["processed_shape"] = [r["kept"], len(self.df.columns)]
-        meta["errors_found"] = rej
+        meta["errors_found"] = self.rejects.count()
         return meta
 
 
@@ -187,45 +184,101 @@ def field_count(value: Column, sep: str) -> Column:
     """The number of fields as the parser counts them, in linear time; NULL when a quote that
     opens a field is never closed. Quoted fields are taken out (a quote elsewhere is text),
     then separators are counted."""
-    d = re.escape(sep)
-    quoted = rf'(^|{d})"[^"]*+(?:""[^"]*+)*+"(?={d}|$)'
-    bare = F.when(F.instr(value, '"') > 0, F.regexp_replace(value, quoted, "$1")).otherwise(value)
+    bare = R.bare(value, sep)
     count = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + F.lit(1)
-    return F.when((F.instr(bare, '"') == 0) | ~bare.rlike(rf'(^|{d})"'), count)
+    return F.when((F.instr(bare, '"') == 0) | ~bare.rlike(rf'(^|{re.escape(sep)})"'), count)
+
+
+def parseable(value: Column, sep: str) -> Column:
+    """A record as Spark's parser reads it like the reference's: what follows a closing quote in
+    its field (``"a"b``) is taken into the quotes."""
+    d = re.escape(sep)
+    return F.when(F.instr(value, '"') > 0, F.regexp_replace(value, rf'(^|{d})"([^"]*+(?:""[^"]*+)*+)"([^"{d}]++)(?={d}|\z)', '$1"$2$3"')).otherwise(value)
 
 
 def _split_header(header: str, sep: str) -> list[str]:
-    return next(csv.reader(io.StringIO(header), delimiter=sep, quotechar='"'))
+    return next(csv.reader(io.StringIO(_strip_bom(header.rstrip("\r"))), delimiter=sep, quotechar='"'))
 
 
-def _by_line(spark: SparkSession, path, sep: str, encoding: str, width: int) -> DataFrame:
-    """Lines with their field count and parsed fields: value, file, n, r."""
+def _shaped(rows: DataFrame, sep: str, width: int, more: list[str]) -> DataFrame:
+    """Records with their field count and parsed fields: value, n, r and ``more``."""
     v = F.col("value")
-    # Materialize the cleaned line once: the expressions above nest the decode several times,
+    # Materialize the cleaned record once: the expressions above nest the decode several times,
     # and collapsed projections would repeat it in every consumer (filter, count, from_csv).
-    lines = read_lines(spark, path, encoding, header=True).select(F.inline(F.array(F.struct(without_cr(v).alias("value"), F.col("file")))))
-    opts = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    return lines.select("value", "file", field_count(v, sep).alias("n"), F.from_csv("value", text_fields(width), opts).alias("r"))
-
-
-def _by_record(spark: SparkSession, path, sep: str, encoding: str, width: int) -> DataFrame:
-    """The same of records that may span lines; a file is one task."""
-    schema = f"{text_fields(width)}, _bad string"
-    used = "UTF-8" if (encoding or "auto") == "auto" else encoding
-    read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").option("encoding", used)
-    read = read.option("multiLine", True).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-    # one row of everything: a query of the corrupt-record column alone is refused
-    held = [*(F.col(f"_c{i}") for i in range(width)), F.col("_bad"), F.col("_metadata.file_path").alias("file")]
-    rows = read.csv(path).select(F.inline(F.array(F.struct(*held))))
-    fields = F.struct(*(F.col(f"_c{i}") for i in range(width)))
-    n = F.when(F.col("_bad").isNull(), F.lit(width)).otherwise(field_count(F.regexp_replace("_bad", r"\r?\n$", ""), sep))
-    return rows.select(F.col("_bad").alias("value"), "file", n.alias("n"), fields.alias("r"))
+    lines = rows.select(F.inline(F.array(F.struct(without_cr(v).alias("value"), *more))))
+    opts = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
+    return lines.select("value", *more, field_count(v, sep).alias("n"), F.from_csv(parseable(v, sep), text_fields(width), opts).alias("r"))
 
 
 def text_fields(width: int) -> str:
     return ", ".join(f"_c{i} string" for i in range(width))
 
 
+@dataclass
+class _Columns:
+    """The columns of files with several headers: names in the order in which they come up, and
+    where each header has them."""
+
+    headers: list[list[str]]  # clean names, per header
+    mapping: dict[str, str]
+
+    @classmethod
+    def of(cls, headers: list[str], sep: str) -> _Columns:
+        clean, mapping = [], {}
+        for h in headers:
+            names, own = normalize_names(_split_header(h, sep))
+            clean.append(names)
+            mapping |= own
+        return cls(clean, mapping)
+
+    @property
+    def names(self) -> list[str]:
+        return list(dict.fromkeys(n for h in self.headers for n in h))
+
+    @property
+    def width(self) -> int:
+        return max(map(len, self.headers))
+
+    def expected(self, header: Column) -> Column:
+        """How many fields a record should have."""
+        sizes = {}
+        for i, h in enumerate(self.headers):
+            sizes.setdefault(len(h), []).append(i)
+        out = F.lit(self.width)
+        for size, which in sizes.items():
+            out = F.when(header.isin(which), F.lit(size)).otherwise(out) if size != self.width else out
+        return out
+
+    def value(self, name: str, header: Column) -> Column:
+        """A column's field in a record ``r``, by the record's header."""
+        places = {}
+        for i, h in enumerate(self.headers):
+            places.setdefault(h.index(name) if name in h else None, []).append(i)
+        if len(places) == 1:
+            return F.col(f"r._c{next(iter(places))}")
+        out = F.lit(None).cast("string")
+        for place, which in places.items():
+            if place is not None:
+                out = F.when(header.isin(which), F.col(f"r._c{place}")).otherwise(out)
+        return out
+
+
+_UTF16_MARKS = ("\xff\xfe", "\xfe\xff")
+
+
+def _lines(spark: SparkSession, files: list[str], encoding: str, sep: str) -> tuple[DataFrame, R.Structure, bool]:
+    """All lines, their structure, and whether files of UTF-16 are among others."""
+    lines = R.physical_lines(spark, files, encoding)
+    found = R.structure(lines, sep)
+    marked = [i for i, h in enumerate(found.headers) if h.startswith(_UTF16_MARKS)]
+    if not marked or encoding != "auto":
+        return lines, found, False
+    wide = [r["file"] for r in found.splits.where(F.col("header").isin(marked)).select("file").distinct().collect()]
+    rest = lines.where(~F.col("file").isin(wide))
+    lines = rest.unionByName(R.physical_lines(spark, wide, "utf-16"))
+    return lines, R.structure(lines, sep), True
+
+
 def read_delimited(
     spark: SparkSession,
     path,
@@ -242,23 +295,40 @@ def read_delimited(
 
     ``sep`` is sniffed when not given. ``strict`` keeps only records with exactly the header's
     field count. ``promote=False`` leaves every column as text. ``multiline`` reads quoted
-    line breaks. ``lenient`` is the share of dates from which a column becomes one, its other
+    line breaks. ``dayfirst`` settles the order of day and month, which the values decide
+    otherwise. ``lenient`` is the share of dates from which a column becomes one, its other
     values NULL and counted in the metadata.
     """
     info = sniff(spark, path, encoding)
     encoding = info["encoding"]
     sep = sep or info["delimiter"]
-    names = _split_header(info["header"], sep)
-    width = len(names)
-    clean, mapping = normalize_names(names)
-    read = _by_record if multiline else _by_line
-    shaped = read(spark, path, sep, encoding, width)
-    ok = F.coalesce((F.col("n") == width) if strict else (F.col("n") <= width), F.lit(False))
-    rejects = shaped.where(~ok).select(
-        F.col("value").alias("line"), F.lit(width).alias("expected"), F.col("n").alias("found"), "file")
-    fields = [null_tokens(F.col(f"r._c{i}"), na_tokens).alias(clean[i]) for i in range(width)]
+    lines, found, mixed = _lines(spark, info["files"], encoding, sep)
+    columns = _Columns.of(found.headers, sep)
+    numbered = R.numbered(lines, sep, found)
+    hid = F.col("header")
+    if not found.multiline and len(found.headers) == 1 and not mixed and not R.is_utf16(encoding):
+        # every line is a record under one header: no line's place matters
+        rows = read_lines(spark, path, encoding, header=True).withColumn("header", F.lit(0))
+        broken = None
+    elif multiline:
+        rows, broken = R.assembled(numbered, found)
+    else:
+        rows, broken = numbered.where("single"), numbered.where("not single")
+
+    def fits(shaped: DataFrame) -> Column:
+        n, want = F.col("n"), columns.expected(hid)
+        return F.coalesce((n == want) if strict else (n <= want), F.lit(False))
+
+    shaped = _shaped(rows, sep, columns.width, ["header"])
+    placed = _shaped(numbered if broken is None else rows, sep, columns.width, ["file", "number", "header"])
+    said = ["line", "expected", "found", "file", "line_number"]
+    rejects = placed.where(~fits(placed)).select(F.col("value").alias(said[0]), columns.expected(hid).alias(said[1]), F.col("n").cast("int").alias(said[2]), "file", F.col("number").alias(said[4]))
+    if broken is not None:
+        rejects = rejects.unionByName(broken.select(
+            without_cr(F.col("value")).alias(said[0]), columns.expected(hid).alias(said[1]), F.lit(None).cast("int").alias(said[2]), "file", F.col("number").alias(said[4])))
+    fields = [null_tokens(columns.value(c, hid), na_tokens).alias(c) for c in columns.names]
     # one materialized row of fields, so the type evidence and casts reuse them
-    raw = shaped.where(ok).select(F.inline(F.array(F.struct(*fields))))
+    raw = shaped.where(fits(shaped)).select(F.inline(F.array(F.struct(*fields))))
 
     df = raw
     decisions: dict[str, str] = {}
@@ -266,15 +336,19 @@ def read_delimited(
     if promote:
         df, decisions = promote_types(raw, dayfirst, lenient, failures)
     df = drop_empty_rows(df)
+    used = encoding
+    if encoding == "auto":
+        used = "utf-8, else iso-8859-1" if found.odd else "utf-8"
+        used += ", utf-16" if mixed else ""
     meta = {
         "file_path": path if isinstance(path, str) else list(path),
         "file_size_mb": None,
         "load_timestamp": dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds"),
-        "encoding_used": encoding,
+        "encoding_used": used,
         "delimiter": sep,
-        "column_mapping": mapping,
+        "column_mapping": columns.mapping,
         "dtypes": {f.name: f.dataType.simpleString() for f in df.schema.fields},
-        "promotions": decisions,
+        "promotions": dict(decisions),
         "date_failures": failures,
     }
     return Ingested(df=df, rejects=rejects, raw=raw, metadata=meta)

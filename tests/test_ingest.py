@@ -195,8 +195,9 @@ def test_quotes_count_as_the_parser_takes_them(spark, tmp_path):
     p = write_text(tmp_path / "q.csv", ("\n".join(lines) + "\n").encode())
     ing = read_delimited(spark, p, promote=False, strict=True)
     assert sorted(tuple(r) for r in ing.df.collect()) == sorted([('5" x', '6" y'), ('p "q", r', "s"), ("  pad  ", "t")])
-    rej = {r["line"]: r["found"] for r in ing.rejects.collect()}
-    assert rej == {'5" x,6" y,LOST': 3, '1,"open': None, '"x"y,z': None}
+    rej = {r["line"]: (r["found"], r["line_number"]) for r in ing.rejects.collect()}
+    # the quote that opens in line 5 closes in line 6: two lines of one record
+    assert rej == {'5" x,6" y,LOST': (3, 4), '1,"open': (None, 5), '"x"y,z': (None, 6)}
     assert all(r["file"].endswith("q.csv") for r in ing.rejects.collect())
 
 
