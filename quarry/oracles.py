@@ -144,6 +144,16 @@ def _kpi_scalars_sql() -> str:
     return "\nunion all\n".join(parts)
 
 
+def _forms_sql(values: list) -> str:
+    """KPI rows from scalar subqueries; a tuple holds one whose result is text."""
+    rows = [
+        f"select {i} as rank, cast(null as double) as value, cast({v[0]} as varchar) as text, 'ok' as status" if isinstance(v, tuple)
+        else f"select {i} as rank, round(cast({v} as double), 4) as value, cast(null as varchar) as text, 'ok' as status"
+        for i, v in enumerate(values, start=1)
+    ]
+    return "\nunion all ".join(rows)
+
+
 def _fmt(v: str) -> str:
     return (
         f"case when abs({v}) >= 1000000000 then printf('%.1fB', {v} / 1000000000.0) "
@@ -375,6 +385,55 @@ ORACLES: dict[str, str] = {
           (select sum(o_totalprice) as s from orders where o_custkey is not null group by o_custkey)), 2) as value, 'ok' as status
         union all select 2, 'Largest status', (select max(n) from (select count(*) as n from orders
           where o_orderstatus is not null group by o_orderstatus)), 'ok'""",
+    "kpi_running": _forms_sql([
+        "(select sum(o_custkey) from orders)", "(select avg(d) from (select o_totalprice - lag(o_totalprice) over (order by o_orderkey) as d from orders))",
+        "(select max(d) from (select o_totalprice / nullif(lag(o_totalprice) over (order by o_orderkey), 0) - 1 as d from orders))",
+        "(select max(m) from (select case when count(*) over w = 7 then avg(o_totalprice) over w end as m from orders window w as (order by o_orderkey rows 6 preceding)))",
+        "(select min(m) from (select case when count(*) over w = 30 then sum(o_totalprice) over w end as m from orders where o_orderstatus = 'F' window w as (order by o_orderkey rows 29 preceding)))",
+        "(select sum(s) from (select lag(o_custkey, 3) over (order by o_orderkey) as s from orders))",
+        "(select avg(m) from (select max(o_totalprice) over (order by o_orderkey rows unbounded preceding) as m from orders))",
+    ]),
+    "kpi_best": _forms_sql([
+        ("(select o_orderpriority from orders where o_totalprice is not null order by o_totalprice desc, o_orderpriority limit 1)",),
+        "(select o_orderkey from orders where o_totalprice is not null order by o_totalprice, o_orderkey limit 1)",
+        "(select sum(o_totalprice) from (select o_totalprice from orders order by o_totalprice desc nulls last limit 10))",
+        "(select avg(o_totalprice) from (select o_totalprice from orders order by o_totalprice nulls last limit 25))",
+        ("(select o_orderstatus from orders where o_orderstatus is not null group by 1 order by count(*) desc, 1 limit 1)",),
+        "(select o_custkey from orders where o_custkey is not null group by 1 order by count(*) desc, 1 limit 1)",
+        "(select max(n) from (select count(*) as n from orders where o_orderpriority is not null group by o_orderpriority))",
+        ("(select o_orderpriority from orders where o_orderpriority is not null group by 1 order by sum(o_totalprice) desc, 1 limit 1)",),
+        "(select o_custkey from orders where o_custkey is not null group by 1 order by avg(o_totalprice), 1 limit 1)",
+    ]),
+    "kpi_group_keys": """with m as (select date_trunc('month', l_shipdate)::timestamp as p, sum(l_extendedprice) as v from lineitem where l_quantity > 49 group by 1),
+        s as (select date_trunc('day', l_shipdate)::timestamp as p, count(*) as v from lineitem where l_suppkey = 7 group by 1)
+        select name, key, round(value::double, 2) as value from (
+        select '0' as name, l_returnflag || ', ' || l_linestatus as key, coalesce(sum(l_quantity), 0)::double as value from lineitem where l_returnflag is not null and l_linestatus is not null group by 2
+        union all select '1', month(l_shipdate)::varchar, avg(l_extendedprice) from lineitem where l_shipdate is not null group by 2
+        union all select '2', l_linenumber::varchar, count(*) from lineitem where l_linenumber is not null group by 2
+        union all select '3', l_returnflag, max(l_tax) from lineitem where l_returnflag is not null group by 2
+        union all select '4', strftime(last_day(g), '%Y-%m-%d'), coalesce(v, 0) from (select unnest(generate_series((select min(p) from m), (select max(p) from m), interval 1 month)) as g) left join m on p = g
+        union all select '5', strftime(g, '%Y-%m-%d'), coalesce(v, 0) from (select unnest(generate_series((select min(p) from s), (select max(p) from s), interval 1 day)) as g) left join s on p = g)""",
+    "kpi_typed": _forms_sql([
+        "(select count(distinct year(o_orderdate)) from orders)", "(select avg(case when isodow(o_orderdate) >= 6 then 1.0 else 0.0 end) from orders)",
+        "(select floor(epoch(max(o_orderdate) - min(o_orderdate)) / 86400) from orders)", "(select count_if(contains(o_orderpriority, 'URGENT')) from orders)", "(select count_if(starts_with(o_orderpriority, '1')) from orders)",
+        "(select coalesce(sum(case when o_totalprice > 100000 then o_totalprice else 0 end), 0) from orders)", "(select coalesce(sum(trunc(o_totalprice)), 0) from orders)",
+    ]) + " union all select rank + 100, value, text, status from (" + _forms_sql([
+        "(select max(length(text)) from documents)", "(select count(distinct upper(source)) from documents)", "(select coalesce(sum(abs(length(text) - n_chars)), 0) from documents)",
+        "(select avg(case when coalesce(regexp_matches(text, '(?i)the'), false) then 1.0 else 0.0 end) from documents)",
+    ]) + ")",
+    "kpi_first": _forms_sql([
+        "(select count(*) - count(distinct l_suppkey) - max(case when l_suppkey is null then 1 else 0 end) from lineitem)",
+        "(select count(*) - (select count(*) from (select distinct l_orderkey, l_suppkey from lineitem)) from lineitem)",
+        "(select sum(l_quantity) from (select l_quantity from lineitem qualify row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_suppkey, l_quantity, l_returnflag) = 1))",
+        "(select max(l_quantity) from (select l_quantity from lineitem qualify row_number() over (partition by l_returnflag, l_linenumber order by l_orderkey, l_linenumber, l_suppkey, l_quantity, l_returnflag) = 1))",
+        "(select count(*) from (select distinct l_returnflag from lineitem))",
+        "(select count(*) from (select distinct l_orderkey, l_linenumber, l_suppkey, l_quantity, l_returnflag from lineitem))",
+    ]),
+    "kpi_moments": _forms_sql([
+        "(select corr(l_quantity, l_extendedprice) from lineitem)", "(select covar_samp(l_quantity, l_tax) from lineitem)", "(select skewness(l_extendedprice) from lineitem)",
+        "(select kurtosis(l_extendedprice) from lineitem)", "(select 1)", "(select stddev_samp(l_tax) / sqrt(count(l_tax)) from lineitem)",
+        "(select quantile_cont(l_extendedprice, 0.9) from lineitem)", "(select quantile_cont(l_extendedprice, 0.25) from lineitem)", "(select median(l_quantity) from lineitem)",
+    ]),
     "kpi_masks": """select rank, round(cast(value as double), 2) as value, 'ok' as status from (
         select 1 as rank, count_if(o_orderstatus in ('F', 'P'))::double as value from orders
         union all select 2, coalesce(sum(o_totalprice) filter (o_totalprice between 1000 and 50000), 0) from orders

@@ -240,7 +240,7 @@ def _panel(name: str, kind: str, rank: int, t: DataFrame) -> DataFrame:
     return _tidy(name, kind, rank, t, "x", None, "y", None)
 
 
-def run_plan(df: DataFrame, plan: dict, selections: dict | None = None, materialize: str = "none") -> Dashboard:
+def run_plan(df: DataFrame, plan: dict, selections: dict | None = None, materialize: str = "none", order_by: list[str] | None = None) -> Dashboard:
     """Derived columns -> filters (defaults unless ``selections``) -> KPIs -> charts.
 
     Filter options and bounds are computed on ``df`` before filtering, as the reference
@@ -250,7 +250,8 @@ def run_plan(df: DataFrame, plan: dict, selections: dict | None = None, material
     filtered table in executor memory/disk (recomputed from lineage if an executor is
     lost); ``'checkpoint'`` writes it once to the shared checkpoint location
     (``spark.checkpoint.dir``), cutting the lineage so panels survive executor loss
-    without re-running the filters.
+    without re-running the filters. ``order_by`` is the order of rows that KPIs such as
+    ``df['v'].cumsum().max()`` mean; without it they are ``unsupported``.
     """
     base = derive_for_plan(typed_for_plan(without_nan(df), plan), plan)
     filtered, states = apply_filters(base, plan.get("filters", []), selections)
@@ -259,7 +260,7 @@ def run_plan(df: DataFrame, plan: dict, selections: dict | None = None, material
     elif materialize == "checkpoint":
         ensure_checkpoint_dir(df.sparkSession)
         filtered = filtered.checkpoint(eager=True)
-    scal, grouped = run_kpis(filtered, plan.get("kpis", []))
+    scal, grouped = run_kpis(filtered, plan.get("kpis", []), order_by)
     charts: dict = {}
     status: dict = {}
     for rank, ch in enumerate(ordered(plan.get("charts", [])), start=1):

@@ -598,6 +598,73 @@ def kpi_nested(spark, d):
     return scal.select("rank", "name", _r2("value").alias("value"), "status")
 
 
+def _forms(df, formulas, order_by=None):
+    """Formulas as KPIs in that order: rank, value (rounded), text (of results that are no number), status."""
+    scal, _ = kpis(df, [{"name": f, "formula": f, "importance": 99 - i} for i, f in enumerate(formulas)], order_by)
+    text = F.when(F.col("value").isNull(), F.col("formatted"))
+    return scal.select("rank", F.round("value", 4).alias("value"), text.alias("text"), "status")
+
+
+def kpi_running(spark, d):
+    """A11 over ordered rows: orders by their key."""
+    return _forms(_t(spark, d, "orders"), [
+        "df['o_custkey'].cumsum().max()", "df['o_totalprice'].diff().mean()", "df['o_totalprice'].pct_change().max()", "df['o_totalprice'].rolling(7).mean().max()",
+        "df[df['o_orderstatus'] == 'F']['o_totalprice'].rolling(30).sum().min()", "df['o_custkey'].shift(3).sum()", "df['o_totalprice'].cummax().mean()",
+    ], ["o_orderkey"])
+
+
+def kpi_best(spark, d):
+    """A11 whose result is a row's or a group's key, and sums of the largest values."""
+    return _forms(_t(spark, d, "orders"), [
+        "df.loc[df['o_totalprice'].idxmax(), 'o_orderpriority']", "df.loc[df['o_totalprice'].idxmin(), 'o_orderkey']", "df['o_totalprice'].nlargest(10).sum()",
+        "df['o_totalprice'].nsmallest(25).mean()", "df['o_orderstatus'].mode()[0]", "df['o_custkey'].value_counts().idxmax()", "df['o_orderpriority'].value_counts().iloc[0]",
+        "df.groupby('o_orderpriority')['o_totalprice'].sum().idxmax()", "df.groupby('o_custkey')['o_totalprice'].mean().idxmin()",
+    ])
+
+
+def kpi_group_keys(spark, d):
+    """A12 by several columns, by parts of a time, by periods with the empty ones."""
+    li = _t(spark, d, "lineitem")
+    forms = [
+        "df.groupby(['l_returnflag', 'l_linestatus'])['l_quantity'].sum()", "df.groupby(df['l_shipdate'].dt.month)['l_extendedprice'].mean()", "df.groupby('l_linenumber').size()",
+        "df.groupby('l_returnflag').agg({'l_tax': 'max'})", "df[df['l_quantity'] > 49].resample('ME', on='l_shipdate')['l_extendedprice'].sum()",
+        "df[df['l_suppkey'] == 7].resample('D', on='l_shipdate').size()",
+    ]
+    parts = [grouped_kpi(li, f, str(i)) for i, f in enumerate(forms)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("name", "key", _r2("value").alias("value"))
+
+
+def kpi_typed(spark, d):
+    """U1 over times and texts."""
+    orders = _forms(_t(spark, d, "orders"), [
+        "df['o_orderdate'].dt.year.nunique()", "(df['o_orderdate'].dt.dayofweek >= 5).mean()", "(df['o_orderdate'].max() - df['o_orderdate'].min()).days",
+        "df['o_orderpriority'].str.contains('URGENT').sum()", "len(df[df['o_orderpriority'].str.startswith('1')])", "np.where(df['o_totalprice'] > 100000, df['o_totalprice'], 0).sum()",
+        "df['o_totalprice'].astype(int).sum()",
+    ])
+    docs = _forms(_t(spark, d, "documents"), ["df['text'].str.len().max()", "df['source'].str.upper().nunique()", "(df['text'].str.len() - df['n_chars']).abs().sum()", "df['text'].str.contains('the', case=False).mean()"])
+    return orders.withColumn("rank", F.col("rank").cast("int")).unionByName(docs.withColumn("rank", (F.col("rank") + 100).cast("int")))
+
+
+def kpi_first(spark, d):
+    """A11 over first rows: of several that share a key, the first in the order of the line."""
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag")
+    return _forms(li, [
+        "df['l_suppkey'].duplicated().sum()", "df.duplicated(subset=['l_orderkey', 'l_suppkey']).sum()", "df.drop_duplicates(['l_suppkey'])['l_quantity'].sum()",
+        "df.drop_duplicates(subset=['l_returnflag', 'l_linenumber'])['l_quantity'].max()", "len(df.drop_duplicates(['l_returnflag']))", "len(df) - df.duplicated().sum()",
+    ], ["l_orderkey", "l_linenumber"])
+
+
+def kpi_moments(spark, d):
+    """Higher moments, two columns at once, ranks."""
+    return _forms(_t(spark, d, "lineitem"), [
+        "df['l_quantity'].corr(df['l_extendedprice'])", "df['l_quantity'].cov(df['l_tax'])", "df['l_extendedprice'].skew()", "df['l_extendedprice'].kurt()", "(df['l_discount'] * 0 + 1).prod()",
+        "df['l_tax'].sem()", "np.percentile(df['l_extendedprice'], 90)", "df['l_extendedprice'].quantile(0.25)", "df['l_quantity'].median()",
+    ])
+
+
 def kpi_masks(spark, d):
     """Row-wise methods inside masks and arguments."""
     o = _t(spark, d, "orders")
@@ -792,6 +859,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kpi_product_wide": kpi_product_wide,
     "kpi_nested": kpi_nested,
     "kpi_masks": kpi_masks,
+    "kpi_running": kpi_running,
+    "kpi_best": kpi_best,
+    "kpi_group_keys": kpi_group_keys,
+    "kpi_typed": kpi_typed,
+    "kpi_first": kpi_first,
+    "kpi_moments": kpi_moments,
     "derived_int_product": derived_int_product,
     "plan_text_numbers": plan_text_numbers,
     "profile_nan": profile_nan,
