@@ -811,7 +811,7 @@ class _Compiler:
                     s = self.column(name, base.mask)
                     base = _GroupSeries(base.key, s.expr, base.mask, s.dtype, base.period)
                 if isinstance(base, _GroupSeries) and isinstance(wanted, str):
-                    f, args = ast.Attribute(attr=wanted), []
+                    f, args = ast.Attribute(f.value, wanted, ast.Load()), []
             if isinstance(base, _Agg) and base.dtype == _INTERVAL and f.attr == "total_seconds" and not args:
                 return _Agg(base.expr)
             if args:

@@ -348,6 +348,8 @@ ORACLES: dict[str, str] = {
         6 as expected, 7 as found from events where event_id % 100 = 0""",
     "csv_strict": "select * from events where event_id % 100 > 1",
     "csv_quotes": "select * from events",
+    "reload_with_fallback": """select orders.*, load, case load when 'whole' then 'manifest' else 'ingest' end as by,
+        (select count(*) from orders) as rows, ',' as sep from orders, (select unnest(['whole', 'torn']) as load)""",
     "csv_documents": "select * from documents",
     "csv_long_ids": """select o_orderkey + 1234567890123456789 as id,
         cast(o_orderkey + 1234567890123456789000 as decimal(38, 0)) as wide from orders""",

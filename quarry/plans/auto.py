@@ -39,12 +39,11 @@ def analyse_file(spark: SparkSession, path: str, out_dir: str | None = None, sep
     ``out_dir`` the metadata, profile, summary and plan are written next to it.
     """
     ing = read_delimited(spark, path, sep=sep)
-    clean_path = f"{out_dir}/clean" if out_dir else f"{scratch_dir(spark, 'clean')}"
-    sinks.write_clean(ing.df, clean_path)
-    clean = sinks.read_clean(spark, clean_path)
+    folder = out_dir or scratch_dir(spark, "load")
+    ing.metadata = sinks.write_load(spark, ing, folder)
+    clean = sinks.read_clean(spark, f"{folder}/clean")
     res = auto_dashboard(clean)
     if out_dir:
-        sinks.write_metadata(spark, ing.with_counts(), f"{out_dir}/metadata")
         sinks.write_profile(res.profile.df, f"{out_dir}/profile")
         sinks.write_metadata(spark, summary(clean, res.profile, ing.metadata, order_by), f"{out_dir}/summary")
         sinks.write_plan(spark, res.plan, f"{out_dir}/plan")

@@ -503,8 +503,8 @@ def metadata_roundtrip(spark, d):
     """The counts of a load, written and read back."""
     path = scratch_dir(spark, "meta")
     ing = read_delimited(spark, _bad_rows_dir(spark, d), sep=",")
-    sinks.write_metadata(spark, ing.with_counts(), path)
-    m = sinks.read_metadata(spark, path)
+    sinks.write_load(spark, ing, path)
+    m = sinks.read_metadata(spark, f"{path}/metadata")
     assert m["load_timestamp"]
     cols = ["delimiter", "encoding", "rows", "columns", "rejects"]
     return spark.createDataFrame(
@@ -512,6 +512,22 @@ def metadata_roundtrip(spark, d):
         f"{cols[0]} string, {cols[1]} string, {cols[2]} long, {cols[3]} long, {cols[4]} long")
 
 
+def reload_with_fallback(spark, d):
+    """A whole load comes back by its manifest, a torn one from its source."""
+    o = _t(spark, d, "orders")
+    source, base = scratch_dir(spark, "reload-source"), scratch_dir(spark, "reload")
+    sinks.write_clean(o, source, fmt="csv")
+    sinks.write_load(spark, read_delimited(spark, source), f"{base}/whole")
+    meta = sinks.write_load(spark, read_delimited(spark, source), f"{base}/torn")
+    sinks.write_clean(o.where("o_orderkey % 2 = 0"), f"{base}/torn/clean")  # half of its rows are gone
+    out = None
+    for name in ("whole", "torn"):
+        df, told, how = sinks.read_load(spark, f"{base}/{name}", source)
+        df = df.withColumns({"load": F.lit(name), "by": F.lit(how), "rows": F.lit(meta["processed_shape"][0]).cast("long"), "sep": F.lit(told["delimiter"])})
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 def csv_documents(spark, d):
     """Whole documents, line breaks and blanks at the ends included, through the CSV sink."""
     path = scratch_dir(spark, "csv-documents")
@@ -848,6 +864,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spec_roundtrip": spec_roundtrip,
     "plan_roundtrip": plan_roundtrip,
     "metadata_roundtrip": metadata_roundtrip,
+    "reload_with_fallback": reload_with_fallback,
     "csv_documents": csv_documents,
     "csv_long_ids": csv_long_ids,
     "csv_quotes": csv_quotes,

@@ -31,15 +31,16 @@ import csv
 import datetime as dt
 import io
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.names import normalize_names
 from quarry.functions.parse import null_tokens
 from quarry.functions.tokens import DELIMITERS
-from quarry.operators.clean import drop_empty_rows, promote_types
+from quarry.operators.clean import Promotion, apply_promotion, drop_empty_rows, promotion_plan
 from quarry.sources import records as R
 
 SNIFF_LINES = 10
@@ -54,6 +55,10 @@ class Ingested:
     rejects: DataFrame
     raw: DataFrame
     metadata: dict = field(default_factory=dict)
+    #: The typed table, its records and rejected records counted by an observation as it is used.
+    watched: Callable[[Observation], DataFrame] | None = None
+    #: Lines that belong to no record; None where every line is one.
+    broken: DataFrame | None = None
 
     def with_counts(self) -> dict:
         """Metadata plus ``original_shape`` / ``processed_shape`` and the number of rejects
@@ -327,15 +332,23 @@ def read_delimited(
         rejects = rejects.unionByName(broken.select(
             without_cr(F.col("value")).alias(said[0]), columns.expected(hid).alias(said[1]), F.lit(None).cast("int").alias(said[2]), "file", F.col("number").alias(said[4])))
     fields = [null_tokens(columns.value(c, hid), na_tokens).alias(c) for c in columns.names]
-    # one materialized row of fields, so the type evidence and casts reuse them
-    raw = shaped.where(fits(shaped)).select(F.inline(F.array(F.struct(*fields))))
 
-    df = raw
-    decisions: dict[str, str] = {}
-    failures: dict[str, int] = {}
+    def records(counted: DataFrame) -> DataFrame:
+        # one materialized row of fields, so the type evidence and casts reuse them
+        return counted.where(fits(counted)).select(F.inline(F.array(F.struct(*fields))))
+
+    raw = records(shaped)
+    decisions, failures = Promotion(), {}
     if promote:
-        df, decisions = promote_types(raw, dayfirst, lenient, failures)
-    df = drop_empty_rows(df)
+        decisions = promotion_plan(raw, dayfirst, lenient, failures)
+
+    def typed(rows: DataFrame) -> DataFrame:
+        return drop_empty_rows(apply_promotion(rows, decisions, dayfirst) if promote else rows)
+
+    def watched(seen: Observation) -> DataFrame:
+        return typed(records(shaped.observe(seen, F.count_if(fits(shaped)).alias("records"), F.count_if(~fits(shaped)).alias("rejects"))))
+
+    df = typed(raw)
     used = encoding
     if encoding == "auto":
         used = "utf-8, else iso-8859-1" if found.odd else "utf-8"
@@ -351,26 +364,23 @@ def read_delimited(
         "promotions": dict(decisions),
         "date_failures": failures,
     }
-    return Ingested(df=df, rejects=rejects, raw=raw, metadata=meta)
+    return Ingested(df=df, rejects=rejects, raw=raw, metadata=meta, watched=watched, broken=broken)
 
 
 def load_delimited(spark: SparkSession, path, save_to: str | None = None, **options) -> tuple[bool, str, Ingested | None]:
     """S1 with the reference's contract: ``(ok, message, result)`` instead of raising.
 
     A missing path or an unreadable file gives ``ok=False`` and the reason. On success the
-    metadata gains the row counts (one aggregate), and with ``save_to`` the clean table
-    (Parquet) and the metadata (JSON) are written there (S7, S8).
+    metadata gains the row counts. With ``save_to`` the clean table (Parquet) and the metadata
+    (JSON) are written there (S7, S8) and the counts are taken while the table is written.
     """
+    from quarry.sources import sinks
     try:
         ing = read_delimited(spark, path, **options)
-        ing.metadata = ing.with_counts()
+        ing.metadata = sinks.write_load(spark, ing, save_to) if save_to else ing.with_counts()
     except FileNotFoundError:
         return False, f"nothing to read at {path}", None
     except Exception as e:  # noqa: BLE001 - reported, as the reference does
         return False, f"{path} is not readable as a table: {type(e).__name__}: {e}", None
-    if save_to:
-        from quarry.sources import sinks
-        sinks.write_clean(ing.df, f"{save_to}/clean")
-        sinks.write_metadata(spark, ing.metadata, f"{save_to}/metadata")
     rows, cols = ing.metadata["processed_shape"]
     return True, f"{rows:,} rows in {cols} columns from {path}", ing

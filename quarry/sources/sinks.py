@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +58,8 @@ def _write_json_text(spark: SparkSession, obj, path: str) -> str:
 
 def _read_json_text(spark: SparkSession, path: str):
     row = spark.read.option("wholetext", True).text(path).where("trim(value) <> ''").first()  # one document
+    if row is None:
+        raise ValueError(f"no document at {path}")
     return json.loads(row["value"])
 
 
@@ -69,6 +72,52 @@ def read_metadata(spark: SparkSession, path: str) -> dict:
     return _read_json_text(spark, path)
 
 
+def source_files(spark: SparkSession, path) -> list[list]:
+    """``[name, bytes]`` of every file behind a path, from the file listing."""
+    rows = spark.read.format("binaryFile").load(path).select("path", "length").collect()
+    return sorted([r["path"], r["length"]] for r in rows)
+
+
+def write_load(spark: SparkSession, ing, path: str) -> dict:
+    """S7 + S8 of an ingest: the clean table below ``path``, its counts taken while it is
+    written, and last the metadata with a manifest (rows, schema, source files). Returns the
+    metadata."""
+    seen, kept = Observation(), Observation()
+    write_clean(ing.watched(seen).observe(kept, F.count(F.lit(1)).alias("rows")), f"{path}/clean")
+    files = source_files(spark, ing.metadata["file_path"])
+    broken = ing.broken.count() if ing.broken is not None else 0
+    meta = ing.metadata | {
+        "file_size_mb": sum(n for _, n in files) / (1024 * 1024),
+        "original_shape": [seen.get["records"], len(ing.raw.columns)],
+        "processed_shape": [kept.get["rows"], len(ing.df.columns)],
+        "errors_found": seen.get["rejects"] + broken,
+        "manifest": {"rows": kept.get["rows"], "schema": ing.df.schema.json(), "files": files},
+    }
+    write_metadata(spark, meta, f"{path}/metadata")
+    return meta
+
+
+def read_load(spark: SparkSession, path: str, source=None, **options) -> tuple[DataFrame, dict, str]:
+    """A written load as ``(table, metadata, "manifest")`` when its manifest is there and
+    fits: the table's schema and number of rows, and the source files, if named, as they were.
+    Else the source is ingested again: ``(table, metadata, "ingest")``."""
+    from quarry.sources.delimited import read_delimited
+    try:
+        meta = read_metadata(spark, f"{path}/metadata")
+        told = meta["manifest"]
+        df = read_clean(spark, f"{path}/clean")
+        # Parquet counts rows by its footers; it calls every column nullable
+        whole = df.schema == T.StructType.fromJson(json.loads(told["schema"])) and df.count() == told["rows"]
+        if whole and (source is None or source_files(spark, source) == told["files"]):
+            return df, meta, "manifest"
+    except (AnalysisException, KeyError, TypeError, ValueError):  # no load, a torn one, or one without a manifest
+        pass
+    if source is None:
+        raise FileNotFoundError(f"no whole load at {path}")
+    ing = read_delimited(spark, source, **options)
+    return ing.df, ing.metadata, "ingest"
+
+
 def write_profile(profile_df: DataFrame, path: str) -> str:
     """The profile table as JSON lines."""
     profile_df.coalesce(1).write.mode("overwrite").json(path)
