@@ -154,12 +154,17 @@ PIECES = T.ArrayType(T.StructType([
 ]))
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
+def pieces(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, keep_words: bool = True
+) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32. The ids themselves stay in the
-    task; ``token_ids`` gives them where a writer needs them."""
+    task; ``token_ids`` gives them where a writer needs them.
+
+    A worker remembers the words it met for its next tasks. ``keep_words=False`` frees them at
+    the end of each task, for jobs whose executors go on to other work.
+    """
     end = end_id.to_bytes(4, "little")
 
-    @F.arrow_udf(PIECES)
     def cut(texts: pa.Array) -> pa.Array:
         step, ends, rows = 4 * capacity, [0], []
         for found in _word_ids(path).ids(t.as_py() for t in texts):
@@ -172,8 +177,19 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, PIECES.elementType.names))
 
+    @F.arrow_udf(PIECES)
+    def kept(texts: pa.Array) -> pa.Array:
+        return cut(texts)
+
+    @F.arrow_udf(PIECES)
+    def freed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(cut, batches)
+        _word_ids.cache_clear()
+        common.give_back(every=1)
+
     common.bounded_batches(docs.sparkSession)
-    return docs.select(common.col(id_col).alias("id"), cut(common.col(text_col)).alias("p")).select(
+    found = (kept if keep_words else freed)(common.col(text_col))
+    return docs.select(common.col(id_col).alias("id"), found.alias("p")).select(
         F.col("id").alias(id_col), F.inline("p")
     )
 
@@ -363,13 +379,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length_col: str = "length",
     return salted.groupBy(group).applyInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, group_items: int = GROUP_ITEMS) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, group_items: int = GROUP_ITEMS, keep_words: bool = True) -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
     The number of groups comes from the number of documents, which costs no tokenization.
     """
     groups = max(1, -(-docs.count() // group_items))
-    return pack(pieces(docs, id_col, text_col, capacity, path=path), capacity, groups=groups)
+    return pack(pieces(docs, id_col, text_col, capacity, path=path, keep_words=keep_words), capacity, groups=groups)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

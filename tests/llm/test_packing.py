@@ -54,6 +54,12 @@ def test_nulls_repeats_clashing_columns_and_empty_table(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_a_worker_that_forgets_gives_the_same_pieces(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5)
+    both = [packing.pieces(docs, keep_words=keep).collect() for keep in (True, False)]
+    assert sorted(map(tuple, both[0])) == sorted(map(tuple, both[1]))
+
+
 def test_many_groups_stay_bounded_with_one_hot_row(spark):
     df = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'same text' as text")
     out = packing.pack_documents(df, group_items=500)
