@@ -42,8 +42,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
-    return packing.pack_documents(docs)
+    """The pieces of all documents with their places in sequences. Executors serve other stages
+    before and after, so their workers give the tokenizer's memory back with each task."""
+    return packing.pack_documents(docs, keep_words=False)
 
 
 STAGES = [
