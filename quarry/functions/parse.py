@@ -94,7 +94,7 @@ def parse_datetime(col, dayfirst: bool = False) -> Column:
 
 def number_text(col) -> Column:
     """The text with thousands separators, currency and percent signs and spaces removed."""
-    return F.translate(_c(col), NUMERIC_NOISE + " ", "")
+    return F.regexp_replace(_c(col), f"[{NUMERIC_NOISE} ]", "")
 
 
 _DIGITS = "0123456789"

@@ -7,20 +7,15 @@ dashboard's literal text preparation, kept apart and off by default.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.dates import Formats, column_formats, maybe_date, parsed, shape, with_dates
-from quarry.functions.parse import (
-    is_integer_text,
-    is_number_text,
-    is_whole_text,
-    is_wide_integer_text,
-    lenient_double,
-    parse_datetime,
-    parse_number,
-)
+from quarry.functions.parse import lenient_double, number_text, parse_datetime, parse_number
 from quarry.functions.tokens import DATE_NAME_HINTS, DISPLAY_NULL_TEXT
 
 
@@ -41,9 +36,55 @@ def evidence(df: DataFrame, items: list[Column]) -> dict:
 
 
 class Promotion(dict):
-    """Target type per text column; ``formats`` says how the dates among them are written."""
+    """Target type per text column; ``formats`` says how the dates among them are written,
+    ``bare`` which numbers are all written without separators, signs of currency and spaces."""
 
     formats: dict[str, Formats]
+    bare: set[str]
+
+
+# What a text may be, as flags: a boolean, a number, a whole one that fits a long, a whole one of
+# up to 38 digits, a whole one beyond a long, perhaps a date, a number without noise.
+_BOOLEAN, _NUMBER, _LONG, _WIDE, _BIG, _DATE, _BARE = (1 << i for i in range(7))
+_BARE_LONG = r"^[+-]?[0-9]{1,18}\z"
+_BARE_FRACTION = r"^[+-]?(?:[0-9]++\.[0-9]*+(?:[eE][+-]?[0-9]++)?+|\.[0-9]++(?:[eE][+-]?[0-9]++)?+|[0-9]++[eE][+-]?[0-9]++)\z"
+#: No number: a character that none has, or a sign after digits.
+_NO_NUMBER = r"[^0-9eE+.,$% -]|[0-9.][,$% ]*[+-]"
+
+
+def text_kind(c: Column) -> Column:
+    """What a text may be, as the sum of its flags. A number starts with a character from the
+    blank to the 9, so that one look settles most other texts, and the two usual forms are known
+    by one pattern each. The flags of the rest are those of the tests in
+    :mod:`quarry.functions.parse`."""
+    def flag(condition: Column, value: int) -> Column:
+        return F.when(condition, F.lit(value)).otherwise(F.lit(0))
+
+    n = number_text(c)
+    whole = (
+        F.when(n.try_cast("long").isNotNull(), F.lit(_NUMBER + _LONG + _WIDE))
+        .when(n.try_cast("decimal(38,0)").isNotNull(), F.lit(_NUMBER + _WIDE + _BIG))
+        .otherwise(F.lit(_NUMBER + _BIG))
+    )
+    rest = F.when(n.rlike(r"^[+-]?[0-9]++\z"), whole).otherwise(flag(n.rlike(_BARE_FRACTION), _NUMBER)).bitwiseOR(flag(c == n, _BARE))
+    number = (
+        F.when(~F.ascii(c).between(ord(" "), ord("9")), F.lit(0))
+        .when(c.rlike(_BARE_LONG), F.lit(_NUMBER + _LONG + _WIDE + _BARE))
+        .when(c.rlike(_BARE_FRACTION), F.lit(_NUMBER + _BARE))
+        .when(c.rlike(_NO_NUMBER), F.lit(0))
+        .otherwise(rest)
+    )
+    boolean = flag(c.isin("True", "TRUE", "true", "False", "FALSE", "false"), _BOOLEAN)
+    return number.bitwiseOR(boolean).bitwiseOR(flag(maybe_date(c), _DATE))
+
+
+def kind_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How many values of each kind the text columns hold, NULLs left out: at (the column), kind,
+    n. The values stand one below the other, so that the code of the tests is there once, whatever
+    the width: code that repeats them for each column grows too long for the JVM to compile."""
+    cells = F.array(*(F.struct(F.lit(i).alias("at"), _q(n).alias("text")) for i, n in enumerate(columns)))
+    values = df.select(F.inline(cells)).where(F.col("text").isNotNull())
+    return values.select("at", text_kind(F.col("text")).alias("kind")).groupBy("at", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def promotion_plan(df: DataFrame, dayfirst: bool | None = None, lenient: float | None = None, failures: dict[str, int] | None = None) -> Promotion:
@@ -65,37 +106,29 @@ def promotion_plan(df: DataFrame, dayfirst: bool | None = None, lenient: float |
     """
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     out = Promotion()
-    out.formats = {}
+    out.formats, out.bare = {}, set()
     if not text:
         return out
-    exprs = []
-    for i, n in enumerate(text):
-        c = _q(n)
-        nn = c.isNotNull()
-        exprs += [
-            F.count(c).alias(f"c{i}"),
-            F.bool_and(F.when(nn, c.isin("True", "TRUE", "true", "False", "FALSE", "false"))).alias(f"b{i}"),
-            F.count_if(maybe_date(c)).alias(f"d{i}"),
-            F.bool_and(F.when(nn, is_number_text(c))).alias(f"n{i}"),
-            F.bool_and(F.when(nn, is_integer_text(c))).alias(f"i{i}"),
-            F.bool_and(F.when(nn, is_wide_integer_text(c))).alias(f"w{i}"),
-            F.bool_or(F.when(nn, is_whole_text(c) & ~is_integer_text(c))).alias(f"x{i}"),
-        ]
-    r = evidence(df, exprs)
+    kinds: dict[str, dict[int, int]] = {n: {} for n in text}
+    for r in kind_counts(df, text).collect():
+        kinds[text[r["at"]]][r["kind"]] = r["n"]
     share = 1.0 if lenient is None else min(lenient, 1.0)
-    maybe = [n for i, n in enumerate(text) if r[f"d{i}"] and r[f"d{i}"] >= share * r[f"c{i}"]]
+    total = {n: sum(kinds[n].values()) for n in text}
+    dated = {n: sum(v for k, v in kinds[n].items() if k & _DATE) for n in text}
+    maybe = [n for n in text if dated[n] and dated[n] >= share * total[n]]
     formats = column_formats(df, maybe, dayfirst)
-    for i, n in enumerate(text):
-        count, dates = r[f"c{i}"], formats[n].valid if n in formats else 0
-        if r[f"b{i}"]:
+    for n in text:
+        count, dates = total[n], formats[n].valid if n in formats else 0
+        every, some = reduce(and_, kinds[n], -1 if kinds[n] else 0), reduce(or_, kinds[n], 0)
+        if every & _BOOLEAN:
             out[n] = "boolean"
         elif count and dates == count:
             out[n] = "timestamp_ntz"
-        elif r[f"i{i}"]:
+        elif every & _LONG:
             out[n] = "long"
-        elif r[f"w{i}"]:
+        elif every & _WIDE:
             out[n] = "decimal(38,0)"
-        elif r[f"n{i}"] and not r[f"x{i}"]:
+        elif every & _NUMBER and not some & _BIG:
             out[n] = "double"
         elif lenient is not None and dates and dates >= lenient * count:
             out[n] = "timestamp_ntz"
@@ -105,19 +138,25 @@ def promotion_plan(df: DataFrame, dayfirst: bool | None = None, lenient: float |
             out[n] = "string"
         if out[n] == "timestamp_ntz":
             out.formats[n] = formats[n]
+        if every & _BARE:
+            out.bare.add(n)
     return out
 
 
 def apply_promotion(df: DataFrame, plan: dict[str, str], dayfirst: bool | None = None) -> DataFrame:
     """The decided types. Dates whose formats the plan holds go by them, others by the
-    general parser."""
-    formats = getattr(plan, "formats", {})
+    general parser; numbers that the plan knows to be bare are cast as they stand."""
+    formats, bare = getattr(plan, "formats", {}), getattr(plan, "bare", ())
+
+    def number(n: str, to: str, **how) -> Column:
+        return _q(n).try_cast(to) if n in bare else parse_number(_q(n), **how)
+
     typed = {
         "boolean": lambda n: F.lower(_q(n)) == F.lit("true"),
         "timestamp_ntz": lambda n: _q(n) if n in formats else parse_datetime(_q(n), bool(dayfirst)),
-        "long": lambda n: parse_number(_q(n), integral=True),
-        "decimal(38,0)": lambda n: parse_number(_q(n), wide=True),
-        "double": lambda n: parse_number(_q(n)),
+        "long": lambda n: number(n, "long", integral=True),
+        "decimal(38,0)": lambda n: number(n, "decimal(38,0)", wide=True),
+        "double": lambda n: number(n, "double"),
         "string": _q,
     }
     return with_dates(df.select(*(typed[plan.get(n, "string")](n).alias(n) for n in df.columns)), formats)

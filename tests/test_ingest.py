@@ -240,3 +240,20 @@ def test_lenient_dates_count_their_failures(spark):
     failures = {}
     out, plan = promote_types(df, lenient=0.9, failures=failures)
     assert plan == {"d": "timestamp_ntz"} and failures == {"d": 1} and out.where("d is null").count() == 2
+
+
+def test_number_forms_and_noise_decide_the_same_types(spark):
+    """Bare numbers go by one look, the rest through all tests: one value with noise, a wide one or
+    one that is no number decides its column as if each were tested in full."""
+    rows = [("1", "1", "1.5", "+7", "1", "5", "1e3", "00012", "12"),
+            ("1,234", "9223372036854775808", "$2", "-8", "1.5", "5-", ".5", "9" * 19, "12\n"),
+            (None, "-3", "3%", None, "9" * 20, "6", "2.", "7", "13")]
+    names = list("abcdefghi")
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    out, plan = promote_types(df)
+    assert plan == {"a": "long", "b": "decimal(38,0)", "c": "double", "d": "long", "e": "string", "f": "string", "g": "double", "h": "decimal(38,0)", "i": "string"}
+    assert {"b", "d", "g", "h"} <= plan.bare and not plan.bare & {"a", "c", "f", "i"}
+    got = out.collect()
+    assert [r["a"] for r in got] == [1, 1234, None] and [r["c"] for r in got] == [1.5, 2.0, 3.0]
+    assert [int(r["b"]) for r in got] == [1, 9223372036854775808, -3] and [r["d"] for r in got] == [7, -8, None]
+    assert [r["g"] for r in got] == [1000.0, 0.5, 2.0] and [int(r["h"]) for r in got] == [12, int("9" * 19), 7]

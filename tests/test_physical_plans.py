@@ -2,10 +2,12 @@
 
 import contextlib
 import io
+import re
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from quarry.operators import clean as CL
 from quarry.operators import profile as P
 from quarry.operators.profile import FIELD_BUDGET, evidence_exprs
 
@@ -67,3 +69,14 @@ def test_frequency_table_partial_aggregation(spark, sf_dir):
 def test_panels_carry_no_global_sort(spark, sf_dir):
     plan = _plan(E.queries()["auto_dashboard"](spark, sf_dir))
     assert "rangepartitioning" not in plan and "Sort [" not in plan
+
+
+def test_ingest_code_is_compiled_by_the_jvm(spark, sf_dir):
+    """Methods of generated code of more than 8000 bytes are interpreted, row by row."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    df = li.select(*(F.col(c).cast("string").alias(f"{c}_{i}") for i in range(2) for c in li.columns if c != "l_shipdate"))
+    plan = CL.promotion_plan(df)
+    assert {t for c, t in plan.items() if not c.startswith("l_l") and not c.startswith("l_r")} == {"long", "double"}
+    for out in (CL.kind_counts(df, df.columns), CL.apply_promotion(df, plan)):
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:\s*(\d+)", _plan(out, "codegen", execute=True))]
+        assert sizes and max(sizes) < 8000, sizes
