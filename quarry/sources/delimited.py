@@ -123,17 +123,20 @@ def without_cr(v: Column) -> Column:
     return F.when(v.endswith("\r"), v.substr(F.lit(1), F.length(v) - 1)).otherwise(v)
 
 
-def read_lines(spark: SparkSession, path, encoding: str = "auto", header: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, path, encoding: str = "auto", header: bool = False, valid: bool = False) -> DataFrame:
     """One row per non-blank physical line, decoded: ``value`` and its ``file``. With
-    ``header`` the first non-blank line of each file is left out, by its position."""
+    ``header`` the first non-blank line of each file is left out, by its position. ``valid``
+    says that all bytes are known to be UTF-8, so that no line is looked at for that again."""
     if _is_utf16(encoding):
         # UTF-16 is not line-splittable as bytes; each file is decoded whole in one task.
         files = spark.read.format("binaryFile").load(path)
         lines = F.filter(F.split(F.decode(F.col("content"), "UTF-16"), "\r?\n"), lambda x: F.length(F.trim(x)) > 0)
         lines = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))) if header else lines
         return files.select(F.explode(lines).alias("value"), F.col("path").alias("file"))
-    lines = line_reader(spark.read, header).csv(path)
-    return lines.select(decoded(F.col("value"), encoding or "auto").alias("value"), F.col("_metadata.file_path").alias("file")).where(F.length(F.trim("value")) > 0)
+    lines = line_reader(spark.read, header)
+    lines = lines.option("encoding", "UTF-8").csv(path) if valid else lines.csv(path)
+    text = F.col("value") if valid else decoded(F.col("value"), encoding or "auto")
+    return lines.select(text.alias("value"), F.col("_metadata.file_path").alias("file")).where(F.length(F.trim("value")) > 0)
 
 
 def sniff_delimiter(lines: list[str]) -> str:
@@ -313,7 +316,8 @@ def read_delimited(
     hid = F.col("header")
     if not found.multiline and len(found.headers) == 1 and not mixed and not R.is_utf16(encoding):
         # every line is a record under one header: no line's place matters
-        rows = read_lines(spark, path, encoding, header=True).withColumn("header", F.lit(0))
+        valid = not found.odd and encoding.lower() in ("auto", "utf-8", "utf8")
+        rows = read_lines(spark, path, encoding, header=True, valid=valid).withColumn("header", F.lit(0))
         broken = None
     elif multiline:
         rows, broken = R.assembled(numbered, found)

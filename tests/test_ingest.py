@@ -257,3 +257,15 @@ def test_number_forms_and_noise_decide_the_same_types(spark):
     assert [r["a"] for r in got] == [1, 1234, None] and [r["c"] for r in got] == [1.5, 2.0, 3.0]
     assert [int(r["b"]) for r in got] == [1, 9223372036854775808, -3] and [r["d"] for r in got] == [7, -8, None]
     assert [r["g"] for r in got] == [1000.0, 0.5, 2.0] and [int(r["h"]) for r in got] == [12, int("9" * 19), 7]
+
+
+def test_lines_known_to_be_utf8_are_not_decoded_again(spark, tmp_path):
+    """The scan for the records has seen every byte: only files with other bytes are decoded line by line."""
+    (tmp_path / "a.csv").write_bytes("\ufeffid,name\n1,caf\u00e9\n\n2,\u6f22\u00a0\n".encode())
+    ing = read_delimited(spark, str(tmp_path), sep=",")
+    assert [tuple(r) for r in ing.df.orderBy("id").collect()] == [(1, "caf\u00e9"), (2, "\u6f22\u00a0")]
+    assert "encode(" not in ing.raw._jdf.queryExecution().optimizedPlan().toString()
+    (tmp_path / "b.csv").write_bytes(b"id,name\n3,caf\xe9\n")
+    (tmp_path / "a.csv").write_bytes("id,name\n1,caf\u00e9\n".encode())
+    ing = read_delimited(spark, str(tmp_path), sep=",")
+    assert [tuple(r) for r in ing.df.orderBy("id").collect()] == [(1, "caf\u00e9"), (3, "caf\u00e9")]
