@@ -65,10 +65,24 @@ def maybe_date(text: Column) -> Column:
     return F.length(t).between(SHORTEST, LONGEST) & separated
 
 
+#: The usual shapes, each the beginning of the longest, and the texts that have them.
+_LONGEST_USUAL = "9999-99-99 99:99:99.999999999"
+_USUAL = r"9999-99-99(?: 99:99:99(?:\.9{1,9})?)?"
+_USUAL_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?: [0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,9})?)?\z"
+
+
 def shape(text: Column) -> Column:
-    """The shape of a text that may be a date, else NULL."""
+    """The shape of a text that may be a date, else NULL. For the usual ones it is known by one
+    pattern and the length, others are translated character by character."""
     t = _trimmed(text)
-    return F.when(F.length(t).between(SHORTEST, LONGEST), F.translate(t, _DIGITS + _LETTERS, "9" * 10 + "a" * 52))
+    usual = F.substring(F.lit(_LONGEST_USUAL), F.lit(1), F.length(t))
+    return F.when(t.rlike(_USUAL_TEXT), usual).when(F.length(t).between(SHORTEST, LONGEST), F.translate(t, _DIGITS + _LETTERS, "9" * 10 + "a" * 52))
+
+
+def date_shape(text: Column) -> Column:
+    """The shape of a text that some accepted way of writing a date has, else NULL."""
+    s = shape(text)
+    return F.when(reduce(or_, (s.rlike(p) for p in _SHAPES)), s)
 
 
 @dataclass(frozen=True)
@@ -139,6 +153,14 @@ def layout(text_shape: str) -> Layout | None:
     return None
 
 
+def usual_date(text: Column, text_shape: Column) -> Column:
+    """Whether a text of a usual shape is a valid date, in either order of day and month; NULL for
+    other shapes. The longest layout reads the seconds to the text's end, so it fits all times."""
+    day, moment = layout(_LONGEST_USUAL[:10]), layout(_LONGEST_USUAL)
+    return F.when(text_shape == day.shape, day.value(text, False).isNotNull()).when(
+        text_shape.rlike(f"^{_USUAL}\\z"), moment.value(text, False).isNotNull())
+
+
 @dataclass
 class Formats:
     """How the dates of one column are written."""
@@ -173,21 +195,31 @@ def _with_shapes(df: DataFrame, columns: list[str], keep: list[Column]) -> DataF
     return df.select(*keep, *(shape(_q(c)).alias(f"__shape_{i}") for i, c in enumerate(columns)))
 
 
-def column_formats(df: DataFrame, columns: list[str], dayfirst: bool | None = None) -> dict[str, Formats]:
+def column_formats(
+    df: DataFrame, columns: list[str], dayfirst: bool | None = None, counted: dict[str, dict[str, tuple[int, int]]] | None = None
+) -> dict[str, Formats]:
     """How each text column writes its dates: one job for the shapes of all columns and, when a
     column's order of day and month is open or its dates must be counted, one for the counts.
-    ``dayfirst`` settles the order instead."""
+    ``dayfirst`` settles the order instead. ``counted`` has for each column the date shapes of all
+    its values, when they were counted before, with the values and the valid usual dates of each:
+    then the first job is not needed, nor the second for columns of usual shapes only."""
     if not columns:
         return {}
-    cells = F.array(*(F.struct(F.lit(i).alias("at"), shape(_q(c)).alias("shape")) for i, c in enumerate(columns)))
-    seen = df.select(F.inline(cells)).where(F.col("shape").isNotNull()).groupBy("at", "shape").agg(F.count("*").alias("n"))
-    found = seen.where(reduce(or_, (F.col("shape").rlike(p) for p in _SHAPES))).collect()
+    if counted is None:
+        cells = F.array(*(F.struct(F.lit(i).alias("at"), shape(_q(c)).alias("shape")) for i, c in enumerate(columns)))
+        seen = df.select(F.inline(cells)).where(F.col("shape").isNotNull()).groupBy("at", "shape").agg(F.count("*").alias("n"))
+        found = seen.where(reduce(or_, (F.col("shape").rlike(p) for p in _SHAPES))).collect()
+        shapes = {c: {r["shape"]: r["n"] for r in found if r["at"] == i} for i, c in enumerate(columns)}
+    else:
+        shapes = {c: {x: n for x, (n, _) in counted[c].items()} for c in columns}
     out = {}
-    for i, c in enumerate(columns):
-        rows = sorted((r for r in found if r["at"] == i), key=lambda r: (-r["n"], r["shape"]))
-        layouts = [x for x in (layout(r["shape"]) for r in rows) if x]
-        out[c] = Formats(layouts if len(layouts) <= MOST_SHAPES else None, sum(r["n"] for r in rows), bool(dayfirst))
-    some = [c for c in columns if out[c].shaped]
+    for c in columns:
+        layouts = [x for x in (layout(x) for x, _ in sorted(shapes[c].items(), key=lambda x: (-x[1], x[0]))) if x]
+        out[c] = Formats(layouts if len(layouts) <= MOST_SHAPES else None, sum(shapes[c].values()), bool(dayfirst))
+    known = {c for c in columns if counted is not None and all(re.fullmatch(_USUAL, x) for x in shapes[c])}
+    for c in known:
+        out[c].valid = sum(valid for _, valid in counted[c].values())
+    some = [c for c in columns if out[c].shaped and c not in known]
     if some:
         at = {c: i for i, c in enumerate(some)}
         counts = [

@@ -39,7 +39,8 @@ def null_tokens(col, tokens: list[str] | None = None) -> Column:
     """The value, or NULL when it is one of the missing-value tokens."""
     c = _c(col)
     toks = NA_TOKENS if tokens is None else tokens
-    return F.when(c.isin(toks), F.lit(None).cast("string")).otherwise(c)
+    longest = max((len(t.encode()) for t in toks), default=0)
+    return F.when((F.octet_length(c) <= longest) & c.isin(toks), F.lit(None).cast("string")).otherwise(c)
 
 
 def datetime_shape(col) -> Column:

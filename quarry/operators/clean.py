@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.dates import Formats, column_formats, maybe_date, parsed, shape, with_dates
+from quarry.functions.dates import Formats, column_formats, date_shape, maybe_date, parsed, shape, usual_date, with_dates
 from quarry.functions.parse import lenient_double, number_text, parse_datetime, parse_number
 from quarry.functions.tokens import DATE_NAME_HINTS, DISPLAY_NULL_TEXT
 
@@ -80,17 +80,22 @@ def text_kind(c: Column) -> Column:
 
 def kind_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """How many values of each kind the text columns hold, NULLs left out: at (the column), kind,
-    n. The values stand one below the other, so that the code of the tests is there once, whatever
+    shape (of what is written like a date), valid (a date of a usual shape), n. The values stand one below the other, so that the code of the tests is there once, whatever
     the width: code that repeats them for each column grows too long for the JVM to compile."""
     cells = F.array(*(F.struct(F.lit(i).alias("at"), _q(n).alias("text")) for i, n in enumerate(columns)))
     values = df.select(F.inline(cells)).where(F.col("text").isNotNull())
-    return values.select("at", text_kind(F.col("text")).alias("kind")).groupBy("at", "kind").agg(F.count(F.lit(1)).alias("n"))
+    c = F.col("text")
+    shaped = values.select("at", "text", F.when(maybe_date(c), date_shape(c)).alias("shape"))
+    # an operator of its own, so a method of its own, below the size that the JVM compiles
+    dated = shaped.select(F.inline(F.array(F.struct("at", "text", "shape", usual_date(c, F.col("shape")).alias("valid")))))
+    told = dated.select("at", text_kind(c).alias("kind"), "shape", "valid")
+    return told.groupBy("at", "kind", "shape", "valid").agg(F.count(F.lit(1)).alias("n"))
 
 
 def promotion_plan(df: DataFrame, dayfirst: bool | None = None, lenient: float | None = None, failures: dict[str, int] | None = None) -> Promotion:
     """Target type per text column: ``boolean``, ``timestamp_ntz``, ``long``, ``decimal(38,0)``,
-    ``double`` or ``string`` (unchanged). One aggregate over the text columns, and two more jobs
-    over those whose every value may be a date.
+    ``double`` or ``string`` (unchanged). One aggregate over the text columns, and one more job
+    over those whose every value may be a date, unless all are written in a usual way.
 
     A column is promoted only when *every* non-NULL value passes: ``true``/``false``
     words (as the pandas reader) -> boolean; a valid date in an accepted shape -> timestamp;
@@ -110,13 +115,18 @@ def promotion_plan(df: DataFrame, dayfirst: bool | None = None, lenient: float |
     if not text:
         return out
     kinds: dict[str, dict[int, int]] = {n: {} for n in text}
+    shapes: dict[str, dict[str, tuple[int, int]]] = {n: {} for n in text}
     for r in kind_counts(df, text).collect():
-        kinds[text[r["at"]]][r["kind"]] = r["n"]
+        n, k, x = text[r["at"]], r["kind"], r["shape"]
+        kinds[n][k] = kinds[n].get(k, 0) + r["n"]
+        if x is not None:
+            count, valid = shapes[n].get(x, (0, 0))
+            shapes[n][x] = count + r["n"], valid + (r["n"] if r["valid"] else 0)
     share = 1.0 if lenient is None else min(lenient, 1.0)
     total = {n: sum(kinds[n].values()) for n in text}
     dated = {n: sum(v for k, v in kinds[n].items() if k & _DATE) for n in text}
     maybe = [n for n in text if dated[n] and dated[n] >= share * total[n]]
-    formats = column_formats(df, maybe, dayfirst)
+    formats = column_formats(df, maybe, dayfirst, shapes)
     for n in text:
         count, dates = total[n], formats[n].valid if n in formats else 0
         every, some = reduce(and_, kinds[n], -1 if kinds[n] else 0), reduce(or_, kinds[n], 0)

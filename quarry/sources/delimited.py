@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.names import normalize_names
 from quarry.functions.parse import null_tokens
-from quarry.functions.tokens import DELIMITERS
+from quarry.functions.tokens import DELIMITERS, NA_TOKENS
 from quarry.operators.clean import Promotion, apply_promotion, drop_empty_rows, promotion_plan
 from quarry.sources import records as R
 
@@ -181,19 +181,24 @@ def sniff(spark: SparkSession, path, encoding: str = "auto") -> dict:
     sample = [_strip_bom(r["value"].rstrip("\r")) for r in head]
     if not sample:
         raise ValueError(f"no lines in {path}")
-    return {"files": files, "header": sample[0], "delimiter": sniff_delimiter(sample), "encoding": encoding or "auto"}
+    return {"files": files, "sample": sample, "header": sample[0], "delimiter": sniff_delimiter(sample), "encoding": encoding or "auto"}
 
 
 def _strip_bom(text: str) -> str:
     return text[1:] if text.startswith("\ufeff") else text
 
 
+def separators(text: Column, sep: str) -> Column:
+    size = F.octet_length if sep.isascii() else F.length
+    return size(text) - size(F.replace(text, F.lit(sep), F.lit("")))
+
+
 def field_count(value: Column, sep: str) -> Column:
     """The number of fields as the parser counts them, in linear time; NULL when a quote that
     opens a field is never closed. Quoted fields are taken out (a quote elsewhere is text),
     then separators are counted."""
     bare = R.bare(value, sep)
-    count = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + F.lit(1)
+    count = separators(bare, sep) + F.lit(1)
     return F.when((F.instr(bare, '"') == 0) | ~bare.rlike(rf'(^|{re.escape(sep)})"'), count)
 
 
@@ -208,14 +213,26 @@ def _split_header(header: str, sep: str) -> list[str]:
     return next(csv.reader(io.StringIO(_strip_bom(header.rstrip("\r"))), delimiter=sep, quotechar='"'))
 
 
-def _shaped(rows: DataFrame, sep: str, width: int, more: list[str]) -> DataFrame:
-    """Records with their field count and parsed fields: value, n, r and ``more``."""
+def _shaped(rows: DataFrame, sep: str, width: int, more: list[str], blank_is_null: bool, every_plain: bool) -> DataFrame:
+    """Records with their field count and parsed fields: value, n, cells (NULL for an empty field
+    without quotes) and ``more``. A record without quotes and the like (``R.plain``) is cut at its
+    separators, with the parser's result; if the scan found ``every_plain``, there is no other."""
     v = F.col("value")
     # Materialize the cleaned record once: the expressions above nest the decode several times,
     # and collapsed projections would repeat it in every consumer (filter, count, from_csv).
     lines = rows.select(F.inline(F.array(F.struct(without_cr(v).alias("value"), *more))))
+    cut = F.split(v, re.escape(sep), -1)
+    if not blank_is_null:
+        cut = F.transform(cut, lambda x: F.nullif(x, F.lit("")))
+    n = separators(v, sep) + F.lit(1)
+    if every_plain:
+        return lines.select("value", *more, n.alias("n"), cut.alias("cells"))
+    n = F.when(F.instr(v, '"') == 0, n).otherwise(field_count(v, sep))
     opts = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
-    return lines.select("value", *more, field_count(v, sep).alias("n"), F.from_csv(parseable(v, sep), text_fields(width), opts).alias("r"))
+    row = F.when(~(R.plain(v) & (F.instr(v, "\r") == 0)), F.from_csv(parseable(v, sep), text_fields(width), opts))
+    parsed = lines.select("value", *more, n.alias("n"), row.alias("r"))
+    cells = F.when(F.col("r").isNull(), cut).otherwise(F.array(*(F.col(f"r._c{i}") for i in range(width))))
+    return parsed.select("value", *more, "n", cells.alias("cells"))
 
 
 def text_fields(width: int) -> str:
@@ -258,33 +275,38 @@ class _Columns:
         return out
 
     def value(self, name: str, header: Column) -> Column:
-        """A column's field in a record ``r``, by the record's header."""
+        """A column's field among the ``cells`` of a record, by the record's header."""
         places = {}
         for i, h in enumerate(self.headers):
             places.setdefault(h.index(name) if name in h else None, []).append(i)
         if len(places) == 1:
-            return F.col(f"r._c{next(iter(places))}")
+            return F.get("cells", F.lit(next(iter(places))))
         out = F.lit(None).cast("string")
         for place, which in places.items():
             if place is not None:
-                out = F.when(header.isin(which), F.col(f"r._c{place}")).otherwise(out)
+                out = F.when(header.isin(which), F.get("cells", F.lit(place))).otherwise(out)
         return out
 
 
 _UTF16_MARKS = ("\xff\xfe", "\xfe\xff")
 
 
-def _lines(spark: SparkSession, files: list[str], encoding: str, sep: str) -> tuple[DataFrame, R.Structure, bool]:
+def _breaks(sample: list[str], sep: str) -> bool:
+    """Whether one of the first lines ends inside a quoted field."""
+    return any(re.search(rf'(^|{re.escape(sep)})"[^"]*(""[^"]*)*$', line) for line in sample)
+
+
+def _lines(spark: SparkSession, files: list[str], encoding: str, sep: str, broken: bool) -> tuple[DataFrame, R.Structure, bool]:
     """All lines, their structure, and whether files of UTF-16 are among others."""
     lines = R.physical_lines(spark, files, encoding)
-    found = R.structure(lines, sep)
+    found = R.structure(lines, sep, broken)
     marked = [i for i, h in enumerate(found.headers) if h.startswith(_UTF16_MARKS)]
     if not marked or encoding != "auto":
         return lines, found, False
     wide = [r["file"] for r in found.splits.where(F.col("header").isin(marked)).select("file").distinct().collect()]
     rest = lines.where(~F.col("file").isin(wide))
     lines = rest.unionByName(R.physical_lines(spark, wide, "utf-16"))
-    return lines, R.structure(lines, sep), True
+    return lines, R.structure(lines, sep, broken), True
 
 
 def read_delimited(
@@ -310,15 +332,18 @@ def read_delimited(
     info = sniff(spark, path, encoding)
     encoding = info["encoding"]
     sep = sep or info["delimiter"]
-    lines, found, mixed = _lines(spark, info["files"], encoding, sep)
+    # a guess: it spares a scan, no result depends on it
+    lines, found, mixed = _lines(spark, info["files"], encoding, sep, multiline or _breaks(info["sample"], sep))
     columns = _Columns.of(found.headers, sep)
     numbered = R.numbered(lines, sep, found)
     hid = F.col("header")
+    valid = not found.odd and not mixed and encoding.lower() in ("auto", "utf-8", "utf8")
     if not found.multiline and len(found.headers) == 1 and not mixed and not R.is_utf16(encoding):
         # every line is a record under one header: no line's place matters
-        valid = not found.odd and encoding.lower() in ("auto", "utf-8", "utf8")
         rows = read_lines(spark, path, encoding, header=True, valid=valid).withColumn("header", F.lit(0))
         broken = None
+    elif (plain := R.unnumbered(R.physical_lines(spark, info["files"], "utf-8") if valid else lines, found)) is not None:
+        rows, broken = plain, None
     elif multiline:
         rows, broken = R.assembled(numbered, found)
     else:
@@ -328,18 +353,22 @@ def read_delimited(
         n, want = F.col("n"), columns.expected(hid)
         return F.coalesce((n == want) if strict else (n <= want), F.lit(False))
 
-    shaped = _shaped(rows, sep, columns.width, ["header"])
-    placed = _shaped(numbered if broken is None else rows, sep, columns.width, ["file", "number", "header"])
+    blank_is_null = "" in (NA_TOKENS if na_tokens is None else na_tokens)
+    shaped = _shaped(rows, sep, columns.width, ["header"], blank_is_null, found.plain)
+    placed = _shaped(numbered if broken is None else rows, sep, columns.width, ["file", "number", "header"], blank_is_null, found.plain)
     said = ["line", "expected", "found", "file", "line_number"]
     rejects = placed.where(~fits(placed)).select(F.col("value").alias(said[0]), columns.expected(hid).alias(said[1]), F.col("n").cast("int").alias(said[2]), "file", F.col("number").alias(said[4]))
     if broken is not None:
         rejects = rejects.unionByName(broken.select(
             without_cr(F.col("value")).alias(said[0]), columns.expected(hid).alias(said[1]), F.lit(None).cast("int").alias(said[2]), "file", F.col("number").alias(said[4])))
-    fields = [null_tokens(columns.value(c, hid), na_tokens).alias(c) for c in columns.names]
+    placed_fields = [columns.value(c, hid).alias(c) for c in columns.names]
+    fields = [null_tokens(F.col(f"`{c}`"), na_tokens).alias(c) for c in columns.names]
 
     def records(counted: DataFrame) -> DataFrame:
-        # one materialized row of fields, so the type evidence and casts reuse them
-        return counted.where(fits(counted)).select(F.inline(F.array(F.struct(*fields))))
+        # one materialized row of fields, so the type evidence and casts reuse them; found and
+        # cleared in two steps, as the code of both together grows too long for the JVM to compile
+        found_fields = counted.where(fits(counted)).select(F.inline(F.array(F.struct(*placed_fields))))
+        return found_fields.select(F.inline(F.array(F.struct(*fields))))
 
     raw = records(shaped)
     decisions, failures = Promotion(), {}

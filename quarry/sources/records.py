@@ -9,7 +9,8 @@ it keeps it, flips it, or ends outside or inside whatever it was. Those compose,
    the text stays in Spark;
 2. a row per split comes of it: its lines, its records, its effect on the state, its first line.
    A prefix over the splits of each file says how each split really begins, and how many lines
-   and records stand before it;
+   and records stand before it. Where no line ends inside a quoted field every line is a record,
+   and the same row comes of counts, without the walk;
 3. that small table, joined back, gives every line its number in the file, its record's number
    in the file and whether it is a record by itself. Only lines of longer records are shuffled,
    to be put together by (file, record).
@@ -143,8 +144,7 @@ def walked(lines: DataFrame, sep: str) -> DataFrame:
     quoted = F.instr(v, '"') > 0
     open0 = F.coalesce(quoted & opens(v, sep), F.lit(False))
     open1 = F.coalesce(~quoted | stays_inside(v, sep), F.lit(True))
-    blank = F.length(F.trim(F.regexp_replace(v, "\r", ""))) == 0
-    return lines.withColumn("at", _walk(F.xxhash64("file", "block"), open0, open1, blank, F.octet_length(v).cast("long")))
+    return lines.withColumn("at", _walk(F.xxhash64("file", "block"), open0, open1, _blank(v), F.octet_length(v).cast("long")))
 
 
 @dataclass
@@ -160,22 +160,67 @@ class Structure:
     multiline: bool  # some record has several lines, or is never closed
     longest: int  # no record has more bytes than this, unless it fills whole splits (then it is large)
     odd: int  # lines that are not UTF-8
+    plain: bool  # no line has a quote or another character that the parser takes for more than text
 
 
 #: Different headers of one read.
 MOST_HEADERS = 1000
 
 
-def structure(lines: DataFrame, sep: str) -> Structure:
-    """One scan of the lines, a small shuffle by file, the table of splits saved."""
+def _blank(value: Column) -> Column:
+    none = F.length(F.trim(value)) == 0
+    return none | ((F.instr(value, "\r") > 0) & (F.length(F.trim(F.regexp_replace(value, "\r", ""))) == 0))
+
+
+def plain(value: Column) -> Column:
+    """Whether a line has no quote and no character that the parser takes for more than text (a
+    carriage return before the end, NUL, a byte-order mark): its fields stand between its separators."""
+    return (F.instr(value, '"') == 0) & ~value.startswith("\ufeff") & (F.instr(value, "\0") == 0) & ~F.instr(value, "\r").between(F.lit(1), F.length(value) - 1)
+
+
+def _walked_splits(lines: DataFrame, sep: str) -> DataFrame:
     at = F.col("at")
     after = F.max(at["line"] * 4 + at["after0"].cast("int") * 2 + at["after1"].cast("int"))
-    each = walked(lines, sep).groupBy("file", "block").agg(
+    return walked(lines, sep).groupBy("file", "block").agg(
         (F.max(at["line"]) + 1).alias("lines"), (after % 4).alias("after"), F.max(at["record0"]).alias("record0"), F.max(at["record1"]).alias("record1"),
         F.max(at["run0"]).alias("run0"), F.max(at["run1"]).alias("run1"), F.max(at["inside0"] | at["after0"]).alias("open"), F.count_if("odd").alias("odd"),
+        F.min(plain(F.col("value"))).alias("plain"),
         # one line a split; a collected list, as a string cannot be the buffer of a hash aggregate
         F.collect_list(F.when(at["first"], F.struct(at["line"].alias("line"), "value"))).alias("head"),
     )
+
+
+def _plain_splits(lines: DataFrame, sep: str) -> DataFrame:
+    """The same row per split, right if ``open`` is false in all of them: then no line begins
+    inside a quoted field, its place is its record's, and no text leaves the JVM."""
+    # rising in the order of a split's lines, without gaps: it is read by one task
+    placed = lines.select("*", F.monotonically_increasing_id().alias("place"))
+    v, place = F.col("value"), F.when(~_blank(F.col("value")), F.col("place"))
+    zero = F.lit(0).cast("long")
+    each = placed.groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("lines"), F.count(place).alias("records"), F.max(F.coalesce(opens(v, sep), F.lit(False))).alias("open"), F.count_if("odd").alias("odd"),
+        F.min(plain(v)).alias("plain"),
+        F.min("place").alias("begin"), F.min_by("value", place).alias("value"), F.min(place).alias("place"),
+        F.collect_list(F.lit(None).cast("int")).alias("none"),  # an aggregate by hash though the first line is text
+    )
+    head = F.when(F.col("place").isNotNull(), F.array(F.struct((F.col("place") - F.col("begin")).alias("line"), "value"))).otherwise(F.array())
+    return each.select(
+        "file", "block", "lines", zero.alias("after"), F.col("records").alias("record0"), F.col("records").alias("record1"),
+        zero.alias("run0"), zero.alias("run1"), "open", "odd", "plain", head.alias("head"))
+
+
+def structure(lines: DataFrame, sep: str, broken: bool = False) -> Structure:
+    """The structure from one scan of the lines, without the walk; from a second one with it, if
+    some line ends inside a quoted field. ``broken`` says that this is expected: the walk at once."""
+    if not broken:
+        found = _structure(_plain_splits(lines, sep))
+        if not found.multiline:
+            return found
+    return _structure(_walked_splits(lines, sep))
+
+
+def _structure(each: DataFrame) -> Structure:
+    """A small shuffle of the splits by file, their table saved."""
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     file = Window.partitionBy("file")
@@ -196,20 +241,20 @@ def structure(lines: DataFrame, sep: str) -> Structure:
     told = told.withColumns({"top": top, "last": last})
     splits = told.select(
         "file", "block", "lines", "inside", "line_offset", "record_offset", F.col("top.value").alias("header"), F.col("top.line").alias("header_line"),
-        F.when(F.col("last.ends"), F.col("last.record")).alias("unclosed"), "open", "odd",
+        F.when(F.col("last.ends"), F.col("last.record")).alias("unclosed"), "open", "odd", "plain",
         # a split that lies inside one record says nothing of the record's length
         F.when(F.col("inside"), F.when(F.col("record1") == 0, F.lit(1 << 60)).otherwise(F.col("run1"))).otherwise(F.col("run0")).alias("run"),
     )
-    ensure_checkpoint_dir(lines.sparkSession)
+    ensure_checkpoint_dir(each.sparkSession)
     splits = splits.checkpoint(eager=True)
     found = splits.where("header is not null").groupBy("header").agg(F.min("file").alias("file")).limit(MOST_HEADERS + 1).collect()
     if len(found) > MOST_HEADERS:
         raise ValueError(f"the files have more than {MOST_HEADERS} different headers")
-    r = splits.agg(F.count("*").alias("rows"), F.max("open").alias("open"), F.max("run").alias("run"), F.sum("odd").alias("odd")).first()
+    r = splits.agg(F.count("*").alias("rows"), F.max("open").alias("open"), F.max("run").alias("run"), F.sum("odd").alias("odd"), F.min("plain").alias("plain")).first()
     headers = [x["header"] for x in sorted(found, key=lambda x: x["file"])]
     # on the small table: the number of a file's header, for what is joined to the lines
     which = F.array_position(F.array(*map(F.lit, headers)), F.col("header")) - 1 if headers else F.lit(None).cast("long")
-    return Structure(splits.drop("open", "run", "odd").withColumn("header", which.cast("int")), headers, r["rows"], bool(r["open"]), 2 * (r["run"] or 0), r["odd"] or 0)
+    return Structure(splits.drop("open", "run", "odd", "plain").withColumn("header", which.cast("int")), headers, r["rows"], bool(r["open"]), 2 * (r["run"] or 0), r["odd"] or 0, bool(r["plain"]))
 
 
 def numbered(lines: DataFrame, sep: str, found: Structure) -> DataFrame:
@@ -222,14 +267,28 @@ def numbered(lines: DataFrame, sep: str, found: Structure) -> DataFrame:
         "file", (F.col("line_offset") + at["line"] + 1).alias("number"), "value", (F.col("record_offset") + pick("record")).alias("record"),
         pick("inside").alias("begins"), pick("after").alias("ends"), "header", "header_line", "unclosed",
     )
-    blank = F.length(F.trim(F.regexp_replace("value", "\r", ""))) == 0
-    rows = rows.where((F.col("begins") | ~blank) & (F.col("number") != F.col("header_line")))
+    rows = rows.where((F.col("begins") | ~_blank(F.col("value"))) & (F.col("number") != F.col("header_line")))
     return rows.select(
         "file", "number", "value", "record", (~F.col("begins") & ~F.col("ends")).alias("single"),
         F.coalesce(F.col("record") != F.col("unclosed"), F.lit(True)).alias("whole"), "header",
     )
 
 
+def unnumbered(lines: DataFrame, found: Structure) -> DataFrame | None:
+    """Non-blank lines without the headers (value, header) where every line is a record: by their
+    file alone, so without the walk. A header is known by its text; None if some line after it
+    has the same one, or the files are too many to be broadcast: then its place must tell."""
+    if found.multiline or found.rows > BROADCAST_SPLITS:
+        return None
+    files = found.splits.where("header is not null").select("file", "header").distinct()
+    tops = F.broadcast(files.select("file", "header", F.get(F.array(*map(F.lit, found.headers)), F.col("header")).alias("top")))
+    rows = lines.select("file", "value").join(tops, "file")
+    same = rows.where(F.col("value") == F.col("top")).groupBy("file").count()
+    if same.where("count > 1").limit(1).count():
+        return None
+    return rows.where((F.col("value") != F.col("top")) & ~_blank(F.col("value"))).select("value", "header")
+
+
 def assembled(rows: DataFrame, found: Structure) -> tuple[DataFrame, DataFrame]:
     """Records (file, number of the first line, value, header) out of numbered lines, and the
     lines that make none: of records that are never closed, or longer than the bound."""

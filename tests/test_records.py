@@ -5,8 +5,11 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import write_text
+from quarry.functions import dates
+from quarry.operators import clean
 from quarry.sources import records
 from quarry.sources.delimited import read_delimited
 
@@ -107,3 +110,63 @@ def test_text_after_a_closing_quote_is_part_of_the_field(spark, tmp_path):
     ing = read_delimited(spark, p, sep=",", promote=False)
     assert sorted(map(tuple, ing.df.collect())) == [("1", "ab"), ("x ", 'p "q" rs')]
     assert ing.rejects.count() == 0
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [20, 1 << 20])
+def test_files_of_several_headers_without_line_breaks_need_no_walk(spark, tmp_path, splits, size):
+    """Every line is a record: its file says its header, so no line goes through Python for its place."""
+    write_text(tmp_path / "h" / "1.csv", b"\n \r\nid,name,d\r\n1,x,2024-01-31\r\n\r\n2,,2024-02-01 10:00:00\r\n3,y,,LONG\r\n")
+    write_text(tmp_path / "h" / "2.csv", "d,id,extra,name\n2024-03-01,4,é,\"q,\"\"r\"\n,5\n".encode())
+    write_text(tmp_path / "h" / "3.csv", b"\n")
+    splits(size)
+    ing = read_delimited(spark, str(tmp_path / "h"), sep=",")
+    assert "_walk" not in optimized(ing.df) and "_walk" in optimized(ing.rejects)
+    assert ing.df.dtypes == [("id", "bigint"), ("name", "string"), ("d", "timestamp_ntz"), ("extra", "string")]
+    got = sorted((r["id"], r["name"], str(r["d"]), r["extra"]) for r in ing.df.collect())
+    assert got == [(1, "x", "2024-01-31 00:00:00", None), (2, None, "2024-02-01 10:00:00", None), (4, 'q,"r', "2024-03-01 00:00:00", "é"), (5, None, "None", None)]
+    assert [(r["file"][-5:], r["line_number"], r["expected"], r["found"]) for r in ing.rejects.collect()] == [("1.csv", 7, 3, 4)]
+
+
+def test_lines_that_repeat_their_header_are_records(spark, tmp_path):
+    write_text(tmp_path / "r" / "1.csv", b"a,b\n1,x\na,b\na,b\n")
+    write_text(tmp_path / "r" / "2.csv", b"b,a\ny,2\na,b\n")
+    ing = read_delimited(spark, str(tmp_path / "r"), sep=",", promote=False)
+    assert sorted(map(tuple, ing.df.collect())) == [("1", "x"), ("2", "y"), ("a", "b"), ("a", "b"), ("b", "a")]
+
+
+@pytest.mark.parametrize("sep", [",", "|", "\t"])
+def test_records_cut_at_separators_are_as_the_parser_has_them(spark, tmp_path, sep):
+    texts = ["1,2,3", ",,", "a,", "a", " a , b,\tc ", "a\r", "a\rb,c", "a,b\0c,d", '"",x', 'a"b,c', '"a,b",c', "a\\,b", "é,漢, ", "#c,d", "1,2,3,4", "NA,null,x"]
+    lines = [t.replace(",", sep) for t in texts]
+    for tokens in (None, [], ["NA"]):
+        for i, kept in enumerate((lines, [t for t in lines if '"' not in t and "\0" not in t and "\r" not in t])):
+            write_text(tmp_path / f"{i}" / "1.csv", "\n".join([f"a{sep}b{sep}c", *kept, ""]).encode())
+            write_text(tmp_path / f"{i}" / "2.csv", "b\nz\n".encode())
+            ing = read_delimited(spark, str(tmp_path / f"{i}"), sep=sep, promote=False, na_tokens=tokens)
+            rows = [t[:-1] if t.endswith("\r") else t for t in kept]
+            opts = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
+            wide = spark.createDataFrame([(t,) for t in rows if t.count(sep) < 3], "t string").select("t", F.from_csv("t", "a string, b string, c string", opts).alias("r"))
+            none = {"", "NA", "null"} if tokens is None else set(tokens)
+            want = [tuple(None if v in none else v for v in r["r"]) for r in wide.collect()] + [(None, "z", None)]
+            want = sorted((r for r in want if any(v is not None for v in r)), key=ascii)
+            assert sorted(map(tuple, ing.df.collect()), key=ascii) == want
+
+
+def test_usual_dates_are_counted_with_the_kinds(spark, monkeypatch):
+    """Shapes and valid dates of the usual forms come with the evidence, other forms by their own count."""
+    good = ["2024-02-29", "2024-01-31 23:59:59", " 1999-12-31 00:00:00.5 ", "2024-01-01 00:00:00.123456789", None]
+    cases = {"u": good, "bad": ["2024-02-30", *good[1:]], "late": ["2024-01-01 24:00:00", *good[1:]], "t": ["2024-01-01T10:00:00", *good[1:]], "dm": ["31/01/2024", *good[1:]], "end": ["2024-01-01\n", *good[1:]]}
+    df = spark.createDataFrame(list(zip(*cases.values())), ", ".join(f"{c} string" for c in cases))
+    out, plan = clean.promote_types(df)
+    assert plan == {"u": "timestamp_ntz", "bad": "string", "late": "string", "t": "timestamp_ntz", "dm": "timestamp_ntz", "end": plan["end"]}
+    assert [str(r["u"]) for r in out.select("u").collect()] == ["2024-02-29 00:00:00", "2024-01-31 23:59:59", "1999-12-31 00:00:00.500000", "2024-01-01 00:00:00.123456", "None"]
+    for order in (None, True, False):
+        whole = dates.column_formats(df, df.columns, order)
+        assert {c: plan.formats[c].layouts for c in plan.formats} == {c: whole[c].layouts for c in plan.formats}
+        assert (whole["u"].valid, whole["bad"].valid, whole["late"].valid) == (4, 3, 3)
+    monkeypatch.setattr(dates, "_with_shapes", None)  # what the count of valid dates scans again
+    assert clean.promotion_plan(df.select("u", "bad", "late")) == {"u": "timestamp_ntz", "bad": "string", "late": "string"}
